@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, packing
+from narrata.llm import bpe, packing, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,28 @@ def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(docs, "text", public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
     light = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(light, 2048, ["doc_id", "piece"])
+
+
+@query()
+def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("digest"))
+    placed = sharding.shard(docs, "doc_id", F.col("digest"), F.col("size"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+URL_RULES = [
+    urls.Rule("block", "com", "/en/"),
+    urls.Rule("allow", "example.com", "/en/7"),
+    urls.Rule("allow", "net", "/de/"),
+    urls.Rule("block", "example.net", "/de/8"),
+    urls.Rule("block", "org", "/es/"),
+]
+
+
+@query()
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    edges = urls.links(pages, "url", "html")
+    judged = urls.judge(pages.select("page_id", "url"), "url", URL_RULES, edges)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
