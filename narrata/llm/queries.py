@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, packing, sharding, urls
+from narrata.llm import bpe, packing, sharding, topk, urls, warc
+from narrata.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +74,38 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = urls.links(pages, "url", "html")
     judged = urls.judge(pages.select("page_id", "url"), "url", URL_RULES, edges)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS m FROM p),
+    g AS (SELECT page_id, n, m, list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS INT), 5) AS INT)) AS parts FROM d)
+    SELECT page_id, n AS payload_bytes,
+      array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+        lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> s) % 32 + 1, 1)), '')), '') AS payload_digest,
+      CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> m THEN m END AS refers_to
+    FROM g
+    """
+)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder, index = warc.write(pages, "page_id", "url", F.encode("html", "UTF-8"), 0, Workspace(spark, "warc"))
+    records = warc.read(folder, index, payload=False)
+    return records.select(F.col("record").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+    SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM r WHERE n <= 5
+    """
+)
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
