@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, packing, sharding, topk, urls, warc
+from narrata.llm import bpe, near, packing, sharding, topk, urls, warc
 from narrata.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
+
+
+@query()
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near.near_duplicates(docs, "doc_id", "text", words=4).withColumnRenamed("id", "doc_id")
