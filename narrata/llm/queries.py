@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, near, packing, sharding, topk, urls, warc
+from narrata.llm import bpe, fingerprints, near, packing, sharding, topk, urls, warc
 from narrata.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,9 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near.near_duplicates(docs, "doc_id", "text", words=4).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.compared(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
