@@ -7,6 +7,7 @@ memory and can be larger than the cluster's memory.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,11 @@ class Workspace:
         for df in saved:
             delete(self.spark, df._narrata_path)
 
+    def tidy(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
