@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, fingerprints, near, packing, sharding, topk, urls, warc
+from narrata.llm import bpe, fingerprints, near, packing, sharding, substrings, topk, urls, warc
 from narrata.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fingerprints.compared(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substrings.remove_repeats(docs, "doc_id", "text", 13)
+    return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
