@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, fingerprints, near, packing, sharding, substrings, topk, urls, warc
+from narrata.llm import bpe, fingerprints, languages, near, packing, sharding, substrings, topk, urls, warc
 from narrata.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = substrings.remove_repeats(docs, "doc_id", "text", 13)
     return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = languages.held_out(F.col("doc_id"))
+    trees = languages.learn(docs.where(~out & F.col("doc_id").isNotNull()), "doc_id", "text", "lang")
+    predicted = languages.predict(docs.select("doc_id", "text"), "text", trees)
+    return predicted.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
