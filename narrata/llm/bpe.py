@@ -8,7 +8,8 @@ Text is cut by the split pattern first and each distinct piece is merged once
 per worker and kept in a bounded cache.
 
 Defined results: null text counts as empty; empty text has no ids; repeated
-rows are encoded one by one; ids of any length are whole, never cut.
+rows are encoded one by one; ids of any length are whole, never cut; columns
+that have the name of an output are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import models
 
+from narrata.llm.rows import without
+
 #: Pieces kept per worker; the cache starts anew beyond it.
 CACHE_PIECES = 400_000
 #: Rows per Arrow batch sent back.
@@ -108,18 +111,12 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-def free_name(df: DataFrame, *wanted: str) -> None:
-    """Refuse output names that the table has already."""
-    if clash := {c.lower() for c in wanted} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(clash)} exist already; choose other output names")
-
-
 def encode(df: DataFrame, text: str, ranks: str, pattern: str, out: str = "ids", offsets: str | None = None) -> DataFrame:
     """Add the ids of column ``text``: array<int> ``out``, and ``offsets`` (array of [start, end] code points) if named.
 
     The vocabulary's size is fixed by its file, so it is broadcast.
     """
-    free_name(df, out, *([offsets] if offsets else []))
+    df = without(df, out, *([offsets] if offsets else []))
     content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks))
     extra = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)]
     if offsets:

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrata.llm import near
-from narrata.llm.bpe import free_name
 from narrata.llm.components import components
+from narrata.llm.rows import without
 from narrata.llm.words import CHUNK_BYTES, Permutations, Words, chunks, shingles
 from narrata.workspace import Workspace
 
@@ -51,7 +51,7 @@ def shown(signature: np.ndarray) -> str:
 
 def fingerprint(df: DataFrame, text: str, out: str = "signature", words: int = WORDS) -> DataFrame:
     """Add the fingerprint of column ``text`` as array<long>."""
-    free_name(df, out)
+    df = without(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

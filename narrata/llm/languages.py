@@ -16,7 +16,8 @@ expected. All else covers every row.
 Defined results: a null text, or one without a letter, is ``und`` with score
 0, and so is every text if nothing could be learnt; ties go to the first
 language in order; null labels teach nothing; repeated rows are predicted one
-by one; whole texts are coded, in steps of bounded memory.
+by one; whole texts are coded, in steps of bounded memory; columns that have
+the name of an output are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narrata.llm.bpe import free_name
+from narrata.llm.rows import without
 from narrata.llm.words import CHUNK_BYTES, chunks
 
 ORDER = 3
@@ -166,7 +167,7 @@ def learn(df: DataFrame, id: str, text: str, lang: str, bytes_each: int = SAMPLE
 
 def predict(df: DataFrame, text: str, trees: Trees) -> DataFrame:
     """Add lang_pred, score (the language's share of the probability that all give the text) and bits_per_byte under it."""
-    free_name(df, "lang_pred", "score", "bits_per_byte")
+    df = without(df, "lang_pred", "score", "bits_per_byte")
     extra = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("bits_per_byte", T.DoubleType(), False)]
     sent = df.sparkSession.sparkContext.broadcast(trees)
 

@@ -9,7 +9,8 @@ counts allow. Spark then ranks the pieces within their length, and a rank
 tells the bin and the place in it.
 
 Defined results: null text counts as empty; an empty text is the end token
-alone; repeated rows are packed one by one; an empty table gives no bins.
+alone; repeated rows are packed one by one; an empty table gives no bins;
+columns that have the name of an output are replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from narrata.llm.bpe import byte_chars, free_name
+from narrata.llm.bpe import byte_chars
 from narrata.llm.ranks import partitions, ranked
+from narrata.llm.rows import nest, unnest, without
 from narrata.workspace import Workspace
 
 #: Word pieces kept per worker; the cache starts anew beyond it.
@@ -91,7 +94,7 @@ def pieces(df: DataFrame, text: str, tokenizer: str, capacity: int, end_id: int)
     Each text's ids end with ``end_id``. Only sequences longer than
     ``capacity`` are cut, into pieces of that length and a last one.
     """
-    free_name(df, "piece", "start", "length", "ids")
+    df = without(df, "piece", "start", "length", "ids")
     with open(tokenizer, encoding="utf-8") as file:
         content = df.sparkSession.sparkContext.broadcast(file.read())
     kept = [f for f in df.schema.fields if f.name != text]
@@ -172,9 +175,9 @@ def pack(df: DataFrame, capacity: int, order: list[str], ws: Workspace | None =
 
     Sequences hold at most ``capacity`` tokens and their places have no gaps.
     """
-    free_name(df, "sequence_id", "offset")
     ws = ws or Workspace(df.sparkSession, "pack")
-    stored = ws.save(df, "pieces")
+    stored = ws.save(nest(df, F.col("length").cast("long").alias("length"), *(F.col(c).alias(f"order{i}") for i, c in enumerate(order))), "pieces")
+    order = [f"order{i}" for i in range(len(order))]
     # One row for each length: no more than the capacity.
     counts = {r["length"]: r["count"] for r in stored.groupBy("length").count().collect()}
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
@@ -182,8 +185,7 @@ def pack(df: DataFrame, capacity: int, order: list[str], ws: Workspace | None =
     rows = sorted(plan(counts, capacity))
     ranks = ranked(ws, stored, ["length", *order], ["length"], partitions(df, sum(counts.values())), "_rank")
     table = df.sparkSession.sparkContext.broadcast(np.array(rows, dtype=np.int64).reshape(-1, 6))
-    columns = stored.columns
-    fields = [*stored.schema.fields, T.StructField("sequence_id", T.LongType(), False), T.StructField("offset", T.LongType(), False)]
+    fields = [stored.schema["row"], T.StructField("sequence_id", T.LongType(), False), T.StructField("offset", T.LongType(), False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
@@ -193,6 +195,6 @@ def pack(df: DataFrame, capacity: int, order: list[str], ws: Workspace | None =
             length, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "_rank"))
             row = t[np.searchsorted(keys, length * wide + rank, side="right") - 1]
             bins, nth = np.divmod(rank - row[:, 1], np.maximum(row[:, 4], 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(row[:, 3] + bins), pa.array(row[:, 5] + nth * length)], names=[*columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(row[:, 3] + bins), pa.array(row[:, 5] + nth * length)], names=["row", "sequence_id", "offset"])
 
-    return ranks.mapInArrow(run, T.StructType(fields))
+    return unnest(ranks.mapInArrow(run, T.StructType(fields)), df.columns, "sequence_id", "offset")

@@ -8,7 +8,8 @@ operations are used.
 
 Defined results: a null text has no bytes and counts as an empty one; equal
 texts form a group, nulls in ``id`` come first in the order; repeated rows get
-slots of their own; with fewer groups than shards the last shards stay empty.
+slots of their own; with fewer groups than shards the last shards stay empty;
+columns that have the name of an output are replaced.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.llm.bpe import free_name
 from narrata.llm.ranks import partitions, ranked
+from narrata.llm.rows import nest, unnest
 from narrata.workspace import Workspace
 
 #: Capacities that are tried in one pass.
@@ -70,15 +71,14 @@ def minimax(ends: DataFrame, total: int, largest: int, shards: int) -> tuple[int
 
 def shard(df: DataFrame, id: str, group: Column, size: Column, shards: int, ws: Workspace | None = None) -> DataFrame:
     """Add shard (from 0) and slot (from 0 in each shard) to ``df``; groups are ordered by their smallest ``id``."""
-    free_name(df, "shard", "slot")
     ws = ws or Workspace(df.sparkSession, "shard")
-    base = ws.save(df.withColumn("_group", group).withColumn("_size", size.cast("long")), "rows")
-    groups = ws.save(base.groupBy("_group").agg(F.sum("_size").alias("_size"), F.count("*").alias("_rows"), F.min(id).alias("_first")), "groups")
+    base = ws.save(nest(df, group.alias("_group"), size.cast("long").alias("_size"), F.col(id).alias("_id")), "rows")
+    groups = ws.save(base.groupBy("_group").agg(F.sum("_size").alias("_size"), F.count("*").alias("_rows"), F.min("_id").alias("_first")), "groups")
     count, rows, total, largest = groups.agg(F.count("*"), F.sum("_rows"), F.sum("_size"), F.max("_size")).first()
     ends = ws.save(running(ws, groups, ["_first", "_group"], "_size", partitions(df, count), "end"), "ends")
     _, cuts = minimax(ends.select("end"), total or 0, largest or 0, shards)
     which = sum(((F.col("end") > c).cast("int") for c in cuts[:-1]), F.lit(0))
     placed = ws.save(ends.select("_group", "_first", which.alias("shard")), "placed")
     spread = base.join(placed, "_group")
-    slots = ranked(ws, spread, ["shard", "_first", "_group", id], ["shard"], partitions(df, rows or 0), "slot")
-    return slots.select(*df.columns, "shard", "slot")
+    slots = ranked(ws, spread, ["shard", "_first", "_group", "_id"], ["shard"], partitions(df, rows or 0), "slot")
+    return unnest(slots, df.columns, "shard", "slot")

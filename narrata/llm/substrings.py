@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from narrata.llm.rows import nest, unnest
 from narrata.llm.words import U, Words, chunks, mix, sequences
 from narrata.workspace import Workspace
 
@@ -167,13 +168,13 @@ def repeated(ws: Workspace, docs: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, id: str, text: str, window: int = 13, ws: Workspace | None = None) -> DataFrame:
-    """(id, n_words, n_removed, kept) for each row: ``kept`` is the words that stay, joined by one space."""
+    """Add n_words, n_removed and kept, the words that stay, joined by one space; columns of these names are replaced."""
     if not 2 * CONTEXT < window < 256:
         raise ValueError("window must be 7 to 255 words")
     ws = ws or Workspace(df.sparkSession, "substrings")
-    docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    marked = docs.join(repeated(ws, docs, window), "id", "left").select("id", "text", "starts", "whole")
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    docs = nest(df, F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    marked = docs.join(repeated(ws, docs.drop("row"), window), "id", "left").select("row", F.col("row").getField(text).alias("text"), "starts", "whole")
+    schema = T.StructType([docs.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,6 +194,6 @@ def remove_repeats(df: DataFrame, id: str, text: str, window: int = 13, ws: Work
                 cuts = np.searchsorted(stay, words.first)
                 a, b = words.starts[stay].tolist(), words.ends[stay].tolist()
                 kept = [b" ".join([words.data[x:y] for x, y in zip(a[p:q], b[p:q], strict=True)]) for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], names=schema.fieldNames())
 
-    return marked.mapInArrow(run, schema)
+    return unnest(marked.mapInArrow(run, schema), df.columns, "n_words", "n_removed", "kept")

@@ -7,7 +7,8 @@ it. Only DataFrame operations are used.
 
 Defined results: a null url or one without ``://`` has an empty host and path
 and fits no rule; repeated urls are one node and are all judged alike; links
-that are null, empty or not absolute after resolution link nothing.
+that are null, empty or not absolute after resolution link nothing; columns
+that have the name of an output are replaced.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.bpe import free_name
 from narrata.llm.components import components
+from narrata.llm.rows import nest, unnest
 from narrata.workspace import Workspace
 
 #: Rules are literals of the plan, so their number is bounded.
@@ -83,14 +84,14 @@ def links(pages: DataFrame, url: str, html: str) -> DataFrame:
 
 def judge(df: DataFrame, url: str, rules: list[Rule], edges: DataFrame, default: str = "allow", ws: Workspace | None = None) -> DataFrame:
     """Add host, path, rule and verdict; ``edges`` (a, b) link urls that are aliases."""
-    free_name(df, "host", "path", "rule", "verdict")
     ws = ws or Workspace(df.sparkSession, "urls")
     parts = components(ws, edges)
     own = fitting(rules, host(F.col("node")), path(F.col("node")), "verdict")
     blocked = ws.save(parts.where(own == "block").select("component").distinct(), "blocked")
     reached = ws.save(parts.join(blocked, "component").select(F.col("node").alias("_node"), F.lit(True).alias("_reached")), "reached")
-    named = df.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
+    nested = nest(df, F.col(url).alias("_url"))
+    named = nested.withColumn("host", host(F.col("_url"))).withColumn("path", path(F.col("_url")))
     ruled = named.withColumn("rule", fitting(rules, F.col("host"), F.col("path"), "rule")).withColumn("_own", fitting(rules, F.col("host"), F.col("path"), "verdict"))
-    met = ruled.join(reached, F.col(url) == F.col("_node"), "left")
+    met = ruled.join(reached, F.col("_url") == F.col("_node"), "left")
     spread = F.when(F.col("_reached"), F.lit("block"))
-    return met.withColumn("verdict", F.coalesce("_own", spread, F.lit(default))).select(*df.columns, "host", "path", "rule", "verdict")
+    return unnest(met.withColumn("verdict", F.coalesce("_own", spread, F.lit(default))), df.columns, "host", "path", "rule", "verdict")
