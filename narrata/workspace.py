@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of whole texts are large: Spark's default of 10,000 in an Arrow batch would take much memory outside the heap.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _fallback: dict[str, str] = {}
 
 
@@ -34,6 +36,8 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/narrata-{label}-{uuid.uuid4().hex[:12]}"
         self._next = 0
+        if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+            spark.conf.set(BATCH_ROWS, "1000")
 
     def folder(self, name: str) -> str:
         self._next += 1
