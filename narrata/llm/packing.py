@@ -33,7 +33,7 @@ from narrata.llm.rows import nest, unnest, without
 from narrata.workspace import Workspace
 
 #: Word pieces kept per worker; the cache starts anew beyond it.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 250_000
 ROWS_OUT = 256
 
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Text bytes that are worked on at once (a longer text is worked on alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
