@@ -49,7 +49,7 @@ def ngrams(items: Column, n: int) -> Column:
 
     def runs(x: Column) -> Column:
         last = F.size(x) - n
-        found = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(x, i + 1, n), " "))
+        found = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws(" ", *(F.get(x, i + k) for k in range(n))))
         return F.when(last >= 0, found).otherwise(F.array().cast("array<string>"))
 
     return let(items, runs)

@@ -11,7 +11,7 @@ import functools
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.functions import peaks as P
@@ -235,48 +235,39 @@ def local_divergence(x: Column, bins: int = 14) -> Column:
     return S.let(found, lambda s: F.transform(x, lambda v, i: _interpolated(s, i / F.greatest(n - 1, F.lit(1)))))
 
 
-@S.bound
-def four_act(x: Column) -> Column:
-    """Introduction, development, turn and reconciliation: a turn without conflict in the second half."""
+def with_four_act(df: DataFrame, series: str, out: str = "four_act") -> DataFrame:
+    """Add the four-act structure: a turn without conflict in the second half. Its steps are columns, which are computed once."""
+    x = F.col(series)
     n = F.size(x)
     dt = 1 / F.greatest(n - 1, F.lit(1)).cast("double")
-    bent = lambda slope: F.zip_with(S.gradient(slope, dt), slope, lambda b, s: F.abs(b) / F.pow(1 + s * s, F.lit(1.5)))
-    inside = F.sequence((0.4 * n).cast("int"), F.greatest((0.8 * n).cast("int") - 1, (0.4 * n).cast("int")))
     share = lambda a, q: F.element_at(F.array_sort(a), F.greatest(F.ceil(q * n).cast("int"), F.lit(1)))
+    kl, bend, slope = F.col("_kl"), F.col("_bend"), F.col("_slope")
 
-    def turn(kl: Column, bend: Column, kl_top: Column, bend_top: Column, most: Column) -> Column:
-        def candidate(i: Column) -> Column:
-            weight = F.greatest(F.lit(0.2), 1 - 2 * F.abs(_position(i, n) - 0.6))
-            moved = F.when(S.at(kl, i) >= kl_top, S.at(kl, i) * weight).otherwise(0.0)
-            curved = F.when(S.at(bend, i) >= bend_top, 0.5 * weight * S.at(bend, i) / F.greatest(most, F.lit(1e-9))).otherwise(0.0)
-            return F.struct((moved + curved).alias("s"), (-i).alias("i"))
-
-        return F.array_max(F.transform(inside, candidate))
-
-    def judged(best: Column, ten: Column, before: Column, after: Column, spread: Column) -> Column:
-        strength, pos = S.clip(best.getField("s")), _position(ten, n)
-        smoothness = 1 / (1 + S.deviation(S.differences(before)) / spread)
-        compression = S.deviation(before) - S.deviation(after)
-
-        def told(smooth: Column, compressed: Column) -> Column:
-            calm = F.when(compressed > 0, S.clip(compressed / spread)).otherwise(0.0)
-            inner = S.clip(1 - 2 * F.abs(pos - 0.6))
-            first = 0.15 * smooth + 0.15 * inner + 0.35 * strength + 0.35 * calm
-            real = strength > 0.05
-            rules = lambda s: [((first > 0.45) & (smooth > 0.35) & real & pos.between(0.55, 0.75) & (compressed > 0.08), "classic"), ((first > 0.40) & pos.between(0.50, 0.75) & (compressed > 0.03), "modern"), (real & pos.between(0.55, 0.78) & (compressed > 0.01), "subtle"), ((pos < 0.5) | (compressed <= 0), "western_like"), (~real & (smooth > 0.45), "zuihitsu")]
-            return _conform(n, 0.2 * smooth + 0.2 * inner + 0.35 * strength + 0.25 * calm, rules, "hybrid", turn=F.round(pos, 6), compression=F.round(compressed, 6))
+    def candidate(i: Column) -> Column:
+        weight = F.greatest(F.lit(0.2), 1 - 2 * F.abs(_position(i, n) - 0.6))
+        moved = F.when(S.at(kl, i) >= F.col("_kl_top"), S.at(kl, i) * weight).otherwise(0.0)
+        curved = F.when(S.at(bend, i) >= F.col("_bend_top"), 0.5 * weight * S.at(bend, i) / F.greatest(F.col("_bend_most"), F.lit(1e-9))).otherwise(0.0)
+        return F.struct((moved + curved).alias("s"), (-i).alias("i"))
 
-        return S.lets(told, lambda: F.coalesce(smoothness, F.lit(1.0)), lambda smooth: F.coalesce(compression, F.lit(0.0)))
-
-    best = S.lets(turn, lambda: local_divergence(x), lambda kl: S.let(S.gradient(S.gaussian(x, 2.0), dt), bent), lambda kl, bend: share(kl, 0.75), lambda kl, bend, a: share(bend, 0.85), lambda kl, bend, a, b: F.array_max(bend))
-    return S.lets(
-        judged,
-        lambda: best,
-        lambda top: -top.getField("i"),
-        lambda top, ten: F.slice(x, 1, ten),
-        lambda top, ten, before: F.slice(x, ten + 1, n),
-        lambda top, ten, before, after: F.greatest(S.deviation(x), F.lit(1e-9)),
+    inside = F.sequence((0.4 * n).cast("int"), F.greatest((0.8 * n).cast("int") - 1, (0.4 * n).cast("int")))
+    found = (
+        df.withColumns({"_kl": local_divergence(x), "_slope": S.gradient(S.gaussian(x, 2.0), dt)})
+        .withColumn("_bend", F.zip_with(S.gradient(slope, dt), slope, lambda b, s: F.abs(b) / F.pow(1 + s * s, F.lit(1.5))))
+        .withColumns({"_kl_top": share(kl, 0.75), "_bend_top": share(bend, 0.85), "_bend_most": F.array_max(bend)})
+        .withColumn("_best", F.array_max(F.transform(inside, candidate)))
+        .withColumns({"_strength": S.clip(F.col("_best.s")), "_ten": -F.col("_best.i"), "_spread": F.greatest(S.deviation(x), F.lit(1e-9))})
     )
+    ten, spread, strength = F.col("_ten"), F.col("_spread"), F.col("_strength")
+    before, after = F.slice(x, 1, ten), F.slice(x, ten + 1, n)
+    parts = found.withColumns({"_smooth": F.coalesce(1 / (1 + S.deviation(S.differences(before)) / spread), F.lit(1.0)), "_compressed": F.coalesce(S.deviation(before) - S.deviation(after), F.lit(0.0)), "_pos": _position(ten, n)})
+    smooth, compressed, pos = F.col("_smooth"), F.col("_compressed"), F.col("_pos")
+    calm = F.when(compressed > 0, S.clip(compressed / spread)).otherwise(0.0)
+    inner = S.clip(1 - 2 * F.abs(pos - 0.6))
+    first = 0.15 * smooth + 0.15 * inner + 0.35 * strength + 0.35 * calm
+    real = strength > 0.05
+    rules = lambda s: [((first > 0.45) & (smooth > 0.35) & real & pos.between(0.55, 0.75) & (compressed > 0.08), "classic"), ((first > 0.40) & pos.between(0.50, 0.75) & (compressed > 0.03), "modern"), (real & pos.between(0.55, 0.78) & (compressed > 0.01), "subtle"), ((pos < 0.5) | (compressed <= 0), "western_like"), (~real & (smooth > 0.45), "zuihitsu")]
+    told = _conform(n, 0.2 * smooth + 0.2 * inner + 0.35 * strength + 0.25 * calm, rules, "hybrid", turn=F.round(pos, 6), compression=F.round(compressed, 6))
+    return parts.withColumn(out, told).drop("_kl", "_slope", "_bend", "_kl_top", "_bend_top", "_bend_most", "_best", "_strength", "_ten", "_spread", "_smooth", "_compressed", "_pos")
 
 
 def six_curves(n: int = 100) -> dict[str, list[float]]:
@@ -441,15 +432,15 @@ def plot_structure(states: Column) -> Column:
     return F.when(F.size(states) < 4, "too_short").otherwise(_label([(calm & peak & solved, "classic_arc"), (calm & peak, "tragic_arc"), (~calm & peak, "in_medias_res"), (~peak, "episodic")], "episodic"))
 
 
-DETECTORS = {"aristotle": aristotle, "freytag": freytag, "campbell": campbell, "circle": circle, "four_act": four_act, "six_shapes": six_shapes}
+DETECTORS = {"aristotle": aristotle, "freytag": freytag, "campbell": campbell, "circle": circle, "six_shapes": six_shapes}
 
 
-@S.bound
-def unified(x: Column) -> Column:
-    """Every detector's label and score, best first; short series have none."""
+def with_detectors(df: DataFrame, series: str) -> DataFrame:
+    """Add a struct column for each detector."""
+    return with_four_act(df.withColumns({name: f(F.col(series)) for name, f in DETECTORS.items()}), series)
 
-    def told(name: str) -> Column:
-        field = "shape" if name == "six_shapes" else "pattern"
-        return S.let(DETECTORS[name](x), lambda d: F.struct(F.coalesce(d.getField("score"), F.lit(0.0)).alias("score"), F.lit(name).alias("model"), d.getField(field).alias("pattern")))
 
-    return F.reverse(F.array_sort(F.array(*(told(name) for name in DETECTORS))))
+def ranked() -> Column:
+    """The detectors' columns as structs (score, model, pattern), best first; short series have score 0."""
+    each = [F.struct(F.coalesce(F.col(f"{name}.score"), F.lit(0.0)).alias("score"), F.lit(name).alias("model"), F.col(f"{name}.{'shape' if name == 'six_shapes' else 'pattern'}").alias("pattern")) for name in (*DETECTORS, "four_act")]
+    return F.reverse(F.array_sort(F.array(*each)))

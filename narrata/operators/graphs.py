@@ -88,12 +88,12 @@ def states(docs: DataFrame, n: int, features: dict[str, Column], id: str = "doc_
 def morphisms(found: DataFrame, features: list[str], id: str = "doc_id") -> DataFrame:
     """(id, idx, position, type, intensity, d_...): transitions between states that follow each other."""
     order = Window.partitionBy(id).orderBy("state_idx")
-    nxt = {f: F.lead(f).over(order) - F.col(f) for f in features}
+    nxt = {f: F.round(F.lead(f).over(order) - F.col(f), 6) for f in features}
     rows = found.withColumns({f"d_{f}": c for f, c in nxt.items()}).withColumn("_next", F.lead("position").over(order)).where("_next is not null")
     intensity = F.greatest(*(F.abs(f"d_{f}") for f in features)) if len(features) > 1 else F.abs(f"d_{features[0]}")
     d = F.col(f"d_{features[0]}")
     kind = F.when(F.col("_next") > 0.9, "denouement").when((F.col("_next") > 0.7) & (F.col("_next") <= 0.85), "climax").when(d > 0.3, "rising").when(d < -0.3, "falling").otherwise("development")
-    return rows.select(id, F.col("state_idx").alias("idx"), F.col("_next").alias("position"), kind.alias("type"), F.round(intensity, 6).alias("intensity"), *(F.round(f"d_{f}", 6).alias(f"d_{f}") for f in features))
+    return rows.select(id, F.col("state_idx").alias("idx"), F.col("_next").alias("position"), kind.alias("type"), intensity.alias("intensity"), *(f"d_{f}" for f in features))
 
 
 def composed(arrows: DataFrame, features: list[str], id: str = "doc_id") -> DataFrame:

@@ -16,7 +16,10 @@ def word_windows(words: Column, size: int = 1000, overlap: int = 500) -> Column:
     """Runs of ``size`` words every ``size - overlap``; runs under half of it are left out; without any, all words are one."""
     step = size - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(step))
-    runs = F.filter(F.transform(starts, lambda i: F.slice(words, i + 1, size)), lambda w: F.size(w) >= size // 2)
+    # By places, not by slice(), which walks up to its start each time.
+    run = lambda i: F.transform(F.sequence(i, F.least(i + size, F.size(words)) - 1), lambda k: F.get(words, k))
+    starts = F.filter(starts, lambda i: F.size(words) - i >= size // 2)
+    runs = F.when(F.size(words) > 0, F.transform(starts, run)).otherwise(F.array().cast("array<array<string>>"))
     return S.let(runs, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(words)))
 
 

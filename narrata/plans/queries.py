@@ -13,10 +13,11 @@ from narrata.functions import lexicon as L
 from narrata.functions import peaks as P
 from narrata.functions import series as S
 from narrata.functions import text as X
-from narrata.operators import corpus, detectors, functors, graphs, statistics
+from narrata.operators import clusters, corpus, detectors, functors, graphs, statistics, validity
 from narrata.operators.windows import char_windows, long_form, segments, series, windowed
 from narrata.plans import oracle as O
 from narrata.plans.registry import query, table
+from narrata.streaming import streams
 
 #: Test profiles: words of a window, and of the overlap.
 WIDE, NARROW = (50, 25), (20, 10)
@@ -316,7 +317,9 @@ def surprisal_windows(spark, sf_dir):
     SELECT doc_id, round(sum(n * -log2((n + 0.1) / (m + 0.1 * v))) / sum(n), 5) AS bits FROM m JOIN v USING (doc_id) GROUP BY doc_id""")
 def surprisal_trigrams(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", X.tokens(F.col("text")).alias("t"))
-    grams = docs.where(F.size("t") > 2).select("doc_id", F.size(F.array_distinct("t")).alias("v"), F.explode(X.ngrams(F.col("t"), 3)).alias("g")).groupBy("doc_id", "v", "g").agg(F.count("*").alias("n"))
+    # Counted before the explosion, or each row would count anew.
+    sized = docs.where(F.size("t") > 2).withColumn("v", F.size(F.array_distinct("t")))
+    grams = sized.select("doc_id", "v", F.explode(X.ngrams(F.col("t"), 3)).alias("g")).groupBy("doc_id", "v", "g").agg(F.count("*").alias("n"))
     context = F.substring_index("g", " ", 2)
     m = F.sum("n").over(Window.partitionBy("doc_id", "c"))
     both = grams.withColumn("c", context).withColumn("m", m)
@@ -354,14 +357,14 @@ _STATES_SQL = f"""WITH RECURSIVE {W50}, t AS (SELECT doc_id, win_idx, n_windows,
     x AS (SELECT doc_id, win_idx, CASE WHEN len(t) = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, 0.5 + 10 * ({_isin(TENSION.terms["conflict"])} - {_isin(TENSION.terms["resolution"])}) / greatest(len(t), 1)
       + 0.15 * CASE WHEN d > 0 THEN least(2.0, 1 + 0.2 * d) ELSE 0 END + 0.15 * CASE WHEN c > 0 THEN least(2.0, 1 + 0.2 * c) ELSE 0 END)) END::DOUBLE AS v FROM e),
     r AS (SELECT doc_id, win_idx, v AS s FROM x WHERE win_idx = 0 UNION ALL SELECT x.doc_id, x.win_idx, greatest(0.0, least(1.0, 0.7 * x.v + 0.3 * r.s)) FROM r JOIN x ON x.doc_id = r.doc_id AND x.win_idx = r.win_idx + 1)
-    SELECT doc_id, win_idx, round(s, 6) AS tension FROM r"""
+    SELECT doc_id, win_idx, round(s + 1e-9, 4) AS tension FROM r"""
 
 
 @query(_STATES_SQL)
 def plot_tension(spark, sf_dir):
     scored = series(_wide(spark, sf_dir), {"t": lambda w: functors.tension(w, TENSION, EVENTS)})
     each = scored.select("doc_id", F.posexplode(detectors.plot_states(F.col("t")).getField("tension")).alias("win_idx", "tension"))
-    return each.select("doc_id", "win_idx", F.round("tension", 6).alias("tension"))
+    return each.select("doc_id", "win_idx", F.round(F.col("tension") + 1e-9, 4).alias("tension"))
 
 
 @query()
@@ -419,9 +422,9 @@ def trajectory_savitzky_golay(spark, sf_dir):
     return _entropy(spark, sf_dir).select("doc_id", F.posexplode(S.savitzky_golay(F.col("lexical_entropy"))).alias("win_idx", "value")).withColumn("value", F.round("value", 6))
 
 
-@query(f"""WITH {W50}, {O.LEXICAL}, n AS (SELECT *, lag(value) OVER p AS a, lead(value) OVER p AS b FROM le WINDOW p AS (PARTITION BY doc_id ORDER BY win_idx)) SELECT doc_id, win_idx, round(value, 6) AS value FROM n WHERE value > a AND value > b AND value > 0.9""")
+@query(f"""WITH {W50}, {O.LEXICAL}, n AS (SELECT doc_id, win_idx, value, lag(value) OVER p AS a, lead(value) OVER p AS b FROM (SELECT doc_id, win_idx, round(value, 6) AS value FROM le) WINDOW p AS (PARTITION BY doc_id ORDER BY win_idx)) SELECT doc_id, win_idx, round(value, 6) AS value FROM n WHERE value > a AND value > b AND value > 0.9""")
 def local_maxima(spark, sf_dir):
-    v = F.col("lexical_entropy")
+    v = F.transform("lexical_entropy", lambda x: F.round(x, 6))
     found = _entropy(spark, sf_dir).select("doc_id", F.explode(F.transform(S.local_maxima(v, 0.9), lambda i: F.struct(i.alias("win_idx"), F.round(S.at(v, i), 6).alias("value")))).alias("s"))
     return found.select("doc_id", "s.*")
 
@@ -432,11 +435,11 @@ def prominent_peaks(spark, sf_dir):
     return _entropy(spark, sf_dir, NARROW).select("doc_id", F.explode(P.peaks(S.minmax(v), 3, 0.2)).alias("win_idx"))
 
 
-@query(f"""WITH {W50}, {O.LEXICAL}, n AS (SELECT *, lag(value) OVER (PARTITION BY doc_id ORDER BY win_idx) AS b FROM le) SELECT doc_id, round(regr_slope(value, win_idx), 6) AS slope, round(regr_r2(value, win_idx), 4) AS r2 FROM n GROUP BY doc_id HAVING count(*) > 2 AND stddev_pop(value) > 1e-6""")
+@query(f"""WITH {W50}, {O.LEXICAL}, n AS (SELECT *, lag(value) OVER (PARTITION BY doc_id ORDER BY win_idx) AS b FROM le) SELECT doc_id, round(regr_slope(value, win_idx), 6) + 0.0 AS slope, round(regr_r2(value, win_idx), 4) AS r2 FROM n GROUP BY doc_id HAVING count(*) > 2 AND stddev_pop(value) > 1e-6""")
 def trajectory_trend(spark, sf_dir):
     v = F.col("lexical_entropy")
     docs = _entropy(spark, sf_dir).where((F.size(v) > 2) & (S.deviation(v) > 1e-6))
-    return docs.select("doc_id", F.round(S.slope(v), 6).alias("slope"), F.round(S.determination(v), 4).alias("r2"))
+    return docs.select("doc_id", (F.round(S.slope(v), 6) + 0.0).alias("slope"), F.round(S.determination(v), 4).alias("r2"))
 
 
 # Structures.
@@ -473,9 +476,8 @@ def arcs(spark, sf_dir):
 @query()
 def structure_detectors(spark, sf_dir):
     """Three acts, pyramid, hero's journey, story circle and four acts of each document, in one pass."""
-    docs = _entropy(spark, sf_dir, NARROW)
-    v = F.col("lexical_entropy")
-    return docs.select("doc_id", *(f(v).alias(k) for k, f in detectors.DETECTORS.items() if k != "six_shapes"))
+    docs = detectors.with_detectors(_entropy(spark, sf_dir, NARROW), "lexical_entropy")
+    return docs.select("doc_id", *detectors.DETECTORS, "four_act")
 
 
 @query()
@@ -496,7 +498,7 @@ def curvature(spark, sf_dir):
 @query()
 def unified_ranking(spark, sf_dir):
     """Best detector of each document, and how often each is the best in a language."""
-    docs = _entropy(spark, sf_dir, NARROW, "lang").withColumn("best", F.get(detectors.unified(F.col("lexical_entropy")), F.lit(0)))
+    docs = detectors.with_detectors(_entropy(spark, sf_dir, NARROW, "lang"), "lexical_entropy").withColumn("best", F.get(detectors.ranked(), F.lit(0)))
     counts = docs.groupBy("lang", "best.model").agg(F.count("*").alias("n"), F.round(F.avg("best.score"), 6).alias("mean_score"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("lang")), 6))
 
@@ -698,3 +700,97 @@ def speaker_presence(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "role", F.size(X.words(F.col("text"))).alias("n"))
     sums = turns.groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.sum("n").alias("words"))
     return sums.withColumn("share", F.round(F.try_divide("words", F.sum("words").over(Window.partitionBy("conv_id"))), 6))
+
+
+# Null models, clusters, classifiers.
+
+
+def _null_score(x):
+    return detectors.campbell(x).getField("score")
+
+
+@query()
+def detector_falsifiability(spark, sf_dir):
+    """The hero's journey against noise, disorder and reversal, on the documents' entropy series."""
+    real = _entropy(spark, sf_dir, NARROW).select(F.col("doc_id").alias("id"), F.col("lexical_entropy").alias("x")).where(F.size("x") >= 10)
+    return validity.falsifiability(real, validity.null_series(spark, 200), _null_score)
+
+
+@query()
+def icc_null_acceptance(spark, sf_dir):
+    """How often each class accepts series without structure."""
+    k = validity.null_series(spark, 200).select("kind", detectors.icc(F.col("x"))["icc"].alias("icc"), detectors.compound_icc(F.col("x"))["cicc"].alias("cicc"))
+    return k.groupBy("kind", "icc", "cicc").agg(F.count("*").alias("n"))
+
+
+@query()
+def shape_recognition(spark, sf_dir):
+    """Six canonical curves with noise, and the shapes that they are taken for."""
+    series_ = validity.shape_series(spark, 50, detectors.six_curves())
+    return series_.select("shape", detectors.six_shapes(F.col("x"))["shape"].alias("found")).groupBy("shape", "found").agg(F.count("*").alias("n"))
+
+
+@query()
+def icc_thresholds(spark, sf_dir):
+    f = icc_classes(spark, sf_dir)
+    return validity.thresholds(f, "icc", ["net", "peaks", "volatility", "symmetry", "r2"])
+
+
+@query()
+def detector_redundancy(spark, sf_dir):
+    docs = detectors.with_detectors(_entropy(spark, sf_dir, NARROW), "lexical_entropy")
+    names = [*detectors.DETECTORS, "four_act"]
+    return validity.redundancy(docs.select(*(F.col(f"{n}.score").alias(n) for n in names)), names)
+
+
+@query()
+def shape_distances(spark, sf_dir):
+    """Exact warping distance of each document's series to the canonical curves."""
+    v = S.resample(S.minmax(F.col("lexical_entropy")), 50)
+    docs = _entropy(spark, sf_dir, NARROW).select("doc_id", v.alias("x"))
+    curves = dict(enumerate(detectors.six_curves(50).values()))
+    return clusters.to_prototypes(docs, "doc_id", "x", curves)
+
+
+@query()
+def shape_medoids(spark, sf_dir):
+    v = S.resample(S.minmax(F.col("lexical_entropy")), 30)
+    return clusters.k_medoids(_entropy(spark, sf_dir, NARROW).select("doc_id", v.alias("x")), "doc_id", "x", 5)
+
+
+@query()
+def shape_clusters(spark, sf_dir):
+    found, k, _ = clusters.patterns(_entropy(spark, sf_dir, NARROW), "doc_id", "lexical_entropy", (2, 5))
+    return found.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def _labelled(spark, sf_dir):
+    v = F.col("lexical_entropy")
+    docs = _entropy(spark, sf_dir, WIDE, "lang")
+    features = docs.select("doc_id", F.when(F.col("lang") == "en", "en").otherwise("other").alias("culture"), S.mean(v).alias("mean"), S.deviation(v).alias("std"), S.slope(v).alias("slope"), F.size(v).cast("double").alias("n"))
+    return features.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query()
+def quality_classifier(spark, sf_dir):
+    return clusters.classify(_labelled(spark, sf_dir), ["mean", "std", "slope", "n"], "quality", "doc_id", "logistic", 2)
+
+
+@query()
+def classifier_transfer(spark, sf_dir):
+    return clusters.transfer(_labelled(spark, sf_dir), ["mean", "std", "slope", "n"], "quality", "culture", "en", "other", "logistic")
+
+
+# Events in time.
+
+
+@query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def event_days(spark, sf_dir):
+    return streams.event_windows(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER o + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    return streams.sessions(table(spark, sf_dir, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("total", 4).alias("total"))
