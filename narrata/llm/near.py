@@ -41,7 +41,7 @@ COORDINATES, MATCH = 64, 32
 #: A second, finer signature inside a group: pairs under FINE_MATCH of FINE have a likeness under 0.8 (but for one in ten thousand at exactly 0.8).
 FINE, FINE_MATCH = 512, 0.72
 #: Members of a group that a task holds at once, from each of two blocks.
-BLOCK = 1024
+BLOCK = 256
 
 
 def shingled(df: DataFrame, id: str, text: str, words: int) -> DataFrame:

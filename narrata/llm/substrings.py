@@ -92,7 +92,7 @@ def postings(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     last[begin] = end
     reach = last - np.arange(n)
     best = np.full(n, NONE, U)
-    for offset in range(CONTEXT, window - CONTEXT):
+    for offset in range(CONTEXT, min(window - CONTEXT, n)):
         inside = reach[offset:] <= window - CONTEXT - 1 - offset
         np.minimum(best[: n - offset], np.where(inside & (weight[offset:] != NONE), weight[offset:] | U(offset), NONE), out=best[: n - offset])
     starts = np.flatnonzero(np.arange(n) + window <= words.first[1:][text]) if n else np.zeros(0, np.int64)
