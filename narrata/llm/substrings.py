@@ -173,12 +173,13 @@ def remove_repeats(df: DataFrame, id: str, text: str, window: int = 13, ws: Work
         raise ValueError("window must be 7 to 255 words")
     ws = ws or Workspace(df.sparkSession, "substrings")
     docs = nest(df, F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    marked = docs.join(repeated(ws, docs.drop("row"), window), "id", "left").select("row", F.col("row").getField(text).alias("text"), "starts", "whole")
+    marked = docs.join(repeated(ws, docs.drop("row"), window), "id", "left").select("row", "starts", "whole")
     schema = T.StructType([docs.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch, "text"):
+            # The text is read out of the row here, so that it is not sent twice.
+            for part, texts in chunks(batch.append_column("text", batch.column("row").field(text)), "text"):
                 words = Words(texts)
                 counts = np.diff(words.first)
                 row, starts = _flat(part.column("starts"))
