@@ -35,7 +35,7 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     """A library's CSV catalog: year from the author's dates, subjects as a list, first class."""
     rows = spark.read.schema(CATALOG).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     year = F.regexp_extract("Authors", r"(\d{4})", 1)
-    return rows.select(F.col("`Text#`").alias("id"), F.col("Title").alias("title"), F.col("Authors").alias("author"), F.col("Language").alias("language"), F.when(year != "", year.cast("int")).alias("year"), F.transform(F.split("Subjects", ";"), F.trim).alias("subjects"), F.get(F.split(F.trim("LoCC"), r"[; ]+"), F.lit(0)).alias("class"))
+    return rows.select(F.col("`Text#`").alias("id"), F.col("Title").alias("title"), F.col("Authors").alias("author"), F.col("Language").alias("language"), F.when(year != "", year.cast("int")).alias("year"), F.transform(F.split("Subjects", ";"), lambda s: F.trim(s)).alias("subjects"), F.get(F.split(F.trim("LoCC"), r"[; ]+"), F.lit(0)).alias("class"))
 
 
 def select_books(df: DataFrame, language: str | None = None, years: tuple[int, int] | None = None, subject: str | None = None, author: str | None = None, class_: str | None = None, words: tuple[int, int] | None = None, limit: int | None = None) -> DataFrame:
