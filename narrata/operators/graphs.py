@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from narrata.functions import lexicon as L
 from narrata.functions import text as X
 
+#: Pairs of mentions that are counted at once.
+STEP_PAIRS = 200_000
+
 
 def sentence_names(docs: DataFrame, names: Column, id: str = "doc_id") -> DataFrame:
     """(id, sent, sentence, name): each name once per sentence; ``names`` reads column ``sentence``."""
@@ -59,24 +68,51 @@ def connectivity(edges: DataFrame, mentions: DataFrame, id: str = "doc_id") -> D
     return nodes.withColumn("score", F.round(100 * score, 4))
 
 
-def near_mentions(mentions: DataFrame, reach: int, id: str = "doc_id") -> DataFrame:
+def near_names(docs: DataFrame, pattern: str, reach: int, id: str = "doc_id") -> DataFrame:
     """(id, n1, n2, n): pairs of different names with mentions less than ``reach`` characters apart.
 
-    A range join by buckets of the reach: each mention meets the mentions of
-    its own bucket and the next one.
+    A text is read once, in its row, and meets its own mentions only. Pairs are
+    counted in steps of ``STEP_PAIRS``, which bounds memory for a text of any
+    length and density; a step's counts are added in the shuffle.
     """
-    at = mentions.withColumn("bucket", F.floor(F.col("pos") / reach))
-    other = at.select(id, F.col("name").alias("n2"), F.col("pos").alias("p2"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    met = at.select(id, F.col("name").alias("n1"), F.col("pos").alias("p1"), "bucket").join(other, [id, "bucket"]).where((F.col("n1") < F.col("n2")) & (F.abs(F.col("p1") - F.col("p2")) < reach))
-    return met.groupBy(id, "n1", "n2").agg(F.count("*").alias("n"))
-
-
-def name_positions(docs: DataFrame, pattern: str, id: str = "doc_id") -> DataFrame:
-    """(id, name, pos): each match of the pattern with its first character's place."""
-    cut = F.split(F.regexp_replace("text", f"({pattern})", "\u0001$1\u0001"), "\u0001")
-    each = docs.select(id, F.posexplode(cut).alias("k", "part"))
-    before = Window.partitionBy(id).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("pos", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0))).where(F.col("k") % 2 == 1).select(id, F.col("part").alias("name"), "pos")
+    schema = T.StructType([docs.schema[id], *(T.StructField(c, T.StringType()) for c in ("n1", "n2")), T.StructField("n", T.LongType())])
+
+    def packed(batch: pa.RecordBatch, met: list[tuple]) -> pa.RecordBatch:
+        rows, n1, n2, n = zip(*met, strict=True)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.concat_arrays(n1), pa.concat_arrays(n2), pa.array(np.concatenate(n).astype(np.int64))], names=schema.fieldNames())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule = regex.compile(pattern)
+        for batch in batches:
+            met, held = [], 0
+            for i in range(batch.num_rows):
+                places = [(m.group(), m.start()) for m in rule.finditer(batch.column(1)[i].as_py() or "")]
+                names = sorted({name for name, _ in places})
+                code = {name: k for k, name in enumerate(names)}
+                which, at = np.array([code[name] for name, _ in places], np.int64), np.array([p for _, p in places], np.int64)
+                table = pa.array(names, pa.string())
+                # Each mention meets the ones behind it that are in reach.
+                after = np.searchsorted(at, at + reach) - np.arange(len(at)) - 1
+                total = np.cumsum(after)
+                start = 0
+                while start < len(at):
+                    end = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + STEP_PAIRS, "right")), start + 1)
+                    for lo in range(0, int(after[start:end].max()), STEP_PAIRS):
+                        some = np.clip(after[start:end] - lo, 0, STEP_PAIRS)
+                        a = np.repeat(np.arange(start, end), some)
+                        b = a + 1 + lo + np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some)
+                        a, b = which[a], which[b]
+                        key, n = np.unique((np.minimum(a, b) * len(names) + np.maximum(a, b))[a != b], return_counts=True)
+                        if len(key):
+                            met.append((np.full(len(key), i), table.take(pa.array(key // len(names))), table.take(pa.array(key % len(names))), n))
+                            if (held := held + len(key)) > STEP_PAIRS:
+                                yield packed(batch, met)
+                                met, held = [], 0
+                    start = end
+            if met:
+                yield packed(batch, met)
+
+    return docs.select(id, "text").mapInArrow(run, schema).groupBy(id, "n1", "n2").agg(F.sum("n").alias("n"))
 
 
 def states(docs: DataFrame, n: int, features: dict[str, Column], id: str = "doc_id") -> DataFrame:

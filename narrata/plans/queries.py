@@ -27,6 +27,8 @@ VOICE = L.Lexicon({"first": ("and", "et"), "second": ("to", "en"), "third": ("th
 TENSION = L.Lexicon({"conflict": ("the", "de", "der"), "resolution": ("and", "la", "und")})
 EVENTS = {"death": r"(?:^| )of the(?: |$)", "conflict": r"(?:^| )to the(?: |$)"}
 SPEECH, ACTION = ("was", "is"), ("what", "he")
+#: Whole words of a capital and two small letters at least.
+NAME = r"\b\p{Lu}\p{Ll}{2,}\b"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -633,9 +635,8 @@ def character_index(spark, sf_dir):
 
 @query()
 def mentions_in_reach(spark, sf_dir):
-    """Pairs of capitalised words less than 1200 characters apart, in documents."""
-    places = graphs.name_positions(_docs(spark, sf_dir).select("doc_id", "text"), "\\p{Lu}\\p{Ll}{6,}")
-    return graphs.near_mentions(places, 1200)
+    """Pairs of capitalised words of three letters and more, less than 1200 characters apart, in documents."""
+    return graphs.near_names(_docs(spark, sf_dir), NAME, 1200)
 
 
 _ARROWS_SQL = f"""sg AS (SELECT doc_id, {O.WORDS} AS w FROM documents), sp AS (SELECT doc_id, unnest(range(20)) AS state_idx, w FROM sg), st AS (SELECT doc_id, state_idx, w[state_idx * (len(w) // 20) + 1 : CASE WHEN state_idx = 19 THEN len(w) ELSE (state_idx + 1) * (len(w) // 20) END] AS w FROM sp),
