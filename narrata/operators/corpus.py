@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.functions import text as X
+from narrata.workspace import Workspace
 
 
 def draw(key: Column, seed: int = 42) -> Column:
@@ -56,6 +57,26 @@ def new_only(df: DataFrame, known: DataFrame, id: str) -> DataFrame:
     return fresh.groupBy(id).agg(F.min(F.struct(*others)).alias("row")).select(id, "row.*").select(*df.columns)
 
 
+def neighbours(ws: Workspace, df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """(group, order, value, other, u): each row with the order and value of the next row of its group, where there is one.
+
+    Rows are dealt by ranges of (group, order), so a group of any size is
+    spread over many tasks; the last row that a group has in a range is
+    followed by the group's first row in a later one.
+    """
+    n = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = ws.save(df.select(group, order, value), "values")
+    dealt = ws.save(rows.repartitionByRange(n, group, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range", group).orderBy(order, value)
+    after = dealt.withColumns({"_place": F.row_number().over(inside), "_next": F.lead(F.struct(order, value)).over(inside)})
+    # At most one row for each range and one more for each group that starts in it.
+    heads = after.where("_place = 1").select("_range", F.col(group).alias("_group"), F.struct(order, value).alias("_head"))
+    later = heads.select(F.col("_range").alias("_r"), "_group", F.lead("_head").over(Window.partitionBy("_group").orderBy("_range")).alias("_later"))
+    later = ws.save(later, "heads")
+    met = after.join(F.broadcast(later), (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_group")), "left").withColumn("_next", F.coalesce("_next", "_later"))
+    return met.where("_next is not null").select(group, order, value, F.col("_next").getField(order).alias("other"), F.col("_next").getField(value).alias("u"))
+
+
 def term_weights(windows: DataFrame, id: str = "doc_id", vocabulary: int | None = None) -> DataFrame:
     """(id, win_idx, term, w): tf-idf of each document's windows, of length one.
 

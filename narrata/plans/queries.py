@@ -18,6 +18,7 @@ from narrata.operators.windows import char_windows, long_form, segments, series,
 from narrata.plans import oracle as O
 from narrata.plans.registry import query, table
 from narrata.streaming import streams
+from narrata.workspace import Workspace
 
 #: Test profiles: words of a window, and of the overlap.
 WIDE, NARROW = (50, 25), (20, 10)
@@ -593,9 +594,7 @@ def translation_pairs(spark, sf_dir):
     """Neighbours of a source compared as if they were translations: r, mean and largest gap, best lag."""
     v = S.resample(S.minmax(F.col("lexical_entropy")), 50)
     docs = _entropy(spark, sf_dir, WIDE, "source").select("doc_id", "source", v.alias("v"))
-    # The order within a source is that of hashed blocks: a source of any size is many groups.
-    order = Window.partitionBy("source", (F.col("doc_id") / 1000).cast("long")).orderBy("doc_id")
-    pairs = docs.withColumn("u", F.lead("v").over(order)).withColumn("other", F.lead("doc_id").over(order)).where("u is not null")
+    pairs = corpus.neighbours(Workspace(spark, "translation-pairs"), docs, "source", "doc_id", "v")
     gaps = F.zip_with("v", "u", lambda a, b: F.abs(a - b))
     lag = S.best_lag(F.col("v"), F.col("u"))
     return pairs.select("doc_id", "other", F.round(S.correlation(F.col("v"), F.col("u")), 5).alias("r"), F.round(S.mean(gaps), 5).alias("mean_gap"), F.round(F.array_max(gaps), 5).alias("largest_gap"), lag.getField("lag").alias("lag"))
