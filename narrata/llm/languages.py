@@ -9,9 +9,11 @@ length of a text under each of them is exact, and the shortest one wins. All
 languages share one tree of nodes that carries a vector of code lengths, so a
 text is walked once.
 
-The trees are learnt from a sample: of the labelled texts of each language, so
-many, chosen by a hash of id and text, that about ``SAMPLE_BYTES`` bytes are
-expected. All else covers every row.
+The trees are learnt from a sample: the labelled texts of each language in the
+order of a hash of id and text, until there are ``SAMPLE_BYTES`` bytes; one at
+least, and the last one is cut at the bound. Where the tree would have more than
+``MOST_NODES`` nodes, or ``MOST_CELLS`` with one for each language, the rarest
+contexts are left out. All else covers every row.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0, and so is every text if nothing could be learnt; ties go to the first
@@ -27,17 +29,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrata.llm.rows import without
 from narrata.llm.words import CHUNK_BYTES, chunks
+from narrata.workspace import Workspace
 
 ORDER = 3
 SAMPLE_BYTES = 400_000
 #: Nodes of the common tree: bounds what is sent to the workers.
 MOST_NODES = 2_000_000
+#: Nodes times languages.
+MOST_CELLS = 8_000_000
 LETTER = regex.compile(r"\p{L}")
 
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
@@ -69,13 +74,45 @@ def counted(labelled: DataFrame, lang: str, text: str) -> DataFrame:
     return rows.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
+def first_bytes(text: Column, n: Column) -> Column:
+    """The longest head of a text with at most ``n`` bytes and whole characters."""
+    raw = text.cast("binary")
+    whole = (F.when(~F.hex(F.substring(raw, n - k + 1, F.lit(1))).between("80", "BF"), n - k) for k in range(4))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.substring(raw, F.lit(1), F.coalesce(*whole, n)).cast("string"))
+
+
 def sample(df: DataFrame, id: str, text: str, lang: str, bytes_each: int = SAMPLE_BYTES) -> DataFrame:
-    """About ``bytes_each`` bytes of texts of each language, chosen by a hash."""
-    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] or 0 for r in known.groupBy(lang).agg(F.sum(F.octet_length(text))).collect()}
-    rate = F.coalesce(*(F.when(F.col(lang) == name, F.lit(bytes_each / max(size, 1))) for name, size in sizes.items()), F.lit(0.0))
-    draw = F.pmod(F.xxhash64(id, text), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return known.where(draw < rate)
+    """(lang, text): texts of each language in the order of a hash until ``bytes_each`` bytes; one at least, the last one cut there."""
+    most = F.lit(bytes_each)
+    draw = F.shiftrightunsigned(F.xxhash64(id, text), 11) / F.lit(float(1 << 53))
+    rows = df.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(lang).alias("lang"), F.col(id).alias("id"), F.col(text).alias("text"), draw.alias("draw"))
+    # Level k has the draws from 2^-(k+1) to 2^-k: each one about doubles those above it, so the levels that are needed hold little more than the bound.
+    rows = rows.withColumn("level", F.when(F.col("draw") > 0, F.floor(-F.log2("draw"))).otherwise(53).cast("int"))
+    # At most 54 rows for each language.
+    levels = rows.groupBy("lang", "level").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    upper = F.sum("bytes").over(Window.partitionBy("lang").orderBy(F.desc("level")))
+    cuts = levels.withColumn("upper", upper).groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("upper") >= most, F.col("level"))), F.lit(0)).alias("cut"))
+    near = rows.join(F.broadcast(cuts), "lang").where("level >= cut").select("lang", "id", "draw", first_bytes(F.col("text"), most).alias("text"))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("draw", "id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    left = (most - F.coalesce(before, F.lit(0))).cast("int")
+    return near.withColumn("left", left).where("left > 0").select(F.col("lang").alias(lang), first_bytes(F.col("text"), F.col("left")).alias(text))
+
+
+def most_frequent(counts: DataFrame) -> DataFrame:
+    """The counts, without the rarest runs of bytes where the tree would have too many nodes or cells.
+
+    The rarest in all languages go first, and longer ones among equals. A
+    run's head and tail are shorter and as frequent at least, so they stay with it.
+    """
+    totals = counts.groupBy("size", "gram").agg(F.sum("n").alias("total"))
+    cells = totals.groupBy("total", "size").agg(F.count("*").alias("k")).orderBy(F.desc("total"), "size").collect()
+    nodes, most = 1, min(MOST_NODES, MOST_CELLS // max(counts.select("lang").distinct().count(), 1))
+    for total, size, k in cells:
+        nodes += k
+        if nodes > most:
+            kept = totals.where((F.col("total") > total) | (F.col("total") == total) & (F.col("size") < size))
+            return counts.join(kept, ["size", "gram"], "left_semi").select(*counts.columns)
+    return counts
 
 
 class Trees:
@@ -161,7 +198,8 @@ class Trees:
 
 def learn(df: DataFrame, id: str, text: str, lang: str, bytes_each: int = SAMPLE_BYTES) -> Trees:
     """Trees from a sample of the labelled rows; their size is bounded by the sample's."""
-    rows = counted(sample(df, id, text, lang, bytes_each), lang, text).toArrow()
+    ws = Workspace(df.sparkSession, "languages")
+    rows = most_frequent(ws.save(counted(sample(df, id, text, lang, bytes_each), lang, text), "counts")).toArrow()
     return Trees(list(zip(*(rows.column(c).to_pylist() for c in COUNTS.fieldNames()), strict=True)))
 
 
