@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrata.functions import series as S
+from narrata.workspace import Workspace
 
 #: Series that are compared with all others at most.
 MOST_PROTOTYPES = 256
@@ -57,27 +58,105 @@ def to_prototypes(df: DataFrame, id: str, series: str, prototypes: dict[int, lis
     return df.select(id, series).mapInArrow(run, schema)
 
 
-def k_medoids(df: DataFrame, id: str, series: str, k: int, rounds: int = 5, candidates: int = 64, seed: int = 42) -> DataFrame:
-    """(id, cluster, distance): medoids under warping distance, chosen among a sample of ``candidates`` series.
+def warps(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Exact warping distances of each row to each row of ``others``, all at once."""
+    last = [np.full((len(rows), len(others)), np.inf) for _ in range(others.shape[1] + 1)]
+    last[0][:] = 0
+    for i in range(rows.shape[1]):
+        row = [np.full((len(rows), len(others)), np.inf)]
+        for j in range(others.shape[1]):
+            row.append(np.abs(rows[:, i, None] - others[None, :, j]) + np.minimum(np.minimum(last[j + 1], row[j]), last[j]))
+        last = row
+    return last[-1]
+
+
+def _near(x: np.ndarray, medoids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's cluster, its distance, and the distance of the second-nearest medoid."""
+    d = warps(x, medoids) if len(medoids) else np.ones((len(x), 1))
+    own = d.argmin(1)
+    return own, d.min(1), np.partition(d, 1, axis=1)[:, 1] if d.shape[1] > 1 else np.full(len(x), np.inf)
+
+
+def _pass(df: DataFrame, medoids: np.ndarray, pool: np.ndarray, slots: int, salt: str) -> tuple[dict, list]:
+    """One pass over all rows (id, x): total cost of each swap of a medoid for a series of the pool, (-1, -1) for none, and new candidates.
+
+    Each cluster draws ``slots`` series: half of them evenly, half of them in
+    proportion to the squared distance. Candidates are (weighted, key, id, series).
+    """
+    schema = f"j int, m int, cost double, key double, id {df.schema['id'].dataType.simpleString()}, x array<double>"
+    names = ["j", "m", "cost", "key", "id", "x"]
 
-    Medoids of a corpus come from a bounded sample, as in clustering large
-    applications; every series is assigned.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, h = np.array(batch.column(1).to_pylist(), dtype=float), batch.column(2).to_numpy()
+            own, near, second = _near(x, medoids)
+            out = [(-1, -1, float(near.sum()), None, None)]
+            if len(pool):
+                d = warps(x, pool)
+                least = np.minimum(d, near[:, None])
+                for m in range(len(medoids)):
+                    mine = own == m
+                    costs = least.sum(0) + (np.minimum(d[mine], second[mine, None]) - least[mine]).sum(0)
+                    out += [(j, m, float(c), None, None) for j, c in enumerate(costs)]
+            slot = (h & 2047) % slots
+            with np.errstate(divide="ignore"):
+                key = -np.log((((h >> 11) & ((1 << 53) - 1)) + 0.5) / (1 << 53)) / np.where(slot % 2, near**2, 1.0)
+            place = own * slots + slot
+            order = np.lexsort((key, place))
+            for i in order[np.unique(place[order], return_index=True)[1]]:
+                if np.isfinite(key[i]):
+                    out.append((-2 - int(slot[i]), int(own[i]), None, float(key[i]), int(i)))
+            j, m, cost, keys, rows = zip(*out, strict=True)
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(m, pa.int32()), pa.array(cost, pa.float64()), pa.array(keys, pa.float64()), batch.column(0).take(rows), batch.column(1).take(rows)], names=names)
+
+    sent = df.select("id", "x", F.xxhash64(F.col("id"), F.lit(salt)).alias("h")).mapInArrow(run, schema)
+    drawn = F.min(F.when(F.col("key").isNotNull(), F.struct("key", "id", "x"))).alias("drawn")
+    found = sent.groupBy("j", "m").agg(F.sum("cost").alias("cost"), drawn).collect()
+    costs = {(r.j, r.m): r.cost for r in found if r.j >= -1}
+    return costs, sorted((bool(r.j % 2), r.drawn.key, r.drawn.id, list(r.drawn.x)) for r in found if r.j < -1)
+
+
+def k_medoids(df: DataFrame, id: str, series: str, k: int, rounds: int = 100, candidates: int = 5, seed: int = 42, patience: int = 3) -> DataFrame:
+    """(id, cluster, distance): medoids under warping distance, from all series; series have one length.
+
+    First medoids are drawn one after the other in proportion to the squared
+    distance to those before. Then each round draws ``candidates`` series from
+    every cluster and makes the swap that lowers the total distance of all rows
+    most; after ``patience`` rounds without such a swap, none is looked for.
     """
-    sampled = df.select(id, series).orderBy(F.md5(F.concat(F.col(id).cast("string"), F.lit(f":{seed}"))), id).limit(candidates).collect()
-    pool = {r[0]: list(r[1]) for r in sampled}
-    ids, table = list(pool), np.array(list(pool.values()), dtype=float)
-    dist = np.array([warp(x, table) for x in table]) if ids else np.zeros((0, 0))
-    chosen = [int(dist.sum(1).argmin())] if ids else []
-    while ids and len(chosen) < min(k, len(ids)):
-        chosen.append(int(dist[:, chosen].min(1).argmax()))
-    for _ in range(rounds):
-        owner = dist[:, chosen].argmin(1) if ids else np.zeros(0, int)
-        better = [int(np.flatnonzero(owner == c)[dist[np.ix_(owner == c, owner == c)].sum(1).argmin()]) if (owner == c).any() else chosen[c] for c in range(len(chosen))]
-        if better == chosen:
+    rows = Workspace(df.sparkSession, "medoids").save(df.select(F.col(id).alias("id"), F.col(series).alias("x")), "series")
+    ids, medoids = [], np.zeros((0, 0))
+    for i in range(k):
+        _, drawn = _pass(rows, medoids, medoids[:0], 2, f"{seed}:first:{i}")
+        drawn = [c for c in drawn if c[0] or not ids]
+        if not drawn:
             break
-        chosen = better
-    near = to_prototypes(df, id, series, {ids[c]: pool[ids[c]] for c in chosen})
-    return near.groupBy(id).agg(F.min(F.struct("distance", "prototype")).alias("m")).select(id, F.col("m.prototype").alias("cluster"), F.col("m.distance").alias("distance"))
+        _, _, name, x = min(drawn, key=lambda c: c[1])
+        ids, medoids = [*ids, name], np.array([*medoids.tolist(), x])
+    pool, idle = [], 0
+    for i in range(rounds):
+        costs, drawn = _pass(rows, medoids, np.array([c[3] for c in pool]), candidates, f"{seed}:{i}")
+        best = min(costs, key=lambda at: (costs[at], at), default=(-1, -1))
+        if best[0] >= 0 and costs[best] < costs[-1, -1] * (1 - 1e-9):
+            idle = 0
+            ids[best[1]], medoids[best[1]] = pool[best[0]][2], pool[best[0]][3]
+        elif pool:
+            idle += 1
+        pool = drawn
+        if idle >= patience or not pool:
+            break
+    schema = T.StructType([df.schema[id], T.StructField("cluster", T.LongType()), T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, near, _ = _near(np.array(batch.column(1).to_pylist(), dtype=float), medoids)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[c] for c in own], pa.int64()), pa.array(near)], names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
 
 
 def patterns(df: DataFrame, id: str, series: str, k_range: tuple[int, int] = (2, 7), n: int = 20, seed: int = 42, method: str = "kmeans") -> tuple[DataFrame, int, float]:
