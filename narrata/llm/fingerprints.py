@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrata.llm import near
-from narrata.llm.components import components
 from narrata.llm.rows import without
 from narrata.llm.words import CHUNK_BYTES, Permutations, Words, chunks, shingles
 from narrata.workspace import Workspace
@@ -63,28 +62,19 @@ def fingerprint(df: DataFrame, text: str, out: str = "signature", words: int = W
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.LongType(), False), False)]))
 
 
+def bands(ws: Workspace, classes: DataFrame) -> DataFrame:
+    """(key, node): the bands of each class (node, signature)."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // BAND - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * BAND + 1, F.lit(BAND))))
+    return ws.save(classes.select(F.explode(parts).alias("key"), "node").distinct(), "bands")
+
+
 def near_duplicates(df: DataFrame, id: str, text: str, words: int = WORDS, num: int = 80, den: int = 100, ws: Workspace | None = None) -> DataFrame:
-    """(id, component_id): documents joined by equal bands of their fingerprints, with the Jaccard likeness verified.
+    """(id, n_shingles, component_id, kept): documents joined by equal bands of their fingerprints, with the Jaccard likeness verified.
 
-    Of documents with equal fingerprints the smallest id meets the others, so
-    copies are not paired with each other.
+    Documents with equal word sequences are one class, so copies are not paired
+    with each other.
     """
-    ws = ws or Workspace(df.sparkSession, "bands")
-    docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    marked = ws.save(fingerprint(docs, "text", words=words).drop("text"), "signatures")
-    whole = F.xxhash64("signature")
-    empty = F.element_at("signature", 1) == 0xFFFFFFFF
-    full = marked.where(~empty).withColumn("_whole", whole)
-    first = ws.save(full.groupBy("_whole").agg(F.min("id").alias("first")), "first")
-    heads = full.join(first, "_whole").where("id = first")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // BAND - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * BAND + 1, F.lit(BAND))))
-    met = ws.save(heads.select(F.explode(bands).alias("key"), "id").distinct(), "bands")
-    same = ws.save(full.join(first, "_whole").select(F.col("_whole").alias("key"), "id", "first"), "same")
-    # Copies meet the first of their class only.
-    copies = same.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    found = near.links(ws, met, docs, words, num, den).union(copies)
-    parts = components(ws, found)
-    return docs.select("id").join(parts.toDF("id", "component_id"), "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
+    return near.near_duplicates(df, id, text, words, num, den, ws or Workspace(df.sparkSession, "bands"), bands, PERMUTATIONS)
 
 
 def followed(df: DataFrame, id: str, text: str, ws: Workspace) -> DataFrame:

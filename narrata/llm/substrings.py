@@ -11,21 +11,23 @@ anchor; windows with the same anchor are posted once, under the fingerprint of
 the phrase and the three words on both sides. (A window without an interior
 phrase, say in a long run, is posted under its own fingerprint.) A global
 aggregation finds the postings that documents share; they reveal all windows
-that may repeat, and only those are compared, by 128-bit fingerprints: another
-aggregation tells the first document of each. Words of such windows in later
-documents are removed.
+that may repeat, and only those are compared, by a cryptographic digest of the
+whole window (128 bits of BLAKE2b): another aggregation tells the first
+document of each. Words of such windows in later documents are removed.
 
-Documents with a text that occurs in an earlier one repeat all of it, so they
-need no postings to be compared.
+Documents with a text that occurs in an earlier one (equal SHA-256) repeat all
+of it, so they need no postings to be compared.
 
 Defined results: null or empty texts have no words; texts with fewer words
 than a window, and repeats inside one document only, lose nothing; rows with a
 null id neither remove nor lose words; rows with equal ids do not remove each
-other's words; an empty table gives an empty one.
+other's words, and each is judged by its own text; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrata.llm.rows import nest, unnest
-from narrata.llm.words import U, Words, chunks, mix, sequences
+from narrata.llm.words import DIGEST, U, Words, chunks, mix, sequences
 from narrata.workspace import Workspace
 
 #: Words on either side of a phrase that decide where it ends.
@@ -45,8 +47,8 @@ LONG_RUN = 7
 NONE = np.iinfo(np.uint64).max
 OFFSET = U(255)
 
-POSTINGS = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())])
-WINDOWS = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("id", T.LongType()), T.StructField("at", T.IntegerType())])
+POSTINGS = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())])
+WINDOWS = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("at", T.IntegerType())])
 
 
 def _half(names: np.ndarray, salt: int) -> np.ndarray:
@@ -113,7 +115,8 @@ def _post(df: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 key, text, at, n = postings(Words(texts), window)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id").take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=POSTINGS.fieldNames())
+                rows = pa.array(text)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id").take(rows), part.column("text_key").take(rows), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=POSTINGS.fieldNames())
 
     return df.mapInArrow(run, POSTINGS)
 
@@ -125,7 +128,8 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(df: DataFrame, window: int) -> DataFrame:
-    """Two fingerprints of each window that the ranges ``found`` of (at, n) name."""
+    """The digest, in halves, of each window that the ranges ``found`` of (at, n) name."""
+    length = window * DIGEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,34 +141,42 @@ def _windows(df: DataFrame, window: int) -> DataFrame:
                 starts = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 text = row[of]
                 places = words.first[:-1][text] + starts
-                h, g = words.sequences(window, places), sequences(mix(words.hashes ^ U(0xC3)), window, places)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), part.column("id").take(pa.array(text)), pa.array(starts.astype(np.int32))], names=WINDOWS.fieldNames())
+                # A window's digest is that of its words' digests.
+                data = words.digests.tobytes()
+                whole = b"".join([hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in (places * DIGEST).tolist()])
+                h, g = np.frombuffer(whole, np.int64).reshape(-1, 2).T
+                rows = pa.array(text)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), part.column("id").take(rows), part.column("text_key").take(rows), pa.array(starts.astype(np.int32))], names=WINDOWS.fieldNames())
 
     return df.mapInArrow(run, WINDOWS)
 
 
+#: Which text of an id a row has: 60 bits of its digest.
+TEXT_KEY = "cast(conv(substr(sha2(text, 256), 1, 15), 16, 10) as bigint)"
+
+
 def repeated(ws: Workspace, docs: DataFrame, window: int) -> DataFrame:
-    """(id, starts, whole): first words of the windows of each document that an earlier one has; whole, if its text is an earlier one's."""
+    """(id, text_key, starts, whole): first words of the windows of each text that an earlier document has; whole, if its text is an earlier one's."""
     named = docs.where("id is not null and text is not null")
-    digests = ws.save(named.select("id", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
+    digests = ws.save(named.select("id", "text_key", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
     first = ws.save(digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    later = ws.save(digests.join(first, "digest").where("id > first").select("id").distinct(), "later")
+    later = ws.save(digests.join(first, "digest").where("id > first").select("id", "text_key").distinct(), "later")
     posted = ws.save(_post(named, window), "postings")
     shared = ws.save(posted.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "shared")
     ws.tidy()
-    found = posted.join(shared, "key").select("id", "at", "n").join(later, "id", "left_anti")
-    ranges = ws.save(found.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("found")), "ranges")
+    found = posted.join(shared, "key").drop("key").join(later, ["id", "text_key"], "left_anti")
+    ranges = ws.save(found.groupBy("id", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("found")), "ranges")
     ws.drop(posted)
     ws.tidy()
-    windows = ws.save(_windows(named.join(ranges, "id"), window), "windows")
+    windows = ws.save(_windows(named.join(ranges, ["id", "text_key"]), window), "windows")
     ws.tidy()
     owners = ws.save(windows.groupBy("h", "g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), "owners")
     ws.tidy()
     hits = windows.join(owners, ["h", "g"]).where("id > low")
-    starts = ws.save(hits.groupBy("id").agg(F.collect_set("at").alias("starts")), "starts")
+    starts = ws.save(hits.groupBy("id", "text_key").agg(F.collect_set("at").alias("starts")), "starts")
     ws.drop(windows)
     ws.tidy()
-    return starts.join(later.withColumn("whole", F.lit(True)), "id", "full")
+    return starts.join(later.withColumn("whole", F.lit(True)), ["id", "text_key"], "full")
 
 
 def remove_repeats(df: DataFrame, id: str, text: str, window: int = 13, ws: Workspace | None = None) -> DataFrame:
@@ -172,8 +184,8 @@ def remove_repeats(df: DataFrame, id: str, text: str, window: int = 13, ws: Work
     if not 2 * CONTEXT < window < 256:
         raise ValueError("window must be 7 to 255 words")
     ws = ws or Workspace(df.sparkSession, "substrings")
-    docs = nest(df, F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    marked = docs.join(repeated(ws, docs.drop("row"), window), "id", "left").select("row", "starts", "whole")
+    docs = nest(df, F.col(id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("text_key", F.expr(TEXT_KEY))
+    marked = docs.join(repeated(ws, docs.drop("row"), window), ["id", "text_key"], "left").select("row", "starts", "whole")
     schema = T.StructType([docs.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +204,9 @@ def remove_repeats(df: DataFrame, id: str, text: str, window: int = 13, ws: Work
                 gone |= np.repeat(whole, counts)
                 removed = np.add.reduceat(np.append(gone, False), words.first[:-1]) * (counts > 0) if len(texts) else counts
                 stay = np.flatnonzero(~gone)
-                cuts = np.searchsorted(stay, words.first)
-                a, b = words.starts[stay].tolist(), words.ends[stay].tolist()
-                kept = [b" ".join([words.data[x:y] for x, y in zip(a[p:q], b[p:q], strict=True)]) for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                cuts = np.searchsorted(stay, words.first).tolist()
+                left = [words.items[i] for i in stay.tolist()]
+                kept = [b" ".join(left[p:q]) for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], names=schema.fieldNames())
 
     return unnest(marked.mapInArrow(run, schema), df.columns, "n_words", "n_removed", "kept")

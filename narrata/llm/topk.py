@@ -10,9 +10,12 @@ smaller. The last round returns the scores from the kth value up, at most k of
 a block, and ties go to the smaller id.
 
 Defined results: vectors that are null, or hold null or non-finite components,
-take no part; vectors meet those of the same length only; a query never meets
-candidates with its own id; with fewer than k candidates all are returned;
-repeated rows are candidates of their own; no queries or candidates, no rows.
+take no part (nor those with a component that is not finite when scaled);
+vectors meet those of the same length only; a query never meets candidates with
+its own id; with fewer than k candidates all are returned; repeated rows are
+candidates of their own; no queries or candidates, no rows. Components of any
+size are ranked by their exact scores; a score that a long cannot hold is given
+as the nearest long.
 """
 
 from __future__ import annotations
@@ -30,14 +33,24 @@ from narrata.workspace import Workspace
 
 #: Bins of a histogram, and rows of a block of queries and of candidates.
 BINS = 4096
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 2048
+#: Doubles up to this are all the integers.
+EXACT = 2.0**53
+#: Bits of a score that histograms are over, at most.
+BITS = 61
+LONG = 1 << 63
+
+FOUND = T.StructType([*(T.StructField(n, T.LongType()) for n in ("query_id", "x", "y")), T.StructField("key", T.BinaryType())])
 
 
 def integers(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component; null if the vector takes no part."""
-    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when(good, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))))
+    """floor(scale * x) of each component, as a double, which holds it exactly; null if the vector takes no part."""
+    scaled = F.transform(vector, lambda x: F.lit(float(scale)) * x.cast("double"))
+    # From 2**53 on a double is an integer.
+    whole = lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)
+    good = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.when(good, F.transform(scaled, whole))
 
 
 def blocks(ws: Workspace, df: DataFrame, columns: list[str], rows: int, count: int) -> DataFrame:
@@ -52,13 +65,17 @@ def _matrix(items: pa.ListScalar, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of integers: by floating point while every sum is exact in it."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    if most < 2**53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    if most < 2**63:
-        return q @ c.T
-    return (q.astype(object) @ c.T.astype(object)).astype(np.int64)
+    """Inner products of rows of integers: by floating point where every sum is exact in it, for larger rows by integers of any size."""
+    small = np.sqrt(EXACT / max(q.shape[1], 1))
+    big_q, big_c = (np.abs(x).max(1, initial=0) >= small for x in (q, c))
+    out = (np.where(big_q[:, None], 0, q) @ np.where(big_c[:, None], 0, c).T).astype(np.int64)
+    if not (big_q.any() or big_c.any()):
+        return out
+    whole = lambda x: np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+    out = out.astype(object)
+    out[big_q] = whole(q[big_q]) @ whole(c).T
+    out[:, big_c] = whole(q) @ whole(c[big_c]).T
+    return out
 
 
 def top_k(df: DataFrame, id: str, vector: str, queries: Column, k: int, scale: int = 256, ws: Workspace | None = None) -> DataFrame:
@@ -66,9 +83,11 @@ def top_k(df: DataFrame, id: str, vector: str, queries: Column, k: int, scale: i
     ws = ws or Workspace(df.sparkSession, "topk")
     rows = df.select(F.col(id).cast("long").alias("id"), integers(F.col(vector), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     good = ws.save(rows.where("id is not null and v is not null").withColumn("dim", F.size("v")).where("dim > 0"), "vectors")
-    count, asked, most = good.agg(F.count("*"), F.count_if("asks"), F.max(F.array_max(F.transform("v", F.abs)) * F.lit(1.0))).first()
-    most_dim = good.agg(F.max("dim")).first()[0] or 1
-    bound = int(most or 0) ** 2 * most_dim + 1
+    count, asked, most, most_dim = good.agg(F.count("*"), F.count_if("asks"), F.max(F.array_max(F.transform("v", F.abs))), F.max("dim")).first()
+    largest = int(most or 0) ** 2 * (most_dim or 1) + 1
+    # Histograms are over scores without the low bits that no long has room for.
+    shift = max(0, largest.bit_length() - BITS)
+    bound, wide = (largest >> shift) + 1, (2 * largest).bit_length() // 8 + 1
     candidates = ws.save(blocks(ws, good, ["id", "v"], CANDIDATE_BLOCK, count or 0), "candidates")
     asks = ws.save(ranked(ws, good.where("asks").select("id", "v", "dim"), ["dim", "id"], ["dim"], partitions(df, asked or 0, 20_000), "_rank"), "asks")
     numbered = asks.withColumn("block", (F.col("_rank") / QUERY_BLOCK).cast("long")).drop("_rank")
@@ -92,25 +111,31 @@ def top_k(df: DataFrame, id: str, vector: str, queries: Column, k: int, scale: i
                     ids, c = _matrix(items, dim.as_py())
                     query, q = _matrix(asking, dim.as_py())
                     base, top, width, need = (asking.values.field(f).to_numpy(zero_copy_only=False) for f in ("base", "top", "width", "need"))
-                    scores = _scores(q, c)
-                    out = [[], [], []]
+                    out, keys = [[], [], []], []
+                    whole = _scores(q, c)
+                    scores = (whole >> shift).astype(np.int64)
                     for i in range(len(query)):
                         # Values under ``base`` lie below the kth; those from ``top`` on are counted already.
                         may = np.flatnonzero((scores[i] >= base[i]) & (scores[i] < top[i]) & (ids != query[i]))
                         if best:
-                            s = scores[i][may]
-                            chosen = may[np.lexsort((ids[may], -s))[: need[i]]]
+                            # A whole score that a long may not hold goes along as bytes in its order.
+                            order = np.lexsort((ids[may], -scores[i][may])) if not shift else sorted(range(len(may)), key=lambda j: (-whole[i][may[j]], ids[may[j]]))
+                            chosen = may[order[: need[i]]].astype(np.int64)
                             a, b = ids[chosen], scores[i][chosen]
+                            if shift:
+                                exact = whole[i][chosen].tolist()
+                                b = np.array([max(-LONG, min(LONG - 1, v)) for v in exact], np.int64)
+                                keys += [(v + largest).to_bytes(wide, "big") for v in exact]
                         else:
                             a, b = np.unique((scores[i][may] - base[i]) // width[i], return_counts=True)
                             keep = np.searchsorted(np.cumsum(b[::-1]), need[i]) + 1
                             a, b = a[::-1][:keep], b[::-1][:keep]
-                        out[0].append(np.full(len(a), query[i]))
-                        out[1].append(a)
-                        out[2].append(b)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in out], names=["query_id", "x", "y"])
+                        for held, x in zip(out, (np.full(len(a), query[i]), a, b), strict=True):
+                            held.append(x)
+                    numbers = [pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in out]
+                    yield pa.RecordBatch.from_arrays([*numbers, pa.array(keys, pa.binary()) if best and shift else pa.nulls(len(numbers[0]), pa.binary())], names=FOUND.fieldNames())
 
-        return pairs.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ("query_id", "x", "y")]))
+        return pairs.mapInArrow(run, FOUND)
 
     width = max(1, -(-(2 * bound + 1) // BINS))
     state = numbered.select("id").distinct().select("id", F.lit(-bound).cast("long").alias("base"), F.lit(bound + 1).cast("long").alias("top"), F.lit(width).cast("long").alias("width"), F.lit(k).cast("long").alias("need"))
@@ -127,6 +152,6 @@ def top_k(df: DataFrame, id: str, vector: str, queries: Column, k: int, scale: i
         if width == 1:
             break
         width = finer
-    final = scored(state.withColumns({"need": F.lit(k).cast("long"), "top": F.lit(bound + 1).cast("long")}), "best").select("query_id", F.col("x").alias("vec_id"), F.col("y").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return final.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    final = scored(state.withColumns({"need": F.lit(k).cast("long"), "top": F.lit(bound + 1).cast("long")}), "best").withColumnRenamed("x", "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), F.desc("y"), "vec_id")
+    return final.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("y").alias("score"))

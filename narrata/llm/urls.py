@@ -6,9 +6,11 @@ every alias that has no rule of its own, and an explicit allow of a url keeps
 it. Only DataFrame operations are used.
 
 Defined results: a null url or one without ``://`` has an empty host and path
-and fits no rule; repeated urls are one node and are all judged alike; links
-that are null, empty or not absolute after resolution link nothing; columns
-that have the name of an output are replaced.
+and fits no rule; urls that differ in the case of scheme or host, or in the
+fragment, are one node, as are repeated ones; relative links are resolved
+against the page's url; links that are null, empty, of another kind (mailto:)
+or to a page itself link nothing; columns that have the name of an output are
+replaced.
 """
 
 from __future__ import annotations
@@ -66,10 +68,33 @@ def _first(parts: tuple[Column, ...]) -> Column:
     return F.coalesce(*(F.when(p != "", p) for p in parts))
 
 
+def node(url: Column) -> Column:
+    """The name of a url in the graph: scheme and host in lower case, no fragment."""
+    scheme = F.lower(F.substring_index(url, "://", 1))
+    rest = F.regexp_replace(F.regexp_replace(_rest(url), r"^[^/?#]*", ""), r"#.*$", "")
+    return F.concat(scheme, F.lit("://"), host(url), rest)
+
+
+def _without_dots(place: Column) -> Column:
+    """A path whose ``.`` and ``..`` parts are carried out."""
+    parts = F.split(place, "/")
+    last = F.element_at(parts, -1).isin(".", "..")
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda a, p: F.when(p == ".", a).when(p == "..", up(a)).otherwise(F.array_append(a, p)))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def _resolved(url: Column, target: Column) -> Column:
-    scheme = F.regexp_extract(url, r"^[^:/?#]*", 0)
+    scheme = F.substring_index(url, "://", 1)
     base = F.concat(scheme, F.lit("://"), F.regexp_extract(_rest(url), r"^[^/?#]*", 0))
-    return F.when(F.contains(target, F.lit("://")), target).when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target)).when(F.startswith(target, F.lit("/")), F.concat(base, target))
+    place = F.regexp_extract(target, r"^[^?#]*", 0)
+    more = F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(F.when(path(url) == "", "/").otherwise(path(url)), r"[^/]*$", "")
+    return (
+        F.when((target == "") | F.startswith(target, F.lit("#")), None).when(F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), target).when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), None).when(F.startswith(target, F.lit("?")), F.concat(base, path(url), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(base, _without_dots(place), more)).otherwise(F.concat(base, _without_dots(F.concat(folder, place)), more))
+    )
 
 
 def links(pages: DataFrame, url: str, html: str) -> DataFrame:
@@ -79,11 +104,11 @@ def links(pages: DataFrame, url: str, html: str) -> DataFrame:
     to = F.transform(canonical, lambda tag: _first(_attribute(tag, "href")))
     on = F.transform(refresh, lambda tag: F.regexp_extract(_first(_attribute(tag, "content")), r"(?is)\burl\s*=\s*['\"]?([^'\"]+)", 1))
     both = pages.where(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("a"), F.explode(F.concat(to, on)).alias("_to"))
-    return both.select("a", _resolved(F.col("a"), F.trim("_to")).alias("b")).where("a is not null and b is not null")
+    return both.select(node(F.col("a")).alias("a"), node(_resolved(F.col("a"), F.trim("_to"))).alias("b")).where("a is not null and b is not null")
 
 
 def judge(df: DataFrame, url: str, rules: list[Rule], edges: DataFrame, default: str = "allow", ws: Workspace | None = None) -> DataFrame:
-    """Add host, path, rule and verdict; ``edges`` (a, b) link urls that are aliases."""
+    """Add host, path, rule and verdict; ``edges`` (a, b) link the nodes of urls that are aliases."""
     ws = ws or Workspace(df.sparkSession, "urls")
     parts = components(ws, edges)
     own = fitting(rules, host(F.col("node")), path(F.col("node")), "verdict")
@@ -92,6 +117,6 @@ def judge(df: DataFrame, url: str, rules: list[Rule], edges: DataFrame, default:
     nested = nest(df, F.col(url).alias("_url"))
     named = nested.withColumn("host", host(F.col("_url"))).withColumn("path", path(F.col("_url")))
     ruled = named.withColumn("rule", fitting(rules, F.col("host"), F.col("path"), "rule")).withColumn("_own", fitting(rules, F.col("host"), F.col("path"), "verdict"))
-    met = ruled.join(reached, F.col("_url") == F.col("_node"), "left")
+    met = ruled.join(reached, node(F.col("_url")) == F.col("_node"), "left")
     spread = F.when(F.col("_reached"), F.lit("block"))
     return unnest(met.withColumn("verdict", F.coalesce("_own", spread, F.lit(default))), df.columns, "host", "path", "rule", "verdict")

@@ -1,13 +1,17 @@
-"""Words and word sequences of many texts as 64-bit fingerprints, vectorised.
-
-A word is a longest run of bytes other than the space and 0x09 to 0x0D. All
-sequences of k words get their fingerprints from prefix sums of a polynomial,
-so the cost does not depend on k. Fingerprints depend on the bytes alone: they
-are equal in every task, on every machine.
+"""Words and word sequences of many texts, with strong digests of the words.
+
+A word is a longest run of bytes other than the space and 0x09 to 0x0D. Each
+different word is hashed once by BLAKE2b; the halves of its digest are the
+word's two fingerprints. Fingerprints of sequences come from prefix sums of a
+polynomial over those of the words, so their cost does not depend on the
+length. They depend on the bytes alone: they are equal in every task, on every
+machine. Operators use them to find candidates, and confirm on words.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +21,13 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Text bytes that are worked on at once (a longer text is worked on alone).
 CHUNK_BYTES = 1 << 19
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+#: Different words that a worker remembers between chunks.
+KNOWN_WORDS = 1 << 18
+#: Bytes of a word's digest.
+DIGEST = 16
 
 # Odd multipliers, and the finisher of the published splitmix64 generator.
-_BYTE, _WORD = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_COUNT, _WORD = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,28 +51,48 @@ class _Powers:
         return self._found[inverse][:n]
 
 
-_byte_powers, _word_powers = _Powers(_BYTE), _Powers(_WORD)
+_powers = _Powers(_WORD)
+
+
+class _Known(dict):
+    """Places of words in ``digests``, which grows when a word is new."""
+
+    def __init__(self):
+        super().__init__()
+        self.digests = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        self.digests += hashlib.blake2b(word, digest_size=DIGEST).digest()
+        return place
+
+
+_known = _Known()
+
+
+def split(text: bytes, lower: bool = False) -> list[bytes]:
+    """The words of a UTF-8 text; ``lower`` changes A to Z only."""
+    return (text.lower() if lower else text).split()
 
 
 class Words:
-    """The words of a list of UTF-8 texts: fingerprints, byte places in ``data``, and where each text's words begin."""
+    """The words of a list of UTF-8 texts, their digests, and where each text's words begin."""
 
     def __init__(self, texts: list[bytes], lower: bool = False):
-        self.data = b"\n".join(texts) + b"\n"
-        raw = np.frombuffer(self.data, np.uint8)
-        if lower:
-            raw = _LOWER[raw]
-        space = _SPACE[raw]
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        if not space[0]:
-            edge = np.concatenate([[0], edge])
-        self.starts, self.ends = edge[::2], edge[1::2]
-        sums = np.zeros(len(raw) + 1, U)
-        np.cumsum((raw.astype(U) + U(1)) * _byte_powers(len(raw)), out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * _byte_powers(len(raw), True)[self.starts])
-        begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        global _known
+        if len(_known) > KNOWN_WORDS:
+            _known = _Known()
+        lists = [split(t, lower) for t in texts]
         #: Index of the first word of each text, and the number of words at the end.
-        self.first = np.searchsorted(self.starts, begins)
+        self.first = np.concatenate([[0], np.cumsum([len(w) for w in lists], dtype=np.int64)])
+        self.items = list(itertools.chain.from_iterable(lists))
+        places = np.fromiter(map(_known.__getitem__, self.items), np.int64, len(self.items))
+        self.digests = np.frombuffer(bytes(_known.digests), U).reshape(-1, 2)[places]
+        self.hashes = np.ascontiguousarray(self.digests[:, 0])
+
+    def of(self, i: int) -> list[bytes]:
+        """The words of one text."""
+        return self.items[self.first[i] : self.first[i + 1]]
 
     def sequences(self, k: int | np.ndarray, at: np.ndarray) -> np.ndarray:
         """Fingerprints of the k words from each of ``at`` on."""
@@ -78,8 +101,15 @@ class Words:
 
 def sequences(hashes: np.ndarray, k: int | np.ndarray, at: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(hashes) + 1, U)
-    np.cumsum(hashes * _word_powers(len(hashes)), out=sums[1:])
-    return mix((sums[at + k] - sums[at]) * _word_powers(max(len(hashes), 1), True)[np.minimum(at, max(len(hashes) - 1, 0))] + np.asarray(k).astype(U) * U(_BYTE))
+    np.cumsum(hashes * _powers(len(hashes)), out=sums[1:])
+    return mix((sums[at + k] - sums[at]) * _powers(max(len(hashes), 1), True)[np.minimum(at, max(len(hashes) - 1, 0))] + np.asarray(k).astype(U) * U(_COUNT))
+
+
+def shingle_set(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
+    """The distinct k-word shingles themselves; fewer words are one shingle, no words none."""
+    if len(words) < k:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[j:] for j in range(k)), strict=False))
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -152,13 +152,16 @@ def test_components(spark):
 def test_urls(spark):
     rules = [urls.Rule("block", "com", "/en/"), urls.Rule("allow", "example.com", "/en/7"), urls.Rule("block", "b.org", "/")]
     canonical = lambda u: f'<html><head><LINK href="{u}" rel="canonical"></head>'
-    pages = [(1, "http://A.Example.COM/en/7?x", None), (2, "http://x.com/en/a#t", ""), (3, "http://c.net/p", canonical("http://d.net/q")), (4, "http://d.net/q", "<meta http-equiv=refresh content='0; url=http://b.org/z'>"), (5, None, "x"), (6, "no-scheme", None), (7, "http://notcom/en/", canonical("/rel")), (8, "http://e.net", canonical("http://x.example.com/en/70")), (9, "http://x.example.com/en/70", canonical("http://b.org/z")), (3, "http://c.net/p", None)]
+    pages = [(10, "http://F.net/a/b?q", "<link rel=canonical href='../c/./d'>"), (11, "http://f.NET/c/d#top", canonical("http://x.com/en/z")), (12, "http://g.net", "<link rel='canonical' href='mailto:a@b.org'>"), (13, "http://h.net/#s", canonical("#t")), (1, "http://A.Example.COM/en/7?x", None), (2, "http://x.com/en/a#t", ""), (3, "http://c.net/p", canonical("http://d.net/q")), (4, "http://d.net/q", "<meta http-equiv=refresh content='0; url=http://b.org/z'>"), (5, None, "x"), (6, "no-scheme", None), (7, "http://notcom/en/", canonical("/rel")), (8, "http://e.net", canonical("http://x.example.com/en/70")), (9, "http://x.example.com/en/70", canonical("http://b.org/z")), (3, "http://c.net/p", None)]
     df = spark.createDataFrame(pages, "page_id int, url string, html string").withColumn("Host", F.lit(1))
     out = {(r.page_id, r.host, r.path): (r.rule, r.verdict) for r in urls.judge(df.drop("html"), "url", rules, urls.links(df, "url", "html")).collect()}
     assert out == {
+        (10, "f.net", "/a/b"): (None, "block"), (11, "f.net", "/c/d"): (None, "block"), (12, "g.net", ""): (None, "allow"), (13, "h.net", "/"): (None, "allow"),
         (1, "a.example.com", "/en/7"): ("example.com/en/7", "allow"), (2, "x.com", "/en/a"): ("com/en/", "block"), (3, "c.net", "/p"): (None, "block"), (4, "d.net", "/q"): (None, "block"), (5, "", ""): (None, "allow"),
         (6, "", ""): (None, "allow"), (7, "notcom", "/en/"): (None, "allow"), (8, "e.net", ""): (None, "block"), (9, "x.example.com", "/en/70"): ("example.com/en/7", "allow"),
     }
+    none = df.limit(0)
+    assert urls.judge(none.drop("html"), "url", rules, urls.links(none, "url", "html")).count() == 0
 
 
 def test_warc(spark):
@@ -201,6 +204,20 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), "vec_id", "embedding", F.lit(True), 5).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e7, 1e9, 1e30, 1e300])
+def test_topk_large(spark, size):
+    draw = np.random.default_rng(4)
+    vectors = [(i, (draw.normal(size=5) * (size if i % 4 else 1.0)).tolist()) for i in range(60)] + [(60 + i, [size] * 5) for i in range(8)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) if abs(256 * x) < 2**53 else int(256 * x) for x in v] for i, v in vectors}
+    want = set()
+    for q in (i for i in whole if i % 10 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        want |= {(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(scores[:5])}
+    found = topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 10 == 0, 5).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in found} == want
+
+
 def sets_of(rows, k):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     out = []
@@ -237,6 +254,35 @@ def test_near(spark, docs, nothing, k):
     assert near.near_duplicates(nothing, "doc_id", "text").count() == 0
 
 
+#: Two words of 1,024 letters that are equal under any polynomial modulo 2**64 with an odd base.
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+EUHT = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_near_edges(spark):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    base = " ".join(words[:60])
+    rows = [(1, base), (2, " ".join([THUE, *words[:3]])), (3, " ".join([EUHT, *words[:3]])), (9, " ".join(words[100:160])), (9, base + " end"), (11, " ".join(words[100:160]) + " last"), (9, base + " end")]
+    # Likeness of exactly 0.8: 8 of 10 shingles; of less: 7 of 9.
+    rows += [(20, " ".join(words[200:212])), (21, " ".join(words[201:213])), (30, " ".join(words[220:231])), (31, " ".join(words[221:232]))]
+    rows += [(100 + i, " ".join(draw.sample(words, 12))) for i in range(20)]
+    rows = [(i, t, "") for i, t in rows]
+    out = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept string"), "doc_id", "text", words=4).collect()
+    assert {r.id: r.component_id for r in out} == brute_near(rows, 4)
+    assert {r.component_id for r in out if r.id in (2, 3)} == {2, 3} and {r.component_id for r in out if r.id == 11} == {1}
+
+
+def test_collisions():
+    draw = np.random.default_rng(0)
+    left, right = draw.integers(0, 4, (40, 16)).astype(np.uint32), draw.integers(0, 4, (30, 16)).astype(np.uint32)
+    for least in (1, 5, 9, 16):
+        a, b = near.collisions(left, right, least)
+        assert sorted(zip(a.tolist(), b.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero((left[:, None] == right[None]).sum(2) >= least))))
+    sets = [set(draw.integers(0, 50, n).tolist()) for n in (0, 5, 30, 40)]
+    assert near.common(sets, sets[1:]).tolist() == [[len(a & b) for b in sets[1:]] for a in sets]
+
+
 def test_near_large_group(spark):
     draw = random.Random(5)
     base = [f"w{draw.randint(0, 500)}" for _ in range(80)]
@@ -251,6 +297,20 @@ def test_near_large_group(spark):
     assert {r.id: r.component_id for r in out} == want
 
 
+def signature(text):
+    """By the definition: the smallest image of the shingles under each function."""
+    draw = np.random.default_rng(1).integers(0, 1 << 63, (2, fingerprints.PERMUTATIONS), dtype=np.uint64)
+    w = [hashlib.blake2b(x, digest_size=16).digest()[:8] for x in text.encode().lower().split()]
+    hashes, k, full = [int.from_bytes(x, "little") for x in w], min(5, len(w)), 1 << 64
+    values = []
+    for i in range(len(w) - k + 1 if w else 0):
+        x = (sum(h * pow(0xD1342543DE82EF95, j, full) for j, h in enumerate(hashes[i : i + k])) + k * 0x9E3779B97F4A7C15) % full
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % full
+        values.append(x ^ (x >> 31))
+    return np.array([min((((v * (int(f) << 1 | 1) + int(a)) % full) >> 32 for v in values), default=0xFFFFFFFF) for f, a in draw.T.tolist()], np.uint32)
+
+
 def test_fingerprints(spark, docs, nothing):
     out = fingerprints.compared(docs, "doc_id", "text").collect()
     order = sorted(ROWS, key=lambda r: (key(r[0]), r[1] or ""))
@@ -263,10 +323,19 @@ def test_fingerprints(spark, docs, nothing):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     five = {s for _, s, _ in sets_of(ROWS, 5)}
     assert len(of) == len(five)
+    # The likeness of fingerprints is near that of the sets.
+    named = sets_of([(k, t, "") for k, t in enumerate([*texts, *edits])], 5)
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    by_text = {(r.n_chars, r.edited_sha256): r for r in out}
+    for k, (t, e) in enumerate(zip(texts, edits)):
+        r = by_text[len(t), hashlib.sha256(e.encode()).hexdigest()]
+        assert abs(r.near_edited - jaccard(named[k][1], named[len(texts) + k][1])) < 0.2
+        a, b = np.frombuffer(base64.b64decode(r.fingerprint), "<u4"), np.frombuffer(base64.b64decode(r.edited_fingerprint), "<u4")
+        assert r.near_edited == (a == b).mean() and (a == signature(t)).all() and (b == signature(e)).all()
     assert fingerprints.compared(nothing, "doc_id", "text").count() == 0
     want = {i: c for i, c in brute_near(ROWS, 5).items()}
     found = fingerprints.near_duplicates(docs, "doc_id", "text").collect()
-    assert {r.id: r.component_id for r in found} == want
+    assert {r.id: r.component_id for r in found if r.id is not None} == want
 
 
 def brute_repeats(rows, window):
@@ -288,6 +357,14 @@ def brute_repeats(rows, window):
     return out
 
 
+def test_substrings_edges(spark):
+    words = [f"w{i}" for i in range(90)]
+    rows = [(1, " ".join([THUE, *words[:14]])), (2, " ".join([EUHT, *words[:14]])), (3, " ".join(words[30:60])), (4, " ".join(words[60:90])), (4, "new " + " ".join(words[30:50])), (4, "short"), (5, " ".join(words[60:75])), (3, " ".join(words[30:60]))]
+    rows = [(i, t, str(k)) for k, (i, t) in enumerate(rows)]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, name string"), "doc_id", "text", 13).collect()
+    assert {r.name: (r.n_words, r.n_removed, r.kept) for r in out} == brute_repeats(rows, 13)
+
+
 @pytest.mark.parametrize("window", [13, 50])
 def test_substrings(spark, docs, nothing, window):
     renamed = docs.withColumnRenamed("kept", "name").withColumn("n_words", F.lit("x"))
