@@ -14,15 +14,14 @@ _NONE = "array<int>"
 def maxima(x: Column) -> Column:
     """Middles of all runs of equal values with lower ones on both sides."""
     n = F.size(x)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | (S.at(x, i) != S.at(x, i - 1)))
 
-    def end(i: Column) -> Column:
-        """First place after i with another value (n: none)."""
-        later = F.filter(F.sequence(i, n - 1), lambda j: S.at(x, j) != S.at(x, i))
-        return F.coalesce(F.get(later, F.lit(0)), n)
+    def tops(first: Column) -> Column:
+        inner = F.sequence(F.lit(1), F.greatest(F.size(first) - 2, F.lit(1)))
+        high = F.filter(inner, lambda k: (k < F.size(first) - 1) & (S.at(x, S.at(first, k)) > S.at(x, S.at(first, k - 1))) & (S.at(x, S.at(first, k)) > S.at(x, S.at(first, k + 1))))
+        return F.transform(high, lambda k: ((S.at(first, k) + S.at(first, k + 1) - 1) / 2).cast("int"))
 
-    rising = F.filter(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: (S.at(x, i) > S.at(x, i - 1)))
-    closed = F.filter(rising, lambda i: (end(i) < n) & (S.at(x, end(i)) < S.at(x, i)))
-    return F.when(n > 2, F.transform(closed, lambda i: ((i + end(i) - 1) / 2).cast("int"))).otherwise(F.array().cast(_NONE))
+    return F.when(n > 2, S.let(starts, tops)).otherwise(F.array().cast(_NONE))
 
 
 def prominence(x: Column, i: Column) -> Column:

@@ -74,11 +74,11 @@ def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 @bound
-def minmax(x: Column, flat: float = 0.0) -> Column:
-    """Scaled to 0..1; ``flat`` for constant series."""
+def minmax(x: Column, flat: float = 0.0, least: float = 0.0) -> Column:
+    """Scaled to 0..1; ``flat`` for series whose range is not over ``least``."""
 
     def scaled(low: Column, high: Column) -> Column:
-        return F.when(high > low, F.transform(x, lambda v: (v - low) / (high - low))).otherwise(F.transform(x, lambda v: F.lit(flat)))
+        return F.when(high - low > least, F.transform(x, lambda v: (v - low) / (high - low))).otherwise(F.transform(x, lambda v: F.lit(flat)))
 
     return lets(scaled, lambda: F.array_min(x), lambda low: F.array_max(x))
 
@@ -100,12 +100,13 @@ def moving_average(x: Column, k: int = 5) -> Column:
 
 
 @bound
-def resample(x: Column, n: int) -> Column:
+def resample(x: Column, n: int | Column) -> Column:
     """n points of the line through the values, ends included."""
     last = F.size(x) - 1
+    n = F.lit(n) if isinstance(n, int) else n
 
     def point(i: Column) -> Column:
-        p = i * last / F.lit(float(max(n - 1, 1)))
+        p = i * last / F.greatest(n - 1, F.lit(1)).cast("double")
         low = F.floor(p).cast("int")
         return at(x, low) + (p - low) * (at(x, F.least(low + 1, last)) - at(x, low))
 
@@ -129,7 +130,7 @@ def gaussian(x: Column, sigma: float) -> Column:
     return F.transform(x, lambda v, i: F.aggregate(ks, F.lit(0.0), lambda a, k: a + F.get(kernel, k) * mirrored(i + k - radius)))
 
 
-def _cubic(window: int, order: int) -> list[list[float]]:
+def savgol_weights(window: int, order: int) -> list[list[float]]:
     """Row p: weights that give the value at place p of the least-squares polynomial through ``window`` points."""
     half = window // 2
     ts = [(i - half) / half for i in range(window)]
@@ -151,7 +152,7 @@ def _cubic(window: int, order: int) -> list[list[float]]:
 def savitzky_golay(x: Column, window: int = 11, order: int = 3) -> Column:
     """Local least-squares cubic; the end pieces come from the first and the last window. Shorter series stay as they are."""
     half, n = window // 2, F.size(x)
-    rows = F.array(*(F.array(*(F.lit(w) for w in row)) for row in _cubic(window, order)))
+    rows = F.array(*(F.array(*(F.lit(w) for w in row)) for row in savgol_weights(window, order)))
 
     def value(i: Column) -> Column:
         start = F.greatest(F.lit(0), F.least(i - half, n - window))
@@ -215,10 +216,10 @@ def slope(x: Column) -> Column:
 
 
 @bound
-def determination(x: Column) -> Column:
-    """R squared of the least-squares line."""
+def determination(x: Column, trace: float = 0.0) -> Column:
+    """R squared of the least-squares line, ``trace`` added to the sum of squares; 0 for constant series."""
     n = F.size(x)
-    return lets(lambda b, v: F.when(v > 1e-18, b * b * (n * n - 1) / F.lit(12.0) / v).otherwise(0.0), lambda: slope(x), lambda b: variance(x))
+    return lets(lambda b, v: F.when(v > 0, F.greatest(F.lit(0.0), 1 - (v - b * b * (n * n - 1) / F.lit(12.0)) * n / (v * n + trace))).otherwise(0.0), lambda: slope(x), lambda b: variance(x))
 
 
 @bound
@@ -229,9 +230,9 @@ def autocorrelation(x: Column) -> Column:
 
 @bound
 def mirror_symmetry(x: Column) -> Column:
-    """Correlation of the first half with the mirrored second half."""
+    """Size of the correlation of the first half with the mirrored second half of as many values."""
     half = (F.size(x) / 2).cast("int")
-    return F.when(half > 1, correlation(F.slice(x, 1, half), F.slice(F.reverse(x), 1, half))).otherwise(0.0)
+    return F.when(half > 1, F.abs(correlation(F.slice(x, 1, half), F.reverse(F.slice(x, half + 1, half))))).otherwise(0.0)
 
 
 @bound
@@ -309,7 +310,7 @@ def counts(items: Column) -> Column:
     def sizes(ordered: Column, cuts: Column) -> Column:
         return F.when(F.size(ordered) > 0, F.transform(cuts, lambda e, k: e - F.coalesce(F.when(k > 0, at(cuts, k - 1)), F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
-    return lets(sizes, lambda: F.array_sort(items), ends)
+    return lets(sizes, lambda: F.sort_array(items), ends)
 
 
 @bound

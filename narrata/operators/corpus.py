@@ -20,16 +20,21 @@ def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int = 42) -> DataFrame:
-    """About n rows, from each stratum in proportion, one at least.
+    """n rows (all, if there are fewer), from each stratum in proportion, one at least; a null stratum is one too.
 
-    A stratum's quota is a rank bound, so its rows are cut down before they are
-    shuffled where the engine can push the bound.
+    Quotas are rounded down. If they are too few, the rows that come next by
+    draw in all are added; if they are too many (more strata than n), rows
+    beyond their stratum's first go first, the last ones by draw.
     """
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
+    named = df.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")))
+    sizes = named.groupBy("_s").agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"))
-    quota = sizes.crossJoin(total).select(stratum, F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_n") / F.col("_all"))).alias("_quota"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(draw(F.col(key), seed), key))).where(F.col("_r") <= n)
-    return ranked.join(F.broadcast(quota), stratum).where(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
+    # The total is one row.
+    quota = sizes.crossJoin(total).select("_s", F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_n") / F.col("_all"))).alias("_quota"))
+    drawn = named.withColumn("_draw", draw(F.col(key), seed))
+    ranked = drawn.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy("_draw", key))).where(F.col("_r") <= n)
+    placed = ranked.join(quota, "_s").withColumn("_turn", F.when(F.col("_r") == 1, 0).when(F.col("_r") <= F.col("_quota"), 1).otherwise(2))
+    return placed.orderBy("_turn", "_draw", key).limit(n).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def popular_sample(df: DataFrame, key: str, score: str, n: int, seed: int = 42) -> DataFrame:

@@ -7,7 +7,6 @@ Series that are too short get ``insufficient_data``.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable
 
@@ -18,6 +17,10 @@ from narrata.functions import peaks as P
 from narrata.functions import series as S
 
 SHORT = "insufficient_data"
+#: Values of a series that detectors ask for.
+LEAST = 10
+#: Outputs of detectors that are names.
+NAMES = ("resolution", "turn_type")
 
 
 def _position(i: Column, n: Column) -> Column:
@@ -25,7 +28,18 @@ def _position(i: Column, n: Column) -> Column:
 
 
 def _prepared(x: Column, sigma: float = 3.0) -> Column:
-    return S.minmax(S.gaussian(x, sigma), 0.5)
+    """Smooth and scaled to 0..1; values are told apart to nine digits."""
+    return F.transform(S.minmax(S.gaussian(x, sigma), 0.5, 1e-8), lambda v: F.round(v, 9))
+
+
+def _gap(n: Column) -> Column:
+    return F.greatest((n / 10).cast("int"), F.lit(1))
+
+
+def _mean_of(scores: list[Column], optional: Column, has: Column) -> Column:
+    """Mean of the scores, with one more where there is one."""
+    whole = sum(scores, F.lit(0.0))
+    return F.when(has, (whole + optional) / (len(scores) + 1)).otherwise(whole / len(scores))
 
 
 def _fixed(values: list[float]) -> Column:
@@ -49,225 +63,267 @@ def _guard(x: Column, least: int, label: Column) -> Column:
     return F.when(F.size(x) < least, SHORT).otherwise(label)
 
 
-def _on_prepared(f: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
-    """A detector of a series and its smooth form, both computed once."""
-
-    @functools.wraps(f)
-    def detect(x: Column) -> Column:
-        return S.lets(f, lambda: x, _prepared)
-
-    return detect
-
-
-def _conform(n: Column, score: Column, rules: Callable[[Column], list[tuple[Column, str]]], otherwise: str, **more: Column) -> Column:
-    """Struct of pattern, score and more; short series have a pattern only."""
-    long = n >= 10
-
-    def told(s: Column) -> Column:
-        return F.struct(F.when(~long, SHORT).otherwise(_label(rules(s), otherwise)).alias("pattern"), F.when(long, F.round(s, 6)).alias("score"), *(F.when(long, c).alias(k) for k, c in more.items()))
-
-    return S.let(score, told)
-
-
-@_on_prepared
-def aristotle(x: Column, v: Column) -> Column:
-    """Three acts between the two steepest places."""
-    n = F.size(x)
-
-    def edges(steep: Column) -> Column:
-        found = P.peaks(steep, F.greatest((n / 10).cast("int"), F.lit(1)), 0.01)
-        ranked = F.reverse(F.array_sort(F.transform(found, lambda i: F.struct(S.at(steep, i).alias("g"), i.alias("i")))))
-        return F.array_sort(F.transform(F.slice(ranked, 1, 2), lambda s: _position(s.getField("i"), n)))
-
-    def bounds(two: Column) -> Column:
-        a1, a2 = F.when(F.size(two) == 2, S.at(two, F.lit(0))).otherwise(0.25), F.when(F.size(two) == 2, S.at(two, F.lit(1))).otherwise(0.75)
-        a1, a2 = F.when(a1 < 0.15, 0.25).otherwise(a1), F.when(a2 < 0.5, 0.75).otherwise(a2)
-        return F.when(a2 - a1 < 0.3, F.array(F.lit(0.25), F.lit(0.75))).otherwise(F.array(a1, a2))
-
-    def judged(cuts: Column, one: Column, mid: Column, last: Column, climax: Column) -> Column:
-        a1, a2 = S.at(cuts, F.lit(0)), S.at(cuts, F.lit(1))
-        score = (
-            1 - F.abs(a2 - a1 - 0.5)
-            + F.when(S.slope(mid) > 0, 0.8).otherwise(0.3)
-            + F.when(climax.between(0.6, 0.85), 1.0).when(climax.between(0.5, 0.9), 0.7).otherwise(0.3)
-            + F.when(S.slope(last) < 0, 0.9).otherwise(0.5)
-            + F.when(S.variance(one) < S.variance(mid), 0.8).otherwise(0.5)
-        ) / 5
-        m1, m3 = S.mean(one), S.mean(last)
-        rules = lambda s: [(s > 0.7, "classic"), (s > 0.5, "modified"), (m1 > m3, "tragic"), (m1 < m3, "comedic")]
-        return _conform(n, score, rules, "non_conforming", positions=F.array(a1, climax, a2))
-
-    i1 = lambda c: F.greatest((S.at(c, F.lit(0)) * n).cast("int"), F.lit(1))
-    i2 = lambda c: F.least((S.at(c, F.lit(1)) * n).cast("int"), n - 1)
-    return S.lets(
-        judged,
-        lambda: S.let(S.let(F.transform(S.gradient(v, F.lit(1.0)), F.abs), edges), bounds),
-        lambda c: F.slice(v, 1, i1(c)),
-        lambda c, one: F.slice(v, i1(c) + 1, F.greatest(i2(c) - i1(c), F.lit(1))),
-        lambda c, one, mid: F.slice(v, F.greatest(i2(c) + 1, F.lit(1)), n),
-        lambda c, one, mid, last: _position(S.argmax(v), n),
-    )
-
-
-@_on_prepared
-def freytag(x: Column, v: Column) -> Column:
+class Steps:
+    """A table to which values are added as columns: each is computed once, however often later ones use it."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self._names = df, []
+
+    def __call__(self, value: Column) -> Column:
+        name = f"_step{len(self._names)}"
+        self._names.append(name)
+        self.df = self.df.withColumn(name, value)
+        return F.col(name)
+
+    def done(self, out: dict[str, Column]) -> DataFrame:
+        """The table with results in place of the steps."""
+        return self.df.withColumns(out).drop(*self._names)
+
+
+Detector = Callable[[Steps, Column], Column]
+
+
+def _conform(step: Steps, n: Column, score: Column, rules: Callable[[Column], list[tuple[Column, str]]], otherwise: str, **more: Column) -> Column:
+    """Struct of pattern, score and more; short series have a pattern only. Numbers are rounded, names are not."""
+    long, s = n >= LEAST, step(score)
+    pattern = F.when(~long, SHORT).otherwise(_label(rules(s), otherwise))
+    return F.struct(pattern.alias("pattern"), F.when(long, F.round(s, 6)).alias("score"), *(F.when(long, c if k in NAMES else F.round(c, 6)).alias(k) for k, c in more.items()))
+
+
+def aristotle(step: Steps, v: Column) -> Column:
+    """Three acts between the two steepest places, with the turning points and the unity of action."""
+    n = F.greatest(F.size(v), F.lit(1))
+    quarter = (n / 4).cast("int")
+    d = step(S.gradient(v, F.lit(1.0)))
+    steep = step(F.transform(d, F.abs))
+    ranked = F.reverse(F.sort_array(F.transform(P.peaks(steep, _gap(n), 0.01), lambda i: F.struct(S.at(steep, i).alias("g"), i.alias("i")))))
+    two = step(F.sort_array(F.transform(F.slice(ranked, 1, 2), lambda s: _position(s.getField("i"), n))))
+    a1 = F.when(F.size(two) == 2, F.when(S.at(two, F.lit(0)) < 0.15, 0.25).otherwise(S.at(two, F.lit(0)))).otherwise(0.25)
+    a2 = F.when(F.size(two) == 2, F.when(S.at(two, F.lit(1)) < 0.5, 0.75).otherwise(S.at(two, F.lit(1)))).otherwise(0.75)
+    cuts = step(F.array(a1, a2))
+    wide = S.at(cuts, F.lit(1)) - S.at(cuts, F.lit(0)) >= 0.3
+    a1, a2 = step(F.when(wide, S.at(cuts, F.lit(0))).otherwise(0.25)), step(F.when(wide, S.at(cuts, F.lit(1))).otherwise(0.75))
+    i1, i2 = (a1 * (n - 1)).cast("int"), (a2 * (n - 1)).cast("int")
+    one, mid, last = step(F.slice(v, 1, F.greatest(i1, F.lit(1)))), step(F.slice(v, i1 + 1, F.greatest(i2 - i1, F.lit(1)))), step(F.slice(v, F.greatest(i2, F.lit(0)) + 1, n))
+    m1, m2, m3 = step(S.mean(one)), S.mean(mid), step(S.mean(last))
+    rises, climax = step(S.differences(mid)), step(_position(S.argmax(v), n))
+    score = (
+        1 - F.abs(a2 - a1 - 0.5)
+        + F.when(m2 > m1, 0.8).otherwise(0.3)
+        + F.when((climax > 0.6) & (climax < 0.85), 1.0).when((climax > 0.5) & (climax < 0.9), 0.7).otherwise(0.3)
+        + F.when(S.slope(last) < -1e-12, 0.9).otherwise(0.5)
+        + F.when(S.variance(one) < S.variance(mid), 0.8).otherwise(0.5)
+    ) / 5
+    arcs = F.greatest(F.size(P.peaks(v, _gap(n))), F.lit(1))
+    upward = F.when(F.size(rises) > 0, F.size(F.filter(rises, lambda y: y > 0)) / F.greatest(F.size(rises), F.lit(1))).otherwise(0.5)
+    calm = F.when(F.size(last) > 1, 1 - F.least(F.lit(1.0), 2 * (F.array_max(last) - F.array_min(last)))).otherwise(0.5)
+    unity = S.clip(0.4 * F.greatest(F.lit(0.0), 1 - (arcs - 1) * 0.2) + 0.3 * upward + 0.3 * calm)
+    inciting = _position(S.argmax(F.slice(d, 1, quarter)), n)
+    crisis = _position(quarter + S.argmax(F.slice(steep, quarter + 1, (3 * n / 4).cast("int") - quarter)), n)
+    rules = lambda s: [(s > 0.7, "classic_three_act"), (s > 0.5, "modified_three_act"), (m1 > m3, "tragic"), (m1 < m3, "comedic")]
+    return _conform(step, n, score, rules, "non_conforming", act1_end=a1, act2_end=a2, inciting=inciting, crisis=crisis, climax=climax, unity=unity)
+
+
+#: The pyramid at nine even places.
+PYRAMID = [0.3, 0.5, 0.7, 0.9, 1.0, 0.85, 0.6, 0.4, 0.35]
+
+
+def freytag(step: Steps, v: Column) -> Column:
     """A rise to a peak near the middle and a fall like it."""
-    n = F.size(x)
-
-    def judged(found: Column, top: Column, c: Column, rise: Column, fall: Column, symmetry: Column) -> Column:
-        up, down = F.element_at(rise, -1) - S.at(rise, F.lit(0)), S.at(fall, F.lit(0)) - F.element_at(fall, -1)
-        canonical = [0, 0.15, 0.35, 0.7, 1.0, 0.7, 0.35, 0.15, 0.1]
-        count, off = F.size(found), F.abs(c - 0.5)
-        score = (
-            F.when(off < 0.1, 1.0).when(off < 0.2, 0.7).otherwise(0.4)
-            + F.when(up > 0, F.least(F.lit(1.0), 0.5 + up)).otherwise(0.2)
-            + F.when(down > 0, F.least(F.lit(1.0), 0.5 + down)).otherwise(0.2)
-            + symmetry
-            + F.when(count <= 1, 1.0).when(count <= 3, 0.6).otherwise(0.3)
-            + F.greatest(F.lit(0.0), S.correlation(S.resample(v, 9), _fixed(canonical)))
-        ) / 6
-        rules = lambda s: [(s > 0.7, "classic_pyramid"), (s > 0.5, "modified_pyramid"), (c < 0.3, "early_climax"), (c > 0.7, "late_climax"), (symmetry < 0.4, "asymmetric")]
-        turn = F.element_at(v, -1) - S.at(v, F.lit(0))
-        return _conform(n, score, rules, "non_pyramid", climax=F.round(c, 6), resolution=F.when(turn < -0.15, "tragic").when(turn > 0.15, "comic").otherwise("neutral"))
-
-    def apex(found: Column) -> Column:
-        central = F.filter(found, lambda i: F.abs(i - n / 2) <= n / 4)
-        return F.coalesce(P.tallest(v, central), P.tallest(v, found), S.argmax(v))
-
-    even = lambda x: S.resample(x, 50)
-    return S.lets(
-        judged,
-        lambda: P.peaks(v, F.greatest((n / 10).cast("int"), F.lit(1)), 0.05),
-        apex,
-        lambda found, top: _position(top, n),
-        lambda found, top, c: F.slice(v, 1, top + 1),
-        lambda found, top, c, rise: F.slice(v, top + 1, n),
-        lambda found, top, c, rise, fall: F.when((F.size(rise) > 2) & (F.size(fall) > 2), (S.correlation(even(rise), F.reverse(even(fall))) + 1) / 2).otherwise(0.5),
-    )
-
-
-STAGES12 = [0.0, 0.08, 0.15, 0.2, 0.25, 0.4, 0.5, 0.55, 0.65, 0.75, 0.9, 1.0]
-HERO = [0.5, 0.45, 0.4, 0.5, 0.55, 0.45, 0.3, 0.1, 0.6, 0.5, 0.8, 0.9]
-
-
-@_on_prepared
-def campbell(x: Column, v: Column) -> Column:
+    n = F.greatest(F.size(v), F.lit(1))
+    found = step(P.peaks(v, _gap(n), 0.05))
+    central = F.filter(found, lambda i: F.abs(i - (n / 2).cast("int")) < (n / 4).cast("int"))
+    top = step(F.coalesce(P.tallest(v, central), P.tallest(v, found), S.argmax(v)))
+    c = step(_position(top, n))
+    rise, fall = step(F.slice(v, 1, top + 1)), step(F.slice(v, top + 1, n))
+    k = step(F.least(F.size(rise), F.size(fall), F.lit(50)))
+    alike = (S.correlation(S.resample(rise, k), S.resample(F.reverse(fall), k)) + 1) / 2
+    symmetry = step(F.when(k > 1, alike).otherwise(0.5))
+    even = step(S.resample(v, 9))
+    first, high, end = S.at(v, F.lit(0)), S.at(v, top), S.at(v, n - 1)
+    up, down, off = step(high - first), step(high - end), F.abs(c - 0.5)
+    count = step(F.size(P.peaks(v, _gap(n), 0.1)))
+    scores = [
+        F.when(off < 0.1, 1.0).when(off < 0.2, 0.7).otherwise(0.4),
+        F.when(up > 0, F.least(F.lit(1.0), 0.5 + up)).otherwise(0.2),
+        F.when(down > 0, F.least(F.lit(1.0), 0.5 + down)).otherwise(0.2),
+        symmetry,
+        F.when(count <= 1, 1.0).when(count <= 3, 0.6).otherwise(0.3),
+    ]
+    score = _mean_of(scores, F.greatest(F.lit(0.0), S.correlation(even, _fixed(PYRAMID))), F.array_max(even) > F.array_min(even))
+    rules = lambda s: [(s > 0.7, "classic_pyramid"), (s > 0.5, "modified_pyramid"), (c < 0.3, "early_climax"), (c > 0.7, "late_climax"), (symmetry < 0.4, "asymmetric")]
+    turn = end - first
+    return _conform(step, n, score, rules, "non_conforming", climax=c, height=up, symmetry=symmetry, resolution=F.when(turn < -0.15, "tragic").when(turn > 0.15, "comic").otherwise("neutral"))
+
+
+#: Places of twelve stages, and their level.
+STAGES12 = [0.0, 0.08, 0.12, 0.17, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 1.0]
+HERO = [0.50, 0.55, 0.45, 0.60, 0.55, 0.45, 0.35, 0.20, 0.50, 0.60, 0.80, 0.70]
+
+
+def campbell(step: Steps, v: Column) -> Column:
     """Twelve stages around an ordeal, the low point of the middle."""
-    n = F.size(x)
-    low, high = (0.3 * n).cast("int"), F.greatest((0.8 * n).cast("int"), (0.3 * n).cast("int") + 1)
-    third = F.greatest((n / 3).cast("int"), F.lit(1))
+    n = F.greatest(F.size(v), F.lit(1))
+    low, high = (0.3 * n).cast("int"), (0.8 * n).cast("int")
+    ordeal = step(low + S.argmin(F.slice(v, low + 1, F.greatest(high - low, F.lit(1)))))
+    p = step(_position(ordeal, n))
+    places = [p / 0.55 * e if k < 8 else p + (e - 0.55) * ((1 - p) / 0.45) for k, e in enumerate(STAGES12)]
+    found = step(F.transform(F.array(*(S.clip(q) for q in places)), lambda q: F.round(_interpolated(v, q), 9)))
+    even = step(S.resample(v, 12))
+    s = [S.at(found, F.lit(k)) for k in range(12)]
+    yes = lambda c, no: F.when(c, 1.0).otherwise(no)
+    depth, change = step(1 - S.at(v, ordeal)), step(s[11] - s[0])
+    departure = step(0.3 * yes(s[2] < s[1], 0.3) + 0.3 * yes(s[3] > s[2], 0.3) + 0.4 * F.least(F.lit(1.0), 10 * S.variance(F.slice(found, 1, 5))))
+    initiation = step(0.3 * yes(s[7] < s[5], 0.2) + 0.4 * yes(s[8] > s[7], 0.2) + 0.3 * yes(s[7] == F.array_min(found), 0.5))
+    back = step(0.3 * yes(s[10] > s[9], 0.3) + 0.3 * yes(s[11] > 0.5, 0.3) + 0.4 * S.clip(change + 0.5))
+    scores = [
+        F.when((p > 0.4) & (p < 0.7), 1.0).when((p > 0.3) & (p < 0.8), 0.6).otherwise(0.3),
+        F.when(depth > 0.5, 1.0).when(depth > 0.3, 0.7).otherwise(0.4),
+        F.when(change > 0.1, 1.0).when(change > -0.1, 0.7).otherwise(0.5),
+        departure, initiation, back,
+    ]
+    score = _mean_of(scores, F.greatest(F.lit(0.0), S.correlation(even, _fixed(HERO))), F.array_max(even) > F.array_min(even))
+    rules = lambda t: [((t > 0.7) & (depth > 0.4), "classic_hero_journey"), (t > 0.55, "modified_journey"), (depth < 0.2, "flat_journey"), (change < -0.2, "tragic_journey"), (back < 0.3, "incomplete_journey")]
+    rise = ordeal + S.argmax(F.slice(v, ordeal + 1, n))
+    return _conform(step, n, score, rules, "non_conforming", ordeal=p, depth=depth, resurrection=_position(rise, n), transformation=change, departure=departure, initiation=initiation, homecoming=back)
+
+
+#: The level of eight stages.
+CIRCLE = [0.8, 0.75, 0.5, 0.3, 0.2, 0.35, 0.6, 0.85]
+
+
+def circle(step: Steps, v: Column) -> Column:
+    """Eight stages down into a valley and up again; without a valley between 0.2 and 0.8 they are even."""
+    n = F.greatest(F.size(v), F.lit(1))
+    down = step(F.transform(v, lambda y: -y))
+    # Null without a valley.
+    p = step(_position(P.tallest(down, P.peaks(down, _gap(n))), n))
+    s4, s6 = F.greatest(F.lit(0.15), p - 0.1), F.least(F.lit(0.85), p + 0.1)
+    turned = F.array(F.lit(0.0), 0.3 * s4, 0.7 * s4, s4, p, s6, s6 + (1 - s6) * 0.5, F.lit(1.0))
+    places = step(F.when((p > 0.2) & (p < 0.8), turned).otherwise(_fixed([k / 7 for k in range(8)])))
+    found = step(F.transform(places, lambda q: F.round(_interpolated(v, q), 9)))
+    r = step(S.correlation(found, _fixed(CIRCLE)))
+    s = [S.at(found, F.lit(k)) for k in range(8)]
+    lowest = step(F.least(*s[3:6]))
+    fall, climb = s[0] > lowest + 0.1, s[7] > lowest + 0.1
+    valley = lowest < (s[0] + s[1] + s[2] + s[3]) / 4 - 0.1
+    yes = lambda c, w: F.when(c, w).otherwise(0.0)
+    score = S.clip(0.4 * F.greatest(F.lit(0.0), r) + yes(fall, 0.3) + yes(climb, 0.3) + yes(valley, 0.2) + yes(s[2] < s[1], 0.1) + yes(s[6] > s[5], 0.1))
+    rules = lambda t: [((t > 0.7) & fall & climb, "full_circle"), (fall & ~climb, "truncated_descent"), (~fall & climb, "ascent_only"), (r < -0.3, "inverted"), (t > 0.4, "partial_circle")]
+    return _conform(step, n, score, rules, "non_conforming", descent=S.at(places, F.lit(2)), valley=F.coalesce(p, S.at(places, F.lit(4))), ascent=S.at(places, F.lit(6)))
+
+
+def _counts(x: Column, low: Column, high: Column, bins: Column) -> Column:
+    """How many values each of equal bins between low and high has, the last one with its upper end; all in the middle one if low is high."""
+    place = F.transform(x, lambda v: F.when(high > low, F.least(F.floor((v - low) / (high - low) * bins), bins - 1)).otherwise(F.floor(bins / 2)).cast("int"))
+    return S.let(place, lambda at: F.transform(F.sequence(F.lit(0), bins - 1), lambda b: F.size(F.filter(at, lambda p: p == b))))
 
-    def judged(ordeal: Column, p: Column, found: Column, back: Column) -> Column:
-        depth, change = 1 - S.at(v, ordeal), F.element_at(v, -1) - S.at(v, F.lit(0))
-        one, two = F.slice(v, 1, third), F.slice(v, third + 1, third)
-        departure = 0.3 * F.when(S.slope(one) < 0, 1.0).otherwise(0.5) + 0.3 * F.when(p > 0.3, 1.0).otherwise(0.5) + 0.4 * F.least(F.lit(1.0), 10 * S.variance(one))
-        initiation = 0.3 * F.when(S.slope(two) < 0, 1.0).otherwise(0.5) + 0.4 * depth + 0.3 * F.when(p.between(0.4, 0.7), 1.0).otherwise(0.4)
-        place = F.when(p.between(0.45, 0.65), 1.0).when(p.between(0.35, 0.75), 0.7).otherwise(0.3)
-        score = (S.clip(S.correlation(found, _fixed(HERO))) + place + depth + S.clip(change + 0.5) + departure + initiation + back) / 7
-        rules = lambda s: [((s > 0.7) & (depth > 0.4), "classic"), (s > 0.55, "modified"), (depth < 0.2, "flat"), (change < -0.2, "tragic"), (back < 0.3, "incomplete")]
-        return _conform(n, score, rules, "non_journey", ordeal=F.round(p, 6))
 
-    def stages(ordeal: Column, p: Column) -> Column:
-        places = [p / 0.55 * e if e <= 0.55 else p + (e - 0.55) * (1 - p) / 0.45 for e in STAGES12]
-        return F.array(*(_interpolated(v, F.least(F.lit(1.0), q)) for q in places))
-
-    def homecoming(ordeal: Column, p: Column, found: Column) -> Column:
-        three = F.slice(v, 2 * third + 1, n)
-        change = F.element_at(v, -1) - S.at(v, F.lit(0))
-        return 0.3 * F.when(S.slope(three) > 0, 1.0).otherwise(0.3) + 0.3 * F.coalesce(F.array_max(three), F.lit(0.0)) + 0.4 * S.clip(change + 0.5)
-
-    return S.lets(judged, lambda: low + S.argmin(F.slice(v, low + 1, high - low)), lambda ordeal: _position(ordeal, n), stages, homecoming)
-
-
-CIRCLE = [0.5, 0.4, 0.3, 0.2, 0.1, 0.4, 0.7, 0.8]
+def divergence(p: Column, q: Column, base: float = 2.0) -> Column:
+    """Kullback-Leibler divergence of two lists of shares."""
+    return F.aggregate(F.zip_with(p, q, lambda a, b: a * F.log(base, a / b)), F.lit(0.0), lambda s, v: s + v)
 
 
-@_on_prepared
-def circle(x: Column, v: Column) -> Column:
-    """Eight stages down into a valley and up again."""
+@S.bound
+def local_divergence(x: Column, states: int = 20, bins: int = 14) -> Column:
+    """Symmetric divergence in nats between neighbouring windows that overlap by half, drawn out to the length of the series."""
     n = F.size(x)
+    w = F.greatest(F.lit(5), (n / states).cast("int"))
+    step = (w / 2).cast("int")
 
-    def judged(p: Column, found: Column, r: Column) -> Column:
-        inner = (p > 0.2) & (p < 0.8)
-        start, bottom, end = S.at(found, F.lit(0)), S.at(found, F.lit(4)), S.at(found, F.lit(7))
-        down, up = bottom < start - 0.1, end > bottom + 0.1
-        yes = lambda c: F.when(c, 1.0).otherwise(0.0)
-        score = S.clip(0.4 * F.greatest(F.lit(0.0), r) + 0.3 * yes(down) + 0.3 * yes(up) + 0.2 * yes(inner) + 0.1 * yes(down) + 0.1 * yes(up))
-        rules = lambda s: [((s > 0.7) & down & up, "full_circle"), (down & ~up, "truncated"), (~down & up, "ascent_only"), (r < -0.3, "inverted"), (s > 0.4, "partial")]
-        return _conform(n, score, rules, "non_conforming", valley=F.round(p, 6))
-
-    def lowest() -> Column:
-        flipped = lambda f: F.coalesce(P.tallest(f, P.peaks(f, F.greatest((n / 10).cast("int"), F.lit(1)), 0.05)), S.argmin(v))
-        return _position(S.let(F.transform(v, lambda y: 1 - y), flipped), n)
-
-    def stages(p: Column) -> Column:
-        s4, s6 = F.greatest(F.lit(0.15), p - 0.1), F.least(F.lit(0.85), p + 0.1)
-        turned = [F.lit(0.0), 0.3 * s4, 0.7 * s4, s4, p, s6, (s6 + 1) / 2, F.lit(1.0)]
-        even = [F.lit(k / 7) for k in range(8)]
-        return F.array(*(_interpolated(v, F.when((p > 0.2) & (p < 0.8), a).otherwise(b)) for a, b in zip(turned, even, strict=True)))
-
-    return S.lets(judged, lowest, stages, lambda p, found: S.correlation(found, _fixed(CIRCLE)))
+    def shares(part: Column, low: Column, high: Column) -> Column:
+        # Densities over the bins' width, with a trace in each.
+        raw = F.transform(_counts(part, low, high, F.lit(bins)), lambda c: c / w + 1e-10 * (high - low) / bins)
+        return S.let(raw, lambda r: S.let(S.total(r), lambda t: F.transform(r, lambda v: v / t)))
 
+    def between(now: Column, then: Column) -> Column:
+        low, high = F.least(F.array_min(now), F.array_min(then)), F.greatest(F.array_max(now), F.array_max(then))
+        both = lambda lo, hi: S.lets(lambda p, q: (divergence(p, q, math.e) + divergence(q, p, math.e)) / 2, lambda: shares(now, lo, hi), lambda p: shares(then, lo, hi))
+        return S.lets(lambda lo, hi: F.when(hi > lo, both(lo, hi)).otherwise(0.0), lambda: low, lambda lo: high)
 
-def _histogram(x: Column, low: Column, high: Column, bins: int) -> Column:
-    """Shares of equal bins, a little added to each."""
-    place = F.transform(x, lambda v: F.when(high > low, F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(0).cast("int"))
-    return S.let(place, lambda at: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: (F.size(F.filter(at, lambda p: p == b)) + 0.1) / (F.size(at) + 0.1 * bins)))
-
-
-def divergence(p: Column, q: Column, base: float = 2.0) -> Column:
-    """Kullback-Leibler divergence of two lists of shares."""
-    return F.aggregate(F.zip_with(p, q, lambda a, b: a * F.log(base, a / b)), F.lit(0.0), lambda s, v: s + v)
+    starts = F.sequence(F.lit(0), F.greatest(n - w - 1, F.lit(0)), step)
+    steps = F.transform(starts, lambda i: S.lets(between, lambda: F.slice(x, i + 1, w), lambda now: F.slice(x, F.greatest(F.least(i + step, n - w), F.lit(0)) + 1, w)))
+    return S.let(steps, lambda s: F.when((n > w) & (F.size(s) > 1), F.transform(x, lambda v, i: _interpolated(s, _position(i, n)))).otherwise(F.transform(x, lambda v: F.lit(0.0))))
 
 
 @S.bound
-def local_divergence(x: Column, bins: int = 14) -> Column:
-    """Symmetric divergence between neighbouring windows, as long as the series."""
-    n = F.size(x)
-    w = F.greatest(F.lit(5), (n / 20).cast("int"))
+def local_entropy(x: Column, window: int = 20) -> Column:
+    """Entropy in nats of the values around each, in at most ten bins; 0 for fewer than three values."""
+    n, half = F.size(x), window // 2
 
-    def steps(low: Column, high: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(n - 2 * w, F.lit(0)), F.greatest((w / 2).cast("int"), F.lit(1)))
-        part = lambda i: _histogram(F.slice(x, i + 1, w), low, high, bins)
-        return F.transform(starts, lambda i: S.lets(lambda p, q: (divergence(p, q) + divergence(q, p)) / 2, lambda: part(i), lambda p: part(i + w)))
+    def one(part: Column) -> Column:
+        bins = F.least(F.lit(10), (F.size(part) / 2).cast("int") + 1)
+        h = lambda c: -F.aggregate(c, F.lit(0.0), lambda a, k: a + F.when(k > 0, k / F.size(part) * F.log(k / F.size(part))).otherwise(0.0))
+        return F.when(F.size(part) < 3, 0.0).otherwise(h(_counts(part, F.array_min(part), F.array_max(part), bins)))
 
-    found = S.lets(steps, lambda: F.array_min(x), lambda low: F.array_max(x))
-    return S.let(found, lambda s: F.transform(x, lambda v, i: _interpolated(s, i / F.greatest(n - 1, F.lit(1)))))
+    start = lambda i: F.greatest(i - half, F.lit(0))
+    return F.transform(x, lambda v, i: S.let(F.slice(x, start(i) + 1, F.least(i + half, n) - start(i)), one))
 
 
-def with_four_act(df: DataFrame, series: str, out: str = "four_act") -> DataFrame:
-    """Add the four-act structure: a turn without conflict in the second half. Its steps are columns, which are computed once."""
-    x = F.col(series)
-    n = F.size(x)
-    dt = 1 / F.greatest(n - 1, F.lit(1)).cast("double")
-    share = lambda a, q: F.element_at(F.array_sort(a), F.greatest(F.ceil(q * n).cast("int"), F.lit(1)))
-    kl, bend, slope = F.col("_kl"), F.col("_bend"), F.col("_slope")
-
-    def candidate(i: Column) -> Column:
-        weight = F.greatest(F.lit(0.2), 1 - 2 * F.abs(_position(i, n) - 0.6))
-        moved = F.when(S.at(kl, i) >= F.col("_kl_top"), S.at(kl, i) * weight).otherwise(0.0)
-        curved = F.when(S.at(bend, i) >= F.col("_bend_top"), 0.5 * weight * S.at(bend, i) / F.greatest(F.col("_bend_most"), F.lit(1e-9))).otherwise(0.0)
-        return F.struct((moved + curved).alias("s"), (-i).alias("i"))
-
-    inside = F.sequence((0.4 * n).cast("int"), F.greatest((0.8 * n).cast("int") - 1, (0.4 * n).cast("int")))
-    found = (
-        df.withColumns({"_kl": local_divergence(x), "_slope": S.gradient(S.gaussian(x, 2.0), dt)})
-        .withColumn("_bend", F.zip_with(S.gradient(slope, dt), slope, lambda b, s: F.abs(b) / F.pow(1 + s * s, F.lit(1.5))))
-        .withColumns({"_kl_top": share(kl, 0.75), "_bend_top": share(bend, 0.85), "_bend_most": F.array_max(bend)})
-        .withColumn("_best", F.array_max(F.transform(inside, candidate)))
-        .withColumns({"_strength": S.clip(F.col("_best.s")), "_ten": -F.col("_best.i"), "_spread": F.greatest(S.deviation(x), F.lit(1e-9))})
-    )
-    ten, spread, strength = F.col("_ten"), F.col("_spread"), F.col("_strength")
-    before, after = F.slice(x, 1, ten), F.slice(x, ten + 1, n)
-    parts = found.withColumns({"_smooth": F.coalesce(1 / (1 + S.deviation(S.differences(before)) / spread), F.lit(1.0)), "_compressed": F.coalesce(S.deviation(before) - S.deviation(after), F.lit(0.0)), "_pos": _position(ten, n)})
-    smooth, compressed, pos = F.col("_smooth"), F.col("_compressed"), F.col("_pos")
-    calm = F.when(compressed > 0, S.clip(compressed / spread)).otherwise(0.0)
-    inner = S.clip(1 - 2 * F.abs(pos - 0.6))
-    first = 0.15 * smooth + 0.15 * inner + 0.35 * strength + 0.35 * calm
-    real = strength > 0.05
-    rules = lambda s: [((first > 0.45) & (smooth > 0.35) & real & pos.between(0.55, 0.75) & (compressed > 0.08), "classic"), ((first > 0.40) & pos.between(0.50, 0.75) & (compressed > 0.03), "modern"), (real & pos.between(0.55, 0.78) & (compressed > 0.01), "subtle"), ((pos < 0.5) | (compressed <= 0), "western_like"), (~real & (smooth > 0.45), "zuihitsu")]
-    told = _conform(n, 0.2 * smooth + 0.2 * inner + 0.35 * strength + 0.25 * calm, rules, "hybrid", turn=F.round(pos, 6), compression=F.round(compressed, 6))
-    return parts.withColumn(out, told).drop("_kl", "_slope", "_bend", "_kl_top", "_bend_top", "_bend_most", "_best", "_strength", "_ten", "_spread", "_smooth", "_compressed", "_pos")
+@S.bound
+def percentile(x: Column, q: float) -> Column:
+    """By linear interpolation between ordered values."""
+    return _interpolated(F.sort_array(x), F.lit(q))
+
+
+def _around(x: Column, i: Column, reach: int = 5) -> Column:
+    """Mean of the values from ``reach`` before up to ``reach`` after."""
+    low = F.greatest(i - reach, F.lit(0))
+    return S.mean(F.slice(x, low + 1, F.least(i + reach, F.size(x)) - low))
+
+
+def four_act(step: Steps, x: Column) -> Column:
+    """A turn without conflict in the second half, from the series as it is."""
+    n = F.greatest(F.size(x), F.lit(1))
+    nine = lambda a: F.transform(a, lambda v: F.round(v, 9))
+    kl, entropy = step(nine(local_divergence(x))), step(local_entropy(x))
+    slope = step(S.gradient(S.gaussian(x, 2.0), F.lit(1.0)))
+    bend = step(nine(F.zip_with(S.gradient(slope, F.lit(1.0)), slope, lambda b, s: F.abs(b) / F.pow(1 + s * s, F.lit(1.5)))))
+    low, high = (0.4 * n).cast("int"), (0.8 * n).cast("int")
+    part = lambda a: F.slice(a, low + 1, F.greatest(high - low, F.lit(1)))
+
+    def spikes(own: Column, top: Column) -> Column:
+        """Places in the region with a peak at ``top`` or more."""
+        found = F.transform(P.peaks(part(own), F.greatest(((high - low) / 5).cast("int"), F.lit(1))), lambda i: i + low)
+        return F.when(high - low > 3, F.filter(found, lambda i: S.at(own, i) >= top)).otherwise(F.array().cast("array<int>"))
+
+    def candidates(own: Column, top: Column, other: Column, other_top: Column, weight: float, order: int, name: str) -> Column:
+        place = lambda i: F.greatest(F.lit(0.2), 1 - 2 * F.abs(i / n - 0.6))
+        score = lambda i: S.at(own, i) * place(i) * (1 + F.least(F.lit(1.0), _around(other, i) / (other_top + 1e-8))) * weight
+        return F.transform(spikes(own, top), lambda i: F.struct(F.round(score(i), 9).alias("s"), F.lit(-order).alias("o"), (-i).alias("i"), S.at(own, i).alias("strength"), F.lit(name).alias("type")))
+
+    most = F.array_max(part(kl))
+    shift = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("o"), (-(low + S.argmax(part(kl)))).alias("i"), most.alias("strength"), F.lit("perspective_shift").alias("type"))
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("o"), (-(0.65 * n).cast("int")).alias("i"), F.lit(0.0).alias("strength"), F.lit("none").alias("type"))
+    kl_top, bend_top = step(percentile(kl, 0.75)), step(percentile(bend, 0.85))
+    found = step(F.concat(candidates(kl, kl_top, bend, bend_top, 1.0, 0, "kl_spike"), candidates(bend, bend_top, kl, kl_top, 0.5, 1, "curvature_anomaly")))
+    best = step(F.when(F.size(found) > 0, F.array_max(found)).when(most > 0.25, shift).otherwise(none))
+    ten, strength, kind = step(-best["i"]), best["strength"], best["type"]
+    end = F.least(ten, (0.6 * n).cast("int"))
+    before = step(F.slice(bend, 1, F.greatest(end, F.lit(1))))
+    mean, whole = step(S.mean(before)), step(S.mean(bend))
+    even = 0.6 * F.greatest(F.lit(0.0), F.when(whole > 0, 1 - mean / (whole + 1e-8)).otherwise(0.5)) + 0.4 / (1 + S.deviation(before) / (mean + 1e-8))
+    start = ten + (0.1 * n).cast("int")
+    now, then = step(_around(entropy, ten)), S.mean(F.slice(entropy, start + 1, n))
+    smooth = step(F.when(end < 5, 0.5).otherwise(S.clip(even)))
+    compressed = step(F.when(start >= n - 5, 0.0).otherwise(F.when(now > 0, S.clip((now - then) / now, -1.0)).otherwise(0.0)))
+    pos = step(ten / n)
+    ratio = step(S.mean(F.slice(bend, 1, F.greatest(ten, F.lit(1)))) / (S.mean(F.slice(bend, ten + 1, n)) + 1e-8))
+    place = F.when(pos.between(0.55, 0.72), 1.0).when(pos.between(0.50, 0.75), 0.8).when(pos.between(0.40, 0.55), 0.5).otherwise(0.3)
+    turn = F.when(kind == "none", 0.1).otherwise(F.least(F.lit(1.0), strength / 12) * place * F.when(kind == "kl_spike", 1.0).when(kind == "perspective_shift", 0.8).otherwise(0.6))
+    calm = F.when(compressed > 0.15, F.least(F.lit(1.0), 3 * compressed)).when(compressed > 0.05, 2 * compressed).when(compressed > 0, compressed).otherwise(0.05)
+    growth = F.when((ratio > 0) & (ratio < 0.9), 1.2).when(ratio > 1.2, 0.7).otherwise(1.0)
+    ki, sho, turned, calmed = step(S.clip(0.8 * smooth * growth)), step(S.clip(0.7 * smooth * growth)), step(turn), step(calm)
+    first = 0.15 * ki + 0.15 * sho + 0.35 * turned + 0.35 * calmed
+    belief = kind.isin("kl_spike", "perspective_shift")
+    rules = lambda s: [
+        ((first > 0.45) & (smooth > 0.35) & belief & pos.between(0.55, 0.75) & (compressed > 0.08), "classic_kishotenketsu"),
+        ((first > 0.40) & belief & pos.between(0.50, 0.75) & (compressed > 0.03), "modern_kishotenketsu"),
+        ((kind != "none") & pos.between(0.55, 0.78) & (compressed > 0.01), "subtle_kishotenketsu"),
+        ((pos < 0.50) | (compressed <= 0) | ((kind == "curvature_anomaly") & (compressed < 0.02)), "western_conflict"),
+        ((kind == "none") & (smooth > 0.45), "zuihitsu"),
+    ]
+    return _conform(step, n, 0.2 * ki + 0.2 * sho + 0.35 * turned + 0.25 * calmed, rules, "hybrid", turn=pos, turn_type=kind, strength=strength, smoothness=smooth, compression=compressed)
 
 
 def six_curves(n: int = 100) -> dict[str, list[float]]:
@@ -292,45 +348,51 @@ def six_shapes(x: Column, sigma: float | None = 3.0) -> Column:
     return S.let(S.let(S.resample(S.minmax(S.gaussian(x, sigma) if sigma else x), 100), ranked), told)
 
 
-def shape_features(x: Column, prominence: float) -> Column:
-    """Struct of a resampled, scaled and smoothed series' features."""
-
-    def told(v: Column) -> Column:
-        up, down = P.peaks(v, 10, prominence), P.peaks(F.transform(v, lambda y: 1 - y), 10, prominence)
-        return F.struct(F.size(up).alias("up"), F.size(down).alias("down"), (S.at(v, F.lit(99)) - S.at(v, F.lit(0))).alias("net"), S.deviation(S.differences(v)).alias("volatility"), S.mirror_symmetry(v).alias("symmetry"), S.determination(v).alias("r2"), (S.argmax(v) / 99.0).alias("top"), (S.argmin(v) / 99.0).alias("low"))
+def shape_features(step: Steps, x: Column, prominence: float) -> dict[str, Column]:
+    """Features of a resampled, scaled and smoothed series."""
+    scaled = step(S.minmax(S.resample(x, 100), 0.5, 1e-8))
+    v = step(F.transform(S.savitzky_golay(scaled), lambda y: F.round(y, 9)))
+    down = step(F.transform(v, lambda y: -y))
+    up, low = step(P.peaks(v, 10, prominence)), step(P.peaks(down, 10, prominence))
+    top, bottom = F.coalesce(P.tallest(v, up), S.argmax(v)) / 100.0, F.coalesce(P.tallest(down, low), S.argmin(v)) / 100.0
+    found = {"up": F.size(up), "down": F.size(low), "net": S.at(v, F.lit(99)) - S.at(v, F.lit(0)), "volatility": S.deviation(S.differences(v)), "symmetry": S.mirror_symmetry(v), "r2": S.determination(v, 1e-8), "top": top, "low": bottom}
+    return {k: step(c) for k, c in found.items()}
 
-    return S.let(S.savitzky_golay(S.minmax(S.resample(x, 100), 0.5)), told)
 
+def icc(step: Steps, x: Column) -> Column:
+    """Five classes by net change, peaks, volatility, symmetry and trend; 0 if no class fits in all.
 
-def icc(x: Column) -> Column:
-    """Five classes by net change, peaks, volatility, symmetry and trend; 0 if no class fits in all."""
+    Classes 1 and 2 fit better than the others where more than one fits in all.
+    """
+    f = shape_features(step, x, 0.08)
+    net, n, vol, sym, r2 = (f[k] for k in ("net", "up", "volatility", "symmetry", "r2"))
+    calm, lively = vol <= 0.07, (n >= 4) & (vol >= 0.05)
+    k = F.when(net.between(0.15, 1) & (n <= 3) & calm, 1).when(net.between(-1, -0.15) & (n <= 4) & calm, 2).when(net.between(-0.2, 0.2) & lively & (sym >= 0.3), 3).when(net.between(0.15, 1) & lively & (r2 >= 0.15), 4).when(net.between(-1, -0.15) & lively & (r2 >= 0.15), 5).otherwise(0)
+    return F.struct(k.alias("icc"), F.round(net, 6).alias("net"), n.alias("peaks"), F.round(vol, 6).alias("volatility"), F.round(sym, 6).alias("symmetry"), F.round(r2, 6).alias("r2"))
 
-    def told(f: Column) -> Column:
-        net, n, vol, sym, r2 = (f[k] for k in ("net", "up", "volatility", "symmetry", "r2"))
-        calm, lively = vol <= 0.07, (n >= 4) & (vol >= 0.05)
-        k = F.when(net.between(0.15, 1) & (n <= 3) & calm, 1).when(net.between(-1, -0.15) & (n <= 4) & calm, 2).when(net.between(-0.2, 0.2) & lively & (sym >= 0.3), 3).when(net.between(0.15, 1) & lively & (r2 >= 0.15), 4).when(net.between(-1, -0.15) & lively & (r2 >= 0.15), 5).otherwise(0)
-        return F.struct(k.alias("icc"), F.round(net, 6).alias("net"), n.alias("peaks"), F.round(vol, 6).alias("volatility"), F.round(sym, 6).alias("symmetry"), F.round(r2, 6).alias("r2"))
 
-    return S.let(shape_features(x, 0.08), told)
-
-
-def compound_icc(x: Column) -> Column:
+def compound_icc(step: Steps, x: Column) -> Column:
     """Seven classes of a compound series by a cascade of rules."""
+    f = shape_features(step, x, 0.05)
+    net, sym, r2, n, m, top, low = (f[k] for k in ("net", "symmetry", "r2", "up", "down", "top", "low"))
+    yes = lambda c, w: F.when(c, w).otherwise(0.0)
+    inside = lambda c, a, b: (c > a) & (c < b)
+    size = F.abs(net)
+    coherence = step(yes(r2 > 0.5, 0.3) + yes(sym > 0.7, 0.3) + yes(size > 0.4, 0.2) + yes(inside(top, 0.15, 0.85) | inside(low, 0.15, 0.85), 0.1) + yes((n <= 6) & (m <= 6), 0.1))
+    k = (
+        F.when((coherence < 0.25) & (sym < 0.8), 0).when((net > 0.4) & (r2 > 0.5), 1).when((net < -0.4) & (r2 > 0.5), 2)
+        .when((size < 0.25) & inside(top, 0.2, 0.8) & (sym > 0.25) & n.between(1, 4), 3).when((size < 0.25) & inside(low, 0.2, 0.8) & (sym > 0.25) & m.between(1, 4), 4)
+        .when((sym > 0.9) & (n >= 1) & inside(top, 0.3, 0.7) & (net > -0.2), 5).when((sym > 0.9) & (m >= 1) & inside(low, 0.3, 0.7) & (net < 0.2), 6)
+        .when((net > 0.25) & (r2 > 0.3), 1).when((net < -0.25) & (r2 > 0.3), 2).otherwise(0)
+    )
+    return F.struct(k.alias("cicc"), F.round(coherence, 6).alias("coherence"), F.round(net, 6).alias("net"))
 
-    def told(f: Column) -> Column:
-        net, sym, r2, n, m, top, low = (f[k] for k in ("net", "symmetry", "r2", "up", "down", "top", "low"))
-        yes = lambda c, w: F.when(c, w).otherwise(0.0)
-        size = F.abs(net)
-        coherence = yes(r2 > 0.5, 0.3) + yes(sym > 0.7, 0.3) + yes(size > 0.4, 0.2) + yes(top.between(0.15, 0.85) | low.between(0.15, 0.85), 0.1) + yes((n <= 6) & (m <= 6), 0.1)
-        k = (
-            F.when((coherence < 0.25) & (sym < 0.8), 0).when((net > 0.4) & (r2 > 0.5), 1).when((net < -0.4) & (r2 > 0.5), 2)
-            .when((size < 0.25) & top.between(0.2, 0.8) & (sym > 0.25) & n.between(1, 4), 3).when((size < 0.25) & low.between(0.2, 0.8) & (sym > 0.25) & m.between(1, 4), 4)
-            .when((sym > 0.9) & (n >= 1) & top.between(0.3, 0.7) & (net > -0.2), 5).when((sym > 0.9) & (m >= 1) & low.between(0.3, 0.7) & (net < 0.2), 6)
-            .when((net > 0.25) & (r2 > 0.3), 1).when((net < -0.25) & (r2 > 0.3), 2).otherwise(0)
-        )
-        return F.struct(k.alias("cicc"), F.round(coherence, 6).alias("coherence"), F.round(net, 6).alias("net"))
 
-    return S.let(shape_features(x, 0.05), told)
+def with_icc(df: DataFrame, series: str) -> DataFrame:
+    """Add the classes of a series (icc) and of its compound series (cicc)."""
+    step = Steps(df)
+    x = F.col(f"`{series}`")
+    return step.done({"icc": icc(step, x), "cicc": compound_icc(step, step(S.compound(x)))})
 
 
 @S.bound
@@ -432,15 +494,26 @@ def plot_structure(states: Column) -> Column:
     return F.when(F.size(states) < 4, "too_short").otherwise(_label([(calm & peak & solved, "classic_arc"), (calm & peak, "tragic_arc"), (~calm & peak, "in_medias_res"), (~peak, "episodic")], "episodic"))
 
 
-DETECTORS = {"aristotle": aristotle, "freytag": freytag, "campbell": campbell, "circle": circle, "six_shapes": six_shapes}
+#: Detectors of a smooth series between 0 and 1, and those of the series as it is.
+ON_SMOOTH: dict[str, Detector] = {"aristotle": aristotle, "freytag": freytag, "campbell": campbell, "circle": circle}
+ON_RAW: dict[str, Detector] = {"six_shapes": lambda step, x: step(six_shapes(x)), "four_act": four_act}
+DETECTORS = (*ON_SMOOTH, *ON_RAW)
+
+
+def with_detectors(df: DataFrame, series: str, names: tuple[str, ...] = DETECTORS) -> DataFrame:
+    """Add a struct column for each detector, all in one pass over the rows and without a shuffle."""
+    step = Steps(df)
+    x = F.col(f"`{series}`")
+    smooth = step(_prepared(x)) if set(names) & ON_SMOOTH.keys() else x
+    return step.done({name: ON_SMOOTH[name](step, smooth) if name in ON_SMOOTH else ON_RAW[name](step, x) for name in names})
 
 
-def with_detectors(df: DataFrame, series: str) -> DataFrame:
-    """Add a struct column for each detector."""
-    return with_four_act(df.withColumns({name: f(F.col(series)) for name, f in DETECTORS.items()}), series)
+def pattern_of(name: str) -> Column:
+    """What a detector's column says about a document, as a name."""
+    return F.col(f"{name}.{'shape' if name == 'six_shapes' else 'pattern'}")
 
 
-def ranked() -> Column:
+def ranked(names: tuple[str, ...] = DETECTORS) -> Column:
     """The detectors' columns as structs (score, model, pattern), best first; short series have score 0."""
-    each = [F.struct(F.coalesce(F.col(f"{name}.score"), F.lit(0.0)).alias("score"), F.lit(name).alias("model"), F.col(f"{name}.{'shape' if name == 'six_shapes' else 'pattern'}").alias("pattern")) for name in (*DETECTORS, "four_act")]
-    return F.reverse(F.array_sort(F.array(*each)))
+    each = [F.struct(F.coalesce(F.col(f"{name}.score"), F.lit(0.0)).alias("score"), F.lit(name).alias("model"), pattern_of(name).alias("pattern")) for name in names]
+    return F.reverse(F.sort_array(F.array(*each)))

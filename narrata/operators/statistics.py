@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrata.workspace import Workspace
+
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
@@ -40,16 +42,16 @@ def t_tests(df: DataFrame, first: Column, value: str, digits: int = 6) -> DataFr
     return _two(df, first, value).select(r(diff / F.sqrt(F.nullif(pooled * (1 / n1 + 1 / n2), F.lit(0.0)))).alias("t_pooled"), (n1 + n2 - 2).alias("df_pooled"), r(diff / F.sqrt(F.nullif(a + b, F.lit(0.0)))).alias("t_welch"), r((a + b) * (a + b) / F.nullif(a * a / (n1 - 1) + b * b / (n2 - 1), F.lit(0.0))).alias("df_welch"))
 
 
-def average_ranks(df: DataFrame, value: str, *also: Column) -> DataFrame:
+def average_ranks(ws: Workspace, df: DataFrame, value: str, *also: Column) -> DataFrame:
     """(value, n, also..., before, rank): distinct values with their counts, the count of smaller ones, and the mean rank.
 
-    Only distinct values are ordered, one group of 2**16 value ranges at a
-    time, with the counts of lower ranges added.
+    Only distinct values are ordered, dealt by ranges that hold equally many of
+    them, with the counts of lower ranges added.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"), *also)
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    wide = (high - low) if low is not None and high > low else 1.0
-    placed = counts.withColumn("_part", F.floor((F.col("value") - F.lit(low if low is not None else 0.0)) / F.lit(float(wide)) * 65535))
+    counts = ws.save(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"), *also), "counts")
+    tasks = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = ws.save(counts.repartitionByRange(tasks, "value").withColumn("_part", F.spark_partition_id()), "ranges")
+    # One row for each range: their number is the setting.
     parts = placed.groupBy("_part").agg(F.sum("n").alias("_n")).withColumn("_lower", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = placed.withColumn("_inside", inside).join(parts, "_part").withColumn("before", F.col("_inside") + F.col("_lower"))
@@ -58,7 +60,8 @@ def average_ranks(df: DataFrame, value: str, *also: Column) -> DataFrame:
 
 def mann_whitney(df: DataFrame, first: Column, value: str, digits: int = 6) -> DataFrame:
     """U of the first group, Cliff's delta, AUC, rank-biserial r, and z with corrections for ties and continuity."""
-    ranks = average_ranks(df, value, F.count_if(first).alias("n_first"))
+    rows = df.select(F.col(value).alias("v"), first.alias("first")).where("first is not null")
+    ranks = average_ranks(Workspace(df.sparkSession, "ranks"), rows, "v", F.count_if("first").alias("n_first"))
     n1, n2, u = F.col("n1"), F.col("n2"), F.col("u")
     n = n1 + n2
     all_ = ranks.agg(F.sum(F.col("n_first") * F.col("rank")).alias("r"), F.sum("n_first").alias("n1"), F.sum(F.col("n") - F.col("n_first")).alias("n2"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
@@ -110,37 +113,73 @@ def p_normal(z: float) -> float:
 
 
 def spearman(df: DataFrame, x: str, y: str, digits: int = 6) -> DataFrame:
-    """Correlation of average ranks."""
-    rx = average_ranks(df, x).select(F.col("value").alias(x), F.col("rank").alias("rx"))
-    ry = average_ranks(df, y).select(F.col("value").alias(y), F.col("rank").alias("ry"))
-    return df.select(x, y).join(rx, x).join(ry, y).agg(F.round(F.corr("rx", "ry"), digits).alias("rho"), F.count("*").alias("n"))
+    """Correlation of average ranks, of the rows that have both values."""
+    ws = Workspace(df.sparkSession, "spearman")
+    rows = ws.save(df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null"), "rows")
+    rx = average_ranks(ws, rows, "x").select(F.col("value").alias("x"), F.col("rank").alias("rx"))
+    ry = average_ranks(ws, rows, "y").select(F.col("value").alias("y"), F.col("rank").alias("ry"))
+    return rows.join(rx, "x").join(ry, "y").agg(F.round(F.corr("rx", "ry"), digits).alias("rho"), F.count("*").alias("n"))
 
 
-def bootstrap(df: DataFrame, value: str, draws: int = 1000, level: float = 0.95, seed: int = 42, statistic=F.avg) -> DataFrame:
-    """Interval of a statistic over Poisson resamples: each row counts k times in a draw, k told by a hash of row and draw.
+def unit_draw(*parts: Column | int) -> Column:
+    """A number of 0 to 1 for each combination of parts, by MD5, so that every engine draws the same."""
+    named = F.concat_ws(":", *((p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts))
+    return (F.conv(F.left(F.md5(named), F.lit(7)), 16, 10).cast("long") + 0.5) / float(1 << 28)
 
-    Every draw is a group of partial sums, so rows are never copied through a shuffle.
-    """
-    u = (F.pmod(F.xxhash64("_id", "draw", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+
+#: Statistics of values v that count k times each.
+STATISTICS = {
+    "mean": lambda v, k: F.sum(k * v) / F.nullif(F.sum(k), F.lit(0)),
+    "std": lambda v, k: F.sqrt(F.greatest(F.lit(0.0), F.sum(k * v * v) / F.nullif(F.sum(k), F.lit(0)) - F.pow(F.sum(k * v) / F.nullif(F.sum(k), F.lit(0)), F.lit(2)))),
+    "median": lambda v, k: F.percentile(v, F.lit(0.5), k),
+}
+
+
+def _poisson(u: Column) -> Column:
+    """How often a row counts in a draw: a Poisson number of mean one from a number of 0 to 1."""
     steps, p, c = [], math.exp(-1), 0.0
     for k in range(9):
         c += p
         steps.append((c, k))
         p /= k + 1
-    times = F.coalesce(*(F.when(u < F.lit(c), F.lit(k)) for c, k in steps), F.lit(9))
-    each = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.struct("*")).alias("_id"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    means = each.withColumn("k", times).groupBy("draw").agg((F.sum(F.col("k") * F.col("v")) / F.nullif(F.sum("k"), F.lit(0))).alias("m"))
+    return F.coalesce(*(F.when(u < F.lit(c), F.lit(k)) for c, k in steps), F.lit(9))
+
+
+def bootstrap(df: DataFrame, id: str, value: str, draws: int = 1000, level: float = 0.95, seed: int = 42, statistic: str = "mean", first: Column | None = None) -> DataFrame:
+    """(point, low, high): a statistic ("mean", "std", "median") and its interval over Poisson resamples.
+
+    A row counts k times in a draw, k told by a hash of its ``id`` and the
+    draw: ids must differ, or rows move together. With ``first`` it is the
+    statistic of the first group less that of the others. Every draw is a group
+    of partial sums, so rows are never copied through a shuffle. Null values
+    take no part; without values all three are null.
+    """
+    f = STATISTICS[statistic]
+    rows = df.select(F.col(id).alias("_id"), F.col(value).cast("double").alias("v"), (F.lit(True) if first is None else first).alias("first")).where("v is not null and first is not null")
+    of = lambda k: f(F.col("v"), F.when(F.col("first"), k).otherwise(0)) if first is None else f(F.col("v"), F.when(F.col("first"), k).otherwise(0)) - f(F.col("v"), F.when(F.col("first"), 0).otherwise(k))
+    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("k", _poisson(unit_draw(F.col("_id"), F.col("draw"), seed)))
+    found = each.groupBy("draw").agg(of(F.col("k")).alias("m"))
     half = (1 - level) / 2
-    return means.agg(F.percentile("m", F.lit(half)).alias("low"), F.percentile("m", F.lit(1 - half)).alias("high"), F.avg("m").alias("mean"))
+    interval = found.agg(F.percentile("m", F.lit(half)).alias("low"), F.percentile("m", F.lit(1 - half)).alias("high"))
+    # Both have one row.
+    return rows.agg(of(F.lit(1)).alias("point")).crossJoin(interval)
 
 
-def permutation_test(df: DataFrame, first: Column, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Share of random splits with a difference of means as large as the real one; a hash of row and draw splits."""
-    real = df.agg(F.abs(F.avg(F.when(first, F.col(value))) - F.avg(F.when(~first, F.col(value)))).alias("real"), F.avg(first.cast("double")).alias("share"))
-    each = df.select(F.xxhash64(F.struct("*")).alias("_id"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).crossJoin(real)
-    side = F.pmod(F.xxhash64("_id", "draw", F.lit(seed)), F.lit(1_000_003)) < F.col("share") * 1_000_003
-    split = each.groupBy("draw").agg(F.abs(F.avg(F.when(side, F.col("v"))) - F.avg(F.when(~side, F.col("v")))).alias("d"), F.first("real").alias("real"))
-    return split.agg(((F.count_if(F.col("d") >= F.col("real")) + 1) / (F.count("*") + 1)).alias("p_value"), F.first("real").alias("difference"))
+def permutation_test(df: DataFrame, id: str, first: Column, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(difference, p_value): difference of the groups' means, and the share of random splits with one as large.
+
+    A hash of ``id`` and the draw deals each row to a side with the first
+    group's share: ids must differ. Null values and rows of no group take no
+    part; a split that leaves a side empty has no difference.
+    """
+    rows = df.select(F.col(id).alias("_id"), F.col(value).cast("double").alias("v"), first.alias("first")).where("v is not null and first is not null")
+    real = rows.agg((F.avg(F.when(F.col("first"), F.col("v"))) - F.avg(F.when(~F.col("first"), F.col("v")))).alias("difference"), F.avg(F.col("first").cast("double")).alias("share"))
+    # One row.
+    each = rows.crossJoin(real).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    side = unit_draw(F.col("_id"), F.col("draw"), seed) < F.col("share")
+    split = each.withColumn("side", side).groupBy("draw").agg((F.avg(F.when(F.col("side"), F.col("v"))) - F.avg(F.when(~F.col("side"), F.col("v")))).alias("d"), F.first("difference").alias("difference"))
+    extreme = F.count_if(F.abs(F.coalesce("d", F.lit(0.0))) >= F.abs("difference") - 1e-12)
+    return split.agg(F.first("difference").alias("difference"), ((extreme + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str, digits: int = 6) -> DataFrame:

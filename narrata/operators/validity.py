@@ -6,12 +6,12 @@ gives the same rows wherever it runs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narrata.functions import series as S
+from narrata.operators import detectors
+from narrata.workspace import Workspace
 
 
 def unit(*parts: Column | int) -> Column:
@@ -42,25 +42,48 @@ def shape_series(spark: SparkSession, count: int, curves: dict[str, list[float]]
     return rows.select("shape", "series_id", shaken.alias("x"))
 
 
-def falsifiability(real: DataFrame, null: DataFrame, score: Callable[[Column], Column], threshold: float = 0.5) -> DataFrame:
-    """How a detector tells real series (id, x) from noise, chunks in disorder, and time reversed.
+def _scores(df: DataFrame, names: tuple[str, ...], *columns: str) -> DataFrame:
+    """(columns..., model, score): each detector's score of series x, 0 for one too short."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("model"), F.coalesce(F.col(f"{n}.score"), F.lit(0.0)).alias("score")) for n in names)))
+    return detectors.with_detectors(df, "x", names).select(*columns, each.alias("_s")).select(*columns, "_s.*")
+
+
+def _areas(scored: DataFrame, first: Column, second: Column) -> DataFrame:
+    """(model, auc): how probably a score of the first kind is above one of the second, ties half.
 
-    One row: rejection and pass rates, AUC against random series, the weighted
-    score and its grade.
+    Scores have six digits, so the distinct ones of a detector are few.
     """
-    passed = lambda c: F.avg((F.coalesce(c, F.lit(0.0)) >= threshold).cast("double"))
-    nulls = null.withColumn("s", F.coalesce(score(F.col("x")), F.lit(0.0)))
-    rejects = nulls.groupBy().agg((1 - F.avg(F.when(F.col("kind") == "random", (F.col("s") >= threshold).cast("double")))).alias("random_rejected"), (1 - F.avg(F.when(F.col("kind") != "random", (F.col("s") >= threshold).cast("double")))).alias("noise_rejected"))
-    scored = real.select(score(F.col("x")).alias("s"), score(shuffled(F.col("x"), F.col("id"))).alias("mixed"), score(F.reverse("x")).alias("back"))
-    passes = scored.agg(passed(F.col("s")).alias("real_passed"), passed(F.col("mixed")).alias("shuffled_passed"), passed(F.col("back")).alias("reversed_passed"))
-    both = scored.select(F.coalesce("s", F.lit(0.0)).alias("s"), F.lit(True).alias("real")).union(nulls.where("kind = 'random'").select("s", F.lit(False)))
-    from narrata.operators.statistics import mann_whitney
-
-    auc = mann_whitney(both, F.col("real"), "s").select("auc")
-    one = rejects.crossJoin(passes).crossJoin(auc)
+    counts = scored.groupBy("model", "score").agg(F.count_if(first).alias("a"), F.count_if(second).alias("b"))
+    below = F.coalesce(F.sum("b").over(Window.partitionBy("model").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = counts.withColumn("won", F.col("a") * (below + F.col("b") / 2))
+    return won.groupBy("model").agg((F.sum("won") / F.nullif(F.sum("a") * F.sum("b"), F.lit(0))).alias("auc"))
+
+
+def falsifiability(real: DataFrame, null: DataFrame, names: tuple[str, ...] = detectors.DETECTORS, threshold: float = 0.5) -> DataFrame:
+    """How each detector tells real series (id, x) from series without structure (kind, x), from chunks in disorder, and from time reversed.
+
+    One row for each detector: rejection and pass rates, AUC against random
+    series, the weighted score, its grade, and what follows from it.
+    """
+    ws = Workspace(real.sparkSession, "falsifiability")
+    kinds = {"real": F.col("x"), "shuffled": shuffled(F.col("x"), F.col("id")), "reversed": F.reverse("x")}
+    own = real.select("id", "x").select(F.explode(F.create_map(*(c for k, v in kinds.items() for c in (F.lit(k), v)))).alias("kind", "x"))
+    scored = ws.save(_scores(own.unionByName(null.select("kind", "x")), names, "kind"), "scores")
+    share = lambda *of: F.avg(F.when(F.col("kind").isin(*of), (F.col("score") > threshold).cast("double")))
+    rates = scored.groupBy("model").agg((1 - share("random")).alias("random_rejected"), (1 - share("brownian", "smooth")).alias("noise_rejected"), share("real").alias("real_passed"), share("shuffled").alias("shuffled_passed"), share("reversed").alias("reversed_passed"))
+    one = rates.join(_areas(scored, F.col("kind") == "real", F.col("kind") == "random"), "model")
     total = 0.3 * F.col("random_rejected") + 0.2 * F.col("noise_rejected") + 0.25 * (1 - F.col("shuffled_passed")) + 0.1 * (1 - F.col("reversed_passed")) + 0.15 * 2 * (F.col("auc") - 0.5)
-    graded = one.withColumn("score", F.round(total, 6))
-    return graded.withColumn("grade", F.when(F.col("score") > 0.7, "GOOD").when(F.col("score") > 0.5, "MODERATE").when(F.col("score") > 0.3, "WEAK").otherwise("POOR"))
+    graded = one.withColumn("score", F.round(S.clip(total), 6))
+    grade = F.when(F.col("score") > 0.7, "GOOD").when(F.col("score") > 0.5, "MODERATE").when(F.col("score") > 0.3, "WEAK").otherwise("POOR")
+    notes = F.concat_ws(", ", F.when(F.col("score") < 0.3, "too loose"), F.when(F.col("shuffled_passed") > 0.5, "ignores order"), F.when(F.col("score") > 0.6, "recommended"))
+    return graded.withColumns({"grade": grade, "notes": notes})
+
+
+def discrimination(series: DataFrame, group: str, a: str, b: str, names: tuple[str, ...] = detectors.DETECTORS) -> DataFrame:
+    """(model, effect): size of the rank-biserial correlation of two groups' scores, for each detector; ``series`` is (group, x)."""
+    scored = _scores(series.where(F.col(group).isin(a, b)).select(F.col(group).alias("_group"), "x"), names, "_group")
+    areas = _areas(scored, F.col("_group") == a, F.col("_group") == b)
+    return areas.select("model", F.round(F.abs(2 * F.col("auc") - 1), 6).alias("effect"))
 
 
 def redundancy(scores: DataFrame, detectors: list[str], least: float = 0.7) -> DataFrame:

@@ -438,18 +438,21 @@ def prominent_peaks(spark, sf_dir):
     return _entropy(spark, sf_dir, NARROW).select("doc_id", F.explode(P.peaks(S.minmax(v), 3, 0.2)).alias("win_idx"))
 
 
-@query(f"""WITH {W50}, {O.LEXICAL}, n AS (SELECT *, lag(value) OVER (PARTITION BY doc_id ORDER BY win_idx) AS b FROM le) SELECT doc_id, round(regr_slope(value, win_idx), 6) + 0.0 AS slope, round(regr_r2(value, win_idx), 4) AS r2 FROM n GROUP BY doc_id HAVING count(*) > 2 AND stddev_pop(value) > 1e-6""")
+@query(f"""WITH {W50}, {O.LEXICAL}, n AS (SELECT *, lag(value) OVER (PARTITION BY doc_id ORDER BY win_idx) AS b FROM le) SELECT doc_id, round(regr_slope(value, win_idx), 6) + 0.0 AS slope, round(regr_r2(value, win_idx) + 1e-9, 4) AS r2 FROM n GROUP BY doc_id HAVING count(*) > 2 AND stddev_pop(value) > 1e-6""")
 def trajectory_trend(spark, sf_dir):
     v = F.col("lexical_entropy")
     docs = _entropy(spark, sf_dir).where((F.size(v) > 2) & (S.deviation(v) > 1e-6))
-    return docs.select("doc_id", (F.round(S.slope(v), 6) + 0.0).alias("slope"), F.round(S.determination(v), 4).alias("r2"))
+    return docs.select("doc_id", (F.round(S.slope(v), 6) + 0.0).alias("slope"), F.round(S.determination(v) + 1e-9, 4).alias("r2"))
 
 
 # Structures.
 
 
 def _curves_sql() -> str:
-    return "cv(o, shape, c) AS (VALUES " + ", ".join(f"({i}, '{k}', [{', '.join(repr(v) + '::DOUBLE' for v in c)}])" for i, (k, c) in enumerate(detectors.six_curves().items())) + ")"
+    """The six curves at a hundred places."""
+    t, wave = "i / 99", "sin(2 * pi() * i / 99 - pi() / 2)"
+    each = {"rags_to_riches": t, "tragedy": f"1 - {t}", "man_in_hole": f"4 * ({t} - 0.5) * ({t} - 0.5)", "icarus": f"1 - 4 * ({t} - 0.5) * ({t} - 0.5)", "cinderella": f"0.5 + 0.5 * {wave}", "oedipus": f"0.5 - 0.5 * {wave}"}
+    return "cv AS (" + " UNION ALL ".join(f"SELECT {o} AS o, '{k}' AS shape, list_transform(range(100), lambda i: {f}) AS c" for o, (k, f) in enumerate(each.items())) + ")"
 
 
 @query(f"""WITH {W50}, {_ARRAY_SQL}, {_gaussian_sql(3.0, 'ar', 'gs')},
@@ -476,18 +479,114 @@ def arcs(spark, sf_dir):
     return _entropy(spark, sf_dir).select("doc_id", detectors.arc(F.col("lexical_entropy")).alias("arc"))
 
 
-@query()
+def _guarded(n: str, value: str) -> str:
+    return f"CASE WHEN {n} >= 10 THEN {value} END"
+
+
+def _detectors_sql() -> str:
+    """Three acts, pyramid, hero's journey and story circle over list v of each document."""
+    g = "greatest(len(v) // 10, 1)"
+    pos = lambda i: f"(({i} - 1) / greatest(len(v) - 1, 1))"
+    clip = lambda x: f"greatest(0.0, least(1.0, {x}))"
+    pyramid = "[0.3, 0.5, 0.7, 0.9, 1.0, 0.85, 0.6, 0.4, 0.35]::DOUBLE[]"
+    hero, circle = "[0.50, 0.55, 0.45, 0.60, 0.55, 0.45, 0.35, 0.20, 0.50, 0.60, 0.80, 0.70]::DOUBLE[]", "[0.8, 0.75, 0.5, 0.3, 0.2, 0.35, 0.6, 0.85]::DOUBLE[]"
+    stages = ", ".join(clip(f"hp / 0.55 * {e}") if k < 8 else clip(f"hp + ({e} - 0.55) * ((1 - hp) / 0.45)") for k, e in enumerate([0.0, 0.08, 0.12, 0.17, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 1.0]))
+    s4, s6 = "greatest(0.15, cp - 0.1)", "least(0.85, cp + 0.1)"
+    evenly = ", ".join(f"{k} / 7" for k in range(8))
+    return f"""{_gaussian_sql(3.0, "ar", "gs")},
+    v0 AS (SELECT doc_id, list_transform(x, lambda y: round(CASE WHEN list_max(x) - list_min(x) > 1e-8 THEN (y - list_min(x)) / (list_max(x) - list_min(x)) ELSE 0.5 END, 9)) AS v FROM gs),
+    v1 AS (SELECT *, list_transform(range(1, len(v) + 1), lambda i: CASE WHEN len(v) < 2 THEN 0.0 ELSE (v[least(i + 1, len(v))] - v[greatest(i - 1, 1)]) / (least(i + 1, len(v)) - greatest(i - 1, 1)) END) AS d, list_transform(v, lambda y: -y) AS u FROM v0),
+    v2 AS (SELECT *, list_transform(d, lambda y: abs(y)) AS a FROM v1),
+    {O.peaks("v2", "a", "pa", g, 0.01)},
+    {O.peaks("pa", "v", "pv", g)},
+    {O.peaks("pv", "v", "pf", g, 0.05)},
+    {O.peaks("pf", "v", "pt", g, 0.1)},
+    {O.peaks("pt", "u", "pu", g)},
+    a0 AS (SELECT *, len(v) AS n, list_sort(list_transform((list_reverse_sort(list_transform(pa, lambda i: {{'g': a[i], 'i': i}})))[1:2], lambda q: {pos("q.i")})) AS two FROM pu),
+    a1 AS (SELECT *, CASE WHEN len(two) = 2 AND two[1] >= 0.15 THEN two[1] ELSE 0.25 END AS e1, CASE WHEN len(two) = 2 AND two[2] >= 0.5 THEN two[2] ELSE 0.75 END AS e2 FROM a0),
+    a2 AS (SELECT *, CASE WHEN e2 - e1 >= 0.3 THEN e1 ELSE 0.25 END AS b1, CASE WHEN e2 - e1 >= 0.3 THEN e2 ELSE 0.75 END AS b2 FROM a1),
+    a3 AS (SELECT *, v[1 : greatest(trunc(b1 * (n - 1))::INT, 1)] AS one, v[trunc(b1 * (n - 1))::INT + 1 : trunc(b1 * (n - 1))::INT + greatest(trunc(b2 * (n - 1))::INT - trunc(b1 * (n - 1))::INT, 1)] AS mid, v[trunc(b2 * (n - 1))::INT + 1 :] AS fin, {pos(O.argmax("v"))} AS top FROM a2),
+    a4 AS (SELECT *, list_transform(range(2, len(mid) + 1), lambda i: mid[i] - mid[i - 1]) AS steps, (1 - abs(b2 - b1 - 0.5) + CASE WHEN list_avg(mid) > list_avg(one) THEN 0.8 ELSE 0.3 END + CASE WHEN top > 0.6 AND top < 0.85 THEN 1.0 WHEN top > 0.5 AND top < 0.9 THEN 0.7 ELSE 0.3 END
+      + CASE WHEN {O.slope("fin")} < -1e-12 THEN 0.9 ELSE 0.5 END + CASE WHEN {O.variance("one")} < {O.variance("mid")} THEN 0.8 ELSE 0.5 END) / 5 AS sa FROM a3),
+    f0 AS (SELECT *, coalesce({O.tallest("v", "list_filter(pf, lambda i: abs(i - 1 - n // 2) < n // 4)")}, {O.tallest("v", "pf")}, {O.argmax("v")}) AS ft FROM a4),
+    f1 AS (SELECT *, {pos("ft")} AS fc, v[1:ft] AS rise, list_reverse(v[ft:]) AS fall, {O.resampled("v", "9")} AS even9, least(ft, n - ft + 1, 50) AS k, v[ft] - v[1] AS up, v[ft] - v[n] AS down FROM f0),
+    f2 AS (SELECT *, {O.resampled("rise", "k")} AS r1, {O.resampled("fall", "k")} AS r2 FROM f1),
+    f3 AS (SELECT *, CASE WHEN k > 1 THEN ({O.correlation("r1", "r2")} + 1) / 2 ELSE 0.5 END AS sym FROM f2),
+    f4 AS (SELECT *, CASE WHEN abs(fc - 0.5) < 0.1 THEN 1.0 WHEN abs(fc - 0.5) < 0.2 THEN 0.7 ELSE 0.4 END + CASE WHEN up > 0 THEN least(1.0, 0.5 + up) ELSE 0.2 END + CASE WHEN down > 0 THEN least(1.0, 0.5 + down) ELSE 0.2 END + sym + CASE WHEN len(pt) <= 1 THEN 1.0 WHEN len(pt) <= 3 THEN 0.6 ELSE 0.3 END AS fs FROM f3),
+    f5 AS (SELECT *, CASE WHEN list_max(even9) > list_min(even9) THEN (fs + greatest(0.0, {O.correlation("even9", pyramid)})) / 6 ELSE fs / 5 END AS sf FROM f4),
+    h0 AS (SELECT *, trunc(0.3 * n)::INT + {O.argmin("v[trunc(0.3 * n)::INT + 1 : trunc(0.3 * n)::INT + greatest(trunc(0.8 * n)::INT - trunc(0.3 * n)::INT, 1)]")} AS ho FROM f5),
+    h1 AS (SELECT *, {pos("ho")} AS hp, {O.resampled("v", "12")} AS even12 FROM h0),
+    h2 AS (SELECT *, list_transform([{stages}], lambda q: round({O.value_at("v", "q")}, 9)) AS s, 1 - v[ho] AS depth FROM h1),
+    h3 AS (SELECT *, s[12] - s[1] AS ch, 0.3 * CASE WHEN s[3] < s[2] THEN 1.0 ELSE 0.3 END + 0.3 * CASE WHEN s[4] > s[3] THEN 1.0 ELSE 0.3 END + 0.4 * least(1.0, 10 * {O.variance("s[1:5]")}) AS dep,
+      0.3 * CASE WHEN s[8] < s[6] THEN 1.0 ELSE 0.2 END + 0.4 * CASE WHEN s[9] > s[8] THEN 1.0 ELSE 0.2 END + 0.3 * CASE WHEN s[8] = list_min(s) THEN 1.0 ELSE 0.5 END AS ini FROM h2),
+    h4 AS (SELECT *, 0.3 * CASE WHEN s[11] > s[10] THEN 1.0 ELSE 0.3 END + 0.3 * CASE WHEN s[12] > 0.5 THEN 1.0 ELSE 0.3 END + 0.4 * {clip("ch + 0.5")} AS back FROM h3),
+    h5 AS (SELECT *, CASE WHEN hp > 0.4 AND hp < 0.7 THEN 1.0 WHEN hp > 0.3 AND hp < 0.8 THEN 0.6 ELSE 0.3 END + CASE WHEN depth > 0.5 THEN 1.0 WHEN depth > 0.3 THEN 0.7 ELSE 0.4 END + CASE WHEN ch > 0.1 THEN 1.0 WHEN ch > -0.1 THEN 0.7 ELSE 0.5 END + dep + ini + back AS hs FROM h4),
+    h6 AS (SELECT *, CASE WHEN list_max(even12) > list_min(even12) THEN (hs + greatest(0.0, {O.correlation("even12", hero)})) / 7 ELSE hs / 6 END AS sh FROM h5),
+    c0 AS (SELECT * EXCLUDE (s), {pos(O.tallest("u", "pu"))} AS cp FROM h6),
+    c1 AS (SELECT *, CASE WHEN cp > 0.2 AND cp < 0.8 THEN [0.0, 0.3 * {s4}, 0.7 * {s4}, {s4}, cp, {s6}, {s6} + (1 - {s6}) * 0.5, 1.0] ELSE [{evenly}] END AS pl FROM c0),
+    c2 AS (SELECT *, list_transform(pl, lambda q: round({O.value_at("v", "q")}, 9)) AS s FROM c1),
+    c3 AS (SELECT *, {O.correlation("s", circle)} AS r, least(s[4], s[5], s[6]) AS low FROM c2),
+    c4 AS (SELECT *, s[1] > low + 0.1 AS fa, s[8] > low + 0.1 AS cl, {clip("0.4 * greatest(0.0, r) + 0.3 * (s[1] > low + 0.1)::INT + 0.3 * (s[8] > low + 0.1)::INT + 0.2 * (low < (s[1] + s[2] + s[3] + s[4]) / 4 - 0.1)::INT + 0.1 * (s[3] < s[2])::INT + 0.1 * (s[7] > s[6])::INT")} AS sc FROM c3)"""
+
+
+_DETECTORS_SQL = _detectors_sql()
+
+
+@query(f"""WITH {O.windows(*NARROW)}, {_ARRAY_SQL}, {_DETECTORS_SQL}
+    SELECT doc_id, CASE WHEN n < 10 THEN 'insufficient_data' WHEN sa > 0.7 THEN 'classic_three_act' WHEN sa > 0.5 THEN 'modified_three_act' WHEN list_avg(one) > list_avg(fin) THEN 'tragic' WHEN list_avg(one) < list_avg(fin) THEN 'comedic' ELSE 'non_conforming' END AS aristotle,
+      {_guarded("n", "round(sa, 6)")} AS aristotle_score, {_guarded("n", "round(greatest(0.0, least(1.0, 0.4 * greatest(0.0, 1 - (greatest(len(pv), 1) - 1) * 0.2) + 0.3 * CASE WHEN len(steps) > 0 THEN len(list_filter(steps, lambda y: y > 0)) / len(steps) ELSE 0.5 END + 0.3 * CASE WHEN len(fin) > 1 THEN 1 - least(1.0, 2 * (list_max(fin) - list_min(fin))) ELSE 0.5 END)), 6)")} AS unity,
+      CASE WHEN n < 10 THEN 'insufficient_data' WHEN sf > 0.7 THEN 'classic_pyramid' WHEN sf > 0.5 THEN 'modified_pyramid' WHEN fc < 0.3 THEN 'early_climax' WHEN fc > 0.7 THEN 'late_climax' WHEN sym < 0.4 THEN 'asymmetric' ELSE 'non_conforming' END AS freytag, {_guarded("n", "round(sf, 6)")} AS freytag_score, {_guarded("n", "round(sym, 6)")} AS symmetry,
+      CASE WHEN n < 10 THEN 'insufficient_data' WHEN sh > 0.7 AND depth > 0.4 THEN 'classic_hero_journey' WHEN sh > 0.55 THEN 'modified_journey' WHEN depth < 0.2 THEN 'flat_journey' WHEN ch < -0.2 THEN 'tragic_journey' WHEN back < 0.3 THEN 'incomplete_journey' ELSE 'non_conforming' END AS campbell, {_guarded("n", "round(sh, 6)")} AS campbell_score, {_guarded("n", "round(hp, 6)")} AS ordeal,
+      CASE WHEN n < 10 THEN 'insufficient_data' WHEN sc > 0.7 AND fa AND cl THEN 'full_circle' WHEN fa AND NOT cl THEN 'truncated_descent' WHEN NOT fa AND cl THEN 'ascent_only' WHEN r < -0.3 THEN 'inverted' WHEN sc > 0.4 THEN 'partial_circle' ELSE 'non_conforming' END AS circle, {_guarded("n", "round(sc, 6)")} AS circle_score FROM c4""")
 def structure_detectors(spark, sf_dir):
-    """Three acts, pyramid, hero's journey, story circle and four acts of each document, in one pass."""
-    docs = detectors.with_detectors(_entropy(spark, sf_dir, NARROW), "lexical_entropy")
-    return docs.select("doc_id", *detectors.DETECTORS, "four_act")
+    """Three acts, pyramid, hero's journey and story circle of each document, in one pass."""
+    names = tuple(detectors.ON_SMOOTH)
+    docs = detectors.with_detectors(_entropy(spark, sf_dir, NARROW), "lexical_entropy", names)
+    scores = [F.col(f"{name}.score").alias(f"{name}_score") for name in names]
+    more = {"unity": "aristotle.unity", "symmetry": "freytag.symmetry", "ordeal": "campbell.ordeal"}
+    return docs.select("doc_id", *(F.col(f"{name}.pattern").alias(name) for name in names), *scores, *(F.col(c).alias(k) for k, c in more.items()))
 
 
 @query()
+def four_acts(spark, sf_dir):
+    """The four-act structure of each document: where the turn is, of which kind, and what it changes."""
+    docs = detectors.with_detectors(_entropy(spark, sf_dir, NARROW), "lexical_entropy", ("four_act",))
+    return docs.select("doc_id", "four_act.*")
+
+
+_SAVGOL = S.savgol_weights(11, 3)
+
+
+def _savgol_sql(source: str, x: str, out: str) -> str:
+    rows = "[" + ", ".join("[" + ", ".join(repr(w) + "::DOUBLE" for w in row) + "]" for row in _SAVGOL) + "]"
+    start = f"greatest(0, least(i - 6, len({x}) - 11))"
+    return f"{out} AS (SELECT * EXCLUDE ({x}), CASE WHEN len({x}) < 11 THEN {x} ELSE list_transform(range(1, len({x}) + 1), lambda i: list_sum(list_transform(range(1, 12), lambda k: ({rows})[i - {start}][k] * {x}[{start} + k]))) END AS {x} FROM {source})"
+
+
+def _icc_sql(source: str, tag: str, prominence: float) -> str:
+    """CTEs that end in {tag}(doc_id, n, m, net, vol, sym, r2, top, low)."""
+    scaled = "list_transform(x, lambda y: CASE WHEN list_max(x) - list_min(x) > 1e-8 THEN (y - list_min(x)) / (list_max(x) - list_min(x)) ELSE 0.5 END)"
+    b, v = O.slope("x"), O.variance("x")
+    return f"""{tag}0 AS (SELECT doc_id, {O.resampled("x", "100")} AS x FROM {source} WHERE len(x) >= 4), {tag}1 AS (SELECT doc_id, {scaled} AS x FROM {tag}0), {_savgol_sql(f"{tag}1", "x", f"{tag}2")},
+    {tag}3 AS (SELECT doc_id, list_transform(x, lambda y: round(y, 9)) AS x FROM {tag}2), {tag}4 AS (SELECT *, list_transform(x, lambda y: -y) AS u, list_transform(range(1, 100), lambda i: x[i + 1] - x[i]) AS d, x[1:50] AS h1, list_reverse(x[51:100]) AS h2 FROM {tag}3),
+    {O.peaks(f"{tag}4", "x", f"{tag}p", "10", prominence)}, {O.peaks(f"{tag}p", "u", f"{tag}q", "10", prominence)},
+    {tag} AS (SELECT doc_id, len({tag}p) AS n, len({tag}q) AS m, x[100] - x[1] AS net, sqrt({O.variance("d")}) AS vol, abs({O.correlation("h1", "h2")}) AS sym, CASE WHEN {v} > 0 THEN greatest(0.0, 1 - ({v} - {b} * {b} * 9999 / 12.0) * 100 / ({v} * 100 + 1e-8)) ELSE 0.0 END AS r2,
+      (coalesce({O.tallest("x", f"{tag}p")}, {O.argmax("x")}) - 1) / 100 AS top, (coalesce({O.tallest("u", f"{tag}q")}, {O.argmin("x")}) - 1) / 100 AS low FROM {tag}q)"""
+
+
+@query(f"""WITH {O.windows(*NARROW)}, {_ARRAY_SQL}, cn AS (SELECT doc_id, list_transform(x, lambda y: y - list_avg(x)) AS c FROM ar WHERE len(x) >= 4), cs AS (SELECT doc_id, list_transform(range(1, len(c) + 1), lambda i: list_sum(c[1:i])) AS c FROM cn),
+    cx AS (SELECT doc_id, list_transform(c, lambda y: y / greatest(abs(list_min(c)), abs(list_max(c)), 1.0)) AS x FROM cs), {_icc_sql("ar", "ic", 0.08)}, {_icc_sql("cx", "cc", 0.05)},
+    ik AS (SELECT *, CASE WHEN net BETWEEN 0.15 AND 1 AND n <= 3 AND vol <= 0.07 THEN 1 WHEN net BETWEEN -1 AND -0.15 AND n <= 4 AND vol <= 0.07 THEN 2 WHEN net BETWEEN -0.2 AND 0.2 AND n >= 4 AND vol >= 0.05 AND sym >= 0.3 THEN 3
+      WHEN net BETWEEN 0.15 AND 1 AND n >= 4 AND vol >= 0.05 AND r2 >= 0.15 THEN 4 WHEN net BETWEEN -1 AND -0.15 AND n >= 4 AND vol >= 0.05 AND r2 >= 0.15 THEN 5 ELSE 0 END AS icc FROM ic),
+    co AS (SELECT *, 0.3 * (r2 > 0.5)::INT + 0.3 * (sym > 0.7)::INT + 0.2 * (abs(net) > 0.4)::INT + 0.1 * ((top > 0.15 AND top < 0.85) OR (low > 0.15 AND low < 0.85))::INT + 0.1 * (n <= 6 AND m <= 6)::INT AS coherence FROM cc),
+    ck AS (SELECT doc_id, coherence, CASE WHEN coherence < 0.25 AND sym < 0.8 THEN 0 WHEN net > 0.4 AND r2 > 0.5 THEN 1 WHEN net < -0.4 AND r2 > 0.5 THEN 2 WHEN abs(net) < 0.25 AND top > 0.2 AND top < 0.8 AND sym > 0.25 AND n BETWEEN 1 AND 4 THEN 3 WHEN abs(net) < 0.25 AND low > 0.2 AND low < 0.8 AND sym > 0.25 AND m BETWEEN 1 AND 4 THEN 4
+      WHEN sym > 0.9 AND n >= 1 AND top > 0.3 AND top < 0.7 AND net > -0.2 THEN 5 WHEN sym > 0.9 AND m >= 1 AND low > 0.3 AND low < 0.7 AND net < 0.2 THEN 6 WHEN net > 0.25 AND r2 > 0.3 THEN 1 WHEN net < -0.25 AND r2 > 0.3 THEN 2 ELSE 0 END AS cicc FROM co)
+    SELECT doc_id, icc, cicc, round(coherence, 4) AS coherence, round(net, 6) + 0.0 AS net, n AS peaks, round(vol, 6) AS volatility, round(sym, 6) AS symmetry, round(r2, 6) AS r2 FROM ik JOIN ck USING (doc_id)""")
 def icc_classes(spark, sf_dir):
     docs = _entropy(spark, sf_dir, NARROW)
     v = F.col("lexical_entropy")
-    return docs.where(F.size(v) >= 4).select("doc_id", detectors.icc(v).alias("icc"), detectors.compound_icc(S.compound(v)).alias("cicc")).select("doc_id", "icc.*", F.col("cicc.cicc").alias("cicc"), F.col("cicc.coherence").alias("coherence"))
+    found = detectors.with_icc(docs.where(F.size(v) >= 4), "lexical_entropy")
+    return found.select("doc_id", "icc.icc", "cicc.cicc", F.round("cicc.coherence", 4).alias("coherence"), (F.col("icc.net") + 0.0).alias("net"), "icc.peaks", "icc.volatility", "icc.symmetry", "icc.r2")
 
 
 @query()
@@ -575,12 +674,27 @@ def source_profiles(spark, sf_dir):
     return statistics.share_entropy(_docs(spark, sf_dir), "source", "lang", 6).where("n >= 3").drop("dominant")
 
 
-@query()
+def _poisson_sql(u: str) -> str:
+    import math
+
+    cuts = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+    return "CASE " + " ".join(f"WHEN {u} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(cuts)) + " ELSE 9 END"
+
+
+_DRAW_SQL = "(('0x' || substr(md5(doc_id || ':' || draw || ':42'), 1, 7))::INT + 0.5::DOUBLE) / 268435456.0::DOUBLE"
+
+
+@query(f"""WITH {_MEANS_SQL}, rd AS (SELECT doc_id, lang, mean, unnest(range(1, 201)) AS draw FROM md), ru AS (SELECT *, {_DRAW_SQL} AS u FROM rd), rk AS (SELECT *, {_poisson_sql("u")} AS k FROM ru),
+    bm AS (SELECT draw, sum(k * mean) / sum(k) AS m FROM rk GROUP BY draw), bs AS (SELECT 'bootstrap' AS test, (SELECT avg(mean) FROM md) AS point, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm),
+    pr AS (SELECT avg(mean) FILTER (lang = 'en') - avg(mean) FILTER (lang <> 'en') AS difference, avg((lang = 'en')::INT) AS share FROM md), pd AS (SELECT draw, abs(avg(mean) FILTER (u < share) - avg(mean) FILTER (u >= share)) AS d FROM ru, pr GROUP BY draw),
+    ps AS (SELECT 'permutation' AS test, any_value(difference) AS point, (count(*) FILTER (coalesce(d, 0) >= abs(difference) - 1e-12) + 1) / (count(*) + 1) AS low, NULL::DOUBLE AS high FROM pd, pr)
+    SELECT test, round(point, 6) AS point, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT * FROM bs UNION ALL SELECT * FROM ps)""")
 def resampling_tests(spark, sf_dir):
-    means = _means(spark, sf_dir)
-    a = statistics.bootstrap(means.select("doc_id", "mean"), "mean", 200).select(F.lit("bootstrap").alias("test"), F.col("low").alias("a"), F.col("high").alias("b"))
-    b = statistics.permutation_test(means.select("doc_id", "mean", "lang"), F.col("lang") == "en", "mean", 200).select(F.lit("permutation"), "p_value", "difference")
-    return a.union(b)
+    """The mean entropy with its bootstrap interval, and the difference of English from the others with its p-value (as low)."""
+    means = Workspace(spark, "resampling").save(_means(spark, sf_dir).select("doc_id", "mean", "lang"), "means")
+    a = statistics.bootstrap(means, "doc_id", "mean", 200).select(F.lit("bootstrap").alias("test"), "point", "low", "high")
+    b = statistics.permutation_test(means, "doc_id", F.col("lang") == "en", "mean", 200).select(F.lit("permutation"), "difference", "p_value", F.lit(None).cast("double"))
+    return a.union(b).select("test", *(F.round(c, 6).alias(c) for c in ("point", "low", "high")))
 
 
 @query(f"""WITH {_MEANS_SQL}, q AS (SELECT *, quality FROM md JOIN labels USING (doc_id)) SELECT quality, count(*) AS n, round(avg(mean), 5) AS mean, round(stddev_pop(mean), 5) AS std, min(mean) AS min, max(mean) AS max, round(quantile_cont(mean, 0.5), 5) AS median FROM q GROUP BY quality""")
@@ -676,8 +790,8 @@ def uniform_sample(spark, sf_dir):
     return corpus.uniform_sample(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id", 100)
 
 
-@query("""WITH q AS (SELECT source, greatest(1, 100 * count(*) // (SELECT count(*) FROM documents)) AS q FROM documents GROUP BY source), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id) AS r FROM documents)
-    SELECT doc_id, source FROM r JOIN q USING (source) WHERE r <= q""")
+@query("""WITH q AS (SELECT source, greatest(1, 100 * count(*) // (SELECT count(*) FROM documents)) AS q FROM documents GROUP BY source), r AS (SELECT doc_id, source, md5(doc_id::VARCHAR || ':42') AS d, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id) AS r FROM documents)
+    SELECT doc_id, source FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source ORDER BY CASE WHEN r = 1 THEN 0 WHEN r <= q THEN 1 ELSE 2 END, d, doc_id LIMIT 100""".replace("SELECT doc_id, source FROM r", "SELECT r.doc_id, r.source FROM r"))
 def stratified_sample(spark, sf_dir):
     return corpus.stratified_sample(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id", "source", 100).select("doc_id", "source")
 
@@ -705,21 +819,23 @@ def speaker_presence(spark, sf_dir):
 # Null models, clusters, classifiers.
 
 
-def _null_score(x):
-    return detectors.campbell(x).getField("score")
-
-
 @query()
 def detector_falsifiability(spark, sf_dir):
-    """The hero's journey against noise, disorder and reversal, on the documents' entropy series."""
+    """Every detector against noise, disorder and reversal, on the documents' entropy series."""
     real = _entropy(spark, sf_dir, NARROW).select(F.col("doc_id").alias("id"), F.col("lexical_entropy").alias("x")).where(F.size("x") >= 10)
-    return validity.falsifiability(real, validity.null_series(spark, 200), _null_score)
+    return validity.falsifiability(real, validity.null_series(spark, 200))
+
+
+@query()
+def detector_discrimination(spark, sf_dir):
+    """How far each detector's scores of English texts are from those of German ones."""
+    return validity.discrimination(_entropy(spark, sf_dir, NARROW, "lang").withColumnRenamed("lexical_entropy", "x"), "lang", "en", "de")
 
 
 @query()
 def icc_null_acceptance(spark, sf_dir):
     """How often each class accepts series without structure."""
-    k = validity.null_series(spark, 200).select("kind", detectors.icc(F.col("x"))["icc"].alias("icc"), detectors.compound_icc(F.col("x"))["cicc"].alias("cicc"))
+    k = detectors.with_icc(validity.null_series(spark, 200), "x").select("kind", "icc.icc", "cicc.cicc")
     return k.groupBy("kind", "icc", "cicc").agg(F.count("*").alias("n"))
 
 
@@ -739,7 +855,7 @@ def icc_thresholds(spark, sf_dir):
 @query()
 def detector_redundancy(spark, sf_dir):
     docs = detectors.with_detectors(_entropy(spark, sf_dir, NARROW), "lexical_entropy")
-    names = [*detectors.DETECTORS, "four_act"]
+    names = list(detectors.DETECTORS)
     return validity.redundancy(docs.select(*(F.col(f"{n}.score").alias(n) for n in names)), names)
 
 

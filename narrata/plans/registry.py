@@ -20,5 +20,13 @@ def query(sql: str | None = None):
     return register
 
 
+#: A table with fewer bytes for each core has fewer row groups than cores.
+LEAST_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. A task reads whole row groups, so the rows of a small table are dealt to all cores; larger ones are not shuffled."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * LEAST_BYTES else df
