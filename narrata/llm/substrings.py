@@ -11,9 +11,9 @@ anchor; windows with the same anchor are posted once, under the fingerprint of
 the phrase and the three words on both sides. (A window without an interior
 phrase, say in a long run, is posted under its own fingerprint.) A global
 aggregation finds the postings that documents share; they reveal all windows
-that may repeat, and only those are compared, by a cryptographic digest of the
-whole window (128 bits of BLAKE2b): another aggregation tells the first
-document of each. Words of such windows in later documents are removed.
+that may repeat, and only those are compared, by two independent fingerprints of
+the whole window (128 bits): another aggregation tells the first document of
+each. Words of such windows in later documents are removed.
 
 Documents with a text that occurs in an earlier one (equal SHA-256) repeat all
 of it, so they need no postings to be compared.
@@ -27,7 +27,6 @@ empty one.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrata.llm.rows import nest, unnest
-from narrata.llm.words import DIGEST, U, Words, chunks, mix, sequences
+from narrata.llm.words import U, Words, chunks, mix, sequences
 from narrata.workspace import Workspace
 
 #: Words on either side of a phrase that decide where it ends.
@@ -128,8 +127,7 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(df: DataFrame, window: int) -> DataFrame:
-    """The digest, in halves, of each window that the ranges ``found`` of (at, n) name."""
-    length = window * DIGEST
+    """Two independent fingerprints of each window that the ranges ``found`` of (at, n) name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,10 +139,7 @@ def _windows(df: DataFrame, window: int) -> DataFrame:
                 starts = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 text = row[of]
                 places = words.first[:-1][text] + starts
-                # A window's digest is that of its words' digests.
-                data = words.digests.tobytes()
-                whole = b"".join([hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in (places * DIGEST).tolist()])
-                h, g = np.frombuffer(whole, np.int64).reshape(-1, 2).T
+                h, g = words.sequences(window, places).view(np.int64), sequences(words.seconds, window, places).view(np.int64)
                 rows = pa.array(text)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), part.column("id").take(rows), part.column("text_key").take(rows), pa.array(starts.astype(np.int32))], names=WINDOWS.fieldNames())
 

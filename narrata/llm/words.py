@@ -1,17 +1,17 @@
-"""Words and word sequences of many texts, with strong digests of the words.
-
-A word is a longest run of bytes other than the space and 0x09 to 0x0D. Each
-different word is hashed once by BLAKE2b; the halves of its digest are the
-word's two fingerprints. Fingerprints of sequences come from prefix sums of a
-polynomial over those of the words, so their cost does not depend on the
-length. They depend on the bytes alone: they are equal in every task, on every
-machine. Operators use them to find candidates, and confirm on words.
+"""Words and word sequences of many texts as 64-bit fingerprints, vectorised.
+
+A word is a longest run of bytes other than the space and 0x09 to 0x0D. Its
+fingerprint is the sum of a mixed number for each byte and its place in the
+word (tabulation hashing), so that no algebra of the bytes makes different
+words equal. A second one, independent of the first,
+makes 128 bits. Fingerprints of sequences come from prefix sums of a polynomial
+over those of the words, so their cost does not depend on the length. They
+depend on the bytes alone: they are equal in every task, on every machine.
 """
 
 from __future__ import annotations
 
-import hashlib
-import itertools
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +21,15 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Text bytes that are worked on at once (a longer text is worked on alone).
 CHUNK_BYTES = 1 << 19
-#: Different words that a worker remembers between chunks.
-KNOWN_WORDS = 1 << 18
-#: Bytes of a word's digest.
-DIGEST = 16
 
-# Odd multipliers, and the finisher of the published splitmix64 generator.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+# Odd multipliers and seeds, and the finisher of the published splitmix64 generator.
 _COUNT, _WORD = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+SEEDS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,20 +56,10 @@ class _Powers:
 _powers = _Powers(_WORD)
 
 
-class _Known(dict):
-    """Places of words in ``digests``, which grows when a word is new."""
-
-    def __init__(self):
-        super().__init__()
-        self.digests = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        self.digests += hashlib.blake2b(word, digest_size=DIGEST).digest()
-        return place
-
-
-_known = _Known()
+@functools.cache
+def _table(seed: int) -> np.ndarray:
+    """The mixed number of each of 64 places and each byte."""
+    return mix(np.arange(64 << 8, dtype=U) * U(_COUNT) + U(seed))
 
 
 def split(text: bytes, lower: bool = False) -> list[bytes]:
@@ -76,19 +68,47 @@ def split(text: bytes, lower: bool = False) -> list[bytes]:
 
 
 class Words:
-    """The words of a list of UTF-8 texts, their digests, and where each text's words begin."""
+    """The words of a list of UTF-8 texts, their fingerprints, and where each text's words begin."""
 
     def __init__(self, texts: list[bytes], lower: bool = False):
-        global _known
-        if len(_known) > KNOWN_WORDS:
-            _known = _Known()
-        lists = [split(t, lower) for t in texts]
+        self._data, self._lower = b"\n".join(texts) + b"\n", lower
+        raw = np.frombuffer(self._data, np.uint8)
+        space = _SPACE[raw]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate([[0], edge])
+        self._starts, ends = edge[::2], edge[1::2]
+        self._sizes = ends - self._starts
+        at = np.flatnonzero(~space)
+        self._bytes = (_LOWER[raw] if lower else raw)[at]
+        self._places = at - np.repeat(self._starts, self._sizes)
+        begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         #: Index of the first word of each text, and the number of words at the end.
-        self.first = np.concatenate([[0], np.cumsum([len(w) for w in lists], dtype=np.int64)])
-        self.items = list(itertools.chain.from_iterable(lists))
-        places = np.fromiter(map(_known.__getitem__, self.items), np.int64, len(self.items))
-        self.digests = np.frombuffer(bytes(_known.digests), U).reshape(-1, 2)[places]
-        self.hashes = np.ascontiguousarray(self.digests[:, 0])
+        self.first = np.searchsorted(self._starts, begins)
+
+    def _fingerprints(self, seed: int) -> np.ndarray:
+        if not len(self._sizes):
+            return np.zeros(0, U)
+        terms = _table(seed)[(self._places & 63) << 8 | self._bytes]
+        far = np.flatnonzero(self._places >= 64)
+        if len(far):
+            terms[far] = mix(terms[far] + (self._places[far] >> 6).astype(U) * U(_COUNT))
+        sums = np.add.reduceat(terms, np.cumsum(self._sizes) - self._sizes)
+        return mix(sums + self._sizes.astype(U) * U(_COUNT))
+
+    @functools.cached_property
+    def hashes(self) -> np.ndarray:
+        return self._fingerprints(SEEDS[0])
+
+    @functools.cached_property
+    def seconds(self) -> np.ndarray:
+        """Fingerprints that are independent of the first ones."""
+        return self._fingerprints(SEEDS[1])
+
+    @functools.cached_property
+    def items(self) -> list[bytes]:
+        """The words of all texts, in turn."""
+        return split(self._data, self._lower)
 
     def of(self, i: int) -> list[bytes]:
         """The words of one text."""
@@ -99,6 +119,11 @@ class Words:
         return sequences(self.hashes, k, at)
 
 
+def sequences(self, k: int | np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Fingerprints of the k words from each of ``at`` on."""
+        return sequences(self.hashes, k, at)
+
+
 def sequences(hashes: np.ndarray, k: int | np.ndarray, at: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(hashes) + 1, U)
     np.cumsum(hashes * _powers(len(hashes)), out=sums[1:])

@@ -300,14 +300,18 @@ def test_near_large_group(spark):
 def signature(text):
     """By the definition: the smallest image of the shingles under each function."""
     draw = np.random.default_rng(1).integers(0, 1 << 63, (2, fingerprints.PERMUTATIONS), dtype=np.uint64)
-    w = [hashlib.blake2b(x, digest_size=16).digest()[:8] for x in text.encode().lower().split()]
-    hashes, k, full = [int.from_bytes(x, "little") for x in w], min(5, len(w)), 1 << 64
-    values = []
-    for i in range(len(w) - k + 1 if w else 0):
-        x = (sum(h * pow(0xD1342543DE82EF95, j, full) for j, h in enumerate(hashes[i : i + k])) + k * 0x9E3779B97F4A7C15) % full
+    w, full = text.encode().lower().split(), 1 << 64
+
+    def mixed(x):
         x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % full
         x = (x ^ (x >> 27)) * 0x94D049BB133111EB % full
-        values.append(x ^ (x >> 31))
+        return x ^ (x >> 31)
+
+    count = 0x9E3779B97F4A7C15
+    hashes, k = [mixed((sum(mixed(((p << 8 | c) * count + 0xA24BAED4963EE407) % full) for p, c in enumerate(x)) + len(x) * count) % full) for x in w], min(5, len(w))
+    values = []
+    for i in range(len(w) - k + 1 if w else 0):
+        values.append(mixed((sum(h * pow(0xD1342543DE82EF95, j, full) for j, h in enumerate(hashes[i : i + k])) + k * count) % full))
     return np.array([min((((v * (int(f) << 1 | 1) + int(a)) % full) >> 32 for v in values), default=0xFFFFFFFF) for f, a in draw.T.tolist()], np.uint32)
 
 
