@@ -87,7 +87,8 @@ def term_weights(windows: DataFrame, id: str = "doc_id", vocabulary: int | None
 
     ``windows`` has (id, win_idx, n_windows, terms). idf is
     ln((n + 1) / (df + 1)) + 1. With ``vocabulary``, only a document's most
-    frequent terms count, the first in order of equal ones.
+    frequent terms count, the first in order of equal ones. If the windows are
+    dealt by ``id``, no step here or in what follows shuffles.
     """
     tf = windows.select(id, "win_idx", "n_windows", F.explode("terms").alias("term")).groupBy(id, "win_idx", "n_windows", "term").agg(F.count("*").alias("tf"))
     of_term = Window.partitionBy(id, "term")
@@ -101,9 +102,14 @@ def term_weights(windows: DataFrame, id: str = "doc_id", vocabulary: int | None
 
 
 def drift(weights: DataFrame, windows: DataFrame, id: str = "doc_id") -> DataFrame:
-    """(id, win_idx, value): one minus the cosine with the window before; half for the first."""
-    before = weights.select(id, (F.col("win_idx") + 1).alias("win_idx"), "term", F.col("w").alias("w0"))
-    cos = weights.join(before, [id, "win_idx", "term"]).groupBy(id, "win_idx").agg(F.sum(F.col("w") * F.col("w0")).alias("cos"))
+    """(id, win_idx, value): one minus the cosine with the window before; half for the first.
+
+    Each weight goes to its own window and to the next one, so no window is
+    joined with another.
+    """
+    sides = F.explode(F.array(F.struct(F.col("win_idx").alias("at"), F.col("w").alias("p"), F.lit(0.0).alias("q")), F.struct((F.col("win_idx") + 1).alias("at"), F.lit(0.0).alias("p"), F.col("w").alias("q"))))
+    met = weights.select(id, "term", sides.alias("_s")).groupBy(id, F.col("_s.at").alias("win_idx"), "term").agg((F.sum("_s.p") * F.sum("_s.q")).alias("_pq"))
+    cos = met.groupBy(id, "win_idx").agg(F.sum("_pq").alias("cos"))
     return windows.select(id, "win_idx").join(cos, [id, "win_idx"], "left").select(id, "win_idx", F.when(F.col("win_idx") == 0, 0.5).otherwise(1 - F.coalesce("cos", F.lit(0.0))).alias("value"))
 
 
@@ -119,3 +125,30 @@ def lexicon_hits(windows: DataFrame, lexicon: DataFrame, id: str = "doc_id") ->
     """(id, win_idx, category, hits): windows' tokens joined with a lexicon table; the lexicon is a dimension of fixed size."""
     tokens = windows.select(id, "win_idx", F.explode(X.tokens(F.array_join("words", " "))).alias("term"))
     return tokens.join(F.broadcast(lexicon.where("not is_phrase").select("term", "category")), "term").groupBy(id, "win_idx", "category").agg(F.count("*").alias("hits"))
+
+
+#: How much an event of a kind counts; others count 1.
+EVENT_WEIGHTS = {"death": 1.5, "marriage": 1.5, "conflict": 1.2}
+
+
+def events(docs: DataFrame, kinds: dict[str, str], id: str = "doc_id") -> DataFrame:
+    """(id, sent, kind, intensity): sentences with events; more matches count up to twice as much."""
+    sentence = F.lower("sentence")
+    each = docs.select(id, F.posexplode(F.split("text", "[.!?]+")).alias("sent", "sentence"))
+    found = each.select(id, "sent", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), X.count(sentence, p).alias("n"), F.lit(EVENT_WEIGHTS.get(k, 1.0)).alias("w")) for k, p in kinds.items()))).alias("e"))
+    return found.where("e.n > 0").select(id, "sent", "e.kind", (F.least(F.lit(2.0), 1 + 0.2 * F.col("e.n")) * F.col("e.w")).alias("intensity"))
+
+
+def window_divergence(windows: DataFrame, id: str = "doc_id") -> DataFrame:
+    """(id, win_idx, value): Jensen-Shannon divergence in nats of each window's terms from those of the one before; 0 for the first.
+
+    Each term's share goes to its own window and to the next one, so both meet
+    in one grouping and no window is joined with another.
+    """
+    sized = windows.where(F.size("terms") > 0).withColumn("_all", F.size("terms"))
+    shares = sized.select(id, "win_idx", "_all", F.explode("terms").alias("term")).groupBy(id, "win_idx", "_all", "term").agg(F.count("*").alias("_n")).withColumn("_p", F.col("_n") / F.col("_all"))
+    sides = F.explode(F.array(F.struct(F.col("win_idx").alias("at"), F.col("_p").alias("p"), F.lit(0.0).alias("q")), F.struct((F.col("win_idx") + 1).alias("at"), F.lit(0.0).alias("p"), F.col("_p").alias("q"))))
+    met = shares.select(id, "term", sides.alias("_s")).groupBy(id, F.col("_s.at").alias("win_idx"), "term").agg(F.sum("_s.p").alias("p"), F.sum("_s.q").alias("q"))
+    part = lambda a: F.when(F.col(a) > 0, F.col(a) * F.log(2 * F.col(a) / (F.col("p") + F.col("q")))).otherwise(0.0)
+    found = met.groupBy(id, "win_idx").agg((F.sum(part("p") + part("q")) / 2).alias("value"))
+    return windows.select(id, "win_idx").join(found, [id, "win_idx"], "left").select(id, "win_idx", F.when(F.col("win_idx") == 0, 0.0).otherwise(F.coalesce("value", F.lit(0.0))).alias("value"))

@@ -517,3 +517,12 @@ def ranked(names: tuple[str, ...] = DETECTORS) -> Column:
     """The detectors' columns as structs (score, model, pattern), best first; short series have score 0."""
     each = [F.struct(F.coalesce(F.col(f"{name}.score"), F.lit(0.0)).alias("score"), F.lit(name).alias("model"), pattern_of(name).alias("pattern")) for name in names]
     return F.reverse(F.sort_array(F.array(*each)))
+
+
+def summary(df: DataFrame, by: list[str], names: tuple[str, ...] = DETECTORS) -> DataFrame:
+    """(by..., model, n, judged, mean_score, passed, patterns): how the detectors' columns judge each group's documents."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("model"), F.col(f"{k}.score").alias("score"), pattern_of(k).alias("pattern")) for k in names))).alias("s")
+    rows = df.select(*by, each).select(*by, "s.*")
+    counts = rows.groupBy(*by, "model", "pattern").agg(F.count("*").alias("n"), F.count("score").alias("judged"), F.sum("score").alias("sum"), F.count_if(F.col("score") > 0.5).alias("passed"))
+    shares = F.map_from_entries(F.sort_array(F.collect_list(F.struct("pattern", "n"))))
+    return counts.groupBy(*by, "model").agg(F.sum("n").alias("n"), F.sum("judged").alias("judged"), F.round(F.sum("sum") / F.nullif(F.sum("judged"), F.lit(0)), 5).alias("mean_score"), F.sum("passed").alias("passed"), shares.alias("patterns"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,7 +136,26 @@ def morphisms(found: DataFrame, features: list[str], id: str = "doc_id") -> Data
 def composed(arrows: DataFrame, features: list[str], id: str = "doc_id") -> DataFrame:
     """The composition of a document's transitions: sums of changes, the largest intensity, and the type of the first with it."""
     first = F.max_by("type", F.struct("intensity", -F.col("idx")))
-    return arrows.groupBy(id).agg(F.count("*").alias("length"), F.max("intensity").alias("intensity"), first.alias("type"), *(F.round(F.sum(f"d_{f}"), 5).alias(f"d_{f}") for f in features))
+    return arrows.groupBy(id).agg(F.count("*").alias("length"), F.max("intensity").alias("intensity"), first.alias("type"), *(F.round(F.sum(f"d_{f}"), 6).alias(f"d_{f}") for f in features))
+
+
+def laws(arrows: DataFrame, features: list[str], id: str = "doc_id") -> DataFrame:
+    """(id, arrows, triples, associative, identity): the laws of composition on each three transitions in turn."""
+    order = Window.partitionBy(id).orderBy("idx")
+    steps = {f"{f}{k}": F.lead(f"d_{f}", k).over(order) for f in features for k in (1, 2)}
+    near = lambda f: F.abs((F.col(f"d_{f}") + F.col(f"{f}1")) + F.col(f"{f}2") - (F.col(f"d_{f}") + (F.col(f"{f}1") + F.col(f"{f}2")))) < 1e-9
+    each = arrows.withColumns(steps)
+    both = lambda f: functools.reduce(lambda a, b: a & b, (f(x) for x in features))
+    return each.groupBy(id).agg(F.count("*").alias("arrows"), F.count(f"{features[0]}2").alias("triples"), F.coalesce(F.bool_and(both(near)), F.lit(True)).alias("associative"), F.bool_and(both(lambda f: F.col(f"d_{f}") + 0.0 == F.col(f"d_{f}"))).alias("identity"))
+
+
+def path_to_top(arrows: DataFrame, feature: str, id: str = "doc_id") -> DataFrame:
+    """(id, length, d_feature, intensity): the composition of the transitions up to the first state where the feature is largest."""
+    order = Window.partitionBy(id).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    sums = arrows.withColumns({"_sum": F.round(F.sum(f"d_{feature}").over(order), 6), "_most": F.max("intensity").over(order)})
+    best = F.max(F.struct("_sum", -F.col("idx"), F.struct("idx", "_most").alias("at")))
+    top = sums.groupBy(id).agg(best.alias("b"))
+    return top.select(id, (F.col("b.at.idx") + 1).alias("length"), (F.col("b._sum") + 0.0).alias(f"d_{feature}"), F.col("b.at._most").alias("intensity"))
 
 
 def transformations(long: DataFrame, id: str = "doc_id") -> DataFrame:

@@ -242,7 +242,9 @@ def view_shifts(spark, sf_dir):
     return shifts.join(mode, "doc_id")
 
 
-@query()
+@query(f"""WITH {_VIEW_SQL}, l AS (SELECT *, lag(pov) OVER (PARTITION BY doc_id ORDER BY win_idx) AS before FROM nv), f AS (SELECT doc_id, any_value(n_windows) AS n, count(*) FILTER (before IS NOT NULL AND pov <> before) AS shifts, arg_min(pov, win_idx) AS first, round(var_pop(value), 6) AS v,
+      abs(round(avg(value) FILTER (win_idx >= n_windows - (n_windows + 3) // 4) - avg(value) FILTER (win_idx < n_windows // 4), 6)) AS drift FROM l GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN shifts = 0 AND first = 'first' THEN 'stable_first' WHEN shifts = 0 THEN 'stable_third' WHEN shifts / greatest(n - 1, 1) > 0.3 THEN 'shifting' WHEN shifts / greatest(n - 1, 1) > 0.1 AND v > 0.1 THEN 'frame_narrative' WHEN drift > 0.2 THEN 'evolving' ELSE 'stable' END AS pattern FROM f""")
 def view_patterns(spark, sf_dir):
     scored = series(_wide(spark, sf_dir), {"view": lambda w: functors.point_of_view(w, VOICE), "d": lambda w: functors.narrative_voice(w, VOICE)})
     return scored.select("doc_id", detectors.view_shift(F.col("view"), F.col("d")).alias("pattern"))
@@ -274,7 +276,9 @@ _TFIDF_SQL = f"""{W50}, tm AS (SELECT doc_id, win_idx, n_windows, unnest(list_fi
 
 
 def _terms(spark, sf_dir) -> DataFrame:
-    each = _each_window(_wide(spark, sf_dir))
+    """Terms of windows, dealt by document once, so that later groupings by document and more need no shuffle."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text").repartition("doc_id")
+    each = _each_window(windowed(docs, *WIDE).drop("text"))
     return each.withColumn("terms", X.content_terms(functors.body(F.col("words")))).drop("words")
 
 
@@ -330,7 +334,9 @@ def surprisal_trigrams(spark, sf_dir):
     return both.groupBy("doc_id").agg(F.round(F.sum(F.col("n") * bits) / F.sum("n"), 5).alias("bits"))
 
 
-@query()
+@query("""WITH both_ AS (SELECT doc_id AS id, 'd' AS kind, coalesce(text, '') AS text FROM documents UNION ALL SELECT item_id, 'b', coalesce(text, '') FROM benchmark), """ + O.windows(20, 10).replace("doc_id", "id, kind").replace("FROM documents", "FROM both_") + f""", {O.entropies(O.TOKENS, "en").replace("doc_id", "id, kind")}, sv AS (SELECT w.id, w.kind, w.win_idx, coalesce(h, 0.0) AS s FROM win w LEFT JOIN en USING (id, kind, win_idx)), sx AS (SELECT id, kind, list(s ORDER BY win_idx) AS x FROM sv GROUP BY ALL),
+    sr AS (SELECT id, kind, {O.resampled("x", "20")} AS x FROM sx), se AS (SELECT id, kind, unnest(range(20)) AS i, unnest(x) AS v FROM sr), nm AS (SELECT i, avg(v) AS m, stddev_pop(v) AS d FROM se WHERE kind = 'b' GROUP BY i)
+    SELECT id AS doc_id, i, round((v - m) / nullif(d, 0.0), 5) + 0.0 AS z FROM se JOIN nm USING (i) WHERE kind = 'd'""")
 def relative_surprisal(spark, sf_dir):
     """Resampled surprisal against mean and deviation of the benchmark texts."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
@@ -339,10 +345,13 @@ def relative_surprisal(spark, sf_dir):
     score = lambda df: series(windowed(df, 20, 10), {"s": bits}).withColumn("s", S.resample(F.col("s"), 20)).drop("windows", "text")
     norms = score(base).select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))
     each = score(docs).select("doc_id", F.posexplode("s").alias("i", "v"))
-    return each.join(norms, "i").select("doc_id", "i", F.round((F.col("v") - F.col("m")) / F.nullif("d", F.lit(0.0)), 5).alias("z"))
+    return each.join(norms, "i").select("doc_id", "i", (F.round((F.col("v") - F.col("m")) / F.nullif("d", F.lit(0.0)), 5) + 0.0).alias("z"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS t FROM documents), w AS (SELECT doc_id, unnest(t) AS w FROM t), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT doc_id, w FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) <= 100),
+    g AS (SELECT doc_id, unnest(range(10)) AS k, t, len(t) // 10 AS e FROM t WHERE len(t) > 0), sg AS (SELECT doc_id, k, t[k * e + 1 : CASE WHEN k = 9 THEN len(t) ELSE (k + 1) * e END] AS seg FROM g),
+    sh AS (SELECT doc_id, k, w, len(list_filter(seg, lambda y: y = w)) + 0.1::DOUBLE AS c FROM sg JOIN r USING (doc_id)), p AS (SELECT doc_id, k, w, c / sum(c) OVER (PARTITION BY doc_id, k) AS p FROM sh),
+    d AS (SELECT a.doc_id, a.k AS state, round(sum(a.p * log2(a.p / b.p)), 5) + 0.0 AS kl FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.w = b.w AND a.k = b.k + 1 GROUP BY ALL) SELECT doc_id, state, kl, round(exp(-(kl - 1) * (kl - 1) / 2), 5) AS goldilocks FROM d""")
 def belief_divergence(spark, sf_dir):
     """Divergence in bits of each tenth of a text from the one before, over the text's hundred most frequent words."""
     docs = _docs(spark, sf_dir).select("doc_id", X.tokens(F.col("text")).alias("t"))
@@ -351,7 +360,7 @@ def belief_divergence(spark, sf_dir):
     shares = lambda seg: F.transform(F.col("v"), lambda w: F.size(F.filter(seg, lambda t: t == w)) + 0.1)
     normed = lambda x: S.lets(lambda v, t: F.transform(v, lambda c: c / t), lambda: x, S.total)
     beliefs = docs.join(top, "doc_id").withColumn("d", F.transform(F.transform(segments(F.col("t"), 10), shares), normed))
-    kl = S.let(F.col("d"), lambda d: F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct(i.alias("state"), F.round(detectors.divergence(F.get(d, i), F.get(d, i - 1)), 5).alias("kl"))))
+    kl = S.let(F.col("d"), lambda d: F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct(i.alias("state"), (F.round(detectors.divergence(F.get(d, i), F.get(d, i - 1)), 5) + 0.0).alias("kl"))))
     return beliefs.select("doc_id", F.explode(kl).alias("s")).select("doc_id", "s.state", "s.kl", F.round(F.exp(-F.pow(F.col("s.kl") - 1, F.lit(2)) / 2), 5).alias("goldilocks"))
 
 
@@ -370,7 +379,10 @@ def plot_tension(spark, sf_dir):
     return each.select("doc_id", "win_idx", F.round(F.col("tension") + 1e-9, 4).alias("tension"))
 
 
-@query()
+@query(f"""{_STATES_SQL.rsplit("SELECT doc_id, win_idx, round", 1)[0]}, k AS (SELECT doc_id, win_idx, s, lag(s) OVER o AS b, lag(s, 2) OVER o AS a, count(*) OVER (PARTITION BY doc_id) AS n FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY win_idx)),
+    p AS (SELECT *, win_idx / greatest(n - 1, 1) AS p FROM k), st AS (SELECT doc_id, win_idx, n, CASE WHEN s > 0.8 THEN 'climax' WHEN s > 0.6 AND p < 0.7 THEN 'rising' WHEN s > 0.6 THEN 'falling' WHEN s < 0.3 AND p < 0.2 THEN 'equilibrium' WHEN s < 0.3 THEN 'resolution' WHEN a < b AND b < s THEN 'rising' WHEN a > b AND b > s THEN 'falling' ELSE 'equilibrium' END AS state FROM p),
+    f AS (SELECT doc_id, any_value(n) AS n, string_agg(state, ',' ORDER BY win_idx) AS states, coalesce(bool_or(state = 'equilibrium') FILTER (win_idx < n // 4), false) AS calm, bool_or(state = 'climax') AS peak, coalesce(bool_or(state = 'resolution') FILTER (win_idx >= n - (n + 3) // 4), false) AS solved FROM st GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN n < 4 THEN 'too_short' WHEN calm AND peak AND solved THEN 'classic_arc' WHEN calm AND peak THEN 'tragic_arc' WHEN NOT calm AND peak THEN 'in_medias_res' ELSE 'episodic' END AS structure, states FROM f""")
 def plot_structures(spark, sf_dir):
     scored = series(_wide(spark, sf_dir), {"t": lambda w: functors.tension(w, TENSION, EVENTS)})
     s = detectors.plot_states(F.col("t")).getField("states")
@@ -420,7 +432,19 @@ def trajectory_gaussian(spark, sf_dir):
     return _entropy(spark, sf_dir).select("doc_id", F.posexplode(S.gaussian(F.col("lexical_entropy"), 2.0)).alias("win_idx", "value")).withColumn("value", F.round("value", 6))
 
 
-@query()
+_SAVGOL = S.savgol_weights(11, 3)
+
+
+def _savgol_sql(source: str, x: str, out: str) -> str:
+    rows = "[" + ", ".join("[" + ", ".join(repr(w) + "::DOUBLE" for w in row) + "]" for row in _SAVGOL) + "]"
+    start = f"greatest(0, least(i - 6, len({x}) - 11))"
+    return f"{out} AS (SELECT * EXCLUDE ({x}), CASE WHEN len({x}) < 11 THEN {x} ELSE list_transform(range(1, len({x}) + 1), lambda i: list_sum(list_transform(range(1, 12), lambda k: ({rows})[i - {start}][k] * {x}[{start} + k]))) END AS {x} FROM {source})"
+
+
+_SAVGOL_SQL_QUERY = f"""WITH {W50}, {_ARRAY_SQL}, {_savgol_sql("ar", "x", "sg")} SELECT doc_id, generate_subscripts(x, 1) - 1 AS win_idx, round(unnest(x), 6) AS value FROM sg"""
+
+
+@query(_SAVGOL_SQL_QUERY)
 def trajectory_savitzky_golay(spark, sf_dir):
     return _entropy(spark, sf_dir).select("doc_id", F.posexplode(S.savitzky_golay(F.col("lexical_entropy"))).alias("win_idx", "value")).withColumn("value", F.round("value", 6))
 
@@ -432,10 +456,10 @@ def local_maxima(spark, sf_dir):
     return found.select("doc_id", "s.*")
 
 
-@query()
+@query(f"""WITH {O.windows(*NARROW)}, {_ARRAY_SQL}, mm AS (SELECT doc_id, list_transform(x, lambda y: CASE WHEN list_max(x) > list_min(x) THEN (y - list_min(x)) / (list_max(x) - list_min(x)) ELSE 0.0 END) AS x FROM ar), m9 AS (SELECT doc_id, list_transform(x, lambda y: round(y, 9)) AS x FROM mm), {O.peaks("m9", "x", "pk", "3", 0.2)} SELECT doc_id, unnest(pk) - 1 AS win_idx FROM pk""")
 def prominent_peaks(spark, sf_dir):
     v = F.col("lexical_entropy")
-    return _entropy(spark, sf_dir, NARROW).select("doc_id", F.explode(P.peaks(S.minmax(v), 3, 0.2)).alias("win_idx"))
+    return _entropy(spark, sf_dir, NARROW).select("doc_id", F.explode(P.peaks(F.transform(S.minmax(v), lambda y: F.round(y, 9)), 3, 0.2)).alias("win_idx"))
 
 
 @query(f"""WITH {W50}, {O.LEXICAL}, n AS (SELECT *, lag(value) OVER (PARTITION BY doc_id ORDER BY win_idx) AS b FROM le) SELECT doc_id, round(regr_slope(value, win_idx), 6) + 0.0 AS slope, round(regr_r2(value, win_idx) + 1e-9, 4) AS r2 FROM n GROUP BY doc_id HAVING count(*) > 2 AND stddev_pop(value) > 1e-6""")
@@ -474,7 +498,8 @@ def quarter_shapes(spark, sf_dir):
     return _entropy(spark, sf_dir).select("doc_id", detectors.quarter_shape(F.col("lexical_entropy")).alias("shape"))
 
 
-@query()
+@query(f"""WITH {W50}, {O.LEXICAL}, n AS (SELECT doc_id, win_idx, value, n_windows AS n, greatest(n_windows // 4, 1) AS t FROM le), q AS (SELECT doc_id, any_value(n) AS n, round(avg(value) FILTER (win_idx < t), 6) AS a, round(avg(value) FILTER (win_idx >= t AND win_idx < n - t), 6) AS m, round(avg(value) FILTER (win_idx >= n - t), 6) AS d FROM n GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN n < 4 THEN 'insufficient_data' WHEN m > a AND m > d THEN 'Rise-Fall' WHEN m < a AND m < d THEN 'Fall-Rise' WHEN a < d AND m < d THEN 'Rising' WHEN a > d AND m >= d THEN 'Falling' ELSE 'Stable' END AS arc FROM q""")
 def arcs(spark, sf_dir):
     return _entropy(spark, sf_dir).select("doc_id", detectors.arc(F.col("lexical_entropy")).alias("arc"))
 
@@ -554,15 +579,6 @@ def four_acts(spark, sf_dir):
     return docs.select("doc_id", "four_act.*")
 
 
-_SAVGOL = S.savgol_weights(11, 3)
-
-
-def _savgol_sql(source: str, x: str, out: str) -> str:
-    rows = "[" + ", ".join("[" + ", ".join(repr(w) + "::DOUBLE" for w in row) + "]" for row in _SAVGOL) + "]"
-    start = f"greatest(0, least(i - 6, len({x}) - 11))"
-    return f"{out} AS (SELECT * EXCLUDE ({x}), CASE WHEN len({x}) < 11 THEN {x} ELSE list_transform(range(1, len({x}) + 1), lambda i: list_sum(list_transform(range(1, 12), lambda k: ({rows})[i - {start}][k] * {x}[{start} + k]))) END AS {x} FROM {source})"
-
-
 def _icc_sql(source: str, tag: str, prominence: float) -> str:
     """CTEs that end in {tag}(doc_id, n, m, net, vol, sym, r2, top, low)."""
     scaled = "list_transform(x, lambda y: CASE WHEN list_max(x) - list_min(x) > 1e-8 THEN (y - list_min(x)) / (list_max(x) - list_min(x)) ELSE 0.5 END)"
@@ -703,7 +719,11 @@ def label_moments(spark, sf_dir):
     return both.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("mean"), 5).alias("mean"), F.round(F.stddev_pop("mean"), 5).alias("std"), F.min("mean").alias("min"), F.max("mean").alias("max"), F.round(F.percentile("mean", F.lit(0.5)), 5).alias("median"))
 
 
-@query()
+@query(f"""WITH {W50}, {_ARRAY_SQL}, mm AS (SELECT doc_id, list_transform(x, lambda y: CASE WHEN list_max(x) > list_min(x) THEN (y - list_min(x)) / (list_max(x) - list_min(x)) ELSE 0.0 END) AS x FROM ar), rs AS (SELECT doc_id, {O.resampled("x", "50")} AS v FROM mm),
+    pr AS (SELECT doc_id, v AS p1, lead(doc_id) OVER o AS other, lead(v) OVER o AS p2 FROM rs JOIN documents USING (doc_id) WINDOW o AS (PARTITION BY source ORDER BY doc_id)), ok AS (SELECT * FROM pr WHERE p2 IS NOT NULL),
+    lg AS (SELECT doc_id, l, p1[greatest(-l, 0) + 1 : greatest(-l, 0) + 50 - abs(l)] AS a, p2[greatest(l, 0) + 1 : greatest(l, 0) + 50 - abs(l)] AS b FROM ok, (SELECT unnest(range(-10, 11)) AS l) WHERE len(p1) = 50 AND len(p2) = 50), lr AS (SELECT *, round({O.correlation("a", "b")}, 9) AS r FROM lg),
+    bl AS (SELECT doc_id, arg_max(l, {{'r': r, 'l': -l}}) AS lag FROM lr GROUP BY doc_id)
+    SELECT doc_id, other, round({O.correlation("p1", "p2")}, 5) + 0.0 AS r, round(list_avg(list_transform(list_zip(p1, p2), lambda z: abs(z[1] - z[2]))), 5) AS mean_gap, round(list_max(list_transform(list_zip(p1, p2), lambda z: abs(z[1] - z[2]))), 5) AS largest_gap, lag FROM ok JOIN bl USING (doc_id)""")
 def translation_pairs(spark, sf_dir):
     """Neighbours of a source compared as if they were translations: r, mean and largest gap, best lag."""
     v = S.resample(S.minmax(F.col("lexical_entropy")), 50)
@@ -711,7 +731,7 @@ def translation_pairs(spark, sf_dir):
     pairs = corpus.neighbours(Workspace(spark, "translation-pairs"), docs, "source", "doc_id", "v")
     gaps = F.zip_with("v", "u", lambda a, b: F.abs(a - b))
     lag = S.best_lag(F.col("v"), F.col("u"))
-    return pairs.select("doc_id", "other", F.round(S.correlation(F.col("v"), F.col("u")), 5).alias("r"), F.round(S.mean(gaps), 5).alias("mean_gap"), F.round(F.array_max(gaps), 5).alias("largest_gap"), lag.getField("lag").alias("lag"))
+    return pairs.select("doc_id", "other", (F.round(S.correlation(F.col("v"), F.col("u")), 5) + 0.0).alias("r"), F.round(S.mean(gaps), 5).alias("mean_gap"), F.round(F.array_max(gaps), 5).alias("largest_gap"), lag.getField("lag").alias("lag"))
 
 
 # Graphs and categories.
@@ -777,9 +797,9 @@ def morphism_patterns(spark, sf_dir):
     return _arrows(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("intensity"), 4).alias("mean_intensity"))
 
 
-@query()
+@query(f"""WITH {_ARROWS_SQL} SELECT doc_id, count(*) AS length, max(intensity) AS intensity, arg_max(type, intensity * 1000000 - idx / 1000.0) AS type, round(sum(d_a), 6) + 0.0 AS d_a, round(sum(d_b), 6) + 0.0 AS d_b FROM ar GROUP BY doc_id""")
 def composed_morphisms(spark, sf_dir):
-    return graphs.composed(_arrows(spark, sf_dir), ["a", "b"])
+    return graphs.composed(_arrows(spark, sf_dir), ["a", "b"]).withColumns({c: F.col(c) + 0.0 for c in ("d_a", "d_b")})
 
 
 # Samples and sets.
