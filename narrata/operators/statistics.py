@@ -60,8 +60,9 @@ def average_ranks(ws: Workspace, df: DataFrame, value: str, *also: Column) -> Da
 
 def mann_whitney(df: DataFrame, first: Column, value: str, digits: int = 6) -> DataFrame:
     """U of the first group, Cliff's delta, AUC, rank-biserial r, and z with corrections for ties and continuity."""
-    rows = df.select(F.col(value).alias("v"), first.alias("first")).where("first is not null")
-    ranks = average_ranks(Workspace(df.sparkSession, "ranks"), rows, "v", F.count_if("first").alias("n_first"))
+    ws = Workspace(df.sparkSession, "ranks")
+    rows = ws.save(df.select(F.col(value).alias("v"), first.alias("first")), "rows")
+    ranks = average_ranks(ws, rows.where("first is not null"), "v", F.count_if("first").alias("n_first"))
     n1, n2, u = F.col("n1"), F.col("n2"), F.col("u")
     n = n1 + n2
     all_ = ranks.agg(F.sum(F.col("n_first") * F.col("rank")).alias("r"), F.sum("n_first").alias("n1"), F.sum(F.col("n") - F.col("n_first")).alias("n2"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from narrata.workspace import Workspace, modified
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -22,11 +24,21 @@ def query(sql: str | None = None):
 
 #: A table with fewer bytes for each core has fewer row groups than cores.
 LEAST_BYTES = 4 << 20
+_dealt: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. A task reads whole row groups, so the rows of a small table are dealt to all cores; larger ones are not shuffled."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. A task reads whole row groups, so a small table is written anew, once, with a file for each core.
+
+    (A shuffle in the plan would not do: filters are pushed below it, and with
+    them what they compute.) Larger tables are read where they are.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * LEAST_BYTES else df
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= cores * LEAST_BYTES:
+        return df
+    key = (spark.sparkContext.applicationId, path, modified(spark, path))
+    if key not in _dealt:
+        _dealt[key] = Workspace(spark, name).save(df.repartition(cores), "dealt")
+    return _dealt[key]
