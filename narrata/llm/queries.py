@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, fingerprints, languages, near, packing, sharding, substrings, topk, urls, warc
+from narrata.llm import bpe, fingerprints, languages, near, oracle, packing, sharding, substrings, topk, urls, warc
 from narrata.plans.registry import table
 from narrata.workspace import Workspace
 
@@ -65,7 +65,7 @@ URL_RULES = [
 ]
 
 
-@query()
+@query(oracle.URLS)
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     edges = urls.links(pages, "url", "html")
@@ -108,7 +108,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
 
 
-@query()
+@query(oracle.NEAR)
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near.near_duplicates(docs, "doc_id", "text", words=4).withColumnRenamed("id", "doc_id")
@@ -120,7 +120,7 @@ def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-@query()
+@query(oracle.REPEATS)
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = substrings.remove_repeats(docs, "doc_id", "text", 13)
