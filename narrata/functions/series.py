@@ -209,8 +209,8 @@ def correlation(x: Column, y: Column) -> Column:
 def slope(x: Column) -> Column:
     """Least-squares slope by index; 0 for fewer than two values."""
     n = F.size(x)
-    mid = (n - 1) / 2
-    spread = n * (n * n - 1) / F.lit(12.0)
+    mid, many = (n - 1) / 2, n.cast("double")
+    spread = many * (many * many - 1) / F.lit(12.0)
     sums = let(mean(x), lambda m: F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0.0), lambda a, i: a + (i - mid) * (at(x, i) - m)))
     return F.when(n > 1, sums / spread).otherwise(0.0)
 
@@ -218,7 +218,7 @@ def slope(x: Column) -> Column:
 @bound
 def determination(x: Column, trace: float = 0.0) -> Column:
     """R squared of the least-squares line, ``trace`` added to the sum of squares; 0 for constant series."""
-    n = F.size(x)
+    n = F.size(x).cast("double")
     return lets(lambda b, v: F.when(v > 0, F.greatest(F.lit(0.0), 1 - (v - b * b * (n * n - 1) / F.lit(12.0)) * n / (v * n + trace))).otherwise(0.0), lambda: slope(x), lambda b: variance(x))
 
 
@@ -288,14 +288,14 @@ def argmin(x: Column) -> Column:
 
 
 def best_lag(x: Column, y: Column, reach: int = 10) -> Column:
-    """(lag, r) with the largest correlation of x and the shifted y, of equal ones the smallest lag."""
+    """(lag, r) with the largest correlation of x and the shifted y, of those equal in nine digits the smallest lag."""
     n = F.size(x)
 
     def part(lag: Column) -> Column:
         kept = F.greatest(n - F.abs(lag), F.lit(0))
         a = F.slice(x, F.greatest(-lag, F.lit(0)) + 1, kept)
         b = F.slice(y, F.greatest(lag, F.lit(0)) + 1, kept)
-        return F.struct(F.when(kept > 2, correlation(a, b)).otherwise(-2.0).alias("r"), (-lag).alias("order"), lag.alias("lag"))
+        return F.struct(F.when(kept > 2, F.round(correlation(a, b), 9)).otherwise(-2.0).alias("r"), (-lag).alias("order"), lag.alias("lag"))
 
     return F.array_max(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), part))
 

@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from narrata.plans import narrative, queries, registry
+from narrata.plans import comparisons, narrative, queries, registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-assert queries and narrative
+assert queries and narrative and comparisons
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
