@@ -79,7 +79,7 @@ def circle_by_shape(spark, sf_dir):
     curve = F.array(*(F.lit(float(v)) for v in detectors.six_curves()["man_in_hole"]))
     judged = detectors.with_detectors(docs, "lexical_entropy", ("circle",)).where(F.size(x) >= 10)
     rows = judged.select(detectors.six_shapes(x)["shape"].alias("shape"), F.round(S.correlation(smooth, curve), 6).alias("hole"), F.col("circle.score").alias("circle"))
-    return rows.rollup("shape").agg(F.count("*").alias("n"), F.round(F.avg("circle"), 5).alias("mean_circle"), (F.expr(f"CASE WHEN {_BOTH} THEN round(corr(circle, hole), 4) ELSE 0D END") + 0.0).alias("r")).withColumn("shape", F.coalesce("shape", F.lit("all")))
+    return rows.rollup("shape").agg(F.count("*").alias("n"), F.round(F.avg("circle"), 5).alias("mean_circle"), (F.expr(f"CASE WHEN {_BOTH} THEN round(try_divide(covar_pop(circle, hole), stddev_pop(circle) * stddev_pop(hole)), 4) ELSE 0D END") + 0.0).alias("r")).withColumn("shape", F.coalesce("shape", F.lit("all")))
 
 
 _PEAKS = "list_filter(range(1, 99), lambda i: {0}[i + 1] > {0}[i] AND {0}[i + 1] > {0}[i + 2])"
