@@ -53,3 +53,19 @@ URLS = rf"""
     b AS (SELECT DISTINCT url FROM o WHERE {_rule("host", "path", 0)} = 'block')
     SELECT page_id, host, path, {_rule("host", "path", 1)} AS rule, coalesce({_rule("host", "path", 0)}, CASE WHEN b.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN b ON p.url = b.url
     """
+
+#: Sequences that are rarer than 100 are neither candidates nor parts of one.
+PHRASES = rf"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+    p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+    t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+    g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k))),
+    f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+    o AS (SELECT DISTINCT lang, j AS k, array_to_string(w[s : s + j - 1], ' ') AS phrase, a FROM f, (SELECT unnest([2, 3, 4]) AS j), (SELECT unnest([1, 2, 3, 4]) AS s) WHERE j < k AND s <= k - j + 1),
+    c AS (SELECT * FROM f ANTI JOIN o USING (lang, k, phrase, a) WHERE k > 1),
+    x AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, t.n, CAST(1000 * CAST(c.a AS HUGEINT) * t.n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score, m
+      FROM (SELECT *, unnest(range(1, k)) AS m FROM c) c JOIN t USING (lang)
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : m], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[m + 1 : c.k], ' ')),
+    b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, m) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000
+    """

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, fingerprints, languages, near, oracle, packing, sharding, substrings, topk, urls, warc
+from narrata.llm import bpe, fingerprints, languages, near, oracle, packing, personal, phrases, sharding, substrings, topk, urls, warc
 from narrata.plans.registry import table
 from narrata.workspace import Workspace
 
@@ -134,3 +134,14 @@ def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = languages.learn(docs.where(~out & F.col("doc_id").isNotNull()), "doc_id", "text", "lang")
     predicted = languages.predict(docs.select("doc_id", "text"), "text", trees)
     return predicted.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query()
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(personal.written(F.col("base")), 256).alias("base_sha256"), personal.written(F.col("spans")).alias("spans"), "n_added")
+
+
+@query(oracle.PHRASES)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), "text", "lang", 5, 100, 100, 2000)
