@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, fingerprints, languages, near, oracle, packing, personal, phrases, sharding, substrings, topk, urls, warc
+from narrata.llm import bpe, fingerprints, languages, near, negatives, oracle, packing, personal, phrases, sharding, substrings, topk, urls, warc
 from narrata.plans.registry import table
 from narrata.workspace import Workspace
 
@@ -145,3 +145,10 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle.PHRASES)
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), "text", "lang", 5, 100, 100, 2000)
+
+
+@query(oracle.NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors, "vec_id", "embedding", label, F.col("vec_id") % 50 == 0, positives=5, negatives=3)
