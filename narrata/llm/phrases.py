@@ -9,8 +9,10 @@ of the length before, which their prefix transition and their suffix link lead
 to: a state is made only if both are frequent in the whole language, since no
 rarer sequence can be a candidate or a part of one. So each round is one
 length: shards count, counts are summed over shards in Spark, and the frequent
-sequences are told to the shards that have them. Nothing is broadcast, and a
-shard hears of its own sequences only.
+sequences are told to the shards that have them: a shard hears of its own only.
+Pairs of words, which are most, are first counted in buckets (hashes that many
+pairs share); a pair in a bucket with too few is left out early. What is
+broadcast is a bit for each of these, at most 2**26.
 
 Links of the frequent sequences make the rest: the first words of a phrase are
 reached by prefixes, the last ones by suffix links, and a phrase that ends or
@@ -18,8 +20,8 @@ begins in a longer one of the same count is subsumed by it (one that lies
 inside a longer phrase of the same count also lies in one that is a word
 longer, with that count).
 
-Counts are exact: sequences are named by numbers of their own, never by
-hashes. Defined results: null and empty texts have no words; rows are counted
+Counts are exact: sequences are named by a shard and state of their own, never
+by hashes. Defined results: null and empty texts have no words; rows are counted
 as often as they are repeated; a null language is ``und``; languages without a
 candidate, and empty tables, give no rows; ids and further columns are unused.
 """
@@ -27,19 +29,22 @@ candidate, and empty tables, give no rows; ids and further columns are unused.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from narrata.llm.words import mix
 from narrata.workspace import Workspace
 
 #: Words of a shard (a longer text is cut into more shards, at pieces if it has any).
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 22
 #: Text bytes that are worked on at once, and words of a stored run.
 CHUNK_BYTES, RUN_WORDS = 1 << 22, 1 << 16
 
@@ -48,8 +53,19 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
-SHARDS = "lang string, shard long, at int, word binary, n long, ids binary"
-STATES = "shard long, lang string, state int, first long, last long, n long"
+SHARDS = "lang string, shard bigint, at int, word binary, n bigint, ids binary"
+STEPS = "shard bigint, at int, first bigint, last bigint, n bigint, ids binary"
+#: Bits of a state's number in a name, and of a shard's number in its task.
+STATE_BITS, TOLD_BITS = 23, 16
+#: Bytes of text that a bucket stands for; powers of two that their number lies between; buckets of a stored range.
+BUCKET_BYTES, FEWEST, MOST, RANGE = 48, 16, 26, 1 << 16
+
+U = np.uint64
+
+
+def buckets_of(first: np.ndarray, second: np.ndarray, power: int) -> np.ndarray:
+    """The bucket of each pair of words, from their hashes."""
+    return (mix(first * U(0x9E3779B97F4A7C15) + mix(second)) >> U(64 - power)).astype(np.int64)
 
 
 class Shard:
@@ -57,28 +73,36 @@ class Shard:
 
     def __init__(self):
         self.names: dict[bytes, int] = {}
+        self.hashes = np.zeros(0, U)
         self.runs: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, texts: bytes) -> None:
-        """``texts`` end with a break each."""
+    def add(self, texts: bytes) -> np.ndarray:
+        """Take ``texts``, which end with a break each, and return the names of their words."""
         low = texts.translate(_LOWER)
         kind = _KIND[np.frombuffer(low, np.uint8)]
         edge = np.flatnonzero(np.diff((kind == 0).astype(np.int8), prepend=0, append=0))
         starts, ends = edge[::2], edge[1::2]
         if not len(starts):
-            return
-        sizes = ends - starts
-        offsets = np.zeros(len(sizes) + 1, np.int32)
-        np.cumsum(sizes, out=offsets[1:])
+            return np.zeros(0, np.int32)
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(ends - starts, out=offsets[1:])
         body = np.frombuffer(low, np.uint8)[kind == 0].tobytes()
-        words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        known = len(self.names)
         own = np.array([self.names.setdefault(w, len(self.names)) for w in words.dictionary.to_pylist()], np.int32)
-        ids = own[words.indices.to_numpy()]
-        breaks = np.cumsum(kind == 2)[starts]
-        cuts = np.flatnonzero(np.diff(breaks)) + 1
-        self.runs.append(np.append(np.insert(ids, cuts, -1), np.int32(-1)))
-        self.size += len(ids)
+        fresh = itertools.islice(self.names, known, None)
+        self.hashes = np.concatenate([self.hashes, np.array([xxhash.xxh64_intdigest(w, 42) for w in fresh], U)])
+        cuts = np.flatnonzero(np.diff(np.cumsum(kind == 2)[starts])) + 1
+        ids = np.append(np.insert(own[words.indices.to_numpy()], cuts, -1), np.int32(-1))
+        self.runs.append(ids)
+        self.size += len(starts)
+        return ids
+
+    def pairs(self, ids: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the words that follow each other, and how many fall in each."""
+        both = (ids[:-1] >= 0) & (ids[1:] >= 0)
+        return np.unique(buckets_of(self.hashes[ids[:-1][both]], self.hashes[ids[1:][both]], power), return_counts=True)
 
     def rows(self, lang: str, shard: int) -> Iterator[tuple]:
         """Rows of ``SHARDS``."""
@@ -95,20 +119,21 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def sharded(df: DataFrame, text: str, lang: str, words: int = SHARD_WORDS) -> DataFrame:
-    """Rows of shards: their words (at, word, n), and their texts as runs of words' names (at, ids)."""
+def sharded(df: DataFrame, text: str, lang: str, words: int, power: int) -> DataFrame:
+    """Rows of shards: their words (at, word, n), and their texts as runs of words' names (at, ids); without a language, a task's counts of buckets (at, ids)."""
     schema = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("at", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, Shard] = {}
         task = told = 0
+        buckets = np.zeros(1 << power, np.uint8)
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal told
             while open_:
                 name, shard = open_.popitem()
                 if shard.size:
-                    yield from _batches(shard.rows(name, task << 20 | told), schema, 4096)
+                    yield from _batches(shard.rows(name, task << TOLD_BITS | told), schema, 4096)
                     told += 1
 
         for batch in batches:
@@ -121,125 +146,161 @@ def sharded(df: DataFrame, text: str, lang: str, words: int = SHARD_WORDS) -> Da
                     held.append(t)
                     size += len(t)
                     if size >= CHUNK_BYTES or i == len(mine) - 1:
-                        open_.setdefault(name, Shard()).add(b"\n".join([*held, b""]))
+                        shard = open_.setdefault(name, Shard())
+                        at, n = shard.pairs(shard.add(b"\n".join([*held, b""])), power)
+                        buckets[at] = np.minimum(n + buckets[at], 255)
                         held, size = [], 0
                         if sum(s.size for s in open_.values()) >= words:
                             yield from close()
         yield from close()
+        ranges = ((None, None, low // RANGE, None, None, zlib.compress(part.tobytes(), 1)) for low in range(0, len(buckets), RANGE) if (part := buckets[low : low + RANGE]).any())
+        yield from _batches(ranges, schema, 256)
 
     whole = df.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.spark_partition_id().cast("long").alias("task"))
     return whole.mapInArrow(run, SHARDS)
 
 
+def full_buckets(counts: DataFrame, power: int, least: int, tasks: int) -> np.ndarray:
+    """Whether the pairs of each bucket are ``least`` in all: a pair of one that isn't can't be frequent. At most 2 to the power of ``MOST`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(RANGE, np.uint16)
+        for batch in batches:
+            for own, packed in zip(batch.column("at").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if own != at and at is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total >= least).tobytes()])], names=["at", "bits"])
+                    total = np.zeros(RANGE, np.uint16)
+                at = own
+                total = np.minimum(total + np.frombuffer(zlib.decompress(packed), np.uint8), 255).astype(np.uint16)
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total >= least).tobytes()])], names=["at", "bits"])
+
+    found = np.zeros(1 << power, bool)
+    for row in counts.select("at", "ids").repartition(min(tasks, max(1, (1 << power) // RANGE)), "at").sortWithinPartitions("at").mapInArrow(run, "at int, bits binary").collect():
+        found[row.at * RANGE : (row.at + 1) * RANGE] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
+    return found
+
+
 class Automaton:
-    """States of one length after the other; ``state[e]`` is the state of the sequence that ends at e, or -1."""
-
-    def __init__(self, ids: np.ndarray, told: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """``told``: for each length, the states that are frequent everywhere, in order, and their numbers there."""
-        self.state, self.told = ids.astype(np.int64), told
-        self._keep(1)
-        for k in range(2, max(told) + 1):
-            self.step()
-            self._keep(k)
-
-    def _keep(self, k: int) -> None:
-        """Frequent states only, under their places among those told."""
-        states, self.numbers = self.told[k]
-        place = np.full(int(max(states.max(initial=0), self.state.max(initial=0))) + 1, -1, np.int64)
-        place[states] = np.arange(len(states))
-        self.state = np.where(self.state >= 0, place[self.state], -1)
-
-    def step(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Make the states that are a word longer: prefix and suffix link of each, and its number of end positions."""
-        before = np.concatenate([np.full(1, -1, np.int64), self.state[:-1]])
-        full = np.flatnonzero((before >= 0) & (self.state >= 0))
-        width = len(self.numbers) + 1
-        pairs, made, counts = np.unique(before[full] * width + self.state[full], return_inverse=True, return_counts=True)
-        prefix, link = pairs // width, pairs % width
-        following = np.full(len(self.state), -1, np.int64)
-        following[full] = made
-        self.state = following
-        return self.numbers[prefix], self.numbers[link], counts
+    """States of one length; ``state[e]`` is the state of the sequence that ends at e, or -1."""
 
+    def __init__(self, ids: np.ndarray, told: np.ndarray, names: np.ndarray):
+        """``told``: the states that are frequent everywhere, in order, and their names there."""
+        place = np.full(int(max(told.max(initial=0), ids.max(initial=0))) + 1, -1, np.int64)
+        place[told] = np.arange(len(told))
+        self.names, self.state = names, np.where(ids >= 0, place[ids], -1)
 
-def counted(shards: DataFrame, told: DataFrame, length: int, tasks: int) -> DataFrame:
-    """(shard, lang, state, first, last, n) of each shard's states of ``length`` words, from the shorter ones that are told.
+    def step(self, may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Go on to the states that are a word longer: prefix and suffix link of each, and its number of end positions.
 
-    ``shards`` is (lang, shard, at, ids), ``told`` (lang, shard, length, state, number): the frequent ones.
+        ``may`` tells of two states in turn whether their joint one may be frequent.
+        """
+        before = np.concatenate([np.full(1, -1, np.int64), self.state[:-1]])
+        full = np.flatnonzero((before >= 0) & (self.state >= 0))
+        if may is not None:
+            full = full[may(before[full], self.state[full])]
+        pairs, made, counts = np.unique(before[full] * (len(self.names) + 1) + self.state[full], return_inverse=True, return_counts=True)
+        prefix, link = pairs // (len(self.names) + 1), pairs % (len(self.names) + 1)
+        self.state = np.full(len(self.state), -1, np.int64)
+        self.state[full] = made
+        return self.names[prefix], self.names[link], counts
+
+    def runs(self) -> np.ndarray:
+        """The states without those that have no neighbour, and one -1 for whatever lies between."""
+        full = self.state >= 0
+        beside = np.concatenate([full[1:], [False]]) | np.concatenate([[False], full[:-1]])
+        kept = np.flatnonzero(full & beside)
+        return np.insert(self.state[kept], np.flatnonzero(np.diff(kept) > 1) + 1, -1).astype(np.int32)
+
+
+def stepped(runs: DataFrame, told: DataFrame, tasks: int, full: Broadcast | None = None, power: int = 0) -> DataFrame:
+    """Each shard's states that are a word longer (at, first, last, n), and its texts as runs of them (at, ids).
+
+    ``runs`` is (shard, at, ids) of the states before, ``told`` (shard, at, name, hash) the frequent ones of them.
     """
-    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("state", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("shard", pa.int64()), ("at", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, runs, told_ = None, [], {}
+        at, ids, heard = None, [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if not runs or len(told_) < length - 1:
+            if not ids or not heard:
                 return
-            found = {k: tuple(np.concatenate(x) for x in zip(*v, strict=True)) for k, v in told_.items()}
-            ordered = {k: (s[o], g[o]) for k, (s, g) in found.items() for o in [np.argsort(s)]}
-            first, last, n = Automaton(np.concatenate(runs), ordered).step()
+            states, names, hashes = (np.concatenate(x) for x in zip(*heard, strict=True))
+            order = np.argsort(states)
+            found = Automaton(np.concatenate(ids), states[order], names[order])
+            hashed = hashes[order].view(U)
+            first, last, n = found.step(None if full is None else lambda a, b: full.value[buckets_of(hashed[a], hashed[b], power)])
             for low in range(0, len(n), 1 << 16):
                 part = slice(low, low + (1 << 16))
                 size = len(n[part])
-                columns = [np.full(size, at[1]), [at[0]] * size, np.arange(low, low + size, dtype=np.int32), first[part], last[part], n[part]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+                columns = [np.full(size, at), np.arange(low, low + size, dtype=np.int32), first[part], last[part], n[part]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, schema.types, strict=False)), pa.nulls(size, pa.binary())], schema=schema)
+            left = found.runs()
+            rows = ((at, i, None, None, None, left[low : low + RUN_WORDS].tobytes()) for i, low in enumerate(range(0, len(left), RUN_WORDS)))
+            yield from _batches(rows, schema, 64)
 
         for batch in batches:
-            lang, shard, sizes = batch.column("lang"), batch.column("shard").to_numpy(), batch.column("length").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shard) | np.diff(sizes)) + 1).tolist(), batch.num_rows]
+            shard, texts = batch.column("shard").to_numpy(), batch.column("text").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(shard) | np.diff(texts.astype(np.int8))) + 1).tolist(), batch.num_rows]
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 if low == high:
                     continue
-                key = (lang[low].as_py(), int(shard[low]))
-                if key != at:
-                    yield from close()
-                    at, runs, told_ = key, [], {}
+                if shard[low] != at:
+                    if at is not None:
+                        yield from close()
+                    at, ids, heard = int(shard[low]), [], []
                 part = batch.slice(low, high - low)
-                if sizes[low] == 0:
-                    runs += [np.frombuffer(b, np.int32) for b in part.column("ids").to_pylist()]
+                if texts[low]:
+                    ids += [np.frombuffer(b, np.int32) for b in part.column("ids").to_pylist()]
                 else:
-                    told_.setdefault(int(sizes[low]), []).append((part.column("at").to_numpy().astype(np.int64), part.column("number").to_numpy()))
-        if at:
+                    heard.append(tuple(part.column(c).to_numpy() for c in ("at", "name", "hash")))
+        if at is not None:
             yield from close()
 
     none = F.lit(None)
-    both = shards.select("lang", "shard", F.lit(0).alias("length"), "at", none.cast("long").alias("number"), "ids").unionByName(
-        told.select("lang", "shard", "length", F.col("state").alias("at"), "number", none.cast("binary").alias("ids"))
-    )
-    return both.repartition(tasks, "lang", "shard").sortWithinPartitions("lang", "shard", "length", "at").mapInArrow(run, STATES)
+    both = runs.select("shard", F.lit(True).alias("text"), "at", none.cast("long").alias("name"), none.cast("long").alias("hash"), "ids").unionByName(told.select("shard", F.lit(False).alias("text"), "at", "name", "hash", none.cast("binary").alias("ids")))
+    return both.repartition(tasks, "shard").sortWithinPartitions("shard", "text", "at").mapInArrow(run, STEPS)
+
+
+def frequent(states: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(shard, at, keys..., total, name, head) of shards' states (shard, at, keys..., n) with ``least`` occurrences in all shards.
+
+    A sequence is named by the first of its states; ``head`` is true there. A key has one row for each shard at most.
+    """
+    own = F.shiftleft("shard", STATE_BITS) + F.col("at")
+    same = Window.partitionBy(*keys)
+    summed = states.withColumns({"total": F.sum("n").over(same), "name": F.min(own).over(same)})
+    return summed.where(F.col("total") >= least).select("shard", "at", *keys, "total", "name", (F.col("name") == own).alias("head"))
 
 
 def frequent_phrases(df: DataFrame, text: str, lang: str, depth: int, least: int, ws: Workspace, words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """Every sequence of at most ``depth`` words that occurs ``least`` times in its language, and the words of each language.
 
-    (number, lang, length, prefix, link, n, phrase, firsts, lasts): ``prefix`` and ``link`` are the numbers of the
+    (name, lang, length, prefix, link, n, phrase, firsts, lasts): ``prefix`` and ``link`` are the names of the
     phrase without its last and its first word, ``firsts`` and ``lasts`` the counts of its first and of its last words, by their number.
     """
-    stored = ws.save(sharded(df, text, lang, words), "shards")
-    shards = stored.where("ids is not null").select("lang", "shard", "at", "ids")
-    local = stored.where("word is not null").select("lang", "shard", F.col("at").alias("state"), F.col("word").cast("string").alias("word"), "n")
-    totals = ws.save(local.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    number = F.monotonically_increasing_id()
-    empty = F.array().cast("array<bigint>")
-    level = local.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    level = level.select("lang", F.lit(1).alias("length"), F.lit(-1).cast("long").alias("prefix"), F.lit(-1).cast("long").alias("link"), "n", F.col("word").alias("phrase"), empty.alias("firsts"), empty.alias("lasts"), "word")
-    level = ws.save(level.withColumn("number", number), "frequent")
-    told = ws.save(local.join(level.select("lang", "word", "number"), ["lang", "word"]).select("lang", "shard", F.lit(1).alias("length"), "state", "number"), "told")
-    levels, tasks = [level], int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    power = min(MOST, max(FEWEST, (size // BUCKET_BYTES).bit_length()))
+    stored = ws.save(sharded(df, text, lang, words, power), "shards")
+    full = ws.spark.sparkContext.broadcast(full_buckets(stored.where("lang is null"), power, min(least, 255), tasks))
+    local = stored.where("word is not null").select("lang", "shard", "at", F.col("word").cast("string").alias("word"), "n")
+    totals = ws.save(local.groupBy("lang").agg(F.sum("n").alias("words")), "totals")
+    empty, none = F.array().cast("array<bigint>"), F.lit(-1).cast("long")
+    heard = ws.save(frequent(local, ["lang", "word"], least), "heard")
+    level = heard.where("head").select("name", "lang", F.lit(1).alias("length"), none.alias("prefix"), none.alias("link"), F.col("total").alias("n"), F.col("word").alias("phrase"), empty.alias("firsts"), empty.alias("lasts"), "word")
+    told, runs, levels = heard.select("shard", "at", "name", F.xxhash64(F.encode("word", "UTF-8")).alias("hash")), stored.where("word is null and lang is not null"), [level]
     for k in range(2, depth + 1):
-        states = ws.save(counted(shards, told, k, tasks), "states")
-        summed = states.groupBy("first", "last").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        states = ws.save(stepped(runs, told, tasks, full if k == 2 else None, power), "states")
+        heard = ws.save(frequent(states.where("ids is null"), ["first", "last"], least), "heard")
         # The prefix has all but the last word, the suffix link all but the first.
-        left = level.select(F.col("number").alias("first"), "lang", F.col("phrase").alias("_head"), F.concat("firsts", F.array("n")).alias("firsts"))
-        right = level.select(F.col("number").alias("last"), F.concat("lasts", F.array("n")).alias("lasts"), "word")
-        named = summed.join(left, "first").join(right, "last")
-        level = named.select("lang", F.lit(k).alias("length"), F.col("first").alias("prefix"), F.col("last").alias("link"), "n", F.concat_ws(" ", "_head", "word").alias("phrase"), "firsts", "lasts", "word")
-        level = ws.save(level.withColumn("number", number), "frequent")
+        left = level.select(F.col("name").alias("first"), "lang", F.col("phrase").alias("_head"), F.concat("firsts", F.array("n")).alias("firsts"))
+        right = level.select(F.col("name").alias("last"), F.concat("lasts", F.array("n")).alias("lasts"), "word")
+        named = heard.where("head").join(left, "first").join(right, "last")
+        level = ws.save(named.select("name", "lang", F.lit(k).alias("length"), F.col("first").alias("prefix"), F.col("last").alias("link"), F.col("total").alias("n"), F.concat_ws(" ", "_head", "word").alias("phrase"), "firsts", "lasts", "word"), "frequent")
         levels.append(level)
-        if k < depth:
-            heard = states.select("lang", "shard", "state", "first", "last").join(level.select(F.col("prefix").alias("first"), F.col("link").alias("last"), "number"), ["first", "last"])
-            told = told.union(ws.save(heard.select("lang", "shard", F.lit(k).alias("length"), "state", "number"), "told"))
-        ws.drop(states)
+        told, runs = heard.select("shard", "at", "name", F.lit(0).cast("long").alias("hash")), states.where("ids is not null")
         ws.tidy()
         if not level.take(1):
             break
@@ -259,24 +320,18 @@ def collocations(df: DataFrame, text: str, lang: str, longest: int = 5, least: i
         raise ValueError("links tell of longer phrases with the same count only")
     ws = ws or Workspace(df.sparkSession, "phrases")
     found, totals = frequent_phrases(df, text, lang, longest, least, ws, words)
+    # Names are of one length each.
     longer = found.where("length > 2")
-    around = longer.select(F.col("prefix").alias("number"), F.struct("length", "n").alias("own")).union(longer.select(F.col("link"), F.struct("length", "n")))
-    # Numbers are of one length each.
-    around = around.select("number", (F.col("own.length") - 1).alias("length"), F.col("own.n").alias("n")).distinct()
-    kept = found.where("length > 1").join(around, ["number", "length", "n"], "left_anti")
-    wide = lambda c: c.cast("decimal(18,0)")
-
-    def cut(k) -> F.Column:
-        # firsts[k - 1]: the first k words. The rest has length - k words.
-        return F.struct(F.get("firsts", k - 1).alias("l"), F.get("lasts", F.col("length") - k - 1).alias("r"), k.alias("k"))
+    ends = [longer.select(F.col(end).alias("name"), (F.col("length") - 1).alias("length"), "n") for end in ("prefix", "link")]
+    kept = found.where("length > 1").join(ends[0].union(ends[1]), ["name", "length", "n"], "left_anti")
 
     def judged(k: Column) -> Column:
         """The cut after k words: ``firsts`` and ``lasts`` have a count for each number of words."""
         left, right = F.get("firsts", k - 1), F.get("lasts", F.col("length") - k - 1)
-        return F.struct(score(F.col("n"), F.col("total"), left, right).alias("score"), k.alias("k"), left.alias("l"), right.alias("r"))
+        return F.struct(score(F.col("n"), F.col("words"), left, right).alias("score"), k.alias("k"), left.alias("l"), right.alias("r"))
 
     cuts = F.transform(F.sequence(F.lit(1), F.col("length") - 1), judged)
-    scored = kept.join(totals, "lang").withColumn("best", F.array_min(cuts)).select("lang", "phrase", F.col("n").alias("a"), "best.l", "best.r", F.col("total").alias("n"), "best.score")
+    scored = kept.join(totals, "lang").withColumn("best", F.array_min(cuts)).select("lang", "phrase", F.col("n").alias("a"), "best.l", "best.r", F.col("words").alias("n"), "best.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
