@@ -116,3 +116,15 @@ def test_op9(spark, texts):
     for r in run(spark, 9).collect():
         ids = own.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_op11(spark, texts):
+    from test_new_operators import base_spans
+
+    rows = run(spark, 11).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        base = base_spans(texts[r.doc_id])
+        shown = [f"{k}:{i}:{j}" for k, i, j in base]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest() and set(shown) <= {*r.spans.split(","), ""}
