@@ -10,9 +10,9 @@ to: a state is made only if both are frequent in the whole language, since no
 rarer sequence can be a candidate or a part of one. So each round is one
 length: shards count, counts are summed over shards in Spark, and the frequent
 sequences are told to the shards that have them: a shard hears of its own only.
-Pairs of words, which are most, are first counted in buckets (hashes that many
-pairs share); a pair in a bucket with too few is left out early. What is
-broadcast is a bit for each of these, at most 2**26.
+Sequences of up to three words, which are most, are first counted in buckets
+(hashes that many share); one in a bucket with too few is left out early. What
+is broadcast is a bit for each bucket, at most 2**26 for each of the lengths.
 
 Links of the frequent sequences make the rest: the first words of a phrase are
 reached by prefixes, the last ones by suffix links, and a phrase that ends or
@@ -54,18 +54,50 @@ _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 SHARDS = "lang string, shard bigint, at int, word binary, n bigint, ids binary"
-STEPS = "shard bigint, at int, first bigint, last bigint, n bigint, ids binary"
+STEPS = "shard bigint, at int, first bigint, last bigint, n bigint, hash bigint, ids binary"
+WORDS = "lang string, shard bigint, at int, word string, n bigint, hash bigint"
 #: Bits of a state's number in a name, and of a shard's number in its task.
 STATE_BITS, TOLD_BITS = 23, 16
-#: Bytes of text that a bucket stands for; powers of two that their number lies between; buckets of a stored range.
-BUCKET_BYTES, FEWEST, MOST, RANGE = 48, 16, 26, 1 << 16
+#: Bytes of text that a bucket stands for; powers of two that their number lies between; buckets of a stored range; words of the longest sequences that are counted in buckets.
+BUCKET_BYTES, FEWEST, MOST, RANGE, BUCKETED = 48, 16, 26, 1 << 16, 3
 
 U = np.uint64
 
 
-def buckets_of(first: np.ndarray, second: np.ndarray, power: int) -> np.ndarray:
-    """The bucket of each pair of words, from their hashes."""
-    return (mix(first * U(0x9E3779B97F4A7C15) + mix(second)) >> U(64 - power)).astype(np.int64)
+def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of sequences from those of all but the last word and all but the first."""
+    return mix(first * U(0x9E3779B97F4A7C15) + mix(second))
+
+
+def bucket(hashes: np.ndarray, power: int) -> np.ndarray:
+    return (hashes >> U(64 - power)).astype(np.int64)
+
+
+class Buckets:
+    """How many sequences of each length fall in each bucket, up to 255."""
+
+    def __init__(self, power: int):
+        self.power, self.counts = power, {k: np.zeros(1 << power, np.uint8) for k in range(1, BUCKETED + 1)}
+
+    def add(self, length: int, hashes: np.ndarray, counts: np.ndarray | None = None) -> None:
+        at = bucket(hashes, self.power)
+        at, place, n = np.unique(at, return_inverse=True, return_counts=True)
+        n = n if counts is None else np.bincount(place, counts, len(at))
+        self.counts[length][at] = np.minimum(n + self.counts[length][at], 255)
+
+    def take(self, ids: np.ndarray, hashes: np.ndarray) -> None:
+        """Sequences of two words and more in texts of names; -1 parts pieces."""
+        valid, current = ids >= 0, hashes[np.maximum(ids, 0)] if len(hashes) else np.zeros(len(ids), U)
+        for length in range(2, BUCKETED + 1):
+            valid, current = valid[:-1] & valid[1:], joined(current[:-1], current[1:])
+            self.add(length, current[valid])
+
+    def rows(self) -> Iterator[tuple]:
+        """Rows of ``SHARDS`` without a language: (length, range, counts)."""
+        for length, counts in self.counts.items():
+            for low in range(0, len(counts), RANGE):
+                if (part := counts[low : low + RANGE]).any():
+                    yield None, length, low // RANGE, None, None, zlib.compress(part.tobytes(), 1)
 
 
 class Shard:
@@ -99,15 +131,13 @@ class Shard:
         self.size += len(starts)
         return ids
 
-    def pairs(self, ids: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the words that follow each other, and how many fall in each."""
-        both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        return np.unique(buckets_of(self.hashes[ids[:-1][both]], self.hashes[ids[1:][both]], power), return_counts=True)
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        return np.bincount(ids[ids >= 0], minlength=len(self.names))
 
     def rows(self, lang: str, shard: int) -> Iterator[tuple]:
         """Rows of ``SHARDS``."""
         ids = np.concatenate(self.runs)
-        counts = np.bincount(ids[ids >= 0], minlength=len(self.names))
+        counts = self.counts(ids)
         for i, word in enumerate(self.names):
             yield lang, shard, i, word, int(counts[i]), None
         for at, low in enumerate(range(0, len(ids), RUN_WORDS)):
@@ -126,13 +156,14 @@ def sharded(df: DataFrame, text: str, lang: str, words: int, power: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, Shard] = {}
         task = told = 0
-        buckets = np.zeros(1 << power, np.uint8)
+        buckets = Buckets(power)
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal told
             while open_:
                 name, shard = open_.popitem()
                 if shard.size:
+                    buckets.add(1, mix(shard.hashes), shard.counts(np.concatenate(shard.runs)))
                     yield from _batches(shard.rows(name, task << TOLD_BITS | told), schema, 4096)
                     told += 1
 
@@ -147,40 +178,62 @@ def sharded(df: DataFrame, text: str, lang: str, words: int, power: int) -> Data
                     size += len(t)
                     if size >= CHUNK_BYTES or i == len(mine) - 1:
                         shard = open_.setdefault(name, Shard())
-                        at, n = shard.pairs(shard.add(b"\n".join([*held, b""])), power)
-                        buckets[at] = np.minimum(n + buckets[at], 255)
+                        buckets.take(shard.add(b"\n".join([*held, b""])), shard.hashes)
                         held, size = [], 0
                         if sum(s.size for s in open_.values()) >= words:
                             yield from close()
         yield from close()
-        ranges = ((None, None, low // RANGE, None, None, zlib.compress(part.tobytes(), 1)) for low in range(0, len(buckets), RANGE) if (part := buckets[low : low + RANGE]).any())
-        yield from _batches(ranges, schema, 256)
+        yield from _batches(buckets.rows(), schema, 256)
 
     whole = df.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.spark_partition_id().cast("long").alias("task"))
     return whole.mapInArrow(run, SHARDS)
 
 
-def full_buckets(counts: DataFrame, power: int, least: int, tasks: int) -> np.ndarray:
-    """Whether the pairs of each bucket are ``least`` in all: a pair of one that isn't can't be frequent. At most 2 to the power of ``MOST`` bits."""
+def full_buckets(counts: DataFrame, power: int, least: int, tasks: int) -> dict[int, np.ndarray]:
+    """For each length, whether the sequences of each bucket are ``least`` in all: one in a bucket that isn't can't be frequent.
+
+    At most ``BUCKETED`` times 2 to the power of ``MOST`` bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(RANGE, np.uint16)
+
+        def told() -> pa.RecordBatch:
+            bits = np.packbits(total >= least).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.array([bits])], names=["length", "at", "bits"])
+
         for batch in batches:
-            for own, packed in zip(batch.column("at").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if own != at and at is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total >= least).tobytes()])], names=["at", "bits"])
+            for length, own, packed in zip(*(batch.column(c).to_pylist() for c in ("shard", "at", "ids")), strict=True):
+                if (length, own) != at and at is not None:
+                    yield told()
                     total = np.zeros(RANGE, np.uint16)
-                at = own
-                total = np.minimum(total + np.frombuffer(zlib.decompress(packed), np.uint8), 255).astype(np.uint16)
+                at, part = (length, own), np.frombuffer(zlib.decompress(packed), np.uint8)
+                total[: len(part)] = np.minimum(total[: len(part)] + part, 255)
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total >= least).tobytes()])], names=["at", "bits"])
+            yield told()
 
-    found = np.zeros(1 << power, bool)
-    for row in counts.select("at", "ids").repartition(min(tasks, max(1, (1 << power) // RANGE)), "at").sortWithinPartitions("at").mapInArrow(run, "at int, bits binary").collect():
-        found[row.at * RANGE : (row.at + 1) * RANGE] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
+    found = {k: np.zeros(1 << power, bool) for k in range(1, BUCKETED + 1)}
+    parts = min(tasks, BUCKETED * max(1, (1 << power) // RANGE))
+    for row in counts.select("shard", "at", "ids").repartition(parts, "shard", "at").sortWithinPartitions("shard", "at").mapInArrow(run, "length bigint, at int, bits binary").collect():
+        bits = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
+        found[row.length][row.at * RANGE : (row.at + 1) * RANGE] = bits[: 1 << power]
     return found
 
 
+def likely_words(local: DataFrame, full: Broadcast, power: int) -> DataFrame:
+    """Rows of ``WORDS``: the words (lang, shard, at, word, n) whose bucket is full, and their hashes."""
+    names = [f.strip().split(" ")[0] for f in WORDS.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in batch.column("word").to_pylist()], U)
+            keep = full.value[1][bucket(mix(hashes), power)]
+            part = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), part.column("word").cast(pa.string()), part.column("n"), pa.array(hashes[keep].view(np.int64))], names=names)
+
+    return local.select("lang", "shard", "at", "word", "n").mapInArrow(run, WORDS)
+
+
 class Automaton:
     """States of one length; ``state[e]`` is the state of the sequence that ends at e, or -1."""
 
@@ -191,7 +244,7 @@ class Automaton:
         self.names, self.state = names, np.where(ids >= 0, place[ids], -1)
 
     def step(self, may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Go on to the states that are a word longer: prefix and suffix link of each, and its number of end positions.
+        """Go on to the states that are a word longer: places of the prefix and the suffix link of each, and its number of end positions.
 
         ``may`` tells of two states in turn whether their joint one may be frequent.
         """
@@ -203,7 +256,7 @@ class Automaton:
         prefix, link = pairs // (len(self.names) + 1), pairs % (len(self.names) + 1)
         self.state = np.full(len(self.state), -1, np.int64)
         self.state[full] = made
-        return self.names[prefix], self.names[link], counts
+        return prefix, link, counts
 
     def runs(self) -> np.ndarray:
         """The states without those that have no neighbour, and one -1 for whatever lies between."""
@@ -213,12 +266,12 @@ class Automaton:
         return np.insert(self.state[kept], np.flatnonzero(np.diff(kept) > 1) + 1, -1).astype(np.int32)
 
 
-def stepped(runs: DataFrame, told: DataFrame, tasks: int, full: Broadcast | None = None, power: int = 0) -> DataFrame:
-    """Each shard's states that are a word longer (at, first, last, n), and its texts as runs of them (at, ids).
+def stepped(runs: DataFrame, told: DataFrame, length: int, tasks: int, full: Broadcast, power: int) -> DataFrame:
+    """Each shard's states of ``length`` words (at, first, last, n, hash), and its texts as runs of them (at, ids).
 
     ``runs`` is (shard, at, ids) of the states before, ``told`` (shard, at, name, hash) the frequent ones of them.
     """
-    schema = pa.schema([("shard", pa.int64()), ("at", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("shard", pa.int64()), ("at", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("hash", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, heard = None, [], []
@@ -229,15 +282,16 @@ def stepped(runs: DataFrame, told: DataFrame, tasks: int, full: Broadcast | None
             states, names, hashes = (np.concatenate(x) for x in zip(*heard, strict=True))
             order = np.argsort(states)
             found = Automaton(np.concatenate(ids), states[order], names[order])
-            hashed = hashes[order].view(U)
-            first, last, n = found.step(None if full is None else lambda a, b: full.value[buckets_of(hashed[a], hashed[b], power)])
+            own = hashes[order].view(U)
+            prefix, link, n = found.step(None if length > BUCKETED else lambda a, b: full.value[length][bucket(joined(own[a], own[b]), power)])
+            first, last, hashed = found.names[prefix], found.names[link], joined(own[prefix], own[link]).view(np.int64)
             for low in range(0, len(n), 1 << 16):
                 part = slice(low, low + (1 << 16))
                 size = len(n[part])
-                columns = [np.full(size, at), np.arange(low, low + size, dtype=np.int32), first[part], last[part], n[part]]
+                columns = [np.full(size, at), np.arange(low, low + size, dtype=np.int32), first[part], last[part], n[part], hashed[part]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, schema.types, strict=False)), pa.nulls(size, pa.binary())], schema=schema)
             left = found.runs()
-            rows = ((at, i, None, None, None, left[low : low + RUN_WORDS].tobytes()) for i, low in enumerate(range(0, len(left), RUN_WORDS)))
+            rows = ((at, i, None, None, None, None, left[low : low + RUN_WORDS].tobytes()) for i, low in enumerate(range(0, len(left), RUN_WORDS)))
             yield from _batches(rows, schema, 64)
 
         for batch in batches:
@@ -264,14 +318,14 @@ def stepped(runs: DataFrame, told: DataFrame, tasks: int, full: Broadcast | None
 
 
 def frequent(states: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """(shard, at, keys..., total, name, head) of shards' states (shard, at, keys..., n) with ``least`` occurrences in all shards.
+    """(shard, at, keys..., hash, total, name, head) of shards' states (shard, at, keys..., n, hash) with ``least`` occurrences in all shards.
 
     A sequence is named by the first of its states; ``head`` is true there. A key has one row for each shard at most.
     """
     own = F.shiftleft("shard", STATE_BITS) + F.col("at")
     same = Window.partitionBy(*keys)
     summed = states.withColumns({"total": F.sum("n").over(same), "name": F.min(own).over(same)})
-    return summed.where(F.col("total") >= least).select("shard", "at", *keys, "total", "name", (F.col("name") == own).alias("head"))
+    return summed.where(F.col("total") >= least).select("shard", "at", *keys, "hash", "total", "name", (F.col("name") == own).alias("head"))
 
 
 def frequent_phrases(df: DataFrame, text: str, lang: str, depth: int, least: int, ws: Workspace, words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -285,14 +339,14 @@ def frequent_phrases(df: DataFrame, text: str, lang: str, depth: int, least: int
     power = min(MOST, max(FEWEST, (size // BUCKET_BYTES).bit_length()))
     stored = ws.save(sharded(df, text, lang, words, power), "shards")
     full = ws.spark.sparkContext.broadcast(full_buckets(stored.where("lang is null"), power, min(least, 255), tasks))
-    local = stored.where("word is not null").select("lang", "shard", "at", F.col("word").cast("string").alias("word"), "n")
+    local = stored.where("word is not null")
     totals = ws.save(local.groupBy("lang").agg(F.sum("n").alias("words")), "totals")
     empty, none = F.array().cast("array<bigint>"), F.lit(-1).cast("long")
-    heard = ws.save(frequent(local, ["lang", "word"], least), "heard")
+    heard = ws.save(frequent(likely_words(local, full, power), ["lang", "word"], least), "heard")
     level = heard.where("head").select("name", "lang", F.lit(1).alias("length"), none.alias("prefix"), none.alias("link"), F.col("total").alias("n"), F.col("word").alias("phrase"), empty.alias("firsts"), empty.alias("lasts"), "word")
-    told, runs, levels = heard.select("shard", "at", "name", F.xxhash64(F.encode("word", "UTF-8")).alias("hash")), stored.where("word is null and lang is not null"), [level]
+    told, runs, levels = heard.select("shard", "at", "name", "hash"), stored.where("word is null and lang is not null"), [level]
     for k in range(2, depth + 1):
-        states = ws.save(stepped(runs, told, tasks, full if k == 2 else None, power), "states")
+        states = ws.save(stepped(runs, told, k, tasks, full, power), "states")
         heard = ws.save(frequent(states.where("ids is null"), ["first", "last"], least), "heard")
         # The prefix has all but the last word, the suffix link all but the first.
         left = level.select(F.col("name").alias("first"), "lang", F.col("phrase").alias("_head"), F.concat("firsts", F.array("n")).alias("firsts"))
@@ -300,7 +354,7 @@ def frequent_phrases(df: DataFrame, text: str, lang: str, depth: int, least: int
         named = heard.where("head").join(left, "first").join(right, "last")
         level = ws.save(named.select("name", "lang", F.lit(k).alias("length"), F.col("first").alias("prefix"), F.col("last").alias("link"), F.col("total").alias("n"), F.concat_ws(" ", "_head", "word").alias("phrase"), "firsts", "lasts", "word"), "frequent")
         levels.append(level)
-        told, runs = heard.select("shard", "at", "name", F.lit(0).cast("long").alias("hash")), states.where("ids is not null")
+        told, runs = heard.select("shard", "at", "name", "hash"), states.where("ids is not null")
         ws.tidy()
         if not level.take(1):
             break
