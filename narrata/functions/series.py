@@ -44,6 +44,18 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
+@bound
+def running(x: Column, block: int = 64) -> Column:
+    """Sums of the first values, the next one added each time; sums of blocks keep the cost far from the square of the length."""
+    n = F.size(x)
+    part = lambda b: total(F.slice(x, b * block + 1, F.least(F.lit(block), n - b * block)))
+
+    def sums(parts: Column) -> Column:
+        return let(F.transform(parts, lambda _, b: total(F.slice(parts, 1, b))), lambda heads: F.transform(x, lambda _, i: F.get(heads, F.floor(i / block).cast("int")) + total(F.slice(x, F.floor(i / block).cast("int") * block + 1, i % block + 1))))
+
+    return F.when(n > 0, let(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), part), sums)).otherwise(x)
+
+
 @bound
 def mean(x: Column) -> Column:
     """Null for no values."""

@@ -440,39 +440,6 @@ def arc(x: Column) -> Column:
     return _guard(x, 4, _label([((m > a) & (m > d), "Rise-Fall"), ((m < a) & (m < d), "Fall-Rise"), ((a < d) & (m < d), "Rising"), ((a > d) & (m >= d), "Falling")], "Stable"))
 
 
-@S.bound
-def curvature_features(x: Column) -> Column:
-    """Curvature, length, information and moments of a series over normal time."""
-    n = F.size(x)
-    dt = 1 / F.greatest(n - 1, F.lit(1)).cast("double")
-    d = S.gradient(x, dt)
-    k = S.let(d, lambda g: F.zip_with(S.gradient(g, dt), g, lambda b, s: F.abs(b) / F.pow(1 + s * s, F.lit(1.5))))
-    length = S.total(F.transform(S.differences(x), lambda v: F.sqrt(v * v + dt * dt)))
-    q = S.quarters(x)
-    r = lambda c: F.round(c, 4)
-    return F.struct(
-        r(S.mean(x)).alias("mean"), r(S.deviation(x)).alias("deviation"), r(F.array_max(x) - F.array_min(x)).alias("range"), r(S.mean(k)).alias("mean_curvature"), r(F.array_max(k)).alias("max_curvature"), r(S.total(k) * dt).alias("total_curvature"), r(length).alias("arc_length"),
-        r(S.mean(F.transform(d, lambda v: v * v))).alias("information"), F.size(P.peaks(x, F.greatest((n / 20).cast("int"), F.lit(1)))).alias("peaks"), r(S.moment(x, 3)).alias("skewness"), r(S.moment(x, 4) - 3).alias("kurtosis"), r(S.autocorrelation(x)).alias("autocorrelation"), r(q[3] - q[0]).alias("change"),
-    )
-
-
-@S.bound
-def information_shape(f: Column) -> Column:
-    """Shares of five kinds of movement from curvature features: flat, steady, peaked, wild, late."""
-    raw = {"flat": F.when(f["mean_curvature"] < 52, 1.0).otherwise(0.2), "steady": F.when(f["mean_curvature"].between(52, 72) & (f["peaks"] <= 11), 1.0).otherwise(0.3), "peaked": F.when(f["max_curvature"] > 1000, 1.0).otherwise(0.3), "wild": F.when((f["mean_curvature"] > 72) & (f["peaks"] > 13), 1.0).otherwise(0.2), "late": F.when(f["change"] > 0.1, 1.0).when(f["change"] > 0.05, 0.6).otherwise(0.2)}
-    whole = sum(raw.values(), F.lit(0.0))
-    return F.create_map(*(c for k, v in raw.items() for c in (F.lit(k), F.round(v / whole, 6))))
-
-
-@S.bound
-def feature_label(x: Column) -> Column:
-    """Eight labels by quarters, skewness, peaks and variation."""
-    q1, q2, q3, q4 = S.quarters(x)
-    change, skew, mid, ends = q4 - q1, S.moment(x, 3), (q2 + q3) / 2, (q1 + q4) / 2
-    peaks = F.size(P.peaks(S.minmax(x), 3, 0.1))
-    return _guard(x, 4, _label([((change > 0.1) & (skew > 0.3), "rags_to_riches"), ((change < -0.1) & (skew < -0.3), "tragedy"), (mid < 0.9 * ends, "man_in_hole"), (mid > 1.1 * ends, "icarus"), ((peaks >= 3) & (q4 > q2), "cinderella"), ((peaks >= 3) & (q2 > q4), "oedipus"), (S.deviation(x) / F.greatest(F.abs(S.mean(x)), F.lit(1e-9)) > 0.25, "random_walk")], "other"))
-
-
 @S.bound
 def plot_states(x: Column) -> Column:
     """Tension smoothed as 0.7 of the new and 0.3 of the last value, and the state that it, its last three values and the place tell."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,22 +72,39 @@ def connectivity(edges: DataFrame, mentions: DataFrame, id: str = "doc_id") -> D
 def near_names(docs: DataFrame, pattern: str, reach: int, id: str = "doc_id") -> DataFrame:
     """(id, n1, n2, n): pairs of different names with mentions less than ``reach`` characters apart.
 
-    A text is read once, in its row, and meets its own mentions only. Pairs are
-    counted in steps of ``STEP_PAIRS``, which bounds memory for a text of any
-    length and density; a step's counts are added in the shuffle.
+    A text is read once, in its row, and meets its own mentions only.
     """
-    schema = T.StructType([docs.schema[id], *(T.StructField(c, T.StringType()) for c in ("n1", "n2")), T.StructField("n", T.LongType())])
+
+    def found(batch: pa.RecordBatch) -> Iterator[list[tuple[str, int]]]:
+        rule = regex.compile(pattern)
+        for i in range(batch.num_rows):
+            yield [(m.group(), m.start()) for m in rule.finditer(batch.column(1)[i].as_py() or "")]
+
+    return _near(docs.select(id, "text"), found, reach, id)
+
+
+def near_mentions(df: DataFrame, mentions: str, reach: int, id: str = "doc_id") -> DataFrame:
+    """The same for mentions that are known: an array of (place, name) by place."""
+
+    def found(batch: pa.RecordBatch) -> Iterator[list[tuple[str, int]]]:
+        for i in range(batch.num_rows):
+            yield [(m["name"], m["place"]) for m in batch.column(1)[i].as_py() or ()]
+
+    return _near(df.select(id, mentions), found, reach, id)
+
+
+def _near(rows: DataFrame, mentions: Callable[[pa.RecordBatch], Iterator[list[tuple[str, int]]]], reach: int, id: str) -> DataFrame:
+    """Pairs are counted in steps of ``STEP_PAIRS``, which bounds memory for a text of any length and density; a step's counts are added in the shuffle."""
+    schema = T.StructType([rows.schema[id], *(T.StructField(c, T.StringType()) for c in ("n1", "n2")), T.StructField("n", T.LongType())])
 
     def packed(batch: pa.RecordBatch, met: list[tuple]) -> pa.RecordBatch:
-        rows, n1, n2, n = zip(*met, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.concat_arrays(n1), pa.concat_arrays(n2), pa.array(np.concatenate(n).astype(np.int64))], names=schema.fieldNames())
+        at, n1, n2, n = zip(*met, strict=True)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.concat_arrays(n1), pa.concat_arrays(n2), pa.array(np.concatenate(n).astype(np.int64))], names=schema.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rule = regex.compile(pattern)
         for batch in batches:
             met, held = [], 0
-            for i in range(batch.num_rows):
-                places = [(m.group(), m.start()) for m in rule.finditer(batch.column(1)[i].as_py() or "")]
+            for i, places in enumerate(mentions(batch)):
                 names = sorted({name for name, _ in places})
                 code = {name: k for k, name in enumerate(names)}
                 which, at = np.array([code[name] for name, _ in places], np.int64), np.array([p for _, p in places], np.int64)
@@ -113,7 +130,7 @@ def near_names(docs: DataFrame, pattern: str, reach: int, id: str = "doc_id") ->
             if met:
                 yield packed(batch, met)
 
-    return docs.select(id, "text").mapInArrow(run, schema).groupBy(id, "n1", "n2").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, schema).groupBy(id, "n1", "n2").agg(F.sum("n").alias("n"))
 
 
 def states(docs: DataFrame, n: int, features: dict[str, Column], id: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
-def _two(df: DataFrame, first: Column, value: str) -> DataFrame:
+def two_groups(df: DataFrame, first: Column, value: str) -> DataFrame:
     side = lambda f, c: f(F.when(c, F.col(value)))
     return df.agg(side(F.count, first).alias("n1"), side(F.count, ~first).alias("n2"), side(F.avg, first).alias("m1"), side(F.avg, ~first).alias("m2"), side(F.var_samp, first).alias("v1"), side(F.var_samp, ~first).alias("v2"))
 
@@ -29,7 +29,7 @@ def cohens_d(df: DataFrame, first: Column, value: str, digits: int = 6) -> DataF
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / F.nullif(F.col("n1") + F.col("n2") - 2, F.lit(0)))
     d = F.round(F.when(pooled > 0, (F.col("m1") - F.col("m2")) / pooled).otherwise(0.0), digits)
     size = F.abs("d")
-    return _two(df, first, value).select("n1", "n2", d.alias("d")).withColumn("band", F.when(size < 0.2, "negligible").when(size < 0.5, "small").when(size < 0.8, "medium").otherwise("large"))
+    return two_groups(df, first, value).select("n1", "n2", d.alias("d")).withColumn("band", F.when(size < 0.2, "negligible").when(size < 0.5, "small").when(size < 0.8, "medium").otherwise("large"))
 
 
 def t_tests(df: DataFrame, first: Column, value: str, digits: int = 6) -> DataFrame:
@@ -39,7 +39,7 @@ def t_tests(df: DataFrame, first: Column, value: str, digits: int = 6) -> DataFr
     diff = F.col("m1") - F.col("m2")
     a, b = v1 / n1, v2 / n2
     r = lambda c: F.round(c, digits)
-    return _two(df, first, value).select(r(diff / F.sqrt(F.nullif(pooled * (1 / n1 + 1 / n2), F.lit(0.0)))).alias("t_pooled"), (n1 + n2 - 2).alias("df_pooled"), r(diff / F.sqrt(F.nullif(a + b, F.lit(0.0)))).alias("t_welch"), r((a + b) * (a + b) / F.nullif(a * a / (n1 - 1) + b * b / (n2 - 1), F.lit(0.0))).alias("df_welch"))
+    return two_groups(df, first, value).select(r(diff / F.sqrt(F.nullif(pooled * (1 / n1 + 1 / n2), F.lit(0.0)))).alias("t_pooled"), (n1 + n2 - 2).alias("df_pooled"), r(diff / F.sqrt(F.nullif(a + b, F.lit(0.0)))).alias("t_welch"), r((a + b) * (a + b) / F.nullif(a * a / (n1 - 1) + b * b / (n2 - 1), F.lit(0.0))).alias("df_welch"))
 
 
 def average_ranks(ws: Workspace, df: DataFrame, value: str, *also: Column) -> DataFrame:
@@ -94,25 +94,6 @@ def chi_squared(df: DataFrame, row: str, column: str, digits: int = 6) -> DataFr
     return sums.select(F.round("chi2", digits).alias("chi2"), ((F.col("nr") - 1) * (F.col("nc") - 1)).alias("dof"), F.round(v, digits).alias("cramers_v"), (F.col("least") < 5).alias("exact_needed"))
 
 
-def p_chi_squared(chi2: float, dof: int) -> float:
-    """Upper tail of the chi-squared distribution, by the series of the incomplete gamma function."""
-    a, x = dof / 2, chi2 / 2
-    if x <= 0:
-        return 1.0
-    term = total = 1 / a
-    k = a
-    while abs(term) > 1e-15 * abs(total):
-        k += 1
-        term *= x / k
-        total += term
-    return max(0.0, 1 - total * math.exp(-x + a * math.log(x) - math.lgamma(a)))
-
-
-def p_normal(z: float) -> float:
-    """Two-sided tail of the standard normal distribution."""
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
 def spearman(df: DataFrame, x: str, y: str, digits: int = 6) -> DataFrame:
     """Correlation of average ranks, of the rows that have both values."""
     ws = Workspace(df.sparkSession, "spearman")

@@ -605,14 +605,6 @@ def icc_classes(spark, sf_dir):
     return found.select("doc_id", "icc.icc", "cicc.cicc", F.round("cicc.coherence", 4).alias("coherence"), (F.col("icc.net") + 0.0).alias("net"), "icc.peaks", "icc.volatility", "icc.symmetry", "icc.r2")
 
 
-@query()
-def curvature(spark, sf_dir):
-    docs = _entropy(spark, sf_dir, NARROW)
-    v = F.col("lexical_entropy")
-    f = docs.where(F.size(v) >= 4).select("doc_id", detectors.curvature_features(v).alias("f"))
-    return f.select("doc_id", "f.*", F.to_json(detectors.information_shape(F.col("f"))).alias("kind"))
-
-
 @query()
 def unified_ranking(spark, sf_dir):
     """Best detector of each document, and how often each is the best in a language."""

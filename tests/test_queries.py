@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from narrata.plans import comparisons, narrative, queries, registry
+from narrata.plans import beliefs, characters, clusters, comparisons, geometry, narrative, queries, registry, scales, steps, terms, validation
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-assert queries and narrative and comparisons
+assert all((queries, narrative, comparisons, characters, scales, clusters, geometry, validation, steps, terms, beliefs))
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
