@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,11 +39,6 @@ def occurrences(text: Column, term: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
 
 
-def any_of(terms: tuple[str, ...]) -> str:
-    """One alternation, longest terms first, between word ends."""
-    return r"(?:^|[^\p{L}])(?:" + "|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")(?:$|[^\p{L}])"
-
-
 # Default lexicons: short and general, meant to be replaced by a corpus's own.
 AROUSAL = Lexicon(
     {"high": ("attack", "battle", "blood", "burst", "crash", "danger", "fight", "fire", "fury", "panic", "rage", "run", "scream", "storm", "terror"), "low": ("calm", "drift", "gentle", "hush", "peace", "quiet", "rest", "serene", "silence", "sleep", "slow", "soft", "still", "tranquil")},

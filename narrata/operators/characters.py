@@ -61,9 +61,10 @@ def mentions(docs: DataFrame, titles: tuple[str, ...] = TITLES, verbs: tuple[str
     runs = runs.withColumn("start", F.sum(F.col("gap") + F.length("run")).over(so_far) - F.length("run"))
     words = runs.withColumns({"words": F.split("run", r"[ \t\n\r]+"), "seps": F.split("run", r"\p{L}+", -1)})
     # Where each word begins, from the lengths of what comes before it in the run.
-    sizes = F.zip_with("seps", "words", lambda s, w: F.length(s) + F.coalesce(F.length(w), F.lit(0)))
-    at = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x) + F.length(F.get("seps", i))
+    sizes = F.zip_with("seps", "words", lambda s, w: (F.length(s) + F.coalesce(F.length(w), F.lit(0))).cast("double"))
+    at = lambda i: F.coalesce(F.get("_sums", i - 1), F.lit(0.0)) + F.length(F.get("seps", i))
     told = words.withColumns({
+        "_sums": S.running(sizes),
         "_prev": F.lower(F.regexp_extract("before", rf"({_WORD})\.?[ \t\n\r]+$", 1)), "_verb": F.regexp_extract("before", rf"({_WORD})[ \t\n\r]+$", 1), "_next": F.regexp_extract("after", rf"^[ \t\n\r]+({_WORD})", 1),
         "_open": (F.col("start") > 0) & ~F.right("before", F.lit(1)).isin(".", "!", "?", "\n"),
     })

@@ -162,17 +162,15 @@ def k_medoids(df: DataFrame, id: str, series: str, k: int, rounds: int = 100, ca
 def patterns(df: DataFrame, id: str, series: str, k_range: tuple[int, int] = (2, 7), n: int = 20, seed: int = 42, method: str = "kmeans") -> tuple[DataFrame, int, float]:
     """(id, cluster), the number of clusters with the best silhouette, and that silhouette."""
     rows = df.select(id, array_to_vector(S.resample(S.minmax(F.col(series)), n)).alias("raw")).where("raw is not null")
-    rows = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows).drop("raw").persist()
-    try:
-        best = None
-        for k in range(*k_range):
-            model = (KMeans if method == "kmeans" else BisectingKMeans)(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
-            found = model.transform(rows)
-            quality = ClusteringEvaluator(predictionCol="cluster").evaluate(found)
-            if best is None or quality > best[2]:
-                best = (model, k, quality)
-    finally:
-        rows.unpersist()
+    ws = Workspace(df.sparkSession, "patterns")
+    rows = ws.save(rows, "raw")
+    rows = ws.save(StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows).drop("raw"), "features")
+    best = None
+    for k in range(*k_range):
+        model = (KMeans if method == "kmeans" else BisectingKMeans)(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
+        quality = ClusteringEvaluator(predictionCol="cluster").evaluate(model.transform(rows))
+        if best is None or quality > best[2]:
+            best = (model, k, quality)
     model, k, quality = best
     return model.transform(rows).select(id, "cluster"), k, quality
 

@@ -78,7 +78,7 @@ def neighbours(ws: Workspace, df: DataFrame, group: str, order: str, value: str)
     heads = after.where("_place = 1").select("_range", F.col(group).alias("_group"), F.struct(order, value).alias("_head"))
     later = heads.select(F.col("_range").alias("_r"), "_group", F.lead("_head").over(Window.partitionBy("_group").orderBy("_range")).alias("_later"))
     later = ws.save(later, "heads")
-    met = after.join(F.broadcast(later), (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_group")), "left").withColumn("_next", F.coalesce("_next", "_later"))
+    met = after.join(later, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_group")), "left").withColumn("_next", F.coalesce("_next", "_later"))
     return met.where("_next is not null").select(group, order, value, F.col("_next").getField(order).alias("other"), F.col("_next").getField(value).alias("u"))
 
 
@@ -122,9 +122,9 @@ def coherence(weights: DataFrame, windows: DataFrame, id: str = "doc_id") -> Dat
 
 
 def lexicon_hits(windows: DataFrame, lexicon: DataFrame, id: str = "doc_id") -> DataFrame:
-    """(id, win_idx, category, hits): windows' tokens joined with a lexicon table; the lexicon is a dimension of fixed size."""
+    """(id, win_idx, category, hits): windows' tokens joined with a lexicon table of any size."""
     tokens = windows.select(id, "win_idx", F.explode(X.tokens(F.array_join("words", " "))).alias("term"))
-    return tokens.join(F.broadcast(lexicon.where("not is_phrase").select("term", "category")), "term").groupBy(id, "win_idx", "category").agg(F.count("*").alias("hits"))
+    return tokens.join(lexicon.where("not is_phrase").select("term", "category"), "term").groupBy(id, "win_idx", "category").agg(F.count("*").alias("hits"))
 
 
 #: How much an event of a kind counts; others count 1.

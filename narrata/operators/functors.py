@@ -229,18 +229,6 @@ def sentiment_ja(words: Column, lexicon: L.Lexicon = L.JA) -> Column:
     return S.clip(F.when((no > 0) & (F.abs(s) > 0.1), 0.5 * s).otherwise(s), -1.0, 1.0)
 
 
-def sentiment_greedy(words: Column, valence: dict[str, int], negations: tuple[str, ...] = ()) -> Column:
-    """Longest terms first, without overlap; a negation right after turns a value; sum over five per match."""
-    text = F.array_join(words, "")
-    ordered = sorted(valence, key=lambda t: (-len(t), t))
-    ends = "|".join(negations)
-    found = X.matches(text, "(?:" + "|".join(ordered) + ")" + (f"(?:{ends})?" if ends else ""))
-    value = F.create_map(*(F.lit(x) for t in ordered for x in (t, float(valence[t]))))
-    bare = (lambda m: F.regexp_replace(m, f"(?:{ends})$", "")) if ends else (lambda m: m)
-    scores = F.transform(found, lambda m: F.coalesce(F.element_at(value, bare(m)), F.lit(0.0)) * F.when(bare(m) != m, -1.0).otherwise(1.0))
-    return F.when(F.size(found) > 0, S.total(scores) / (F.size(found) * 5)).otherwise(0.0)
-
-
 REGISTRY: dict[str, Functor] = {
     "sentiment": sentiment, "arousal": arousal, "entropy": entropy, "lexical_entropy": lexical_entropy, "bigram_entropy": bigram_entropy, "structural_entropy": structural_entropy, "epistemic": epistemic, "pacing": pacing, "character_presence": character_presence, "narrative_voice": narrative_voice, "tension": tension, "event_intensity": event_intensity,
     "sentiment_ja": sentiment_ja, "sentiment_zh": sentiment_zh, "sentiment_ar": sentiment_ar, "sentiment_ru": sentiment_ru, "entropy_ja": entropy_ja, "pacing_ja": pacing_ja,

@@ -28,17 +28,17 @@ def labels(df: DataFrame, first: Column, label: str, digits: int = 6) -> DataFra
     """Whether the labels of two groups are differently distributed. Labels are few: their counts are one row."""
     counts = df.where(first.isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count_if(first).alias("x"), F.count_if(~first).alias("y"))
     sums = counts.agg(F.sum("x").alias("n1"), F.sum("y").alias("n2"), F.count("*").alias("k"), F.array_sort(F.collect_list(F.struct("label", "x", "y"))).alias("cells"))
-    both = F.flatten(F.transform("cells", lambda c: F.array(*(F.struct(c[o].cast("double").alias("o"), ((c["x"] + c["y"]) * F.col(n) / (F.col("n1") + F.col("n2"))).alias("e")) for o, n in (("x", "n1"), ("y", "n2"))))))
+    both = F.flatten(F.transform("cells", lambda c: F.array(*(F.struct(c[o].cast("double").alias("o"), ((c["x"] + c["y"]) * F.col(n) / F.greatest(F.col("n1") + F.col("n2"), F.lit(1))).alias("e")) for o, n in (("x", "n1"), ("y", "n2"))))))
     told = sums.withColumn("both", both).withColumns({
         "least": F.array_min(F.transform("both", lambda c: c["e"])),
         # Yates' correction, for two by two only.
-        "chi2": F.aggregate("both", F.lit(0.0), lambda s, c: s + F.pow(F.when(F.col("k") == 2, F.greatest(F.abs(c["o"] - c["e"]) - F.least(F.lit(0.5), F.abs(c["o"] - c["e"])), F.lit(0.0))).otherwise(c["o"] - c["e"]), F.lit(2)) / c["e"]),
+        "chi2": F.aggregate("both", F.lit(0.0), lambda s, c: s + F.pow(F.when(F.col("k") == 2, F.greatest(F.abs(c["o"] - c["e"]) - F.least(F.lit(0.5), F.abs(c["o"] - c["e"])), F.lit(0.0))).otherwise(c["o"] - c["e"]), F.lit(2)) / F.greatest(c["e"], F.lit(1e-300))),
     })
     cell = lambda i, side: F.get("cells", F.lit(i))[side]
     a, b, c, d = cell(0, "x"), cell(1, "x"), cell(0, "y"), cell(1, "y")
     enough = (F.col("k") > 1) & (F.col("n1") > 0) & (F.col("n2") > 0)
     small, exact = F.col("least") < 5, (F.col("least") < 5) & (F.col("k") == 2)
-    v = F.sqrt(F.col("chi2") / (F.col("n1") + F.col("n2")))
+    v = F.sqrt(F.col("chi2") / F.greatest(F.col("n1") + F.col("n2"), F.lit(1)))
     return _row(
         told, digits,
         test=F.when(~enough, "labels").when(exact, "fisher").otherwise("chi_squared"), metric=F.lit(label), n1=F.coalesce("n1", F.lit(0)), n2=F.coalesce("n2", F.lit(0)),

@@ -27,6 +27,11 @@ LEAST_BYTES = 4 << 20
 _dealt: dict[tuple, DataFrame] = {}
 
 
+def forget() -> None:
+    """Deal small tables again at their next use."""
+    _dealt.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table. A task reads whole row groups, so a small table is written anew, once, with a file for each core.
 

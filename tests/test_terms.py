@@ -11,7 +11,7 @@ from narrata.operators import terms as C
 @pytest.fixture(scope="module")
 def lexicon():
     draw = random.Random(6)
-    found = {"".join(draw.choice("abcdeあ漢é") for _ in range(draw.randrange(2, 9))): draw.randrange(-5, 6) for _ in range(60_000)}
+    found = {"".join(draw.choice("abcdeあ漢é") for _ in range(draw.randrange(2, 9))): draw.randrange(-5, 6) for _ in range(90_000)}
     assert len(found) >= 50_000
     return found
 
