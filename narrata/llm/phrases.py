@@ -59,7 +59,7 @@ WORDS = "lang string, shard bigint, at int, word string, n bigint, hash bigint"
 #: Bits of a state's number in a name, and of a shard's number in its task.
 STATE_BITS, TOLD_BITS = 23, 16
 #: Bytes of text that a bucket stands for; powers of two that their number lies between; buckets of a stored range; words of the longest sequences that are counted in buckets.
-BUCKET_BYTES, FEWEST, MOST, RANGE, BUCKETED = 48, 16, 26, 1 << 16, 3
+BUCKET_BYTES, FEWEST, MOST, RANGE, BUCKETED = 128, 16, 26, 1 << 16, 3
 
 U = np.uint64
 
