@@ -160,3 +160,32 @@ def ties(found: DataFrame, resolved: DataFrame, reach: int = 1200, id: str = "do
     """(id, n1, n2, n): pairs of mentions of two characters less than ``reach`` characters of text apart."""
     named = found.join(resolved.withColumnRenamed("alias", "name"), [id, "name"]).groupBy(id).agg(F.array_sort(F.collect_list(F.struct("place", F.col("character").alias("name")))).alias("mentions"))
     return graphs.near_mentions(named, "mentions", reach, id)
+
+
+def scenes(found: DataFrame, resolved: DataFrame, size: int = 6000, id: str = "doc_id") -> DataFrame:
+    """(id, scene, character, m): mentions of each character in each scene, a window of ``size`` characters of text; windows overlap by half."""
+    step = size // 2
+    last = F.floor(F.col("place") / step).cast("int")
+    both = F.filter(F.array(last - 1, last), lambda k: k >= 0)
+    named = found.join(resolved.withColumnRenamed("alias", "name"), [id, "name"])
+    return named.select(id, "character", F.explode(both).alias("scene")).groupBy(id, "scene", "character").agg(F.count("*").alias("m"))
+
+
+def orbits(met: DataFrame, docs: DataFrame, events: dict[str, str], size: int = 6000, digits: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, character, total, scenes, satellites, events) from :func:`scenes`.
+
+    ``satellites`` are the characters met in the same scenes with the sum of sqrt(m1 * m2), the product of the sparse
+    scene vectors' roots; ``scenes`` are in order; ``events`` counts what happens in them. Who meets is bounded by a
+    scene's length.
+    """
+    step = size // 2
+    other = met.select(id, "scene", F.col("character").alias("other"), F.col("m").alias("n"))
+    drawn = met.join(other, [id, "scene"]).where("character <> other").groupBy(id, "character", "other").agg(F.round(F.sum(F.sqrt(F.col("m") * F.col("n"))) + 1e-9, digits).alias("weight"))
+    satellites = drawn.groupBy(id, "character").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("order"), "other", "weight"))).alias("s")).select(id, "character", F.transform("s", lambda x: F.struct(x["other"].alias("name"), x["weight"].alias("weight"))).alias("satellites"))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / step).cast("int"))
+    window = docs.where(F.length(text) > 0).select(id, F.posexplode(F.transform(starts, lambda k: F.substring(F.col(text), k * step + 1, size))).alias("scene", "_w"))
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.regexp_count(F.lower("_w"), F.lit(pattern)).alias("n")) for kind, pattern in events.items()))
+    happened = window.select(id, "scene", F.explode(F.filter(kinds, lambda k: k["n"] > 0)).alias("e")).select(id, "scene", "e.*")
+    told = met.join(happened, [id, "scene"]).groupBy(id, "character", "kind").agg(F.sum("n").alias("n")).groupBy(id, "character").agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("events"))
+    own = met.groupBy(id, "character").agg(F.sum("m").alias("total"), F.array_sort(F.collect_list("scene")).alias("scenes"))
+    return own.join(satellites, [id, "character"], "left").join(told, [id, "character"], "left").select(id, "character", "total", "scenes", "satellites", "events")

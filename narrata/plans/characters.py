@@ -75,3 +75,30 @@ def character_ties(spark, sf_dir):
     """How often two characters are mentioned within 300 characters of text."""
     found, _, resolved = _found(spark, sf_dir, Workspace(spark, "characters"))
     return C.ties(found, resolved, 300)
+
+
+#: Characters of a scene, and what happens in it.
+SCENE, EVENTS = 400, {"conflict": r"(?:^| )to the(?: |$)", "death": r"(?:^| )of the(?: |$)"}
+
+
+def _shown(rows: str, item: str, order: str) -> str:
+    return f"string_agg({item}, ',' ORDER BY {order}) AS {rows}"
+
+
+@query(f"""WITH RECURSIVE {_ALIASES_SQL}, mc AS (SELECT doc_id, character, place // {SCENE // 2} AS k FROM (SELECT doc_id, name AS alias, place FROM mentions) JOIN (SELECT doc_id, alias, character FROM al) USING (doc_id, alias)),
+    sc AS (SELECT doc_id, k - s AS scene, character, count(*) AS m FROM mc, (SELECT unnest([0, 1]) AS s) WHERE k >= s GROUP BY ALL),
+    sw AS (SELECT a.doc_id, a.character, b.character AS other, round(sum(sqrt(a.m * b.m)) + 1e-9, 4) AS weight FROM sc a JOIN sc b ON a.doc_id = b.doc_id AND a.scene = b.scene AND a.character <> b.character GROUP BY ALL), sa AS (SELECT doc_id, character, {_shown("satellites", "other", "weight DESC, other")}, round(sum(weight), 3) AS pull FROM sw GROUP BY ALL),
+    tw AS (SELECT doc_id, k AS scene, lower(substring(text, CAST(k * {SCENE // 2} + 1 AS INT), {SCENE})) AS w FROM (SELECT doc_id, text, unnest(range((length(text) - 1) // {SCENE // 2} + 1)) AS k FROM documents WHERE length(text) > 0)),
+    ev AS (SELECT doc_id, scene, {", ".join(f"len(regexp_extract_all(w, '{p}')) AS {k}" for k, p in EVENTS.items())} FROM tw), es AS (SELECT doc_id, character, {", ".join(f"sum({k}) AS {k}" for k in EVENTS)} FROM sc JOIN ev USING (doc_id, scene) GROUP BY ALL),
+    ow AS (SELECT doc_id, character, CAST(sum(m) AS BIGINT) AS total, {_shown("scenes", "scene", "scene")} FROM sc GROUP BY ALL)
+    SELECT doc_id, character, total, scenes, coalesce(satellites, '') AS satellites, coalesce(pull, 0) AS pull, {", ".join(f"CAST(coalesce({k}, 0) AS BIGINT) AS {k}" for k in EVENTS)} FROM ow LEFT JOIN sa USING (doc_id, character) LEFT JOIN es USING (doc_id, character)""")
+def character_orbits(spark, sf_dir):
+    """Each character's scenes, those met there, how strongly they pull, and what happens."""
+    docs = Q._docs(spark, sf_dir)
+    ws = Workspace(spark, "orbits")
+    found, _, resolved = _found(spark, sf_dir, ws)
+    told = C.orbits(ws.save(C.scenes(found, resolved, SCENE), "scenes"), docs, EVENTS, SCENE)
+    names = F.coalesce(F.array_join(F.transform("satellites", lambda s: s["name"]), ","), F.lit(""))
+    pull = F.coalesce(F.round(F.aggregate("satellites", F.lit(0.0), lambda a, s: a + s["weight"]), 3), F.lit(0.0))
+    happened = {k: F.coalesce(F.get(F.transform(F.filter("events", lambda e: e["kind"] == k), lambda e: e["n"]), F.lit(0)), F.lit(0)).alias(k) for k in EVENTS}  # noqa: B023
+    return told.select("doc_id", "character", "total", F.array_join(F.transform("scenes", lambda s: s.cast("string")), ",").alias("scenes"), names.alias("satellites"), pull.alias("pull"), *happened.values())

@@ -68,3 +68,21 @@ def test_long_runs_of_names_take_no_stack(spark):
     text = "Anna Bell " * 5_000
     row = C.counted(C.mentions(spark.createDataFrame([(1, text)], "doc_id long, text string")), 3).where("name = 'Anna'").first()
     assert (row.n, row.first, row.last) == (5_000, 0, len(text) - 10)
+
+
+def test_orbits(spark):
+    docs = spark.createDataFrame([(1, "Anna met Boris. Anna fought Boris. " + "x " * 40 + "Anna slept. Boris fought.")], "doc_id long, text string")
+    found = C.mentions(docs, (), (), ())
+    met = C.scenes(found, C.aliases(C.counted(found, 2)), 40)
+    brute = collections.Counter()
+    for r in found.where("rule = 'word'").collect():
+        for k in (r.place // 20 - 1, r.place // 20):
+            if k >= 0:
+                brute[k, r.name] += 1
+    assert {(r.scene, r.character): r.m for r in met.collect()} == dict(brute)
+    people = {r.character: r for r in C.orbits(met, docs, {"conflict": r"\bfought\b"}, 40).collect()}
+    weight = sum((brute[k, "Anna"] * brute[k, "Boris"]) ** 0.5 for k in {k for k, _ in brute})
+    assert [(s.name, s.weight) for s in people["Anna"].satellites] == [("Boris", round(weight, 4))]
+    assert people["Anna"].scenes == sorted(k for k, n in brute if n == "Anna") and people["Anna"].total == sum(m for (k, n), m in brute.items() if n == "Anna")
+    text = docs.first().text
+    assert [(e.kind, e.n) for e in people["Boris"].events] == [("conflict", sum(text[20 * k : 20 * k + 40].count("fought") for k, n in brute if n == "Boris"))]
