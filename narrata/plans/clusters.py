@@ -8,6 +8,7 @@ from narrata.functions import series as S
 from narrata.operators import density, hierarchy, warping
 from narrata.plans import queries as Q
 from narrata.plans.registry import query, table
+from narrata.workspace import Workspace
 
 #: Distance and least number of rows of density clusters of whole vectors of 256ths.
 EPS, LEAST = 290, 3
@@ -28,8 +29,9 @@ def density_clusters(spark, sf_dir):
 
 
 def _points(spark, sf_dir, *more):
+    """Each document's series, written once: a filter on it would work it out again."""
     docs = Q._entropy(spark, sf_dir, Q.NARROW, *more)
-    return docs.where(F.size("lexical_entropy") > 0).select("doc_id", *more, F.transform(S.resample(F.col("lexical_entropy"), POINTS), lambda v: F.round(v, 6)).alias("x"))
+    return Workspace(spark, "points").save(docs.select("doc_id", *more, F.transform(S.resample(F.col("lexical_entropy"), POINTS), lambda v: F.round(v, 6)).alias("x")), "points")
 
 
 @query()

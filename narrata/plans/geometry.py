@@ -8,6 +8,7 @@ from narrata.operators import geometry as G
 from narrata.plans import oracle as O
 from narrata.plans import queries as Q
 from narrata.plans.registry import query
+from narrata.workspace import Workspace
 
 
 def _round(columns: dict[str, str], digits: int = 6) -> str:
@@ -35,6 +36,14 @@ def _area(y: str) -> str:
 
 
 _SERIES_SQL = f"{Q.W20}, {Q._ARRAY_SQL.replace('ar AS (', 'a9 AS (')}, ar AS (SELECT doc_id, list_transform(x, lambda v: round(v, 6)) AS x FROM a9 WHERE len(x) >= 4)"
+
+
+def _long(spark, sf_dir):
+    """Series of four values and more; they are written first, since a filter on them would work them out again."""
+    docs = Q._entropy(spark, sf_dir, Q.NARROW).select("doc_id", F.transform("lexical_entropy", lambda v: F.round(v, 6)).alias("x"))
+    return Workspace(spark, "series").save(docs, "series").where(F.size("x") >= 4)
+
+
 _TENTH = "greatest(len(x) // 10, 1)"
 _GEOMETRIC = {
     "mean": "list_avg(x)", "deviation": f"sqrt({O.variance('x')})", "highest": "list_max(x)", "lowest": "list_min(x)",
@@ -59,8 +68,7 @@ _SHAPES = {
     SELECT doc_id, {", ".join(_GEOMETRIC)}, {", ".join(f"round({k} / ({' + '.join(_SHAPES)}), 6) AS {k}" for k in _SHAPES)} FROM w""")
 def curvature(spark, sf_dir):
     """Geometric features of each document's series, and five kinds of movement."""
-    docs = Q._entropy(spark, sf_dir, Q.NARROW).select("doc_id", F.transform("lexical_entropy", lambda v: F.round(v, 6)).alias("x")).where(F.size("x") >= 4)
-    return docs.select("doc_id", G.geometric_features(F.col("x"), 6).alias("f")).select("doc_id", "f.*", G.information_shape(F.col("f")).alias("k")).select("*", "k.*").drop("k")
+    return _long(spark, sf_dir).select("doc_id", G.geometric_features(F.col("x"), 6).alias("f")).select("doc_id", "f.*", G.information_shape(F.col("f")).alias("k")).select("*", "k.*").drop("k")
 
 
 _Q = "len(x) // 4"
@@ -78,5 +86,4 @@ _VECTOR = {
       WHEN n_peaks >= 3 AND q4 > q2 THEN 'cinderella' WHEN n_peaks >= 3 AND q2 > q4 THEN 'oedipus' WHEN mean > 0 AND deviation / mean > 0.25 THEN 'random_walk' ELSE 'other' END AS shape FROM f""")
 def shape_vectors(spark, sf_dir):
     """The features that classifiers take, and the shape that they tell."""
-    docs = Q._entropy(spark, sf_dir, Q.NARROW).select("doc_id", F.transform("lexical_entropy", lambda v: F.round(v, 6)).alias("x")).where(F.size("x") >= 4)
-    return docs.select("doc_id", G.shape_vector(F.col("x"), 6).alias("f")).select("doc_id", "f.*", G.feature_label(F.col("f")).alias("shape"))
+    return _long(spark, sf_dir).select("doc_id", G.shape_vector(F.col("x"), 6).alias("f")).select("doc_id", "f.*", G.feature_label(F.col("f")).alias("shape"))
