@@ -36,6 +36,5 @@ def term_sentiment(spark, sf_dir):
 def term_compound(spark, sf_dir):
     """The same without words: leftmost-longest terms anywhere, turned by what follows."""
     docs = Q._docs(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
-    both = C.found(docs, "text", _lexicon(spark, sf_dir)).join(docs, "doc_id")
-    values = C.negated(F.col("found"), F.col("text"), NEGATIONS)
-    return both.select("doc_id", F.size("found").alias("n_terms"), F.round(C.compound(values), 6).alias("score"))
+    turned = C.found(docs, "text", _lexicon(spark, sf_dir), negations=NEGATIONS)
+    return turned.select("doc_id", F.size("found").alias("n_terms"), F.round(C.compound(F.col("found.value")), 6).alias("score"))

@@ -54,3 +54,19 @@ def test_scores_and_bounds(spark, monkeypatch):
     with pytest.raises(ValueError):
         C.shared(spark.createDataFrame([("a", 1), ("b", 1)], "term string, value int"))
     assert C.shared(spark.createDataFrame([], "term string, value int")).value == {}
+
+
+def test_negations_are_told_where_the_text_is(spark):
+    """A long text's terms are turned as by brute force; the plan has no join or shuffle, whose text would be walked for each term."""
+    from narrata.plans import terms as plans
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(("good", "bad", " not", " no", "é", " ")) for _ in range(n)) for n in (60_000, 50, 1, 0)] + [None]
+    terms = {"good": 4.0, "bad": -2.0, "goodbad": 1.0}
+    shared = C.shared(spark.createDataFrame(list(terms.items()), "term string, value double"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in C.found(df, "text", shared, negations=(" not", " no ")).collect():
+        expected = leftmost_longest(texts[r.doc_id] or "", terms)
+        assert [(f.start, f.stop, f.value) for f in r.found] == [(a, b, -v if texts[r.doc_id].startswith((" not", " no "), b) else v) for a, b, v in expected]
+    plan = plans.term_compound(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
