@@ -68,6 +68,18 @@ def variance(x: Column) -> Column:
     return F.when(F.size(x) > 0, let(mean(x), lambda m: total(F.transform(x, lambda v: (v - m) * (v - m)))) / F.size(x))
 
 
+def running_variance(x: Column) -> Column:
+    """Of the population, by one pass of running means (Welford's), as SQL engines take it: where a variance is compared with a bound, the last digit decides. Null for no values."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(a: Column, v: Column) -> Column:
+        n = a["n"] + 1
+        moved = lambda m: F.struct(n.alias("n"), m.alias("m"), (a["s"] + (v - m) * (v - a["m"])).alias("s"))
+        return let(a["m"] + (v - a["m"]) / n, moved)
+
+    return F.aggregate(x, start, step, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
+
+
 def deviation(x: Column) -> Column:
     return F.sqrt(variance(x))
 

@@ -50,7 +50,7 @@ def sentiment(words: Column, valence: dict[str, float] = L.SENTIMENT, negations:
 def arousal(words: Column, lexicon: L.Lexicon = L.AROUSAL) -> Column:
     """Balance of exciting and calm words in 0..1; exclamations and short uneven sentences count as exciting."""
     def score(text: Column, tokens: Column) -> Column:
-        uneven = S.let(X.sentence_lengths(text).cast("array<double>"), lambda n: (S.mean(n) < 10) & (S.variance(n) > 20))
+        uneven = S.let(X.sentence_lengths(text).cast("array<double>"), lambda n: (S.mean(n) < 10) & (S.running_variance(n) > 20))
         high = lexicon.hits(tokens, "high") + 2 * lexicon.phrase_hits(text, "high") + 0.5 * X.count(text, "!+") + F.when(uneven, 1.0).otherwise(0.0)
         low = lexicon.hits(tokens, "low") + 2 * lexicon.phrase_hits(text, "low")
         return S.lets(lambda h, n: F.when(h + n > 0, S.clip(((h - n) / (h + n + 1) + 1) / 2)).otherwise(0.5), lambda: high, lambda h: low * F.lit(1.0))

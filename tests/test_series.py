@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from narrata.functions import peaks as P
 from narrata.functions import series as S
 from narrata.functions import text as X
-from narrata.operators import statistics, windows
+from narrata.operators import functors, statistics, windows
 
 CASES = [[1.0, 2.0, 5.0, 9.0], [3.0] * 6, [0.5], np.random.default_rng(3).normal(size=37).tolist()]
 
@@ -82,3 +82,23 @@ def test_agreement(spark):
     df = spark.createDataFrame([(i % 3, "xyz"[i % 3], i) for i in range(12)], "a int, b string, v int")
     assert statistics.adjusted_rand(df, "a", "b").first().ari == 1.0
     assert abs(statistics.spearman(df.withColumn("w", F.col("v") * F.col("v")), "v", "w").first().rho - 1.0) < 1e-9
+
+
+def test_variance_at_a_bound_is_that_of_sql(spark):
+    """Lengths of sentences whose variance is exactly 20: the last digit of running means decides, as in SQL."""
+    import duckdb
+
+    draw, rows = random.Random(5), []
+    while len(rows) < 60:
+        x = [draw.randrange(1, 20) for _ in range(draw.randrange(2, 9))]
+        if len(x) * sum(v * v for v in x) - sum(x) ** 2 == 20 * len(x) ** 2:
+            rows.append([float(v) for v in x])
+    engine = duckdb.connect()
+    expected = [engine.execute("SELECT list_var_pop(?::DOUBLE[])", [x]).fetchall()[0][0] for x in rows]
+    assert any(v != 20 for v in expected)
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, x array<double>")
+    assert [r.v for r in df.select("i", S.running_variance(F.col("x")).alias("v")).orderBy("i").collect()] == expected
+    words = [" ".join(" ".join(["and"] * int(n)) + "." for n in x).split(" ") for x in rows]
+    arousal = functors.arousal(F.col("w"))
+    scores = spark.createDataFrame(list(enumerate(words)), "i int, w array<string>").select("i", arousal.alias("v")).orderBy("i").collect()
+    assert [r.v > 0.5 for r in scores] == [sum(x) / len(x) < 10 and v > 20 for x, v in zip(rows, expected, strict=True)]
