@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from narrata.functions import lexicon as L
 from narrata.functions import series as S
 from narrata.functions import text as X
-from narrata.operators import corpus, detectors, functors, graphs
+from narrata.operators import coded, corpus, detectors, functors, graphs
 from narrata.operators.windows import long_form, series
 from narrata.plans import oracle as O
 from narrata.plans import queries as Q
@@ -83,9 +83,7 @@ def scene_statistics(spark, sf_dir):
     SELECT w.doc_id, w.win_idx, round(CASE WHEN w.win_idx = 0 THEN 0.0 ELSE coalesce(v, 0.0) END + 1e-9, 5) AS value FROM win w LEFT JOIN j USING (doc_id, win_idx)""")
 def jsd_windows(spark, sf_dir):
     """Jensen-Shannon divergence in nats of each window's words from those of the one before."""
-    windows = _each(spark, sf_dir)
-    found = corpus.window_divergence(windows.select("doc_id", "win_idx", X.tokens(functors.body(F.col("words"))).alias("terms")))
-    return found.select("doc_id", "win_idx", F.round(F.col("value") + 1e-9, 5).alias("value"))
+    return Q._scored(spark, sf_dir, coded.divergence).withColumn("value", F.round(F.col("value") + 1e-9, 5))
 
 
 @query(f"""WITH {Q.W50}, {O.LEXICAL}, {_SENTIMENT}, {Q._EPISTEMIC_SQL.split(", t AS", 1)[1].join(["t AS", ""])}, al AS (SELECT doc_id, 'lexical_entropy' AS functor, value FROM le UNION ALL SELECT doc_id, 'sentiment', value FROM sent UNION ALL SELECT doc_id, 'epistemic', value FROM ep)
