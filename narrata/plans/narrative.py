@@ -9,7 +9,7 @@ from narrata.functions import lexicon as L
 from narrata.functions import series as S
 from narrata.functions import text as X
 from narrata.operators import coded, corpus, detectors, functors, graphs
-from narrata.operators.windows import long_form, series
+from narrata.operators.windows import long_form, series, windowed
 from narrata.plans import oracle as O
 from narrata.plans import queries as Q
 from narrata.plans.registry import query
@@ -90,8 +90,10 @@ def jsd_windows(spark, sf_dir):
     SELECT doc_id, functor, count(*) AS n, round(avg(value), 5) + 0.0 AS mean, round(stddev_pop(value), 5) AS std, round(max(value) - min(value), 5) AS range FROM al GROUP BY ALL""")
 def functor_profiles(spark, sf_dir):
     """Several functors of each document, from one pass over its windows."""
-    names = {"lexical_entropy": functors.lexical_entropy, "sentiment": _sentiment, "epistemic": lambda w: functors.epistemic(w, Q.EPISTEMIC)}
-    scored = series(Q._wide(spark, sf_dir), names).select("doc_id", *names)
+    more = {"sentiment": _sentiment, "epistemic": lambda w: functors.epistemic(w, Q.EPISTEMIC)}
+    names = ["lexical_entropy", *more]
+    docs = coded.window_series(Q._docs(spark, sf_dir).select("doc_id", F.col("text").alias("body"), "text"), "lexical_entropy", coded.normal_entropy, *Q.WIDE)
+    scored = series(windowed(docs, *Q.WIDE, text="body").drop("body"), more).select("doc_id", *names)
     each = scored.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("functor"), F.col(k).alias("v")) for k in names))).alias("s")).select("doc_id", "s.*")
     v = F.col("v")
     return each.select("doc_id", "functor", F.size(v).alias("n"), (F.round(S.mean(v), 5) + 0.0).alias("mean"), F.round(S.deviation(v), 5).alias("std"), F.round(F.array_max(v) - F.array_min(v), 5).alias("range"))
