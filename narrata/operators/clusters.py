@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -26,6 +27,8 @@ from narrata.workspace import Workspace
 
 #: Series that are compared with all others at most.
 MOST_PROTOTYPES = 256
+#: Series of one length that are compared with the prototypes at once.
+AT_ONCE = 1024
 
 
 def warp(a: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -51,9 +54,15 @@ def to_prototypes(df: DataFrame, id: str, series: str, prototypes: dict[int, lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [warp(np.array(x, dtype=float), table) for x in batch.column(1).to_pylist()]
+            series_ = batch.column(1)
+            sizes = pc.list_value_length(series_).to_numpy(zero_copy_only=False)
+            found = np.full((batch.num_rows, len(names)), np.inf)
+            # Series of one length are compared at once.
+            for n in np.unique(sizes[sizes > 0]).astype(int):
+                for rows in np.array_split(at := np.flatnonzero(sizes == n), -(-len(at) // AT_ONCE)):
+                    found[rows] = warps(series_.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n), table)
             rows = pa.array(np.repeat(np.arange(batch.num_rows), len(names)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.tile(names, batch.num_rows), pa.int64()), pa.array(np.concatenate([*found, np.zeros(0)]))], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.tile(names, batch.num_rows), pa.int64()), pa.array(found.ravel())], names=schema.fieldNames())
 
     return df.select(id, series).mapInArrow(run, schema)
 

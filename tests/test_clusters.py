@@ -33,3 +33,15 @@ def test_cost(spark):
     assert all(abs(r.distance - own[r.doc_id]) < 1e-9 for r in out)
     print("cost", sum(r.distance for r in out), "best", best)
     assert sum(r.distance for r in out) <= 1.05 * best
+
+
+def test_prototypes_in_blocks(spark):
+    """Series of several lengths against the prototypes, as one by one; none for an empty series."""
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.normal(size=n).tolist()) for i, n in enumerate([5, 9, 0, 5, 1, 9, 5])]
+    curves = {7: draw.normal(size=5).tolist(), 3: draw.normal(size=5).tolist()}
+    found = {(r.doc_id, r.prototype): r.distance for r in clusters.to_prototypes(spark.createDataFrame(rows, "doc_id long, x array<double>").coalesce(1), "doc_id", "x", curves).collect()}
+    assert len(found) == 14
+    for i, x in rows:
+        want = clusters.warp(np.array(x), np.array(list(curves.values()))) if x else [np.inf] * 2
+        assert [found[i, k] for k in curves] == list(want)
