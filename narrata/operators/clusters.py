@@ -212,6 +212,8 @@ def classify(features: DataFrame, columns: list[str], label: str, id: str, model
 def transfer(features: DataFrame, columns: list[str], label: str, group: str, a: str, b: str, model: str = "forest") -> DataFrame:
     """Accuracy of a model of group a on both groups, the gap, and how universal that makes it."""
     steps = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="label", handleInvalid="skip"), VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip"), MODELS[model]()])
+    # Written once: the fit and both judgements read the rows again.
+    features = Workspace(features.sparkSession, "transfer").save(features.select(group, label, *columns), "features")
     fitted = steps.fit(features.where(F.col(group) == a))
     judge = MulticlassClassificationEvaluator(metricName="accuracy")
     home, away = (judge.evaluate(fitted.transform(features.where(F.col(group) == g))) for g in (a, b))

@@ -45,3 +45,19 @@ def test_prototypes_in_blocks(spark):
     for i, x in rows:
         want = clusters.warp(np.array(x), np.array(list(curves.values()))) if x else [np.inf] * 2
         assert [found[i, k] for k in curves] == list(want)
+
+
+def test_features_are_worked_out_once(spark):
+    """However many folds, fits and judgements: each row's features are made by one pass."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, i % 2, "a" if i % 3 else "b", float(i % 7)) for i in range(60)], "doc_id long, y int, g string, v double").mapInArrow(counted, "doc_id long, y int, g string, v double")
+    clusters.classify(rows, ["v"], "y", "doc_id", "logistic", 2).collect()
+    assert seen.value == 60
+    clusters.transfer(rows, ["v"], "y", "g", "a", "b", "logistic").collect()
+    assert seen.value == 120
