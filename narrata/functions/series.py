@@ -137,13 +137,18 @@ def resample(x: Column, n: int | Column) -> Column:
     return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point))
 
 
+def gaussian_weights(sigma: float) -> list[float]:
+    """Up to four sigma on either side; their sum is one."""
+    radius = int(4 * sigma + 0.5)
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    return [w / sum(weights) for w in weights]
+
+
 @bound
 def gaussian(x: Column, sigma: float) -> Column:
     """Gaussian smoothing cut at four sigma; the series is mirrored at its ends, end values included."""
-    radius = int(4 * sigma + 0.5)
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    weights = [w / sum(weights) for w in weights]
-    n = F.size(x)
+    weights = gaussian_weights(sigma)
+    radius, n = len(weights) // 2, F.size(x)
     kernel = F.array(*(F.lit(w) for w in weights))
 
     def mirrored(i: Column) -> Column:

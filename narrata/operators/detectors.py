@@ -2,17 +2,23 @@
 
 Every detector is an expression over one array column and gives a struct, so
 any number of them run in one pass over the documents, without a shuffle.
+What looks at many neighbours of each value (smoothing, peaks, local entropy
+and divergence) is added by whole Arrow batches before.
 Series that are too short get ``insufficient_data``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from narrata.functions import kernels as K
 from narrata.functions import peaks as P
 from narrata.functions import series as S
 
@@ -27,13 +33,13 @@ def _position(i: Column, n: Column) -> Column:
     return i / F.greatest(n - 1, F.lit(1))
 
 
-def _prepared(x: Column, sigma: float = 3.0) -> Column:
-    """Smooth and scaled to 0..1; values are told apart to nine digits."""
-    return F.transform(S.minmax(S.gaussian(x, sigma), 0.5, 1e-8), lambda v: F.round(v, 9))
+def _prepared(smooth: Column) -> Column:
+    """Scaled to 0..1; values are told apart to nine digits."""
+    return F.transform(S.minmax(smooth, 0.5, 1e-8), lambda v: F.round(v, 9))
 
 
-def _gap(n: Column) -> Column:
-    return F.greatest((n / 10).cast("int"), F.lit(1))
+def _gap(x: pa.Array) -> np.ndarray:
+    return np.maximum(K.lengths(x) // 10, 1)
 
 
 def _mean_of(scores: list[Column], optional: Column, has: Column) -> Column:
@@ -75,12 +81,33 @@ class Steps:
         self.df = self.df.withColumn(name, value)
         return F.col(name)
 
+    def batch(self, kinds: list[str], make: Callable[..., list[pa.Array]], *inputs: Column) -> list[Column]:
+        """Columns of these kinds that ``make`` makes of the inputs, whole Arrow batches at once."""
+        before = len(self._names)
+        for value in inputs:
+            self(value)
+        read = self._names[before:]
+        names = [f"_step{len(self._names) + i}" for i in range(len(kinds))]
+        self._names += names
+        others = [f for f in self.df.schema.fields if f.name not in read]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                made = make(*(rows.column(name) for name in read))
+                yield pa.RecordBatch.from_arrays([*(rows.column(f.name) for f in others), *made], names=[*(f.name for f in others), *names])
+
+        schema = T.StructType([*others, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in zip(names, kinds, strict=True))])
+        self.df = self.df.mapInArrow(run, schema)
+        return [F.col(name) for name in names]
+
     def done(self, out: dict[str, Column]) -> DataFrame:
         """The table with results in place of the steps."""
         return self.df.withColumns(out).drop(*self._names)
 
 
-Detector = Callable[[Steps, Column], Column]
+#: Columns that a detector reads, by name.
+Parts = dict[str, Column]
+Detector = Callable[[Steps, Parts], Column]
 
 
 def _conform(step: Steps, n: Column, score: Column, rules: Callable[[Column], list[tuple[Column, str]]], otherwise: str, **more: Column) -> Column:
@@ -90,13 +117,13 @@ def _conform(step: Steps, n: Column, score: Column, rules: Callable[[Column], li
     return F.struct(pattern.alias("pattern"), F.when(long, F.round(s, 6)).alias("score"), *(F.when(long, c if k in NAMES else F.round(c, 6)).alias(k) for k, c in more.items()))
 
 
-def aristotle(step: Steps, v: Column) -> Column:
+def aristotle(step: Steps, of: Parts) -> Column:
     """Three acts between the two steepest places, with the turning points and the unity of action."""
+    v = of["v"]
     n = F.greatest(F.size(v), F.lit(1))
     quarter = (n / 4).cast("int")
-    d = step(S.gradient(v, F.lit(1.0)))
-    steep = step(F.transform(d, F.abs))
-    ranked = F.reverse(F.sort_array(F.transform(P.peaks(steep, _gap(n), 0.01), lambda i: F.struct(S.at(steep, i).alias("g"), i.alias("i")))))
+    d, steep = of["d"], of["steep"]
+    ranked = F.reverse(F.sort_array(F.transform(of["steepest"], lambda i: F.struct(S.at(steep, i).alias("g"), i.alias("i")))))
     two = step(F.sort_array(F.transform(F.slice(ranked, 1, 2), lambda s: _position(s.getField("i"), n))))
     a1 = F.when(F.size(two) == 2, F.when(S.at(two, F.lit(0)) < 0.15, 0.25).otherwise(S.at(two, F.lit(0)))).otherwise(0.25)
     a2 = F.when(F.size(two) == 2, F.when(S.at(two, F.lit(1)) < 0.5, 0.75).otherwise(S.at(two, F.lit(1)))).otherwise(0.75)
@@ -114,7 +141,7 @@ def aristotle(step: Steps, v: Column) -> Column:
         + F.when(S.slope(last) < -1e-12, 0.9).otherwise(0.5)
         + F.when(S.variance(one) < S.variance(mid), 0.8).otherwise(0.5)
     ) / 5
-    arcs = F.greatest(F.size(P.peaks(v, _gap(n))), F.lit(1))
+    arcs = F.greatest(F.size(of["tops"]), F.lit(1))
     upward = F.when(F.size(rises) > 0, F.size(F.filter(rises, lambda y: y > 0)) / F.greatest(F.size(rises), F.lit(1))).otherwise(0.5)
     calm = F.when(F.size(last) > 1, 1 - F.least(F.lit(1.0), 2 * (F.array_max(last) - F.array_min(last)))).otherwise(0.5)
     unity = S.clip(0.4 * F.greatest(F.lit(0.0), 1 - (arcs - 1) * 0.2) + 0.3 * upward + 0.3 * calm)
@@ -128,10 +155,11 @@ def aristotle(step: Steps, v: Column) -> Column:
 PYRAMID = [0.3, 0.5, 0.7, 0.9, 1.0, 0.85, 0.6, 0.4, 0.35]
 
 
-def freytag(step: Steps, v: Column) -> Column:
+def freytag(step: Steps, of: Parts) -> Column:
     """A rise to a peak near the middle and a fall like it."""
+    v = of["v"]
     n = F.greatest(F.size(v), F.lit(1))
-    found = step(P.peaks(v, _gap(n), 0.05))
+    found = of["high"]
     central = F.filter(found, lambda i: F.abs(i - (n / 2).cast("int")) < (n / 4).cast("int"))
     top = step(F.coalesce(P.tallest(v, central), P.tallest(v, found), S.argmax(v)))
     c = step(_position(top, n))
@@ -142,7 +170,7 @@ def freytag(step: Steps, v: Column) -> Column:
     even = step(S.resample(v, 9))
     first, high, end = S.at(v, F.lit(0)), S.at(v, top), S.at(v, n - 1)
     up, down, off = step(high - first), step(high - end), F.abs(c - 0.5)
-    count = step(F.size(P.peaks(v, _gap(n), 0.1)))
+    count = step(F.size(of["highest"]))
     scores = [
         F.when(off < 0.1, 1.0).when(off < 0.2, 0.7).otherwise(0.4),
         F.when(up > 0, F.least(F.lit(1.0), 0.5 + up)).otherwise(0.2),
@@ -161,8 +189,9 @@ STAGES12 = [0.0, 0.08, 0.12, 0.17, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 1.0
 HERO = [0.50, 0.55, 0.45, 0.60, 0.55, 0.45, 0.35, 0.20, 0.50, 0.60, 0.80, 0.70]
 
 
-def campbell(step: Steps, v: Column) -> Column:
+def campbell(step: Steps, of: Parts) -> Column:
     """Twelve stages around an ordeal, the low point of the middle."""
+    v = of["v"]
     n = F.greatest(F.size(v), F.lit(1))
     low, high = (0.3 * n).cast("int"), (0.8 * n).cast("int")
     ordeal = step(low + S.argmin(F.slice(v, low + 1, F.greatest(high - low, F.lit(1)))))
@@ -192,12 +221,13 @@ def campbell(step: Steps, v: Column) -> Column:
 CIRCLE = [0.8, 0.75, 0.5, 0.3, 0.2, 0.35, 0.6, 0.85]
 
 
-def circle(step: Steps, v: Column) -> Column:
+def circle(step: Steps, of: Parts) -> Column:
     """Eight stages down into a valley and up again; without a valley between 0.2 and 0.8 they are even."""
+    v = of["v"]
     n = F.greatest(F.size(v), F.lit(1))
     down = step(F.transform(v, lambda y: -y))
     # Null without a valley.
-    p = step(_position(P.tallest(down, P.peaks(down, _gap(n))), n))
+    p = step(_position(P.tallest(down, of["valleys"]), n))
     s4, s6 = F.greatest(F.lit(0.15), p - 0.1), F.least(F.lit(0.85), p + 0.1)
     turned = F.array(F.lit(0.0), 0.3 * s4, 0.7 * s4, s4, p, s6, s6 + (1 - s6) * 0.5, F.lit(1.0))
     places = step(F.when((p > 0.2) & (p < 0.8), turned).otherwise(_fixed([k / 7 for k in range(8)])))
@@ -272,31 +302,34 @@ def _around(x: Column, i: Column, reach: int = 5) -> Column:
     return S.mean(F.slice(x, low + 1, F.least(i + reach, F.size(x)) - low))
 
 
-def four_act(step: Steps, x: Column) -> Column:
-    """A turn without conflict in the second half, from the series as it is."""
+def _region(x: Column) -> tuple[Column, Column, Callable[[Column], Column]]:
+    """Where a turn may be: from, up to, and the part of a series between."""
     n = F.greatest(F.size(x), F.lit(1))
-    nine = lambda a: F.transform(a, lambda v: F.round(v, 9))
-    kl, entropy = step(nine(local_divergence(x))), step(local_entropy(x))
-    slope = step(S.gradient(S.gaussian(x, 2.0), F.lit(1.0)))
-    bend = step(nine(F.zip_with(S.gradient(slope, F.lit(1.0)), slope, lambda b, s: F.abs(b) / F.pow(1 + s * s, F.lit(1.5)))))
     low, high = (0.4 * n).cast("int"), (0.8 * n).cast("int")
-    part = lambda a: F.slice(a, low + 1, F.greatest(high - low, F.lit(1)))
+    return low, high, lambda a: F.slice(a, low + 1, F.greatest(high - low, F.lit(1)))
+
 
-    def spikes(own: Column, top: Column) -> Column:
+def four_act(step: Steps, of: Parts) -> Column:
+    """A turn without conflict in the second half, from the series as it is."""
+    x, kl, entropy, bend = (of[k] for k in ("x", "kl", "entropy", "bend"))
+    n = F.greatest(F.size(x), F.lit(1))
+    low, high, part = _region(x)
+
+    def spikes(own: Column, places: Column, top: Column) -> Column:
         """Places in the region with a peak at ``top`` or more."""
-        found = F.transform(P.peaks(part(own), F.greatest(((high - low) / 5).cast("int"), F.lit(1))), lambda i: i + low)
+        found = F.transform(places, lambda i: i + low)
         return F.when(high - low > 3, F.filter(found, lambda i: S.at(own, i) >= top)).otherwise(F.array().cast("array<int>"))
 
-    def candidates(own: Column, top: Column, other: Column, other_top: Column, weight: float, order: int, name: str) -> Column:
+    def candidates(own: Column, places: Column, top: Column, other: Column, other_top: Column, weight: float, order: int, name: str) -> Column:
         place = lambda i: F.greatest(F.lit(0.2), 1 - 2 * F.abs(i / n - 0.6))
         score = lambda i: S.at(own, i) * place(i) * (1 + F.least(F.lit(1.0), _around(other, i) / (other_top + 1e-8))) * weight
-        return F.transform(spikes(own, top), lambda i: F.struct(F.round(score(i), 9).alias("s"), F.lit(-order).alias("o"), (-i).alias("i"), S.at(own, i).alias("strength"), F.lit(name).alias("type")))
+        return F.transform(spikes(own, places, top), lambda i: F.struct(F.round(score(i), 9).alias("s"), F.lit(-order).alias("o"), (-i).alias("i"), S.at(own, i).alias("strength"), F.lit(name).alias("type")))
 
     most = F.array_max(part(kl))
     shift = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("o"), (-(low + S.argmax(part(kl)))).alias("i"), most.alias("strength"), F.lit("perspective_shift").alias("type"))
     none = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("o"), (-(0.65 * n).cast("int")).alias("i"), F.lit(0.0).alias("strength"), F.lit("none").alias("type"))
     kl_top, bend_top = step(percentile(kl, 0.75)), step(percentile(bend, 0.85))
-    found = step(F.concat(candidates(kl, kl_top, bend, bend_top, 1.0, 0, "kl_spike"), candidates(bend, bend_top, kl, kl_top, 0.5, 1, "curvature_anomaly")))
+    found = step(F.concat(candidates(kl, of["kl_tops"], kl_top, bend, bend_top, 1.0, 0, "kl_spike"), candidates(bend, of["bend_tops"], bend_top, kl, kl_top, 0.5, 1, "curvature_anomaly")))
     best = step(F.when(F.size(found) > 0, F.array_max(found)).when(most > 0.25, shift).otherwise(none))
     ten, strength, kind = step(-best["i"]), best["strength"], best["type"]
     end = F.least(ten, (0.6 * n).cast("int"))
@@ -351,9 +384,10 @@ def six_shapes(x: Column, sigma: float | None = 3.0) -> Column:
 def shape_features(step: Steps, x: Column, prominence: float) -> dict[str, Column]:
     """Features of a resampled, scaled and smoothed series."""
     scaled = step(S.minmax(S.resample(x, 100), 0.5, 1e-8))
-    v = step(F.transform(S.savitzky_golay(scaled), lambda y: F.round(y, 9)))
+    (smooth,) = step.batch(["array<double>"], lambda x: [K.savitzky_golay(x)], scaled)
+    v = step(F.transform(smooth, lambda y: F.round(y, 9)))
     down = step(F.transform(v, lambda y: -y))
-    up, low = step(P.peaks(v, 10, prominence)), step(P.peaks(down, 10, prominence))
+    up, low = step.batch(["array<int>"] * 2, lambda x: [K.peaks(x, 10, prominence), K.valleys(x, 10, prominence)], v)
     top, bottom = F.coalesce(P.tallest(v, up), S.argmax(v)) / 100.0, F.coalesce(P.tallest(down, low), S.argmin(v)) / 100.0
     found = {"up": F.size(up), "down": F.size(low), "net": S.at(v, F.lit(99)) - S.at(v, F.lit(0)), "volatility": S.deviation(S.differences(v)), "symmetry": S.mirror_symmetry(v), "r2": S.determination(v, 1e-8), "top": top, "low": bottom}
     return {k: step(c) for k, c in found.items()}
@@ -463,16 +497,56 @@ def plot_structure(states: Column) -> Column:
 
 #: Detectors of a smooth series between 0 and 1, and those of the series as it is.
 ON_SMOOTH: dict[str, Detector] = {"aristotle": aristotle, "freytag": freytag, "campbell": campbell, "circle": circle}
-ON_RAW: dict[str, Detector] = {"six_shapes": lambda step, x: step(six_shapes(x)), "four_act": four_act}
+ON_RAW: dict[str, Detector] = {"six_shapes": lambda step, of: step(six_shapes(of["smooth"], None)), "four_act": four_act}
 DETECTORS = (*ON_SMOOTH, *ON_RAW)
 
 
+def _parts(step: Steps, x: Column, smooth: bool, acts: bool) -> Parts:
+    """What detectors read: of the smooth series, and of the four acts."""
+    wide, floats, places = K.gaussian, "array<double>", "array<int>"
+    of: Parts = {"x": x}
+
+    def first(x: pa.Array) -> list[pa.Array]:
+        return [wide(x, 3.0)] * smooth + ([wide(x, 2.0), K.local_divergence(x), K.local_entropy(x)] if acts else [])
+
+    names = ["smooth"] * smooth + ["soft", "kl", "entropy"] * acts
+    of.update(zip(names, step.batch([floats] * len(names), first, x), strict=True))
+    read = []
+    if smooth:
+        of["v"] = step(_prepared(of["smooth"]))
+        of["d"] = step(S.gradient(of["v"], F.lit(1.0)))
+        of["steep"] = step(F.transform(of["d"], F.abs))
+        read += [of["v"], of["steep"]]
+    if acts:
+        nine = lambda a: F.transform(a, lambda v: F.round(v, 9))
+        of["kl"], slope = step(nine(of["kl"])), step(S.gradient(of["soft"], F.lit(1.0)))
+        of["bend"] = step(nine(F.zip_with(S.gradient(slope, F.lit(1.0)), slope, lambda b, s: F.abs(b) / F.pow(1 + s * s, F.lit(1.5)))))
+        low, high, part = _region(x)
+        read += [part(of["kl"]), part(of["bend"]), F.greatest(((high - low) / 5).cast("int"), F.lit(1))]
+
+    def second(*read: pa.Array) -> list[pa.Array]:
+        out = []
+        if smooth:
+            v, steep = read[:2]
+            gap = _gap(v)
+            out += [K.peaks(steep, gap, 0.01), K.peaks(v, gap), K.peaks(v, gap, 0.05), K.peaks(v, gap, 0.1), K.valleys(v, gap)]
+        if acts:
+            kl, bend, gap = read[-3:]
+            gap = gap.fill_null(1).to_numpy(zero_copy_only=False)
+            out += [K.peaks(kl, gap), K.peaks(bend, gap)]
+        return out
+
+    names = ["steepest", "tops", "high", "highest", "valleys"] * smooth + ["kl_tops", "bend_tops"] * acts
+    if names:
+        of.update(zip(names, step.batch([places] * len(names), second, *read), strict=True))
+    return of
+
+
 def with_detectors(df: DataFrame, series: str, names: tuple[str, ...] = DETECTORS) -> DataFrame:
     """Add a struct column for each detector, all in one pass over the rows and without a shuffle."""
     step = Steps(df)
-    x = F.col(f"`{series}`")
-    smooth = step(_prepared(x)) if set(names) & ON_SMOOTH.keys() else x
-    return step.done({name: ON_SMOOTH[name](step, smooth) if name in ON_SMOOTH else ON_RAW[name](step, x) for name in names})
+    of = _parts(step, F.col(f"`{series}`"), bool(set(names) & {*ON_SMOOTH, "six_shapes"}), "four_act" in names)
+    return step.done({name: (ON_SMOOTH | ON_RAW)[name](step, of) for name in names})
 
 
 def pattern_of(name: str) -> Column:
