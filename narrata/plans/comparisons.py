@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from narrata.functions import kernels as K
 from narrata.functions import series as S
 from narrata.functions import text as X
 from narrata.operators import comparisons as C
@@ -61,7 +62,9 @@ _SUMMED = Q._ARRAY_SQL.replace("ar AS (", "a0 AS (") + """, a1 AS (SELECT doc_id
 def shape_preservation(spark, sf_dir):
     """The shape of each document's series and of its running sum."""
     v = F.col("lexical_entropy")
-    docs = Q._entropy(spark, sf_dir).select("doc_id", detectors.six_shapes(v)["shape"].alias("shape"), detectors.six_shapes(S.compound(v))["shape"].alias("summed_shape"))
+    step = detectors.Steps(Q._entropy(spark, sf_dir))
+    own, summed = step.batch(["array<double>"] * 2, lambda x, y: [K.gaussian(x, 3.0), K.gaussian(y, 3.0)], v, S.compound(v))
+    docs = step.df.select("doc_id", detectors.six_shapes(own, None)["shape"].alias("shape"), detectors.six_shapes(summed, None)["shape"].alias("summed_shape"))
     return docs.withColumn("preserved", F.col("shape") == F.col("summed_shape"))
 
 
