@@ -4,27 +4,27 @@ Names are capitalised words, pairs of them, words after a title, and words
 beside a verb of speech; a name counts once for each rule that finds it. Names
 of a document are resolved to characters by greedy leaders: in the order of
 their counts, a name joins the first leader that it is related to, or else
-becomes one. Texts are read in their row; what is shuffled are mentions, by
-document.
+becomes one. Texts are read in whole Arrow batches; what is shuffled are
+mentions, by document.
 """
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.functions import series as S
 from narrata.operators import graphs
 
-_END = r"(?![\p{L}\p{N}_])"
-#: Capitalised words with white space alone between them. Nothing is given back, so long runs take no stack.
-RUN = rf"(?<![\p{{L}}\p{{N}}_])\p{{Lu}}\p{{Ll}}++{_END}(?:[ \t\n\r]++\p{{Lu}}\p{{Ll}}++{_END})*+"
-_WORD = r"[\p{L}\p{N}_]+"
-#: Characters beside a run that titles and verbs are looked for in.
-REACH = 64
+#: Characters of text that are looked at at once.
+AT_ONCE = 1 << 22
+_WORD, _UPPER, _LOWER, _WHITE = 1, 2, 4, 8
 
 # Titles and verbs of speech that go with English names.
 TITLES = (
@@ -43,48 +43,91 @@ STOPWORDS = (
 )
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """What each code point is: part of a word (letters, numbers and ``_``), a capital, a small letter, white space."""
+    kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+    for c in range(len(kinds)):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "LN":
+            kinds[c] = _WORD | {"Lu": _UPPER, "Ll": _LOWER}.get(kind, 0)
+    kinds[ord("_")] = _WORD
+    kinds[[ord(c) for c in " \t\n\r"]] = _WHITE
+    return kinds
+
+
+def _named(texts: list[str], titles: frozenset[str], verbs: frozenset[str], stopwords: frozenset[str]) -> list[tuple[np.ndarray, pa.Array, np.ndarray, str, pa.Array]]:
+    """For each rule: whose text, name, place, rule and title of its mentions."""
+    # What ends a text is neither a word nor white space.
+    body = "\0".join([*texts, ""])
+    codes = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[codes]
+    edge = np.flatnonzero(np.diff(kind & _WORD, prepend=0, append=0))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return []
+    so_far = lambda k: np.concatenate([[0], np.cumsum((kind & k) > 0)])
+    small, white = so_far(_LOWER), so_far(_WHITE)
+    cap = ((kind[start] & _UPPER) > 0) & (end - start > 1) & (small[end] - small[start + 1] == end - start - 1)
+    # White space alone before a word, and a full stop and white space; none before the first word and behind the last.
+    before = np.concatenate([[0], end[:-1]])
+    blank = lambda low: (start > low) & (white[start] - white[np.minimum(low, start)] == start - low)
+    gap = blank(before)
+    dotted = (codes[before] == ord(".")) & blank(before + 1)
+    gap[0] = dotted[0] = False
+    joined = cap & np.concatenate([[False], cap[:-1]]) & gap
+    after = np.concatenate([gap[1:], [False]])
+    at = np.flatnonzero(cap)
+    spot = at - np.maximum.accumulate(np.where(joined, 0, np.arange(len(start))))[at]
+    more = np.concatenate([joined[1:], [False]])[at]
+    word = lambda t: body[start[t] : end[t]]
+    names = [word(t) for t in at.tolist()]
+    stop = np.array([n.lower() in stopwords for n in names], bool)
+    # The word after one that has more is the next capitalised one.
+    pairs = lambda i: [f"{names[k]} {names[k + 1]}" for k in i.tolist()]
+    heads = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    doc = np.searchsorted(heads, start[at], "right") - 1
+    place = start[at] - heads[doc]
+    last = codes[start[at] - 1]
+    free = np.where(spot == 0, (place > 0) & ~np.isin(last, [ord(c) for c in ".!?\n"]), last != ord("\n"))
+    begins, ends = np.flatnonzero((spot == 0) & (gap | dotted)[at]), np.flatnonzero(~more & after[at])
+    prior = {i: word(at[i] - 1) for i in begins.tolist()} | {i: names[i - 1] for i in np.flatnonzero(spot > 0).tolist()}
+    titled = {i: w.lower() for i, w in prior.items() if w.lower() in titles}
+    spoken = [i for i in begins.tolist() if gap[at[i]] and prior[i] in verbs], [i for i in ends.tolist() if word(at[i] + 1) in verbs]
+    single, double = np.flatnonzero((end - start)[at] >= 3), np.flatnonzero(more & (spot % 2 == 0) & free & ~stop)
+    following = np.concatenate([stop[1:], [False]])
+
+    def told(i: np.ndarray, rule: str, title: list[str] | None = None, name: list[str] | None = None) -> tuple:
+        named = [names[k] for k in i.tolist()] if name is None else name
+        return doc[i], pa.array(named, pa.string()), place[i], rule, pa.nulls(len(i), pa.string()) if title is None else pa.array(title, pa.string())
+
+    pair, called = double[~following[double]], np.array(sorted(titled), np.int64)
+    whole = [f"{names[k]} {names[k + 1]}" if more[k] else names[k] for k in called.tolist()]
+    speech = [i[~stop[i]] for i in (np.array(s, np.int64) for s in spoken)]
+    return [told(single[~stop[single]], "word"), told(pair, "pair", name=pairs(pair)), told(called, "title", [titled[k] for k in called.tolist()], whole), *(told(i, "speech") for i in speech)]
+
+
 def mentions(docs: DataFrame, titles: tuple[str, ...] = TITLES, verbs: tuple[str, ...] = SPEECH, stopwords: tuple[str, ...] = STOPWORDS, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, size, name, place, rule, title): every mention and where it begins; ids are unique.
 
-    ``rule`` is word, pair, title or speech; ``title`` is the one before the name, in small letters, and ``size`` the text's length.
+    ``rule`` is word, pair, title or speech; ``title`` is the one before the name, in small letters, and ``size`` the
+    text's length. Texts are read in whole Arrow batches, ``AT_ONCE`` characters (one text at least) at once.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-
-    def around(gaps: Column, found: Column) -> Column:
-        # A title may be a run of its own.
-        before = lambda i: F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), F.lit(REACH))
-        return F.transform(found, lambda run, i: F.struct(run.alias("run"), F.length(F.get(gaps, i)).alias("gap"), before(i).alias("before"), F.left(F.get(gaps, i + 1), F.lit(REACH)).alias("after")))
-
-    each = S.lets(around, lambda: F.split(body, RUN, -1), lambda gaps: F.regexp_extract_all(body, F.lit(RUN), F.lit(0)))
-    runs = docs.select(id, F.length(body).alias("size"), F.posexplode(each).alias("_i", "r")).select(id, "size", "_i", "r.*")
-    so_far = Window.partitionBy(id).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("start", F.sum(F.col("gap") + F.length("run")).over(so_far) - F.length("run"))
-    words = runs.withColumns({"words": F.split("run", r"[ \t\n\r]+"), "seps": F.split("run", r"\p{L}+", -1)})
-    # Where each word begins, from the lengths of what comes before it in the run.
-    sizes = F.zip_with("seps", "words", lambda s, w: (F.length(s) + F.coalesce(F.length(w), F.lit(0))).cast("double"))
-    at = lambda i: F.coalesce(F.get("_sums", i - 1), F.lit(0.0)) + F.length(F.get("seps", i))
-    told = words.withColumns({
-        "_sums": S.running(sizes),
-        "_prev": F.lower(F.regexp_extract("before", rf"({_WORD})\.?[ \t\n\r]+$", 1)), "_verb": F.regexp_extract("before", rf"({_WORD})[ \t\n\r]+$", 1), "_next": F.regexp_extract("after", rf"^[ \t\n\r]+({_WORD})", 1),
-        "_open": (F.col("start") > 0) & ~F.right("before", F.lit(1)).isin(".", "!", "?", "\n"),
-    })
-    stop = lambda w: F.lower(w).isin(*stopwords) if stopwords else F.lit(False)
-
-    def found(word: Column, i: Column) -> Column:
-        following = F.get("words", i + 1)
-        pair = F.concat_ws(" ", word, following)
-        free = F.when(i == 0, F.col("_open")).otherwise(~F.endswith(F.get("seps", i), F.lit("\n")))
-        title = F.when(i == 0, F.col("_prev")).otherwise(F.lower(F.get("words", i - 1)))
-        one = lambda when, name, rule, title=None: F.when(when, F.struct(name.alias("name"), (F.col("start") + at(i)).cast("long").alias("place"), F.lit(rule).alias("rule"), (F.lit(None).cast("string") if title is None else title).alias("title")))
-        return F.array(
-            one((F.length(word) >= 3) & ~stop(word), word, "word"),
-            one((i % 2 == 0) & following.isNotNull() & ~stop(word) & ~stop(following) & free, pair, "pair"),
-            one(title.isin(*titles) if titles else F.lit(False), F.when(following.isNotNull(), pair).otherwise(word), "title", title),
-            one((i == 0) & F.col("_verb").isin(*verbs) & ~stop(word), word, "speech"),
-            one(following.isNull() & F.col("_next").isin(*verbs) & ~stop(word), word, "speech"),
-        )
-
-    return told.select(id, "size", F.explode(F.filter(F.flatten(F.transform("words", found)), lambda m: m.isNotNull())).alias("m")).select(id, "size", "m.*")
+    lists = frozenset(titles), frozenset(verbs), frozenset(stopwords)
+    names = [id, "size", "name", "place", "rule", "title"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sizes = np.array([len(t) for t in texts], np.int32)
+            chunk = np.cumsum(sizes, dtype=np.int64) // AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                for doc, name, place, rule, title in _named(texts[low:high], *lists):
+                    own = doc + low
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(sizes[own]), name, pa.array(place, pa.int64()), pa.array([rule] * len(own), pa.string()), title], names=names)
+
+    return docs.select(id, text).mapInArrow(run, f"{id} {docs.schema[id].dataType.simpleString()}, size int, name string, place bigint, rule string, title string")
 
 
 def counted(found: DataFrame, least: int = 3, id: str = "doc_id") -> DataFrame:
@@ -182,8 +225,10 @@ def orbits(met: DataFrame, docs: DataFrame, events: dict[str, str], size: int =
     other = met.select(id, "scene", F.col("character").alias("other"), F.col("m").alias("n"))
     drawn = met.join(other, [id, "scene"]).where("character <> other").groupBy(id, "character", "other").agg(F.round(F.sum(F.sqrt(F.col("m") * F.col("n"))) + 1e-9, digits).alias("weight"))
     satellites = drawn.groupBy(id, "character").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("order"), "other", "weight"))).alias("s")).select(id, "character", F.transform("s", lambda x: F.struct(x["other"].alias("name"), x["weight"].alias("weight"))).alias("satellites"))
-    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / step).cast("int"))
-    window = docs.where(F.length(text) > 0).select(id, F.posexplode(F.transform(starts, lambda k: F.substring(F.col(text), k * step + 1, size))).alias("scene", "_w"))
+    # Steps of the text in turn: a substring would be sought from the text's start each time.
+    pieces = docs.where(F.length(text) > 0).select(id, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_p"))
+    joint = lambda v, k: F.concat(v, *(F.coalesce(F.get("_p", k + j), F.lit("")) for j in (1, 2)))
+    window = pieces.select(id, F.posexplode(F.transform("_p", lambda v, k: F.left(joint(v, k), F.lit(size)))).alias("scene", "_w"))
     kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.regexp_count(F.lower("_w"), F.lit(pattern)).alias("n")) for kind, pattern in events.items()))
     happened = window.select(id, "scene", F.explode(F.filter(kinds, lambda k: k["n"] > 0)).alias("e")).select(id, "scene", "e.*")
     told = met.join(happened, [id, "scene"]).groupBy(id, "character", "kind").agg(F.sum("n").alias("n")).groupBy(id, "character").agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("events"))

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 from narrata.operators import characters as C
 
@@ -86,3 +87,34 @@ def test_orbits(spark):
     assert people["Anna"].scenes == sorted(k for k, n in brute if n == "Anna") and people["Anna"].total == sum(m for (k, n), m in brute.items() if n == "Anna")
     text = docs.first().text
     assert [(e.kind, e.n) for e in people["Boris"].events] == [("conflict", sum(text[20 * k : 20 * k + 40].count("fought") for k, n in brute if n == "Boris"))]
+
+
+def test_mentions_by_brute_force_without_a_shuffle(spark):
+    """Texts of hard edges, against a walk over their words; no text or run of it is shuffled."""
+    draw = random.Random(8)
+    words = ["Ann", "Émile", "Øre", "the", "The", "was", "X", "Xy", "X1", "Ab_c", "ΑΒ", "Ελένη", "z", "𝒳y", "mR"]
+    texts = ["".join(draw.choice(words) + draw.choice((" ", " ", "\n", ". ", ".", ".\t", "\u00a0", "  ", ", ", "\0")) for _ in range(draw.randrange(60))) for _ in range(120)]
+    word, blank = re.compile(r"\w+"), re.compile(r"[ \t\n\r]+")
+    name = lambda w: w.isalpha() and w[0].isupper() and w[1:].islower()
+    expected = collections.Counter()
+    for d, t in enumerate(texts):
+        found = list(word.finditer(t))
+        at = lambda i: found[i][0] if 0 <= i < len(found) else ""  # noqa: E731, B023
+        gap = lambda i: t[found[i - 1].end() : found[i].start()] if 0 < i < len(found) else ""  # noqa: E731, B023
+        joined = lambda i: bool(name(at(i)) and name(at(i - 1)) and blank.fullmatch(gap(i)))  # noqa: E731, B023
+        spot = 0
+        for i, m in enumerate(found):
+            spot = spot + 1 if joined(i) else 0
+            if not name(m[0]):
+                continue
+            stop, more, pair, place = m[0] == "The", joined(i + 1), f"{m[0]} {at(i + 1)}", m.start()
+            if len(m[0]) >= 3 and not stop:
+                expected[d, m[0], place, "word", None] += 1
+            if more and spot % 2 == 0 and not stop and at(i + 1) != "The" and place > 0 and t[place - 1] not in ".!?\n":
+                expected[d, pair, place, "pair", None] += 1
+            if at(i - 1).lower() in ("the", "mr") and blank.fullmatch(gap(i).removeprefix(".")):
+                expected[d, pair if more else m[0], place, "title", at(i - 1).lower()] += 1
+            expected[d, m[0], place, "speech", None] += (not stop and at(i - 1) == "was" and blank.fullmatch(gap(i)) is not None) + (not stop and at(i + 1) == "was" and blank.fullmatch(gap(i + 1)) is not None)
+    got = C.mentions(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), ("the", "mr"), ("was",), ("the",))
+    assert collections.Counter((r.doc_id, r.name, r.place, r.rule, r.title) for r in got.collect()) == +expected and expected.total() > 500
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
