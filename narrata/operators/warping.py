@@ -2,7 +2,7 @@
 
 A candidate's envelope (least and most value within the reach of each place)
 bounds its warping distance from below, as do the end points. Candidates are
-dealt to blocks by level, and a block has the hull of its envelopes. First
+dealt to blocks by the levels of their quarters, and a block has the hull of its envelopes. First
 each query meets the block that it lies in, which gives a distance that the
 kth neighbour cannot exceed; then groups of queries meet the hulls, and only
 those blocks that may hold something nearer; there each pair's own bounds are
@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrata.functions import series as S
 from narrata.workspace import Workspace
 
 #: Powers of two of the rows of a block and of the queries of a group; hulls that are tested at once.
 BLOCK, GROUP, PAGE = 8, 7, 256
-#: Pairs that are warped at once.
-PAIRS = 1 << 14
+#: Pairs that are warped at once; candidates of a block that are warped first; bits of each quarter's class.
+PAIRS, FIRST, CELL_BITS = 1 << 12, 8, 4
 
 
 def envelope(x: np.ndarray, reach: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +40,11 @@ def envelope(x: np.ndarray, reach: int | None) -> tuple[np.ndarray, np.ndarray]:
 
 def bound(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """What each query's distance from series in each envelope is at least: its values' distances from the envelope, the end points' from the ends."""
-    return (np.maximum(q[:, None] - high[None], 0) + np.maximum(low[None] - q[:, None], 0)).sum(2)
+    least = np.zeros((len(q), len(low)))
+    # Place by place: a block of pairs stays in the cache.
+    for v, a, b in zip(q.T, low.T.copy(), high.T.copy(), strict=True):
+        least += np.maximum(np.maximum(v[:, None] - b, a - v[:, None]), 0)
+    return least
 
 
 def ends(low: np.ndarray, high: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +58,13 @@ def warped(a: np.ndarray, b: np.ndarray, reach: int | None = None) -> np.ndarray
     """Exact warping distance of each row of ``a`` and the same row of ``b``, places at most ``reach`` apart being matched."""
     n = a.shape[1]
     r = n if reach is None else reach
-    last = np.full((n + 1, len(a)), np.inf)
+    a, b = a.T.copy(), b.T.copy()
+    last = np.full((n + 1, a.shape[1]), np.inf)
     last[0] = 0
     for i in range(n):
-        row = np.full((n + 1, len(a)), np.inf)
+        row = np.full((n + 1, a.shape[1]), np.inf)
         for j in range(max(0, i - r), min(n, i + r + 1)):
-            row[j + 1] = np.abs(a[:, i] - b[:, j]) + np.minimum(np.minimum(last[j + 1], row[j]), last[j])
+            row[j + 1] = np.abs(a[i] - b[j]) + np.minimum(np.minimum(last[j + 1], row[j]), last[j])
         last = row
     return last[n]
 
@@ -69,11 +75,32 @@ def _series(items: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return ids, flat.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
-def _dealt(df: DataFrame, power: int, parts: int) -> DataFrame:
-    """Add ``block``: rows of about one level, at most two to the power of them."""
+def _quarters() -> list[Column]:
+    """Means of four parts of a series."""
+    n = F.size("x")
+    start = [F.floor(n * d / 4).cast("int") for d in range(5)]
+    each = [F.slice("x", a + 1, F.greatest(b - a, F.lit(1))) for a, b in zip(start[:-1], start[1:], strict=True)]
+    return [S.mean(part) for part in each]
+
+
+def _cell(df: DataFrame) -> Column:
+    """Where a series lies by the means of its quarters, each in one of ``1 << CELL_BITS`` classes of about as many rows: bits of the four in turn, so that neighbours in this order lie near each other."""
+    shares = [k / (1 << CELL_BITS) for k in range(1, 1 << CELL_BITS)]
+    cuts = df.select(*(F.percentile_approx(q, shares, 1000) for q in _quarters())).first()
+    code = F.lit(0)
+    for d, (quarter, edges) in enumerate(zip(_quarters(), cuts, strict=True)):
+        place = S.let(quarter, lambda q: F.size(F.filter(F.array(*map(F.lit, edges or [0.0])), lambda e: e < q)))  # noqa: B023
+        for b in range(CELL_BITS):
+            code = code + F.shiftleft(F.shiftright(place, b).bitwiseAND(1), 4 * b + d)
+    return code
+
+
+def _dealt(df: DataFrame, cell: Column, power: int, parts: int) -> DataFrame:
+    """Add ``block``: rows of about one course, at most two to the power of them."""
     level = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
-    ordered = df.withColumn("_level", level).repartitionByRange(parts, "_level", "id").sortWithinPartitions("_level", "id")
-    return ordered.withColumn("block", F.shiftright(F.monotonically_increasing_id(), power)).drop("_level")
+    order = ["_cell", "_level", "id"]
+    ordered = df.withColumns({"_cell": cell, "_level": level}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ordered.withColumn("block", F.shiftright(F.monotonically_increasing_id(), power)).drop("_cell", "_level")
 
 
 def nearest_series(df: DataFrame, id: str, series: str, queries: Column, k: int, reach: int | None = None, ws: Workspace | None = None) -> DataFrame:
@@ -89,9 +116,10 @@ def nearest_series(df: DataFrame, id: str, series: str, queries: Column, k: int,
     if good.select(F.size("x")).distinct().limit(2).count() > 1:
         raise ValueError("series of one length")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = ws.save(_dealt(good, BLOCK, parts), "rows")
+    cell = _cell(good)
+    rows = ws.save(_dealt(good, cell, BLOCK, parts), "rows")
     blocks = ws.save(rows.groupBy("block").agg(F.collect_list(F.struct("id", "x")).alias("items")), "blocks")
-    asked = ws.save(_dealt(rows.where("asks").select("id", "x", F.col("block").alias("home")), GROUP, parts).withColumnRenamed("block", "grp"), "asked")
+    asked = ws.save(_dealt(rows.where("asks").select("id", "x", F.col("block").alias("home")), cell, GROUP, parts).withColumnRenamed("block", "grp"), "asked")
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +171,20 @@ def nearest_series(df: DataFrame, id: str, series: str, queries: Column, k: int,
                 q_low, q_high = ends(*envelope(q, reach), q)
                 most = _limits(asking)
                 least = np.maximum(bound(q, low, high), bound(c, q_low, q_high).T)
-                i, j = np.nonzero((least <= most[:, None]) & (names[:, None] != ids[None]))
-                d = np.concatenate([warped(q[i[s : s + PAIRS]], c[j[s : s + PAIRS]], reach) for s in range(0, len(i), PAIRS)] or [np.zeros(0)])
+                least[names[:, None] == ids[None]] = np.inf
+                exactly = lambda i, j: np.concatenate([warped(q[i[s : s + PAIRS]], c[j[s : s + PAIRS]], reach) for s in range(0, len(i), PAIRS)] or [np.zeros(0)])  # noqa: B023, E731
+                # Those of the least bounds come first: their kth distance is a limit for the rest.
+                m = min(max(FIRST, k), len(ids))
+                first = np.zeros(least.shape, bool)
+                np.put_along_axis(first, np.argpartition(least, m - 1, 1)[:, :m], True, 1)
+                i, j = np.nonzero(first & (least <= most[:, None]) & np.isfinite(least))
+                d = exactly(i, j)
+                known = np.full(least.shape, np.inf)
+                known[i, j] = d
+                if m >= k:
+                    most = np.minimum(most, np.partition(known, k - 1, 1)[:, k - 1] * (1 + 1e-9) + 1e-12)
+                rest = np.nonzero(~first & (least <= most[:, None]) & np.isfinite(least))
+                i, j, d = (np.concatenate(both) for both in zip((i, j, d), (*rest, exactly(*rest)), strict=True))
                 order = np.lexsort((ids[j], d, i))
                 place = np.arange(len(order)) - np.searchsorted(i[order], i[order])
                 kept = order[place < k]
@@ -155,7 +195,9 @@ def nearest_series(df: DataFrame, id: str, series: str, queries: Column, k: int,
                     names=["query_id", "id", "distance", "compared"],
                 )
 
-    met = left.join(groups, "grp").join(blocks, "block").select("asking", "items")
+    # A pair is a small row and much work: by its size, the pairs of a small table would be one task's.
+    pairs = left.join(groups, "grp").join(blocks, "block").select("asking", "items")
+    met = pairs.repartition(parts)
     found = ws.save(met.mapInArrow(exact, "query_id bigint, id bigint, distance double, compared bigint"), "found")
     counts = found.where("distance is null").groupBy("query_id").agg(F.sum("compared").alias("compared"))
     order = Window.partitionBy("query_id").orderBy("distance", "id")

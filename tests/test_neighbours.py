@@ -138,3 +138,13 @@ def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0])], "i long, x array<double>")
     assert [tuple(r) for r in warping.nearest_series(df, "i", "x", F.col("i") == 0, 3).collect()] == [(0, 1, 1, 1.0, 1)]
     assert warping.nearest_series(df.limit(0), "i", "x", F.lit(True), 3).collect() == []
+
+
+def test_first_candidates_spare_comparisons(spark):
+    """Of many series of one level, few are exactly compared: those of the least bounds come first and limit the rest."""
+    draw = np.random.default_rng(6)
+    courses = draw.permuted(np.tile(np.linspace(-1, 1, 8), (12, 1)), axis=1)
+    x = courses[draw.integers(0, 12, 1200)] + draw.normal(0, 0.15, (1200, 8))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x - x.mean(1, keepdims=True))], "i int, x array<double>")
+    found = warping.nearest_series(df, "i", "x", F.col("i") % 30 == 0, 3, 1).collect()
+    assert len(found) == 120 and sum(r.compared for r in found if r.rank == 1) < 3000
