@@ -45,8 +45,8 @@ def _peaks(x: Column) -> Column:
 
 
 @S.bound
-def geometric_features(x: Column, digits: int = 4) -> Column:
-    """Eighteen features and ``late``, the share of peaks behind 0.6."""
+def geometric_features(x: Column, digits: int = 4, smoothed: Column | None = None) -> Column:
+    """Eighteen features and ``late``, the share of peaks behind 0.6; ``smoothed`` is the series smoothed by two, where it is known."""
     n = F.size(x)
     tenth = F.greatest((n / 10).cast("int"), F.lit(1))
 
@@ -65,7 +65,7 @@ def geometric_features(x: Column, digits: int = 4) -> Column:
 
     return S.lets(
         told,
-        lambda: F.when(n < 5, x).otherwise(S.gaussian(x, 2.0)), lambda smooth: forward(smooth), lambda smooth, slope: bend(slope, forward(slope)),
+        lambda: F.when(n < 5, x).otherwise(S.gaussian(x, 2.0) if smoothed is None else smoothed), lambda smooth: forward(smooth), lambda smooth, slope: bend(slope, forward(slope)),
         lambda *_: forward(x), lambda smooth, *_: _peaks(F.transform(smooth, lambda v: F.round(v, 12))),
     )
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from narrata.functions import kernels as K
+from narrata.operators import detectors
 from narrata.operators import geometry as G
 from narrata.plans import oracle as O
 from narrata.plans import queries as Q
@@ -68,7 +70,9 @@ _SHAPES = {
     SELECT doc_id, {", ".join(_GEOMETRIC)}, {", ".join(f"round({k} / ({' + '.join(_SHAPES)}), 6) AS {k}" for k in _SHAPES)} FROM w""")
 def curvature(spark, sf_dir):
     """Geometric features of each document's series, and five kinds of movement."""
-    return _long(spark, sf_dir).select("doc_id", G.geometric_features(F.col("x"), 6).alias("f")).select("doc_id", "f.*", G.information_shape(F.col("f")).alias("k")).select("*", "k.*").drop("k")
+    step = detectors.Steps(_long(spark, sf_dir))
+    (smoothed,) = step.batch(["array<double>"], lambda x: [K.gaussian(x, 2.0)], F.col("x"))
+    return step.df.select("doc_id", G.geometric_features(F.col("x"), 6, smoothed).alias("f")).select("doc_id", "f.*", G.information_shape(F.col("f")).alias("k")).select("*", "k.*").drop("k")
 
 
 _Q = "len(x) // 4"

@@ -9,7 +9,7 @@ from narrata.functions import kernels as K
 from narrata.functions import peaks as P
 from narrata.functions import series as S
 from narrata.operators import detectors
-from narrata.plans import comparisons, queries
+from narrata.plans import comparisons, geometry, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -53,3 +53,8 @@ def test_neighbours_are_not_walked_in_lambdas(spark, query):
     """Smoothing and peaks come from batches: the plan has no column walk of the mirrored series."""
     plan = query(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") >= 2 and "pmod" not in plan
+
+
+def test_curvature_smooths_in_batches(spark):
+    plan = geometry.curvature(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "pmod" not in plan
