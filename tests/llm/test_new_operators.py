@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,16 @@ def test_scores_are_exact(spark):
 def test_digest_of_spans(spark):
     row = personal.find(spark.createDataFrame([(1, "x 10.0.0.1 a@b.co")], "doc_id long, text string"), "text").select(F.sha2(personal.written(F.col("base")), 256)).first()[0]
     assert row == hashlib.sha256(b"email:11:17,ip:2:10").hexdigest()
+
+
+def test_phrases_do_not_shuffle_texts(spark):
+    runs = spark.createDataFrame([], "lang string, key binary, ids binary")
+    nothing = spark.sparkContext.broadcast({})
+    plan = phrases.stepped(runs, 2, nothing, nothing, 1 << 10)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Sort" not in plan
+
+
+def test_runs_are_cut_at_pieces():
+    ids = np.array([1, 2, -1, 3, -1, 4, 5, 6, 7, 8, 9, -1, 2, -1], np.int32)
+    parts = [p.tolist() for p in phrases.cut(ids, 5)]
+    assert parts == [[1, 2, -1, 3, -1], [4, 5, 6, 7, 8, 9, -1], [2, -1]]
