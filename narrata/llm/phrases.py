@@ -350,6 +350,9 @@ def frequent_phrases(df: DataFrame, text: str, lang: str, depth: int, least: int
     full = context.broadcast(full_buckets(stored.where("lang is null"), power, range(2, BUCKETED + 1), min(least, 255), tasks))
     word = F.col("least").cast("string")
     level = heard.select("key", "lang", F.lit(1).alias("length"), none.alias("prefix"), none.alias("link"), "n", word.alias("phrase"), empty.alias("firsts"), empty.alias("lasts"), word.alias("word"))
+    # What the words' shuffle wrote is not read again.
+    del summed
+    ws.tidy()
     runs, levels, bits = stored.where("word is null and lang is not null"), [level], {}
     for k in range(2, depth + 1):
         bits |= told(level, k - 1, tasks)
