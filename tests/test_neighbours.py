@@ -148,3 +148,42 @@ def test_first_candidates_spare_comparisons(spark):
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x - x.mean(1, keepdims=True))], "i int, x array<double>")
     found = warping.nearest_series(df, "i", "x", F.col("i") % 30 == 0, 3, 1).collect()
     assert len(found) == 120 and sum(r.compared for r in found if r.rank == 1) < 3000
+
+
+def test_pairs_are_never_rows(spark, tmp_path):
+    """Series of one level, all of whose blocks must be looked at: a row is sent to each chunk of queries and a query to each part, but no pair with its series."""
+    draw = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(draw.uniform(0, 1, (3000, 20)))], "i int, x array<double>").repartition(4)
+    store = spark._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()).iterator()
+        total = 0
+        while stages.hasNext():
+            total += stages.next().shuffleWriteBytes()
+        return total
+
+    before = shuffled()
+    found = warping.nearest_series(df, "i", "x", F.col("i") % 3 == 0, 3, 2).collect()
+    assert len(found) == 3000
+    # Rows once to be put in order, once to meet queries; queries once to each of eight parts, and room for as much again.
+    assert shuffled() - before < 2 * (2 * 3000 + 8 * 1000) * 20 * 8
+
+
+@pytest.mark.parametrize("reach", [None, 0, 2])
+def test_whole_numbers_lose_no_pair(reach):
+    draw = np.random.default_rng(4)
+    for scale, shift, n, far in ((1.0, 0.0, 20, False), (1e-9, 5.0, 9, False), (1e6, -1e9, 6, False), (1.0, 0.0, 70, False), (1.0, 0.0, 1, True), (1.0, 0.0, 20, True)):
+        q, c = (draw.normal(0, 1, (m, n)).round(1) * scale + shift for m in (30, 200))
+        c[:10] = q[:10]
+        c[11, -1] = -1e200
+        if far:
+            q[0, 0] = 1e200
+        d = warping.warped(np.repeat(q, len(c), 0), np.tile(c, (len(q), 1)), reach).reshape(len(q), -1)
+        most = np.sort(d, 1)[:, 5]
+        most[3], most[4] = 0.0, np.inf
+        found = np.zeros(d.shape, bool)
+        found[warping.near(q.T, c.T.copy(), most, reach)] = True
+        assert (found | (d > most[:, None])).all()
+        # One limit far above the others spoils the steps of the queries beside it.
+        assert far or found[5:].mean() < 0.5
