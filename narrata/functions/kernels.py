@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -205,3 +206,102 @@ def valleys(x: pa.Array, distance: int | np.ndarray = 1, least_prominence: float
 
 def lengths(x: pa.Array) -> np.ndarray:
     return _parts(x)[1]
+
+
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """As Spark rounds: of the shortest decimal form, halves away from zero."""
+    scale = 10.0**digits
+    size = np.abs(x) * scale
+    low = np.floor(size)
+    out = np.copysign((low + (size - low >= 0.5)) / scale, x) + 0.0
+    # Near a half, and for numbers that the product has no room for, the decimal form decides.
+    near = np.flatnonzero((np.abs(size - low - 0.5) < 1e-6 + size * 2.0**-50) | (size > 2.0**49))
+    unit = Decimal(1).scaleb(-digits)
+    out[near] = [float(Decimal(repr(v)).quantize(unit, ROUND_HALF_UP)) + 0.0 if abs(v) < 1e15 else v for v in x[near].tolist()]
+    return out
+
+
+def compound(x: pa.Array) -> pa.Array:
+    """Running sum of the centred series over its largest size, 1 at least."""
+    values, sizes = _parts(x)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    mean = np.bincount(owner, values, len(sizes)) / np.maximum(sizes, 1)
+    # The value and the mean's opposite in turn: sums are those of one step after the other.
+    turns = np.column_stack([values, -mean[owner]]).ravel()
+    ends = np.cumsum(sizes)
+    out = np.empty(len(values))
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        if b > a:
+            sums = np.cumsum(turns[2 * a : 2 * b])[1::2]
+            out[a:b] = sums / max(abs(sums.min()), abs(sums.max()), 1.0)
+    return _lists(out, sizes, x, pa.float64())
+
+
+def _total(rows: np.ndarray) -> np.ndarray:
+    """Sums of columns, one row after the other."""
+    return functools.reduce(np.add, rows, np.zeros(rows.shape[1]))
+
+
+def _variance(rows: np.ndarray) -> np.ndarray:
+    m = _total(rows) / len(rows)
+    return _total((rows - m) * (rows - m)) / len(rows)
+
+
+def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pearson's r of columns; 0 if one is constant."""
+    a, b = (z - _total(z) / len(z) for z in (a, b))
+    size = np.sqrt(_total(a * a) * _total(b * b))
+    return np.divide(_total(a * b), size, out=np.zeros(len(size)), where=size > 1e-12)
+
+
+def _trend(v: np.ndarray, trace: float) -> np.ndarray:
+    """R squared of the least-squares lines of columns."""
+    n = float(len(v))
+    m, spread = _total(v) / n, n * (n * n - 1) / 12.0
+    b = _total((np.arange(len(v)) - (n - 1) / 2)[:, None] * (v - m)) / spread
+    of = _variance(v)
+    return np.where(of > 0, np.maximum(0.0, 1 - (of - b * b * (n * n - 1) / 12.0) * n / (of * n + trace)), 0.0)
+
+
+def _tallest(values: np.ndarray, places: list[int], many: np.ndarray, points: int) -> np.ndarray:
+    """The place of each series' largest value among its places, of equal ones the first; of all values where there are no places."""
+    out = values.reshape(-1, points).argmax(1)
+    owner, place = np.repeat(np.arange(len(many)), many), np.array(places, np.int64)
+    order = np.lexsort((place, -values[owner * points + place], owner))
+    heads = order[np.searchsorted(owner, np.flatnonzero(many))]
+    out[many > 0] = place[heads]
+    return out
+
+
+#: Names and kinds of what :func:`shape_features` gives.
+FEATURES = {"up": "int", "down": "int", "net": "double", "volatility": "double", "symmetry": "double", "r2": "double", "top": "double", "low": "double"}
+
+
+def shape_features(x: pa.Array, prominence: float, points: int = 100, gap: int = 10) -> list[pa.Array]:
+    """Features of resampled, scaled and smoothed series, by name as in :data:`FEATURES`; null without values."""
+    values, sizes = _parts(x)
+    some = np.flatnonzero(sizes)
+    first, last = (np.cumsum(sizes) - sizes)[some], sizes[some] - 1
+    p = np.arange(points)[:, None] * last / (points - 1.0)
+    low = np.floor(p).astype(np.int64)
+    below = values[first + low]
+    even = below + (p - low) * (values[first + np.minimum(low + 1, last)] - below)
+    least = even.min(0, initial=np.inf)
+    width = even.max(0, initial=-np.inf) - least
+    wide = width > 1e-8
+    scaled = np.where(wide, (even - least) / np.where(wide, width, 1.0), 0.5)
+    each = np.full(len(some), points, np.int64)
+    flat = rounded(local_cubic(scaled.T.ravel(), each), 9)
+    v, gaps = flat.reshape(-1, points).T, np.full(len(some), gap)
+    tops_, valleys_ = tops(flat, each, gaps, prominence), tops(-flat, each, gaps, prominence)
+    half = points // 2
+    found = [
+        tops_[1], valleys_[1], v[-1] - v[0], np.sqrt(_variance(v[1:] - v[:-1])), np.abs(_likeness(v[:half], v[half : 2 * half][::-1])), _trend(v, 1e-8),
+        _tallest(flat, *tops_, points) / 100.0, _tallest(-flat, *valleys_, points) / 100.0,
+    ]
+    out = []
+    for made, kind in zip(found, FEATURES.values(), strict=True):
+        whole = np.zeros(len(sizes), made.dtype)
+        whole[some] = made
+        out.append(pa.array(whole, pa.int32() if kind == "int" else pa.float64(), mask=sizes == 0))
+    return out

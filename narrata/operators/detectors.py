@@ -381,33 +381,30 @@ def six_shapes(x: Column, sigma: float | None = 3.0) -> Column:
     return S.let(S.let(S.resample(S.minmax(S.gaussian(x, sigma) if sigma else x), 100), ranked), told)
 
 
-def shape_features(step: Steps, x: Column, prominence: float) -> dict[str, Column]:
+def shape_features(step: Steps, x: Column, prominence: float) -> Parts:
     """Features of a resampled, scaled and smoothed series."""
-    scaled = step(S.minmax(S.resample(x, 100), 0.5, 1e-8))
-    (smooth,) = step.batch(["array<double>"], lambda x: [K.savitzky_golay(x)], scaled)
-    v = step(F.transform(smooth, lambda y: F.round(y, 9)))
-    down = step(F.transform(v, lambda y: -y))
-    up, low = step.batch(["array<int>"] * 2, lambda x: [K.peaks(x, 10, prominence), K.valleys(x, 10, prominence)], v)
-    top, bottom = F.coalesce(P.tallest(v, up), S.argmax(v)) / 100.0, F.coalesce(P.tallest(down, low), S.argmin(v)) / 100.0
-    found = {"up": F.size(up), "down": F.size(low), "net": S.at(v, F.lit(99)) - S.at(v, F.lit(0)), "volatility": S.deviation(S.differences(v)), "symmetry": S.mirror_symmetry(v), "r2": S.determination(v, 1e-8), "top": top, "low": bottom}
-    return {k: step(c) for k, c in found.items()}
+    return dict(zip(K.FEATURES, step.batch(list(K.FEATURES.values()), lambda x: K.shape_features(x, prominence), x), strict=True))
+
+
+#: Least prominence of a peak of a series, and of a compound series.
+PROMINENT, COMPOUND_PROMINENT = 0.08, 0.05
 
 
-def icc(step: Steps, x: Column) -> Column:
+def icc(step: Steps, x: Column, features: Parts | None = None) -> Column:
     """Five classes by net change, peaks, volatility, symmetry and trend; 0 if no class fits in all.
 
     Classes 1 and 2 fit better than the others where more than one fits in all.
     """
-    f = shape_features(step, x, 0.08)
+    f = features or shape_features(step, x, PROMINENT)
     net, n, vol, sym, r2 = (f[k] for k in ("net", "up", "volatility", "symmetry", "r2"))
     calm, lively = vol <= 0.07, (n >= 4) & (vol >= 0.05)
     k = F.when(net.between(0.15, 1) & (n <= 3) & calm, 1).when(net.between(-1, -0.15) & (n <= 4) & calm, 2).when(net.between(-0.2, 0.2) & lively & (sym >= 0.3), 3).when(net.between(0.15, 1) & lively & (r2 >= 0.15), 4).when(net.between(-1, -0.15) & lively & (r2 >= 0.15), 5).otherwise(0)
     return F.struct(k.alias("icc"), F.round(net, 6).alias("net"), n.alias("peaks"), F.round(vol, 6).alias("volatility"), F.round(sym, 6).alias("symmetry"), F.round(r2, 6).alias("r2"))
 
 
-def compound_icc(step: Steps, x: Column) -> Column:
+def compound_icc(step: Steps, x: Column, features: Parts | None = None) -> Column:
     """Seven classes of a compound series by a cascade of rules."""
-    f = shape_features(step, x, 0.05)
+    f = features or shape_features(step, x, COMPOUND_PROMINENT)
     net, sym, r2, n, m, top, low = (f[k] for k in ("net", "symmetry", "r2", "up", "down", "top", "low"))
     yes = lambda c, w: F.when(c, w).otherwise(0.0)
     inside = lambda c, a, b: (c > a) & (c < b)
@@ -422,11 +419,17 @@ def compound_icc(step: Steps, x: Column) -> Column:
     return F.struct(k.alias("cicc"), F.round(coherence, 6).alias("coherence"), F.round(net, 6).alias("net"))
 
 
-def with_icc(df: DataFrame, series: str) -> DataFrame:
+def with_icc(df: DataFrame, series: str, compound: bool = True) -> DataFrame:
     """Add the classes of a series (icc) and of its compound series (cicc)."""
     step = Steps(df)
     x = F.col(f"`{series}`")
-    return step.done({"icc": icc(step, x), "cicc": compound_icc(step, step(S.compound(x)))})
+
+    def both(x: pa.Array) -> list[pa.Array]:
+        return K.shape_features(x, PROMINENT) + (K.shape_features(K.compound(x), COMPOUND_PROMINENT) if compound else [])
+
+    made = step.batch(list(K.FEATURES.values()) * (1 + compound), both, x)
+    own, other = (dict(zip(K.FEATURES, made[i:], strict=False)) for i in (0, len(K.FEATURES)))
+    return step.done({"icc": icc(step, x, own)} | ({"cicc": compound_icc(step, x, other)} if compound else {}))
 
 
 @S.bound

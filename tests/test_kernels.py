@@ -58,3 +58,43 @@ def test_neighbours_are_not_walked_in_lambdas(spark, query):
 def test_curvature_smooths_in_batches(spark):
     plan = geometry.curvature(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "pmod" not in plan
+
+
+def test_rounded_like_spark(spark):
+    draw = np.random.default_rng(23)
+    x = np.concatenate([draw.normal(size=2000), draw.integers(-4000, 4000, 4000) / 2048, draw.integers(-(10**10), 10**10, 4000) / 1e10 + 5e-11, [0.0, -0.0, -1e-12, 4.9999999995e-10, 5e-10, 1e-300, 2.5, 123456789.0123456785, 1e12 + 1 / 3, -4e15 / 3, 1e200]])
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x.tolist()], "x double").select(F.round("x", 9)).collect()]
+    found = K.rounded(x, 9).tolist()
+    assert [repr(v) for v in found] == [repr(v) for v in want]
+
+
+def columns_of(x, prominence):
+    """The features as column functions."""
+    v = F.transform(S.savitzky_golay(S.minmax(S.resample(x, 100), 0.5, 1e-8)), lambda y: F.round(y, 9))
+    return S.let(v, lambda v: S.lets(lambda down, up, low: F.array(
+        F.size(up).cast("double"), F.size(low).cast("double"), S.at(v, F.lit(99)) - S.at(v, F.lit(0)), S.deviation(S.differences(v)), S.mirror_symmetry(v), S.determination(v, 1e-8),
+        F.coalesce(P.tallest(v, up), S.argmax(v)) / 100.0, F.coalesce(P.tallest(down, low), S.argmin(v)) / 100.0,
+    ), lambda: F.transform(v, lambda y: -y), lambda down: P.peaks(v, 10, prominence), lambda down, up: P.peaks(down, 10, prominence)))
+
+
+def test_features_like_column_functions(spark):
+    lists = cases()
+    rows = [(i, x) for i, x in enumerate(lists) if x]
+    x = F.col("x")
+    df = spark.createDataFrame(rows, "i int, x array<double>").select("i", columns_of(x, 0.08), columns_of(S.compound(x), 0.05))
+    want = {r[0]: (list(r[1]), list(r[2])) for r in df.collect()}
+    array = pa.array([None, *lists, None], pa.list_(pa.float64()))
+    for k, found in enumerate((K.shape_features(array, 0.08), K.shape_features(K.compound(array), 0.05))):
+        found = [c.to_pylist() for c in found]
+        assert all(c[0] is c[-1] is c[1 + lists.index([])] is None for c in found)
+        # To the last digit: sums are taken in the same order.
+        for i, _ in rows:
+            assert [c[i + 1] for c in found] == want[i][k], i
+    assert [len(c) for c in K.shape_features(array[:0], 0.08)] == [0] * len(K.FEATURES)
+
+
+@pytest.mark.parametrize("query, most", [(queries.icc_thresholds, 2), (queries.icc_classes, 2)])
+def test_features_are_worked_out_once(spark, query, most):
+    """One pass for the windows and one for all features; no series is walked in lambdas."""
+    plan = query(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == most and "array_append" not in plan and "aggregate(" not in plan
